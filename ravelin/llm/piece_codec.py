@@ -39,38 +39,77 @@ def check_model(model: bytes) -> None:
         raise ValueError("this model changes texts before it encodes them")
 
 
-class WordTable:
-    """Ids and decoded text of each distinct marked word seen, forgotten when it holds ``most`` words."""
+class WordTable(dict):
+    """The number of each distinct marked word, and its ids by that number; emptied when it holds ``most`` words."""
 
     def __init__(self, model: bytes, most: int = 400_000):
-        self.sp, self.most, self.ids, self.text = _processor(model), most, {}, {}
+        self.sp, self.most = _processor(model), most
         self.lone = [self.sp.piece_to_id(MARK)]
-
-    def add(self, words: set[str]) -> None:
-        if len(self.ids) > self.most:
-            self.ids, self.text = {}, {}
-        new = [w for w in words if w not in self.ids]
-        ids = self.sp.encode([w[1:] for w in new])  # the library puts the first marker before each
-        for word, own in zip(new, ids, strict=True):
-            self.ids[word] = own or self.lone
-        for word, text in zip(new, self.sp.decode([self.ids[w] for w in new]) if new else [], strict=True):
-            self.text[word] = " " + text if word != " " else " "
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each word has."""
+        if len(self) > self.most:
+            self.reset()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            own = [x or self.lone for x in self.sp.encode([w[1:] for w in self.new])]  # the library adds the first marker
+            flat = np.fromiter(chain.from_iterable(own), np.int32)
+            ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            if ends[-1] > len(self.flat):
+                self.flat = np.resize(self.flat, max(2 * len(self.flat), int(ends[-1])))
+            self.flat[self.ends[-1] : ends[-1]] = flat
+            self.ends, self.new = np.concatenate([self.ends, ends]), []
+        starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
+        return self.flat[spread(starts, sizes)], sizes
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every run, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+class PieceBytes:
+    """What each id decodes to: its piece with spaces for markers, or its single byte."""
+
+    def __init__(self, sp):
+        of = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(MARK, " ").encode() for i in range(sp.get_piece_size()) for p in [sp.id_to_piece(i)]]
+        self.sizes = np.array([len(x) for x in of])
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(of), np.uint8)
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The decoded text of each document; the marker that encoding put before it goes."""
+        sizes = self.sizes[ids]
+        data = self.flat[spread(self.starts[ids], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        first = ends[:-1][counts > 0]
+        data, ends = np.delete(data, first), ends - np.concatenate([[0], np.cumsum(counts > 0)])
+        return pa.StringArray.from_buffers(len(counts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
 
 
 def _coded(batches: Iterator[pa.RecordBatch], model: bytes, at: int, names: tuple[str, str], rows: int) -> Iterator[pa.RecordBatch]:
     table = WordTable(model)
+    pieces = PieceBytes(table.sp)
     for whole in batches:
         for start in range(0, whole.num_rows, rows):
             batch = whole.slice(start, rows)
             words = [_WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in batch.column(at).to_pylist()]
-            table.add(set(chain.from_iterable(words)))
-            of, back = table.ids, table.text
-            ids = [np.fromiter(chain.from_iterable([of[w] for w in ws]), np.int32) for ws in words]
-            ends = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=ends[1:])
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            texts = ["".join([back[w] for w in ws])[1:] for ws in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, flat), pa.array(texts, pa.string())], [*batch.schema.names, *names])
+            ids, sizes = table.ids_of(list(chain.from_iterable(words)))
+            words_by = np.concatenate([[0], np.cumsum([len(x) for x in words])])
+            ends = np.concatenate([[0], np.cumsum(sizes)])[words_by]
+            listed = pa.ListArray.from_arrays(ends.astype(np.int32), ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed, pieces.texts(ids, np.diff(ends))], [*batch.schema.names, *names])
 
 
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", rows_at_once: int = 500) -> DataFrame:
