@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ravelin.llm import piece_codec
+from ravelin.llm import chat_format, piece_codec, quality_trees
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality_trees.op1_quality_rules,
+        "op5_chat_format": chat_format.op5_chat_format,
         "op7_sentencepiece": piece_codec.op7_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": chat_format.OP5_SQL}
