@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ravelin.llm import chat_format, piece_codec, pseudonyms, quality_trees
+from ravelin.llm import chat_format, piece_codec, pseudonyms, quality_trees, sketch_join
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_trees.op1_quality_rules,
+        "op3_sketch_join": sketch_join.op3_sketch_join,
         "op4_pseudonyms": pseudonyms.op4_pseudonyms,
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_sentencepiece": piece_codec.op7_sentencepiece,
