@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import chat_format, piece_codec, pseudonyms, quality_trees, sketch_join
+from ravelin.llm import chat_format, piece_codec, pseudonyms, quality_trees, sketch_join, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_pseudonyms": pseudonyms.op4_pseudonyms,
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_sentencepiece": piece_codec.op7_sentencepiece,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     }
 
 
