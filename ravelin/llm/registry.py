@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ravelin.llm import chat_format, piece_codec, pseudonyms, quality_trees, sketch_join, suffix_dedup
+from ravelin.llm import chat_format, decontaminate, piece_codec, pseudonyms, quality_trees, sketch_join, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_trees.op1_quality_rules,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_sketch_join": sketch_join.op3_sketch_join,
         "op4_pseudonyms": pseudonyms.op4_pseudonyms,
         "op5_chat_format": chat_format.op5_chat_format,
