@@ -23,9 +23,10 @@ from ravelin.llm.wordhash import WordHasher, mix, windows
 BAND_RATIO = 1.4
 #: Bits of a part's sketch; it is kept as the XOR of a random number for each bit set.
 PART_BITS = 20
-#: A part with fewer shingles is light: it says little, and is joined only where a set has too many of them.
-LIGHT = 3
+#: Linked sets share at least so many of the parts that both emit.
+SHARED = 2
 BITMAP_BITS = 26
+_ID = "coalesce(doc_id, 9223372036854775807L)"
 
 
 class Bands:
@@ -39,7 +40,7 @@ class Bands:
         self.lows, self.percent = np.array(lows), percent
         # |A xor B| <= (1 - t) |A or B| and |A or B| <= min(|A|, |B|) / t
         self.differ = [(hi - 1) * (100 - percent) // percent for hi in lows[1:]]
-        self.parts = [d + 1 + -(-d // 9) if d else 1 for d in self.differ]
+        self.parts = [d + SHARED + -(-d * 7 // 20) for d in self.differ]
 
     def of(self, n: int) -> list[int]:
         """The bands whose sets may be the smaller one of a linked pair with a set of this size."""
@@ -49,22 +50,27 @@ class Bands:
         while k and self.lows[k] - 1 >= least:
             k -= 1
             out.append(k)
-        return out
+        return [k for k in out if self.differ[k]]  # different sets differ in a shingle at least
 
 
 def part_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a sorted set of shingle hashes: one for each part and band that has to be joined."""
-    out = []
+    """Join keys of a sorted set of shingle hashes: one for each part and band that has to be joined.
+
+    Two linked sets agree on parts - differ parts or more. A set leaves out its lightest parts, those with fewer
+    shingles than a bound, as long as parts - differ - SHARED or fewer go. Of two linked sets take the one with
+    the higher bound: at least SHARED of the parts they agree on are as heavy, and both emit those.
+    """
+    out = [np.zeros(0, np.uint64)]
     bits = mix((mix(shingles) >> np.uint64(64 - PART_BITS)) + np.uint64(0x5851F42D4C957F2D))
     for k in bands.of(len(shingles)):
-        parts, differ = bands.parts[k], bands.differ[k]
+        parts, spare = bands.parts[k], bands.parts[k] - bands.differ[k] - SHARED
         cuts = (np.arange(parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
         starts = np.searchsorted(shingles, cuts)
         sizes = np.diff(np.append(starts, len(shingles)))
         sums = np.bitwise_xor.reduceat(bits, np.minimum(starts, len(bits) - 1))
         sums[sizes == 0] = 0
-        heavy = sizes >= LIGHT
-        own = np.flatnonzero(heavy) if parts - heavy.sum() < parts - differ else np.arange(parts)
+        lighter = np.cumsum(np.bincount(sizes, minlength=2))  # parts with at most so many shingles
+        own = np.flatnonzero(sizes >= int(np.searchsorted(lighter, spare, side="right")))
         salt = np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
         out.append(mix(mix(sums[own] + salt) + own.astype(np.uint64)))
     return np.concatenate(out)
@@ -90,59 +96,69 @@ def _each(docs: DataFrame, schema: str, rows) -> DataFrame:
         hasher, seen = WordHasher(), set()
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+                batch = rows.wanted(whole.slice(start, 500))
                 yield rows(batch, _sets(batch.column(at).to_pylist(), hasher, width), seen)
 
     at, width = len(docs.columns) - 1, rows.width
     return docs.mapInArrow(lambda b: run(b, at, width), schema)
 
 
-class _Nodes:
-    """doc_id, n_shingles, node."""
+class _Rows:
+    """What a pass over the texts yields for a batch; ``wanted`` may thin the batch out first."""
 
     def __init__(self, width: int):
         self.width = width
 
+    def wanted(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch
+
+
+class _Nodes(_Rows):
+    """id, n_shingles, node."""
+
     def __call__(self, batch, sets, seen):
         nodes = pa.array([_node(s) for s in sets], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes], ["doc_id", "n_shingles", "node"])
 
 
-class _Parts:
+class _Parts(_Rows):
     """node and its join keys, once per task."""
 
     def __init__(self, width: int, percent: int):
-        self.width, self.percent = width, percent
+        super().__init__(width)
+        self.bands = Bands(percent)
 
     def __call__(self, batch, sets, seen):
-        bands = self.__dict__.setdefault("bands", Bands(self.percent))
         nodes, keys = [], []
         for s in sets:
             if len(s) and (node := _node(s)) not in seen:
                 seen.add(node)
                 nodes.append(node)
-                keys.append(part_keys(s, bands).view(np.int64))
+                keys.append(part_keys(s, self.bands).view(np.int64))
         ends = np.concatenate([[0], np.cumsum([len(k) for k in keys], dtype=np.int64)]).astype(np.int32)
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["node", "keys"])
 
 
-class _Wanted:
-    """node and its set, once per task, for the nodes that a bitmap holds."""
+class _Wanted(_Rows):
+    """node and its set, once per task, of the documents whose bit a bitmap holds."""
 
     def __init__(self, width: int, bitmap):
-        self.width, self.bitmap = width, bitmap
+        super().__init__(width)
+        self.bitmap = bitmap
+
+    def wanted(self, batch):
+        bit = batch.column(0).to_numpy() & ((1 << BITMAP_BITS) - 1)
+        there = (self.bitmap.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
+        return batch.take(pa.array(np.flatnonzero(there)))
 
     def __call__(self, batch, sets, seen):
         nodes, out = [], []
-        bitmap = self.bitmap.value
         for s in sets:
             if len(s) and (node := _node(s)) not in seen:
-                bit = node & ((1 << BITMAP_BITS) - 1)
-                if (int(bitmap[bit >> 6]) >> (bit & 63)) & 1:
-                    seen.add(node)
-                    nodes.append(node)
-                    out.append(s.tobytes())
+                seen.add(node)
+                nodes.append(node)
+                out.append(s.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
 
@@ -168,15 +184,16 @@ def _judged(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets link."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    held = pairs.sparkSession.sparkContext.broadcast(bitmap_of(ends, "node", BITMAP_BITS))
-    sets = _each(texts, "node long, shingles binary", _Wanted(width, held)).groupBy("node").agg(F.first("shingles").alias("shingles"))
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets link. The set of a node is hashed anew from one of its documents."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sources = nodes.groupBy("node").agg(F.xxhash64(F.min(F.expr(_ID))).alias("bit")).join(ends, "node")
+    held = pairs.sparkSession.sparkContext.broadcast(bitmap_of(sources, "bit", BITMAP_BITS))
+    sets = _each(texts.select(F.xxhash64(F.expr(_ID)).alias("bit"), texts.columns[-1]), "node long, shingles binary", _Wanted(width, held))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(lambda b: _judged(b, percent), "a long, b long")
+    return joined.mapInArrow(lambda b: _judged(b, percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
@@ -190,8 +207,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text:
     stay rows of their own.
 
     Candidates come from a shuffle of part keys. The first round tests each node against the node with which it
-    shares most parts as the first of their bucket; the second tests what is left: every pair that shares a
-    bucket but not yet a component.
+    shares most parts as the first of their bucket; the second tests what is left: every pair that shares
+    SHARED buckets but not yet a component.
     """
     texts = docs.select("doc_id", text)
     nodes = cut(_each(texts, "doc_id long, n_shingles long, node long", _Nodes(width)))
@@ -200,21 +217,21 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text:
     shared = keyed.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket)}).where("lo < hi").select("key", "node", F.col("lo").alias("first")).distinct()
     shared = cut(shared)
 
-    tries = shared.where("node <> first").groupBy("node", "first").count()
+    tries = shared.where("node <> first").groupBy("node", "first").count().where(F.col("count") >= SHARED)
     best = W.partitionBy("node").orderBy(F.desc("count"), "first")
     tries = cut(tries.withColumn("k", F.row_number().over(best)).where("k = 1").select(F.col("first").alias("a"), F.col("node").alias("b")))
-    links = cut(_verified(tries, texts, width, percent))
+    links = cut(_verified(tries, texts, nodes, width, percent))
     found = components(links)
 
     placed = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     split = placed.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)}).where("lo < hi").select("key", "node", "c")
     split = cut(split)
     other = split.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
-    rest = split.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").select("a", "b").distinct()
+    rest = split.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b")
     tried = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        found = components(links.unionByName(_verified(rest, texts, width, percent)))
+        found = components(links.unionByName(_verified(rest, texts, nodes, width, percent)))
 
     named = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
     named = named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("node", "component_id")

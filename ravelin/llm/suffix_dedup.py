@@ -27,6 +27,8 @@ SHALLOW = 24
 _TILE = 1 << 18
 _PLACE_BITS = 20
 #: A place: 24 bits of the text's hash, 31 bits of start, 7 bits of the number of windows less one.
+#: Texts without anything to look up do not travel: they are told by a bitmap of so many bits.
+FILTER_BITS = 24
 _MAX_ID = (1 << 63) - 1
 _CHUNK = 4 << 20
 
@@ -240,6 +242,14 @@ def _kept(batches: Iterator[pa.RecordBatch], at: int, length: int, names: tuple[
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, kind)], [*batch.schema.names[:-1], *names])
 
 
+def _marked(keyed: DataFrame, own: DataFrame) -> DataFrame:
+    """``keyed`` with there_, false only if (d_, th_) is not in ``own``: a bitmap of 2**FILTER_BITS bits, broadcast as that many / 64 rows or fewer."""
+    bit = F.xxhash64("d_", "th_").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = own.select(bit.alias("b")).select(F.shiftright("b", 6).alias("w_"), F.expr("shiftleft(1L, cast(b & 63L AS int))").alias("v")).groupBy("w_").agg(F.bit_or("v").alias("v_"))
+    marked = keyed.withColumns({"w_": F.shiftright(bit, 6), "at_": bit.bitwiseAND(F.lit(63)).cast("int")}).join(F.broadcast(words), "w_", "left")
+    return marked.withColumn("there_", F.expr("coalesce(shiftrightunsigned(v_, at_) & 1L, 0L) = 1L")).drop("w_", "at_", "v_")
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> DataFrame:
     """``docs`` with kept (the remaining bytes), n_removed and spans (start, bytes) of what was removed.
 
@@ -262,7 +272,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
         )
     )
     run = lambda p: F.struct(F.shiftright(p, 7).bitwiseAND(F.lit(0x7FFFFFFF)).alias("start"), (p.bitwiseAND(F.lit(127)) + length).alias("bytes"))
-    held = keyed.join(by_doc.select(F.col("d").alias("d_"), F.col("th").alias("th_"), "open").where(F.size("open") > 0), ["d_", "th_"])
+    own = by_doc.select(F.col("d").alias("d_"), F.col("th").alias("th_"), "open").where(F.size("open") > 0)
+    held = _marked(keyed, own).where("there_").join(own, ["d_", "th_"])
     held = held.select("d_", "th_", F.col(text).cast("binary").alias("data"), F.explode("open").alias("o"))
     held = held.select("o.key", F.col("d_").alias("d"), "o.place", "data", run(F.col("o.place")).alias("s"))
     held = held.selectExpr("key", "d", "place", "substring(data, cast(s.start + 1 AS int), cast(s.bytes AS int)) AS stretch")
@@ -270,7 +281,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
     runs = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "bytes")).alias("runs"))
     runs = runs.unionByName(by_doc.where(F.size("again") > 0).select("d", "th", F.transform("again", run).alias("runs")))
     runs = runs.groupBy(F.col("d").alias("d_"), F.col("th").alias("th_")).agg(F.flatten(F.collect_list("runs")).alias("runs_"))
-    joined = keyed.join(runs, ["d_", "th_"], "left").select(*docs.columns, "runs_")
+    marked = _marked(keyed, by_doc.select(F.col("d").alias("d_"), F.col("th").alias("th_")))
+    joined = marked.where("there_").join(runs, ["d_", "th_"], "left").select(*docs.columns, "runs_")
+    joined = joined.unionByName(marked.where("NOT there_").select(*docs.columns, F.lit(None).cast(runs.schema["runs_"].dataType).alias("runs_")))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("bytes", T.LongType())])
     schema = extended(docs, kept=T.BinaryType(), n_removed=T.LongType(), spans=T.ArrayType(span))
     column = docs.columns.index(text)
