@@ -25,6 +25,8 @@ BAND_RATIO = 1.4
 PART_BITS = 20
 #: Linked sets share at least so many of the parts that both emit.
 SHARED = 2
+#: Buckets up to this size give their pairs to a join that counts shared buckets; in larger ones sketches are compared.
+SMALL = 8
 BITMAP_BITS = 26
 _ID = "coalesce(doc_id, 9223372036854775807L)"
 
@@ -82,6 +84,71 @@ def _sets(texts: list[str | None], hasher: WordHasher, width: int) -> list[np.nd
     return [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])]
 
 
+def whole_sketch(shingles: np.ndarray) -> bytes:
+    """The parity sketch of a set: a power of two of bits, twice its size or more. Halves XOR to the next shorter one."""
+    bits = max(256, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else 256
+    flips = np.bincount((mix(shingles + np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """From (key, node, c, n, sketch), keys together, to pairs (a, b) of a bucket with different c whose sketches allow a link.
+
+    With ``best``, each node gives its nearest such partner alone. Sketches are compared block by block.
+    """
+
+    def bucket(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, c, n = (rows[x].to_numpy() for x in ("node", "c", "n"))
+        raw = rows["sketch"].to_pylist()
+        least = min(map(len, raw))
+        words = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in raw])
+        most = n * (100 - percent) // percent
+        out = []
+        for i in range(0, len(node), 1024):
+            near, who = np.full(min(1024, len(node) - i), 1 << 30), np.zeros(min(1024, len(node) - i), np.int64)
+            for j in range(0 if best else i, len(node), 1024):
+                a, b = words[i : i + 1024], words[j : j + 1024]
+                far = np.zeros((len(a), len(b)), np.int32)
+                for w in range(words.shape[1]):
+                    far += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+                fits = (far <= np.minimum(most[i : i + 1024, None], most[None, j : j + 1024])) & (c[i : i + 1024, None] != c[None, j : j + 1024])
+                if best:
+                    far[~fits] = 1 << 30
+                    at = far.argmin(1)
+                    low = far[np.arange(len(a)), at]
+                    who = np.where(low < near, j + at, who)
+                    near = np.minimum(low, near)
+                else:
+                    x, y = np.nonzero(fits)
+                    out.append((node[i + x], node[j + y]))
+            if best:
+                ok = np.flatnonzero(near < 1 << 30)
+                out.append((node[i + ok], node[who[ok]]))
+        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+    held: list[pa.RecordBatch] = []
+
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = rows["key"].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            a, b = bucket(rows.slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            if held and batch.column(0)[0] != held[-1].column(0)[0]:
+                rows = pa.Table.from_batches([*held, batch])
+                keys = rows["key"].to_numpy()
+                whole = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+                yield from settle(rows.slice(0, whole)) if whole else ()
+                held = rows.slice(whole).combine_chunks().to_batches()
+            else:
+                held.append(batch)
+    if held:
+        yield from settle(pa.Table.from_batches(held))
+
+
 def _node(shingles: np.ndarray) -> int | None:
     """A 64-bit name of a set: equal sets, equal names."""
     if not len(shingles):
@@ -114,11 +181,12 @@ class _Rows:
 
 
 class _Nodes(_Rows):
-    """id, n_shingles, node."""
+    """id, n_shingles, node, sketch."""
 
     def __call__(self, batch, sets, seen):
         nodes = pa.array([_node(s) for s in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes], ["doc_id", "n_shingles", "node"])
+        sketches = pa.array([whole_sketch(s) for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes, sketches], ["doc_id", "n_shingles", "node", "sketch"])
 
 
 class _Parts(_Rows):
@@ -207,11 +275,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text:
     stay rows of their own.
 
     Candidates come from a shuffle of part keys. The first round tests each node against the node with which it
-    shares most parts as the first of their bucket; the second tests what is left: every pair that shares
-    SHARED buckets but not yet a component.
+    shares most parts as the first of their bucket; the others test what is left, pairs that
+    share buckets but not yet a component: in large buckets only those whose sketches allow a link, first the
+    nearest partner of each node, then all. Only these become rows; the comparisons in a bucket of m different
+    sets that do not link stay m * m, in blocks of one task.
     """
     texts = docs.select("doc_id", text)
-    nodes = cut(_each(texts, "doc_id long, n_shingles long, node long", _Nodes(width)))
+    nodes = cut(_each(texts, "doc_id long, n_shingles long, node long, sketch binary", _Nodes(width)))
     keyed = _each(texts, "node long, keys array<long>", _Parts(width, percent)).select("node", F.explode("keys").alias("key"))
     bucket = W.partitionBy("key")
     shared = keyed.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket)}).where("lo < hi").select("key", "node", F.col("lo").alias("first")).distinct()
@@ -222,16 +292,23 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text:
     tries = cut(tries.withColumn("k", F.row_number().over(best)).where("k = 1").select(F.col("first").alias("a"), F.col("node").alias("b")))
     links = cut(_verified(tries, texts, nodes, width, percent))
     found = components(links)
-
-    placed = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    split = placed.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)}).where("lo < hi").select("key", "node", "c")
-    split = cut(split)
-    other = split.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
-    rest = split.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b")
     tried = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = components(links.unionByName(_verified(rest, texts, nodes, width, percent)))
+
+    about = nodes.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    for best in (True, False):
+        placed = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        split = placed.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket), "size": F.count("*").over(bucket)}).where("lo < hi")
+        split = cut(split.select("key", "node", "c", "size"))
+        small, large = split.where(f"size <= {SMALL}"), split.where(f"size > {SMALL}")
+        other = small.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
+        rest = small.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b")
+        near = large.join(about, "node").select("key", "node", "c", "n", "sketch").repartition("key").sortWithinPartitions("key")
+        near = near.mapInArrow(lambda x, best=best: _near(x, percent, best), "a long, b long").distinct()
+        rest = cut((rest.unionByName(near).distinct() if best else near).join(tried, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            continue
+        links = cut(links.unionByName(_verified(rest, texts, nodes, width, percent)))
+        found, tried = components(links), tried.unionByName(rest)
 
     named = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
     named = named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("node", "component_id")
