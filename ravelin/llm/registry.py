@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import chat_format, decontaminate, piece_codec, pseudonyms, quality_trees, sketch_join, suffix_dedup
+from ravelin.llm import chat_format, decontaminate, language_id, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_pseudonyms": pseudonyms.op4_pseudonyms,
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_sentencepiece": piece_codec.op7_sentencepiece,
+        "op8_language_id": language_id.op8_language_id,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+        "op10_pseudo_likelihood": pseudo_likelihood.op10_pseudo_likelihood,
     }
 
 
