@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ravelin.llm import chat_format, decontaminate, language_id, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
+import corpus_pipeline
+from ravelin.llm import chat_format, co_training, decontaminate, language_id, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,10 +13,12 @@ def queries() -> dict:
         "op3_sketch_join": sketch_join.op3_sketch_join,
         "op4_pseudonyms": pseudonyms.op4_pseudonyms,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op6_co_training": co_training.op6_co_training,
         "op7_sentencepiece": piece_codec.op7_sentencepiece,
         "op8_language_id": language_id.op8_language_id,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_pseudo_likelihood": pseudo_likelihood.op10_pseudo_likelihood,
+        "pipeline": corpus_pipeline.run,
     }
 
 
