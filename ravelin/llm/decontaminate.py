@@ -137,17 +137,19 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", lea
     none; what passes meets the seeds in a join, equal cores once. Nothing here grows with either side on the
     driver or in a broadcast.
     """
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text).mapInArrow(_items, "item_id long, words array<long>, seeds array<long>, places array<int>"))
-    index = items.select("item_id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "item_id", F.col("s.places").alias("place"))
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text).distinct()
+    items = benchmark.mapInArrow(_items, "item_id long, words array<long>, seeds array<long>, places array<int>")
+    items = cut(items.withColumn("item", F.xxhash64("item_id", "words")))  # a key of its own: ids may be null
+    index = items.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "item", F.col("s.places").alias("place"))
     probes = index.select(F.explode(F.array("seed", F.shiftrightunsigned("seed", 32))).alias("probe"))
     held = docs.sparkSession.sparkContext.broadcast(bitmap_of(probes, "probe", BITMAP_BITS))
     runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(lambda b: _runs(b, held), "doc_id long, start long, lead int, core long, words array<long>, seeds array<long>, places array<int>")
     runs = cut(runs)
     cores = runs.groupBy("core").agg(F.first(F.arrays_zip("seeds", "places")).alias("hits"))
     hits = cores.select("core", F.explode("hits").alias("h")).select("core", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at"))
-    pairs = hits.join(index, "seed").select("core", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    laid = runs.select("doc_id", "start", "lead", "core", "words").join(pairs, "core").select("doc_id", "start", "item_id", (F.col("shift") - F.col("lead")).alias("shift"), "words")
-    laid = laid.join(items.select("item_id", F.col("words").alias("item_words")), "item_id").select("doc_id", "start", "item_id", "shift", "words", "item_words")
+    pairs = hits.join(index, "seed").select("core", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    laid = runs.select("doc_id", "start", "lead", "core", "words").join(pairs, "core").select("doc_id", "start", "item", (F.col("shift") - F.col("lead")).alias("shift"), "words")
+    laid = laid.join(items.select("item", "item_id", F.col("words").alias("item_words")).distinct(), "item").select("doc_id", "start", "item_id", "shift", "words", "item_words")
     found = laid.mapInArrow(lambda b: _overlaps(b, least, equal, percent), "doc_id long, item_id long, start long, n_words long, n_equal long")
     return found.distinct()
 
