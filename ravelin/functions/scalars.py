@@ -149,11 +149,15 @@ def internal_ingress(class_name: Column, annotations: Column) -> Column:
 PROVIDERS = (("aws://", "eks.amazonaws.com/", "eks", "aws"), ("gce://", "cloud.google.com/gke-", "gke", "gcp"), ("azure://", "kubernetes.azure.com/", "aks", "azure"))
 
 
+def _starts(prefix: str):
+    return lambda k: k.startswith(prefix)
+
+
 def provider(provider_id: Column, labels: Column) -> Column:
     """The cloud of a node, or its managed service if the labels show one."""
     out = F.lit("onprem")
     for prefix, label, managed, plain in PROVIDERS:
-        shown = F.coalesce(F.exists(F.map_keys(labels), lambda k, label=label: k.startswith(label)), F.lit(False))
+        shown = F.coalesce(F.exists(F.map_keys(labels), _starts(label)), F.lit(False))
         out = F.when(F.lower(blank(provider_id)).startswith(prefix), F.when(shown, managed).otherwise(plain)).otherwise(out)
     return out
 

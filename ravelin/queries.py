@@ -508,10 +508,11 @@ def assertion_batch(spark, d):
 def stream_cycle_replay(spark, d):
     """The batch table replayed as a stream into memory; without late rows it gives what the batch gives."""
     import tempfile
+    import uuid
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"cycles_{abs(hash(d)) % 10**8}"
+    name = f"cycles_{uuid.uuid4().hex}"
     shared = spark.conf.get("spark.checkpoint.dir", None)
     at = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="ravelin-stream-")
     run = cycles.cycle_counts(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()

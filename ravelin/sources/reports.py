@@ -56,6 +56,10 @@ def _containers(spec: Column) -> Column:
     return F.concat(F.coalesce(spec["containers"], none), F.coalesce(spec["initContainers"], none))
 
 
+def _flagged(init: bool):
+    return lambda x: F.struct(x.alias("c"), F.lit(init).alias("init"))
+
+
 def _identity(md: Column) -> list[Column]:
     label = lambda k: blank(F.try_element_at(md["labels"], F.lit(f"trivy-operator.{k}")))
     return [
@@ -177,7 +181,7 @@ class Inventory:
         kind, c = F.col("kind"), F.col("c.c")
         rows = self.items.where(kind.isin("Deployment", "StatefulSet", "DaemonSet", "CronJob", "Pod") | ((kind == "Job") & ~self._owned()))
         none = F.array().cast(f"array<{_CONTAINER}>")
-        both = F.concat(*[F.transform(F.coalesce(F.col(f"pod.{f}"), none), lambda x, init=init: F.struct(x.alias("c"), F.lit(init).alias("init"))) for f, init in (("containers", False), ("initContainers", True))])
+        both = F.concat(*[F.transform(F.coalesce(F.col(f"pod.{f}"), none), _flagged(init)) for f, init in (("containers", False), ("initContainers", True))])
         rows = rows.select("*", F.explode(both).alias("c")).where((blank(c["name"]) != "") & (blank(c["image"]) != ""))
         status = F.concat(*[F.coalesce(F.col(f"o.status.{f}"), F.array().cast("array<struct<name:string,imageID:string>>")) for f in ("containerStatuses", "initContainerStatuses")])
         running = F.try_element_at(F.filter(status, lambda s: s["name"] == c["name"]), F.lit(1))["imageID"]
