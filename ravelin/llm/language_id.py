@@ -12,13 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import extended, table, without
+from ravelin.llm.common import cut, extended, table, without
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,18 +97,18 @@ class Model:
 
 
 def train(docs: DataFrame, label: str = "lang", text: str = "text", longest: int = 4, max_rows: int = 3000, known_words: int = 20_000, known_grams: int = 20_000) -> Model | None:
-    """Learn from at most ``max_rows`` labelled rows, chosen by a hash of the text.
+    """Learn from at most ``max_rows`` labelled rows, chosen by a hash of doc_id and text.
 
     The model keeps the ``known_words`` most frequent words and ``known_grams`` n-grams of each size, which bounds
     what is sent to the tasks; other words are scored by their n-grams. None where nothing is labelled.
     """
-    own = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), text, F.col(label).cast("string").alias("language"))
+    own = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64("doc_id", text).alias("h"), text, F.col(label).cast("string").alias("language"))
     chosen = own.select("h", "language").orderBy("h", "language").limit(max_rows).distinct()
     own = own.join(F.broadcast(chosen), ["h", "language"]).select(text, "language")
     grams = own.mapInArrow(lambda b: _counted(b, longest), "language string, size int, gram string, n long").groupBy("size", "gram", "language").agg(F.sum("n").alias("n"))
-    per = grams.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("of"))
-    ranked = per.withColumn("k", F.row_number().over(W.partitionBy("size").orderBy(F.desc("total"), "gram")))
-    kept = ranked.where(F.col("k") <= F.when(F.col("size") == 0, known_words).otherwise(known_grams)).orderBy("size", "k").toPandas()
+    per = cut(grams.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("of")))
+    best = [per.where(F.col("size") == s).orderBy(F.desc("total"), "gram").limit(known_grams if s else known_words).toPandas() for s in range(longest + 1)]
+    kept = pd.concat(best, ignore_index=True)
     if kept.empty:
         return None
     languages = sorted({x for of in kept["of"] for x in of})

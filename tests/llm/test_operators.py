@@ -345,7 +345,7 @@ def test_language_bears_odd_rows(odd, none):
 
 
 def test_unseen_words_back_off(spark):
-    docs = spark.createDataFrame([("the thing", "en"), ("der ding", "de")] * 5, "text string, lang string")
+    docs = spark.createDataFrame([(0, "the thing", "en"), (1, "der ding", "de")] * 5, "doc_id long, text string, lang string")
     rows = language_id.identify(spark.createDataFrame([("xthx",), ("xderx",)], "text string"), language_id.train(docs)).collect()
     assert [r.lang_pred for r in rows] == ["en", "de"]
 
