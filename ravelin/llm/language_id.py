@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,53 +51,62 @@ def _counted(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Rec
 
 @dataclass
 class Model:
-    """Log frequencies: one row per known gram, one column per language."""
+    """Log frequencies: one row per known gram, one column per language, and a last row of zeros."""
 
     languages: list[str]
-    rows: dict[tuple[int, str], int]
+    grams: list[dict[str, int]]  # by size, words first: the row of each
     logs: np.ndarray
-    longest: int
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean over the longest known n-grams of a word, at most as telling as one word; zeros if none is known."""
+    def rows_of(self, word: str) -> list[int]:
+        """The row of a known word, else those of its longest known n-grams, else the row of zeros."""
+        if (row := self.grams[0].get(word)) is not None:
+            return [row]
         padded = f"^{word}$"
-        for size in range(min(self.longest, len(padded)), 0, -1):
-            at = [r for i in range(len(padded) - size + 1) if (r := self.rows.get((size, padded[i : i + size]))) is not None]
-            if at:
-                return self.logs[at].mean(0)
-        return np.zeros(len(self.languages))
-
-    def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known, logs = self.words, self.logs
-        memory: dict[str, np.ndarray] = {}
-        names, best = [], []
-        for text in texts:
-            counts = Counter(_WORD.findall(text.lower())) if text else {}
-            if not counts:
-                names.append(UNKNOWN)
-                best.append(0.0)
-                continue
-            at = [known.get(w, -1) for w in counts]
-            n = np.fromiter(counts.values(), np.float64, len(counts))
-            at_ = np.array(at)
-            total = n[at_ >= 0] @ logs[at_[at_ >= 0]]
-            for word, k, times in zip(counts, at, n, strict=True):
-                if k < 0:
-                    if (own := memory.get(word)) is None:
-                        own = memory[word] = self.unseen(word)
-                    total = total + times * own
-            odds = np.exp(total - total.max())
-            k = int(total.argmax())
-            names.append(self.languages[k])
-            best.append(float(odds[k] / odds.sum()))
-        return names, best
-
-    def ready(self) -> Model:
-        self.words = {gram: r for (size, gram), r in self.rows.items() if size == 0}
-        return self
-
-
-def train(docs: DataFrame, label: str = "lang", text: str = "text", longest: int = 4, max_rows: int = 3000, known_words: int = 20_000, known_grams: int = 20_000) -> Model | None:
+        for size in range(min(len(self.grams) - 1, len(padded)), 0, -1):
+            known = self.grams[size].get
+            if rows := [r for i in range(len(padded) - size + 1) if (r := known(padded[i : i + size])) is not None]:
+                return rows
+        return [len(self.logs) - 1]
+
+
+class Scorer(dict):
+    """Numbers words as they come and keeps what each says; forgets all when it holds ``most`` words."""
+
+    def __init__(self, model: Model, most: int = 300_000):
+        self.model, self.most = model, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.says = np.zeros((0, len(self.model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if len(self) > self.most:
+            self.reset()
+        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        if self.new:
+            rows = [self.model.rows_of(w) for w in self.new]
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
+            mean = np.add.reduceat(self.model.logs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            self.says, self.new = np.concatenate([self.says, mean]), []
+        of = np.repeat(np.arange(len(texts)), n)
+        total = np.stack([np.bincount(of, self.says[at, k], len(texts)) for k in range(len(self.model.languages))], 1)
+        odds = np.exp(total - total.max(1, keepdims=True))
+        best = total.argmax(1)
+        share = np.where(n > 0, odds[np.arange(len(texts)), best] / odds.sum(1), 0.0)
+        return [self.model.languages[k] if m else UNKNOWN for k, m in zip(best, n, strict=True)], share
+
+
+def train(docs: DataFrame, label: str = "lang", text: str = "text", longest: int = 4, max_rows: int = 2000, known_words: int = 20_000, known_grams: int = 20_000) -> Model | None:
     """Learn from at most ``max_rows`` labelled rows, chosen by a hash of doc_id and text.
 
     The model keeps the ``known_words`` most frequent words and ``known_grams`` n-grams of each size, which bounds
@@ -119,7 +129,10 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", longest: int
         own = counts[sizes == size] + 0.5
         logs[sizes == size] = np.log(own / own.sum(0))
     logs -= logs.mean(1, keepdims=True)  # what a gram says for one language over the others
-    return Model(languages, {(int(s), g): r for r, (s, g) in enumerate(zip(sizes, kept["gram"], strict=True))}, logs, longest)
+    known: list[dict[str, int]] = [{} for _ in range(longest + 1)]
+    for row, (size, gram) in enumerate(zip(sizes, kept["gram"], strict=True)):
+        known[size][gram] = row
+    return Model(languages, known, np.concatenate([logs, np.zeros((1, len(languages)))]))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -133,11 +146,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value and held.value.ready()
+        own = Scorer(held.value) if held.value else None
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                names, best = own.scores(batch.column(at).to_pylist()) if own else ([UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows)
+                names, best = own.scores(batch.column(at).to_pylist()) if own is not None else ([UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, extended(docs, lang_pred=T.StringType(), score=T.DoubleType()))

@@ -23,4 +23,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.OP5_SQL}
+    return {
+        "op3_sketch_join": sketch_join.OP3_SQL,
+        "op5_chat_format": chat_format.OP5_SQL,
+        "op9_suffix_dedup": suffix_dedup.OP9_SQL,
+    }

@@ -94,20 +94,34 @@ def _tiles(texts: list[bytes], length: int) -> Iterator[tuple]:
 
 
 def _stretched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From (d, th, text) to (key, hash, d, place)."""
+    """From (d, th, text) to (key, hash, d, place, again).
+
+    Equal stretches of a batch meet here already: all but the first are ``again``, and get a key of their own so
+    that a string which everyone has is dealt out like any other.
+    """
     finder = Stretches(length)
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            batch = whole.slice(lo, 2000)
-            d, th = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            for parts, data, starts, base in _tiles(texts, length):
-                key, own, start, count = finder.of(data, starts)
-                part = np.searchsorted(base, start, side="right") - 1
-                text = np.array([p[0] for p in parts])[part]
-                place = start - base[part] + np.array([p[1] for p in parts])[part]
-                packed = (th[text] << 39) | (place << 7) | (count - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(d[text]), pa.array(packed)], ["key", "hash", "d", "place"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        d, th = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+        rows = []
+        for parts, data, starts, base in _tiles(texts, length):
+            key, own, start, count = finder.of(data, starts)
+            part = np.searchsorted(base, start, side="right") - 1
+            text = np.array([p[0] for p in parts])[part]
+            place = start - base[part] + np.array([p[1] for p in parts])[part]
+            rows.append((key, own, d[text], (th[text] << 39) | (place << 7) | (count - 1)))
+        if not rows:
+            continue
+        key, own, ids, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+        by = np.lexsort((place, ids, own, key))
+        key, own, ids, place = key[by], own[by], ids[by], place[by]
+        alike = np.concatenate([[False], (key[1:] == key[:-1]) & (own[1:] == own[:-1])])
+        first = np.maximum.accumulate(np.where(alike, 0, np.arange(len(key))))
+        again = alike & ((ids != ids[first]) | (place != place[first]))  # a repeated row is no earlier one
+        key = np.where(again, mix(key + mix(ids.view(np.uint64) + mix(place.view(np.uint64)))), key)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(ids), pa.array(place), pa.array(again)], ["key", "hash", "d", "place", "again"])
 
 
 def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,9 +275,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
     """
     docs = without(docs, "kept", "n_removed", "spans", "d_", "th_")
     keyed = docs.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX_ID)), "th_": F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF))})
-    stretches = keyed.select("d_", "th_", text).mapInArrow(lambda b: _stretched(b, length), "key long, hash long, d long, place long")
+    stretches = keyed.select("d_", "th_", text).mapInArrow(lambda b: _stretched(b, length), "key long, hash long, d long, place long, again boolean")
     by_key, equal = W.partitionBy("key"), W.partitionBy("key", "hash").orderBy("d", "place")
-    seen = stretches.withColumns({"again": (F.col("d") != F.first("d").over(equal)) | (F.col("place") != F.first("place").over(equal)), "lo": F.min("hash").over(by_key), "hi": F.max("hash").over(by_key)})
+    seen = stretches.withColumns({"again": F.col("again") | (F.col("d") != F.first("d").over(equal)) | (F.col("place") != F.first("place").over(equal)), "lo": F.min("hash").over(by_key), "hi": F.max("hash").over(by_key)})
     seen = seen.where("again OR lo <> hi").select("d", F.shiftright("place", 39).alias("th"), "place", F.when(~F.col("again"), F.col("key")).alias("key"))
     by_doc = cut(
         seen.groupBy("d", "th").agg(
@@ -294,3 +308,20 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document, digested."""
     docs = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS j FROM d WHERE n >= 100),
+w AS (SELECT doc_id, j, row_number() OVER (PARTITION BY md5_number(h[j + 1:j + 100]) ORDER BY doc_id, j) AS k FROM p),
+hit AS (SELECT doc_id, j, CASE WHEN j <= lag(j) OVER (PARTITION BY doc_id ORDER BY j) + 100 THEN 0 ELSE 1 END AS opens FROM w WHERE k > 1),
+grp AS (SELECT doc_id, j, sum(opens) OVER (PARTITION BY doc_id ORDER BY j) AS g FROM hit),
+run AS (SELECT doc_id, min(j) AS a, max(j) + 100 AS b FROM grp GROUP BY doc_id, g),
+gap AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM run
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN run USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT g.doc_id, sha256(unhex(string_agg(CASE WHEN e > s THEN hex(h[s + 1:e]) ELSE '' END, '' ORDER BY s))) AS kept_sha256 FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
