@@ -42,7 +42,7 @@ def check_model(model: bytes) -> None:
 class WordTable(dict):
     """The number of each distinct marked word, and its ids by that number; emptied when it holds ``most`` words."""
 
-    def __init__(self, model: bytes, most: int = 400_000):
+    def __init__(self, model: bytes, most: int = 100_000):
         self.sp, self.most = _processor(model), most
         self.lone = [self.sp.piece_to_id(MARK)]
         self.reset()
@@ -112,7 +112,7 @@ def _coded(batches: Iterator[pa.RecordBatch], model: bytes, at: int, names: tupl
             yield pa.RecordBatch.from_arrays([*batch.columns, listed, pieces.texts(ids, np.diff(ends))], [*batch.schema.names, *names])
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", rows_at_once: int = 500) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", rows_at_once: int = 100) -> DataFrame:
     """``docs`` with the ids of each whole text and the text that the ids decode to.
 
     One row per input row, all input columns kept (columns already named like ``ids`` or ``decoded`` are
