@@ -20,8 +20,14 @@ ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 SOCIAL = r"\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"\d(?:[ -]?\d){12,18}+(?![\d])"
+#: A run of at least 13 digits, up to where another find starts; cards are looked for among its groups.
+RUN = rf"\d(?: (?!{EMAIL}|{SECRET}|{DATE}|{ADDRESS}|{SOCIAL})\d|-(?!{SECRET}|{DATE}|{ADDRESS}|{SOCIAL})\d|\d){{12,}}+"
+#: How cards are grouped, where other numbers stand beside them.
+GROUPED = (r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}", r"\d{13,19}")
 #: A find starts where no word, number or address is under way; the first alternative that fits wins.
-FINDS = rf"(?<![\p{{L}}\p{{N}}._%+-]){EMAIL}|(?<![\w.])(?:{SECRET}|{DATE}|{ADDRESS}|{SOCIAL}|{CARD})|(?<![\w.+(]){PHONE}"
+FINDS = rf"(?<![\p{{L}}\p{{N}}._%+-]){EMAIL}|(?<![\w.])(?:{SECRET}|{DATE}|{ADDRESS}|{SOCIAL}|{RUN})|(?<![\w.+(]){PHONE}"
+#: What every text with a find fits.
+GUARD = "[0-9@]|[a-f]{32}|[A-F]{32}"
 KINDS = (("email", "@"), ("secret", rf"^(?:{SECRET})$"), ("date", rf"^(?:{DATE})$"), ("address", rf"^(?:{ADDRESS})$"), ("social", rf"^(?:{SOCIAL})$"), ("card", rf"^(?:{CARD})$"), ("phone", r"\d"))
 #: The Gregorian calendar repeats after so many days, 189 * 773; the dates permuted start on FIRST_DAY.
 CYCLE, FIRST_DAY = (189, 773), "1800-01-01"
@@ -125,6 +131,42 @@ def _hidden(value: Column, key: str, kind: str) -> Column:
     return F.substring(F.repeat(digest, F.ceil(n / 128).cast("int")), F.lit(1), n)
 
 
+def _checked(digits: Column) -> Column:
+    """Whether the last digit is the right check digit of the others, and not all are zero."""
+    return (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$")
+
+
+def card_pieces(run: Column) -> Column:
+    """The pieces of a run of digits, in order, as (card, value); put together they are the run.
+
+    A piece that is a card starts and ends with whole groups and has a right check digit. From the left, 13 to 19
+    digits however grouped come first, as far as the run goes, then the groupings of GROUPED.
+    """
+    let = lambda x, f: F.transform(F.array(x), f)[0]
+    groups = lambda x: F.length(F.regexp_replace(x, r"\d", "")) + 1
+    piece = lambda card, x: F.array(F.struct(F.lit(card).alias("card"), x.alias("value")))
+
+    def step(a: Column, i: Column, all_: Column) -> Column:
+        tail = F.regexp_replace(F.array_join(F.slice(all_, i, 20), ""), "^[ -]", "")
+        whole = lambda t: F.when(i >= a["whole"], F.regexp_extract(t, f"^{CARD}", 0)).otherwise("")
+        tried = lambda t: F.struct(whole(t).alias("whole"), F.array(whole(t), *[F.regexp_extract(t, rf"^{g}(?!\d)", 0) for g in GROUPED]).alias("all"))
+        first = lambda x: F.get(F.filter(x["all"], lambda v: (v != "") & _checked(_digits(v))), F.lit(0))
+
+        def went(x: Column) -> Column:
+            card, own = x["card"], F.element_at(all_, i)
+            return F.struct(
+                F.when(card.isNotNull(), i + groups(card)).otherwise(a["until"]).alias("until"),
+                F.when(x["whole"] != "", i + groups(x["whole"])).otherwise(a["whole"]).alias("whole"),
+                F.when(card.isNotNull(), F.concat(a["out"], piece(False, F.regexp_extract(own, "^[ -]?", 0)), piece(True, card))).otherwise(F.concat(a["out"], piece(False, own))).alias("out"),
+            )
+
+        tried_ = let(tail, tried)
+        return F.when(i < a["until"], a).otherwise(let(let(tried_, lambda x: F.struct(x["whole"].alias("whole"), first(x).alias("card"))), went))
+
+    start = F.struct(F.lit(0).alias("until"), F.lit(0).alias("whole"), F.array().cast("array<struct<card:boolean,value:string>>").alias("out"))
+    return let(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), lambda all_: F.aggregate(F.sequence(F.lit(1), F.size(all_)), start, lambda a, i: step(a, i, all_))["out"])
+
+
 def kind_of(value: Column) -> Column:
     """What a find is, or null if it does not stand its check and so stays as it is."""
     kind = F.lit(None).cast("string")
@@ -134,7 +176,7 @@ def kind_of(value: Column) -> Column:
     digits = _digits(value)
     return F.transform(
         F.array(kind),
-        lambda k: F.when(k == "card", F.when((luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"), k))
+        lambda k: F.when(k == "card", F.when(_checked(digits), k))
         .when(k == "date", F.when(_in_cycle(_day(value)), k))
         .when(k == "address", F.when(F.forall(octets, lambda o: o.cast("int") <= 255), k))
         .when(k == "social", F.when(~value.rlike("^(000|666|9)|-00-|-0000$"), k))
@@ -162,7 +204,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", finds: str = "finds") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and in ``finds`` the kind, value and pseudonym of each, in order.
 
-    Cards pass only with a right check digit, dates if the calendar has them (1800 to 2199), addresses if each
+    Cards pass only with a right check digit, also beside other numbers (an expiry, a security code), dates if the calendar has them (1800 to 2199), addresses if each
     part is at most 255, social security numbers without a void group, phone numbers with 7 to 15 digits; what
     fails its check stays as it is. E-mail names and hexadecimal secrets, which have no numeric format, become
     keyed digests of their length. A null text stays null and an empty one empty, without finds. One row per
@@ -170,15 +212,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", finds: str = "fi
     """
     docs = without(docs, finds)
     t = F.col(text)
-    found = F.when(t.rlike("[0-9]"), F.regexp_extract_all(t, F.lit(FINDS), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    known = F.transform(F.transform("found_", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value"))), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
-    written = F.array_join(F.zip_with(F.split(t, FINDS, -1), "known_", lambda gap, x: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(x["pseudonym"], F.lit("")))), "")
+    found = F.when(t.rlike(GUARD), F.regexp_extract_all(t, F.lit(FINDS), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    run = lambda v: v.rlike(r"^\d(?:[ -]?\d){12,}+$") & ~v.rlike(rf"^(?:{SECRET})$")
+    kinds = lambda v: F.when(run(v), F.transform(card_pieces(v), lambda p: F.struct(F.when(p["card"], "card").alias("kind"), p["value"].alias("value")))).otherwise(F.array(F.struct(kind_of(v).alias("kind"), v.alias("value"))))
+    known = F.transform(F.transform("found_", kinds), lambda pieces: F.transform(pieces, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))))
+    written = F.array_join(F.zip_with(F.split(t, FINDS, -1), "known_", lambda gap, x: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(F.array_join(x["pseudonym"], ""), F.lit("")))), "")
     rest = [c for c in docs.columns if c != text]
     docs = docs.select("*", F.coalesce(found, F.array().cast("array<string>")).alias("found_"))
     docs = docs.select("*", known.alias("known_"))
     columns = {c: F.col(c) for c in rest} | {text: F.when(F.size("known_") > 0, written).otherwise(t)}
     order = [c for c in docs.columns if c not in ("found_", "known_")]
-    return docs.select(*[columns[c].alias(c) for c in order], F.filter("known_", lambda x: x["kind"].isNotNull()).alias(finds))
+    return docs.select(*[columns[c].alias(c) for c in order], F.filter(F.flatten("known_"), lambda x: x["kind"].isNotNull()).alias(finds))
 
 
 #: For the query and the pipeline; whoever uses the operator brings a secret key.

@@ -251,6 +251,22 @@ def test_pseudonyms_bear_odd_rows(odd, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pseudonyms_of_cards_beside_numbers_and_of_texts_without_digits(spark):
+    card, amex, secret = "4111 1111 1111 1111", "3782 822463 10005", "deadbeef" * 4
+    runs = [f"{card} 12/27", f"{card} 123", f"12 {card}", f"27 {card} 123 5500-0000-0000-0004 99", f"{amex} 1234", f"{card} {amex}", "7 4111111111111111 09 30", f"{card} 2024-01-05", f"{card} 123-45-6789", f"{card} 10.1.2.3", f"{card} 12ann@example.com"]
+    texts = ["paid with " + r + " today" for r in runs] + ["write to ann.lee@example.com", "write to ann.lee@example.com 2 times", f"key {secret}", f"key {secret} 2"]
+    rows = [r for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    kinds = [[f.kind for f in r.finds] for r in rows]
+    assert kinds == [["card"]] * 3 + [["card"] * 2, ["card"], ["card"] * 2, ["card"], ["card", "date"], ["card", "social"], ["card", "address"], ["card", "email"]] + [["email"]] * 2 + [["secret"]] * 2
+    assert len({f.pseudonym.replace("-", " ") for r in rows for f in r.finds if f.value == card}) == 1
+    for r, t in zip(rows, texts, strict=True):
+        assert all(f.value not in r.text for f in r.finds)
+        for f in r.finds:
+            t = t.replace(f.value, f.pseudonym, 1)
+        assert t == r.text
+    assert rows[11].finds[0].pseudonym == rows[12].finds[0].pseudonym and rows[13].finds[0].pseudonym == rows[14].finds[0].pseudonym
+
+
 # ── 5: chats ──────────────────────────────────────────────────────
 
 
