@@ -18,9 +18,10 @@ from ravelin.llm.common import cut, table
 from ravelin.llm.sketch_join import BITMAP_BITS, bitmap_of
 from ravelin.llm.wordhash import WordHasher, mix
 
-#: The positions that each mask keeps.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 6, 8), (0, 2, 3, 5, 8), (0, 1, 4, 6, 7))
-#: Hits at most this many words apart form one run, and a run is verified with as many words on either side.
+#: The positions that each mask keeps. Of 10 to 21 words of which 8 and 70 per cent are equal, wherever those are, all
+#: places of a mask are equal somewhere (a test tries every pattern); what is longer has 11 to 21 such words in a row.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 1, 3, 7, 8), (0, 1, 2, 5, 6), (0, 2, 6, 8, 9), (0, 1, 2, 5, 7), (0, 1, 2, 3, 5))
+#: Hits at most this many words apart form one run, and a run is verified with as many words on either side: 21 words less 5.
 REACH = 16
 
 
@@ -98,12 +99,45 @@ def _runs(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "lead", "core", "words", "seeds", "places"])
 
 
-def best_stretch(same: np.ndarray, percent: int) -> tuple[int, int]:
-    """Start and end of the stretch of ``same`` (booleans) that holds most beyond ``percent`` per cent of true ones."""
+def longest_stretch(same: np.ndarray, least: int, equal: int, percent: int) -> tuple[int, int] | None:
+    """Start and end of the longest stretch of ``same`` (booleans) within the thresholds, between two true ones.
+
+    Where only false ones beside it make up ``least``, as many of them are taken in. None if there is no stretch.
+    """
+    if len(same) < least or np.count_nonzero(same) < equal:
+        return None
+    at = np.flatnonzero(same)
     sums = np.concatenate([[0], np.cumsum(np.where(same, 100 - percent, -percent))])
-    low = np.minimum.accumulate(sums)
-    end = int((sums - low).argmax())
-    return int(sums[: end + 1].argmin()), end
+    starts, ends = sums[at], sums[at + 1]
+    best = np.maximum.accumulate(ends[::-1])[::-1]  # from this true one on
+    last = np.searchsorted(-best, -starts, side="right") - 1
+    length = np.where(last >= np.arange(len(at)), at[np.maximum(last, 0)] + 1 - at, 0)
+    k = int(length.argmax())
+    if length[k] >= max(least, -(-100 * equal // max(percent, 1))):  # so long that the equal ones are enough
+        return int(at[k]), int(at[k] + length[k])
+    n = np.arange(len(at))
+    for size in range(min(len(same), max(least, -(-100 * equal // max(percent, 1)))), 0, -1):
+        to = np.searchsorted(at, at + size - 1)
+        held = np.where((to < len(at)) & (at[np.minimum(to, len(at) - 1)] == at + size - 1), to - n + 1, 0)
+        k = int(held.argmax())
+        if held[k] >= max(equal, 1) and 100 * held[k] >= percent * max(size, least):
+            x = int(at[k])
+            x = max(0, min(x - (max(size, least) - size) // 2, len(same) - max(size, least)))
+            return x, x + max(size, least)
+    return None
+
+
+def stretches(same: np.ndarray, least: int, equal: int, percent: int) -> list[tuple[int, int]]:
+    """The longest stretch within the thresholds, then those on either side of it, and so on."""
+    out, left = [], [(0, len(same))]
+    while left:
+        lo, hi = left.pop()
+        found = longest_stretch(same[lo:hi], least, equal, percent)
+        if found:
+            x, y = lo + found[0], lo + found[1]
+            out.append((x, y))
+            left += [(lo, x), (y, hi)]
+    return out
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], least: int, equal: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -117,10 +151,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch], least: int, equal: int, percent
             if hi <= lo:
                 continue
             same = a[lo:hi] == b[lo + shift : hi + shift]
-            x, y = best_stretch(same, percent)
-            n = int(same[x:y].sum())
-            if y - x >= least and n >= equal:
-                out.append((doc, item, start + lo + x, y - x, n))
+            out += [(doc, item, start + lo + x, y - x, int(same[x:y].sum())) for x, y in stretches(same, least, equal, percent)]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "start", "n_words", "n_equal"])
 
@@ -128,8 +159,10 @@ def _overlaps(batches: Iterator[pa.RecordBatch], least: int, equal: int, percent
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: int = 10, equal: int = 8, percent: int = 70) -> DataFrame:
     """doc_id, item_id, start (in words), n_words and n_equal of each verified overlap of a document with an item.
 
-    Words are compared with A-Z lower-cased. An overlap is the best stretch on one diagonal around a hit: at
-    least ``least`` words, ``equal`` of them and ``percent`` per cent equal at their place. No rows for null,
+    Words are compared with A-Z lower-cased. Overlaps are stretches on one diagonal around a hit, the longest first
+    and then those beside it: at least ``least`` words, ``equal`` of them and ``percent`` per cent equal at their
+    place. With the defaults or stricter thresholds no text that has such a stretch is missed; with lower ones only
+    what holds a mask is found. A stretch is reported up to REACH words beyond the hits of its run. No rows for null,
     empty or short texts on either side; an item with fewer words than a mask has no seed of that mask. Null ids
     are reported as such, repeated rows once; other columns are not read.
 

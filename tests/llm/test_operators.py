@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -116,6 +117,45 @@ def test_overlaps_survive_substitutions_and_spare_clean_texts(spark):
         assert r.n_words >= 10 and len(run) == r.n_words
 
 
+def test_masks_hold_in_every_pattern_within_the_thresholds():
+    for length in range(10, 22):
+        changed = length - max(8, -(-70 * length // 100))
+        patterns = (1 << length) - 1 - np.array([sum(1 << k for k in c) for c in itertools.combinations(range(length), changed)], np.int64)
+        held = np.zeros(len(patterns), bool)
+        for mask in decontaminate.MASKS:
+            own = sum(1 << k for k in mask)
+            for at in range(length - mask[-1]):
+                held |= patterns & (own << at) == own << at
+        assert held.all()
+
+
+def brute_stretch(same, least, equal, percent):
+    sizes = [(y - x, x) for x in range(len(same)) for y in range(x + least, len(same) + 1) if sum(same[x:y]) >= equal and 100 * sum(same[x:y]) >= percent * (y - x)]
+    ends = [n for n, x in sizes if same[x] and same[x + n - 1]]
+    return max(ends, default=least) if sizes else None
+
+
+def test_stretches_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(3000):
+        same = np.array([rng.random() < rng.choice((0.5, 0.7, 0.8)) for _ in range(rng.randrange(30))], bool)
+        for limits in ((10, 8, 70), (5, 5, 70), (12, 3, 40)):
+            found = decontaminate.longest_stretch(same, *limits)
+            assert (found and found[1] - found[0]) == brute_stretch(same.tolist(), *limits)
+            for x, y in decontaminate.stretches(same, *limits):
+                assert y - x >= limits[0] and same[x:y].sum() >= limits[1] and 100 * same[x:y].sum() >= limits[2] * (y - x)
+
+
+def test_overlaps_within_the_thresholds_are_found(spark):
+    changed = {0: (40, range(3, 40, 4)), 1: (15, (2, 12)), 2: (12, (9,)), 3: (20, (9, 10, 11, 14, 18)), 4: (14, range(1, 14, 4)), 5: (11, (2, 5, 8)), 6: (60, (*range(9, 40), 43, 47))}
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, (n, _) in changed.items()]
+    docs = [(k, " ".join([*(f"d{j}" for j in range(30)), *(f"x{j}" if j in places else f"i{k}w{j}" for j in range(n)), *(f"e{j}" for j in range(30))])) for k, (n, places) in changed.items()]
+    found = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in changed}
+    assert {(r.start, r.n_words, r.n_equal) for r in found if r.doc_id in (1, 2)} == {(30, 15, 13), (30, 12, 11)}
+    assert {(r.start, r.n_words) for r in found if r.doc_id == 6} >= {(70, 20)}
+
+
 def test_overlaps_on_documents(spark, real):
     items = spark.read.parquet(f"{D}/benchmark.parquet")
     whole = {(d.doc_id, i.item_id) for d in real.collect() for i in items.collect() if i.text in d.text}
