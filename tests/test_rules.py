@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import scalars as S
 from ravelin.functions import signals as G
 from ravelin.operators import checks, findings, lifecycle, resolve, snapshots, views
+from ravelin.queries import QUERIES
 
 BASE = {"wl_id": 1, "severity": "low", "epss_percentile": None, "kev_listed": False, "fixed_version": "1.2", "env": "prod", "is_exposed": False, "escalation": False, "sensitive": False}
 SCHEMA = "wl_id long, severity string, epss_percentile double, kev_listed boolean, fixed_version string, env string, is_exposed boolean, escalation boolean, sensitive boolean"
@@ -153,6 +154,28 @@ def test_owner_chains(spark):
     assert {(r.target, r.wl_id) for r in ok.collect()} == {("pod", 7), ("dep", 7)} and [r.target for r in rejected.collect()] == ["gone"]
 
 
+def test_owner_chains_of_any_length(spark):
+    """One of 41 hops beside circles of 1 and 3 nodes, one with a tail, and a chain to nowhere."""
+    edges = [(f"n{k}", f"n{k + 1}") for k in range(41)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("tail", "c0"), ("self", "self"), ("m0", "m1"), ("m1", "m2")]
+    known = spark.createDataFrame([("n41",)], "node string")
+    found = resolve.owners(spark.createDataFrame(edges, "child string, parent string"), known)
+    assert {(r.node, r.owner, r.hops) for r in found.collect()} == {(f"n{k}", "n41", 41 - k) for k in range(41)} and found.count() == 41
+
+
+def test_alias_chain_beyond_six_hops(spark, tmp_path):
+    keys = [5, 9, 10, 40_959, 40_960, 700_000, 3_000_000_000]
+    every = {k // 4**j for k in keys for j in range(17)} - {0}
+    spark.createDataFrame([(k,) for k in every], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    expected = set()
+    for k in every:
+        owner, hops = k, 0
+        while owner > 9:
+            owner, hops = owner // 4, hops + 1
+        if hops:
+            expected.add((k, owner, hops))
+    assert {(r.node, r.owner, r.hops) for r in QUERIES["alias_chain"](spark, str(tmp_path)).collect()} == expected
+
+
 def test_details_and_series(spark):
     extra = views.detail_extras(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), ("a",))
     assert one(spark, extra) == {"b": "2"}
