@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,14 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is absent."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    On a single machine without that setting it is a temporary one; a cluster without it is an error, since no
+    folder of one host can be read by the others.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:  # tests, a single machine
+    if shared is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"{master} needs a shared folder in spark.checkpoint.dir")
         shared = tempfile.mkdtemp(prefix="ravelin-checkpoints-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate data that nothing reads any more, through Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder, which ends its lineage and survives lost executors."""
     shared = shared_folder(df.sparkSession)
@@ -42,11 +61,22 @@ def extended(df: DataFrame, **fields: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in fields.items())])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` documents that ``labels`` covers, chosen by a hash of the id, with a 0/1 column ``target_``.
+def slices(batch: pa.RecordBatch, at: int, most: int = 4 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``most`` bytes of text in column ``at``, and ``rows`` rows; a longer text is alone."""
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + most, side="right")) - 1), lo + rows, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: int, text: str = "text") -> DataFrame:
+    """The documents of at most ``max_rows`` ids that ``labels`` covers, chosen by a hash of the id, with a 0/1 column ``target_``.
 
     Labels with a null id or value are left out; several labels of one id count as their mean, and a mean of
-    exactly one half as no label. The chosen ids are bounded by ``max_rows``, hence the broadcast.
+    exactly one half as no label. The chosen ids are bounded by ``max_rows``, hence the broadcast; their rows are not,
+    where ids repeat: ``bounded`` ends that once their features are known. ``row_`` is a hash of id and text.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("double").alias("t"))
@@ -58,4 +88,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: i
         .limit(max_rows)
         .select("doc_id", (F.col("t") > 0.5).cast("double").alias("target_"))
     )
-    return without(docs, "target_").join(F.broadcast(chosen), "doc_id")
+    return without(docs, "target_", "row_").join(F.broadcast(chosen), "doc_id").withColumn("row_", F.xxhash64("doc_id", text))
+
+
+def bounded(rows: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` rows, those with the least ``row_``, of which each counts once."""
+    return rows.dropDuplicates(["row_"]).orderBy("row_").limit(max_rows)

@@ -1,25 +1,34 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
 Validated numbers and dates go through a keyed Feistel network over their own format: a card number stays a
-card number with a right check digit, an address an address, a date a date. The permutation depends on the key
-and the format alone, so equal values stay linked across documents.
+card number with a right check digit, an address an address, a date a date, a social security number one
+without a void group, a phone number one of its country. The permutation depends on the key and the value
+alone, not on blanks, dashes or brackets, so equal values stay linked across documents.
 """
 
 from __future__ import annotations
 
+import os
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import table, without
 
 ROUNDS = 8
-EMAIL = r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+#: A host has at most 127 labels of 63 characters, which also bounds how deep the matcher goes.
+EMAIL = r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,24}"
 SECRET = r"[0-9a-f]{32,64}+(?![0-9A-Za-z])|[0-9A-F]{32,64}+(?![0-9A-Za-z])"
 DATE = r"\d{4}-\d{2}-\d{2}(?![\w-])|\d{1,2}[./]\d{1,2}[./]\d{4}(?!\w|[./]\d)"
 ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 SOCIAL = r"\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"\d(?:[ -]?\d){12,18}+(?![\d])"
+#: Where a phone number ends although digits follow: a card, a date or the like starts.
+OTHER = rf"\d{{4}}(?:[ -]\d{{4}}){{3}}(?!\d)|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}(?!\d)|\d{{13,19}}(?!\d)|{SECRET}|{DATE}|{ADDRESS}|{SOCIAL}"
+#: At most 15 digits: what ends in 16 digits with up to two marks between them is tried with fewer groups.
+SIXTEEN = r"\d" + r"[ .()-]{0,2}\d" * 15
+PHONE = rf"\+\d{{1,3}}(?:[ .-](?!{OTHER}))?(?:\(\d{{2,4}}\)|\d{{2,4}})(?:(?:[ .-](?!{OTHER}))?\d{{2,4}}){{2,4}}(?!\d)(?<!{SIXTEEN})|\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)"
 #: A run of at least 13 digits, up to where another find starts; cards are looked for among its groups.
 RUN = rf"\d(?: (?!{EMAIL}|{SECRET}|{DATE}|{ADDRESS}|{SOCIAL})\d|-(?!{SECRET}|{DATE}|{ADDRESS}|{SOCIAL})\d|\d){{12,}}+"
 #: How cards are grouped, where other numbers stand beside them.
@@ -31,6 +40,10 @@ GUARD = "[0-9@]|[a-f]{32}|[A-F]{32}"
 KINDS = (("email", "@"), ("secret", rf"^(?:{SECRET})$"), ("date", rf"^(?:{DATE})$"), ("address", rf"^(?:{ADDRESS})$"), ("social", rf"^(?:{SOCIAL})$"), ("card", rf"^(?:{CARD})$"), ("phone", r"\d"))
 #: The Gregorian calendar repeats after so many days, 189 * 773; the dates permuted start on FIRST_DAY.
 CYCLE, FIRST_DAY = (189, 773), "1800-01-01"
+#: Social security numbers: 898 areas of 99 groups, and 9,999 serials.
+SOCIAL_SIZES = (898 * 99, 9999)
+#: Calling codes of one and two digits; all others have three.
+CODES = "1|7|20|27|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: Digital roots of doubled digits, for the check digit of card numbers.
 DOUBLED = "0246813579"
 
@@ -98,19 +111,28 @@ def _address(value: Column, key: str) -> Column:
 
 
 def _day(value: Column) -> Column:
-    """The day that a date names; null if there is no such day. Day and month stand in that order unless the year leads."""
+    """The day that a date names; null if there is no such day. Without a leading year the day comes first, or else the month."""
     iso = F.try_to_date(F.when(value.rlike(r"^\d{4}-"), value), "yyyy-MM-dd")
     parts = F.split(value, "[./]")
-    return F.coalesce(iso, F.try_to_date(F.when(F.size(parts) == 3, F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0"))), "yyyy-MM-dd"))
+    read = lambda m, d: F.try_to_date(F.when(F.size(parts) == 3, F.concat_ws("-", parts[2], F.lpad(F.get(parts, F.lit(m)), 2, "0"), F.lpad(F.get(parts, F.lit(d)), 2, "0"))), "yyyy-MM-dd")
+    return F.coalesce(iso, read(1, 0), read(0, 1))
 
 
 def _date(value: Column, key: str) -> Column:
+    """Another day, written in the same order, with the same marks, and with leading zeros unless the date does without."""
     at = F.datediff(_day(value), F.lit(FIRST_DAY).cast("date")).cast("long")
     a, b = CYCLE
     pair = feistel((at / b).cast("long"), at % b, (F.lit(a), F.lit(b)), key, "date")
     new = F.transform(F.array(pair), lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * b + p["r"]).cast("int")))[0]
     mark = F.regexp_extract(value, "[./-]", 0)
-    return F.transform(F.array(new), lambda d: F.when(mark == "-", F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy"))))[0]
+    bare = value.rlike(r"^\d[./]|[./]\d[./]")
+    month_first = F.get(F.split(value, "[./-]"), F.lit(1)).cast("int") > 12
+
+    def written(d: Column) -> Column:
+        day, month = (F.when(bare, F.date_format(d, one)).otherwise(F.date_format(d, two)) for one, two in (("d", "dd"), ("M", "MM")))
+        return F.when(mark == "-", F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.when(month_first, month).otherwise(day), mark, F.when(month_first, day).otherwise(month), mark, F.date_format(d, "yyyy")))
+
+    return F.transform(F.array(new), written)[0]
 
 
 def _in_cycle(day: Column) -> Column:
@@ -119,9 +141,25 @@ def _in_cycle(day: Column) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?!\d)", 0)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    return F.concat(code, _put_back(rest, permuted_digits(_digits(rest), key, "phone")))
+    """The calling code stays; the other digits are permuted, wherever blanks and brackets stand."""
+    digits = _digits(value)
+    code = F.when(value.startswith("+"), F.regexp_extract(digits, rf"^(?:{CODES}|\d{{3}})", 0)).otherwise("")
+    full = F.transform(F.array(code), lambda c: F.concat(c, permuted_digits(F.substring(digits, F.length(c) + 1, F.length(digits)), key, "phone")))[0]
+    return _put_back(value, full)
+
+
+def _social(value: Column, key: str) -> Column:
+    """A permutation of the valid numbers: 666 is no area and is left out when areas are counted."""
+    area, group, serial = (F.substring(value, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    area = area - F.when(area < 666, 1).otherwise(2)
+    pair = feistel(area * 99 + group - 1, serial - 1, tuple(F.lit(x) for x in SOCIAL_SIZES), key, "social")
+
+    def written(p: Column) -> Column:
+        at = (p["l"] / 99).cast("long")
+        area = at + F.when(at < 665, 1).otherwise(2)
+        return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((p["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["r"] + 1).cast("string"), 4, "0"))
+
+    return F.transform(F.array(pair), written)[0]
 
 
 def _hidden(value: Column, key: str, kind: str) -> Column:
@@ -140,11 +178,12 @@ def card_pieces(run: Column) -> Column:
     """The pieces of a run of digits, in order, as (card, value); put together they are the run.
 
     A piece that is a card starts and ends with whole groups and has a right check digit. From the left, 13 to 19
-    digits however grouped come first, as far as the run goes, then the groupings of GROUPED.
+    digits however grouped come first, as far as the run goes, then the groupings of GROUPED. Groups that are no
+    card cost a look each; only cards add to what is carried along.
     """
     let = lambda x, f: F.transform(F.array(x), f)[0]
     groups = lambda x: F.length(F.regexp_replace(x, r"\d", "")) + 1
-    piece = lambda card, x: F.array(F.struct(F.lit(card).alias("card"), x.alias("value")))
+    piece = lambda card, x: F.struct(F.lit(card).alias("card"), x.alias("value"))
 
     def step(a: Column, i: Column, all_: Column) -> Column:
         tail = F.regexp_replace(F.array_join(F.slice(all_, i, 20), ""), "^[ -]", "")
@@ -153,18 +192,28 @@ def card_pieces(run: Column) -> Column:
         first = lambda x: F.get(F.filter(x["all"], lambda v: (v != "") & _checked(_digits(v))), F.lit(0))
 
         def went(x: Column) -> Column:
-            card, own = x["card"], F.element_at(all_, i)
+            card = x["card"]
             return F.struct(
                 F.when(card.isNotNull(), i + groups(card)).otherwise(a["until"]).alias("until"),
                 F.when(x["whole"] != "", i + groups(x["whole"])).otherwise(a["whole"]).alias("whole"),
-                F.when(card.isNotNull(), F.concat(a["out"], piece(False, F.regexp_extract(own, "^[ -]?", 0)), piece(True, card))).otherwise(F.concat(a["out"], piece(False, own))).alias("out"),
+                F.when(card.isNotNull(), F.concat(a["out"], F.array(F.struct(i.alias("at"), (i + groups(card)).alias("end"), card.alias("value"))))).otherwise(a["out"]).alias("out"),
             )
 
         tried_ = let(tail, tried)
         return F.when(i < a["until"], a).otherwise(let(let(tried_, lambda x: F.struct(x["whole"].alias("whole"), first(x).alias("card"))), went))
 
-    start = F.struct(F.lit(0).alias("until"), F.lit(0).alias("whole"), F.array().cast("array<struct<card:boolean,value:string>>").alias("out"))
-    return let(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), lambda all_: F.aggregate(F.sequence(F.lit(1), F.size(all_)), start, lambda a, i: step(a, i, all_))["out"])
+    start = F.struct(F.lit(0).alias("until"), F.lit(0).alias("whole"), F.array().cast("array<struct<at:int,end:int,value:string>>").alias("out"))
+
+    def split(all_: Column, cards: Column) -> Column:
+        n = F.size(all_)
+        between = lambda lo, hi: F.array_join(F.slice(all_, lo, F.greatest(hi - lo, F.lit(0))), "")
+        since = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.get(cards, k - 1)["end"])
+        led = lambda c, k: F.concat(between(since(k), c["at"]), F.regexp_extract(F.element_at(all_, c["at"]), "^[ -]?", 0))
+        each = F.flatten(F.transform(cards, lambda c, k: F.array(piece(False, led(c, k)), piece(True, c["value"]))))
+        return F.filter(F.concat(each, F.array(piece(False, between(since(F.size(cards)), n + 1)))), lambda p: p["value"] != "")
+
+    folded = lambda all_: F.aggregate(F.sequence(F.lit(1), F.size(all_)), start, lambda a, i: step(a, i, all_))["out"]
+    return let(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), lambda all_: let(folded(all_), lambda cards: split(all_, cards)))
 
 
 def kind_of(value: Column) -> Column:
@@ -194,7 +243,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "secret", secret)
         .when(kind == "date", _date(value, key))
         .when(kind == "address", _address(value, key))
-        .when(kind == "social", _put_back(value, permuted_digits(_digits(value), key, "social")))
+        .when(kind == "social", _social(value, key))
         .when(kind == "card", _card(value, key))
         .when(kind == "phone", _phone(value, key))
         .otherwise(value)
@@ -204,12 +253,20 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", finds: str = "finds") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and in ``finds`` the kind, value and pseudonym of each, in order.
 
-    Cards pass only with a right check digit, also beside other numbers (an expiry, a security code), dates if the calendar has them (1800 to 2199), addresses if each
-    part is at most 255, social security numbers without a void group, phone numbers with 7 to 15 digits; what
-    fails its check stays as it is. E-mail names and hexadecimal secrets, which have no numeric format, become
-    keyed digests of their length. A null text stays null and an empty one empty, without finds. One row per
-    input row, in place; other columns are kept, one named like ``finds`` is replaced. No shuffle.
+    What fails its check stays as it is. Cards pass with a right check digit, also beside other numbers (an expiry,
+    a security code). Dates pass if the calendar has them, from 1800 to 2199: yyyy-mm-dd, or day, month and year
+    with points or strokes, read month first only where the other order gives no date. One day has one pseudonym
+    day, written as the date was. Addresses pass if each part is at most 255, social security numbers without a
+    void group, phone numbers with 7 to 15 digits; one number has one pseudonym however it is grouped, and keeps
+    its calling code. E-mail names and hexadecimal secrets, which have no numeric format, become keyed digests of
+    their length; of a host, the first 127 labels are looked at.
+
+    A null text stays null and an empty one empty, without finds. One row per input row, in place, so ties, repeated
+    rows and null ids need no rule; other columns are kept, one named like ``finds`` is replaced. No shuffle. An empty
+    key is refused: who has the key can undo the permutations.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     docs = without(docs, finds)
     t = F.col(text)
     found = F.when(t.rlike(GUARD), F.regexp_extract_all(t, F.lit(FINDS), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -225,13 +282,25 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", finds: str = "fi
     return docs.select(*[columns[c].alias(c) for c in order], F.filter(F.flatten("known_"), lambda x: x["kind"].isNotNull()).alias(finds))
 
 
-#: For the query and the pipeline; whoever uses the operator brings a secret key.
-DEMO_KEY = "ravelin-demonstration-key"
+#: The setting that holds the key; Spark redacts names with "secret" in its listings.
+KEY_SETTING = "spark.ravelin.pseudonym.secret"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of this application: from the setting or RAVELIN_PSEUDONYM_SECRET, else drawn once at random.
+
+    A drawn key is nowhere stored, so pseudonyms are linked within the application and nobody can undo them.
+    """
+    key = spark.conf.get(KEY_SETTING, None) or os.environ.get("RAVELIN_PSEUDONYM_SECRET")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in its text, and how many of each group it has."""
-    docs = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    docs = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     some = lambda *kinds: F.size(F.filter("finds", lambda x: x["kind"].isin(*kinds))).cast("long")
     return docs.select(
         "doc_id",
@@ -239,4 +308,5 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
         some("card", "social", "phone", "address").alias("n_numbers"),
         some("date").alias("n_dates"),
         some("email", "secret").alias("n_hidden"),
+        F.size("finds").cast("long").alias("n_finds"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import extended, labelled_sample, table, without
+from ravelin.llm.common import bounded, extended, labelled_sample, slices, table, without
 
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -71,7 +71,7 @@ def measures(text: str | None) -> tuple[list[int], list[float]]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch], at: int, score=None, names: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, at)):
         both = [measures(t) for t in batch.column(at).to_pylist()]
         counts = np.array([x[0] for x in both], np.int64).reshape(-1, len(COUNTS))
         features = np.array([x[1] for x in both], np.float64).reshape(-1, len(FEATURES))
@@ -164,11 +164,16 @@ def fit_forest(x: np.ndarray, y: np.ndarray, falling: tuple[int, ...] = (), tree
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = 8000, text: str = "text", threshold: float = 0.5) -> Forest | None:
-    """A forest fitted on at most ``max_rows`` labelled documents; None where no or only one class is labelled."""
-    own = labelled_sample(docs.select("doc_id", text), labels, target, max_rows)
+    """A forest fitted on at most ``max_rows`` labelled documents; None where no or only one class is labelled.
+
+    Null and empty texts are rows like others. Rows with equal id and text count once, those that repeat an id with
+    other texts each; which ones are taken, and so the fit, depends on ids and texts alone.
+    """
+    own = labelled_sample(docs.select("doc_id", text), labels, target, max_rows, text)
     names = [f"f_{n}" for n in FEATURES]
     at = own.columns.index(text)
-    rows = own.mapInArrow(lambda b: _measured(b, at, None, names), extended(own, **{n: T.DoubleType() for n in names})).select("target_", "doc_id", *names).orderBy("doc_id").toPandas()
+    measured = own.mapInArrow(lambda b: _measured(b, at, None, names), extended(own, **{n: T.DoubleType() for n in names}))
+    rows = bounded(measured.select("target_", "row_", *names), max_rows).toPandas()
     y = rows["target_"].to_numpy()
     if len(set(y)) < 2:
         return None

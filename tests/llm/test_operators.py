@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ravelin.llm import chat_format, co_training, decontaminate, language_id, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
 from ravelin.llm.components import components
 from ravelin.llm.wordhash import WordHasher
-from tests.llm import cases
+from tests.llm import cases, plain_pseudonyms
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 D = "/root/testdata/sf0.001"
@@ -307,6 +307,45 @@ def test_pseudonyms_of_cards_beside_numbers_and_of_texts_without_digits(spark):
     assert rows[11].finds[0].pseudonym == rows[12].finds[0].pseudonym and rows[13].finds[0].pseudonym == rows[14].finds[0].pseudonym
 
 
+def test_pseudonyms_match_a_plain_version(spark, real):
+    hard = ["call +49 30 1234567 or +49301234567, +1 555 123 4567 4111 1111 1111 1111", "on 1/2/2020, 5/25/2020, 25.12.1999, 31/02/2020, 2020-05-25, 12.1.1799", "899-99-9999 666-01-0001 001-01-0001", "+44 20 7946 0958 2024-01-05", "1 2 3 4111111111111111 5 6 7 8 9 10 11 12 13 14", "+1 555 123 4567 2020 2021 2022", "(017) 555-7713 +1 (017) 555-7713", "DEADBEEF" * 4 + " é@x.de a@b.c", "", None]
+    docs = real.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(hard, 10**6)), "doc_id long, text string"))
+    spark.conf.set(pseudonyms.KEY_SETTING, "a key")
+    found = pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark)).collect()
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for r in found:
+        text, finds = plain_pseudonyms.replaced(before[r.doc_id] or "", "a key")
+        assert (r.text or "", [tuple(f) for f in r.finds]) == (text, finds), r.doc_id
+    query = {r.doc_id: r for r in pseudonyms.op4_pseudonyms(spark, D).collect()}
+    for r in found:
+        if r.doc_id in query:
+            kinds = collections.Counter(f.kind for f in r.finds)
+            q = query[r.doc_id]
+            assert (q.text, q.n_dates, q.n_hidden, q.n_finds) == (r.text, kinds["date"], kinds["email"] + kinds["secret"], len(r.finds))
+
+
+def test_pseudonyms_stay_valid_and_linked(spark):
+    social = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws("-", F.lpad((F.col("id") % 665 + 1).cast("string"), 3, "0"), F.lpad((F.col("id") % 99 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") * 3 + 1).cast("string"), 4, "0")).alias("text"))
+    once = pseudonyms.pseudonymise(social, "key")
+    assert once.select("text").distinct().count() == 3000
+    assert pseudonyms.pseudonymise(once.select("doc_id", "text"), "key").where("size(finds) = 1").count() == 3000
+    phones = ["+49 30 1234567", "+49301234567", "+49 (30) 123-4567", "+1 (017) 555-7713", "(017) 555-7713"]
+    dates = ["5/25/2020", "25/5/2020", "2020-05-25", "25.05.2020"]
+    rows = [r.finds[0].pseudonym for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(phones + dates)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    bare = [plain_pseudonyms.digits_of(x) for x in rows]
+    assert bare[0] == bare[1] == bare[2] and bare[0].startswith("49") and bare[3] == "1" + bare[4]
+    days = [plain_pseudonyms.read_date(x) for x in rows[6:]]
+    assert days[0] == days[1] and rows[5].split("/") == [str(days[0].month), str(days[0].day), str(days[0].year)]
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(social, "")
+
+
+def test_pseudonyms_of_very_long_texts(spark):
+    texts = ["1 a@b" + ".c" * 100_000, "mail a@b" + ".com" * 100_000, "9" * 300_000, "1-" * 100_000, "a@" * 50_000, "+12 " * 50_000, "7 " * 20_000]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    assert [len(r.text) for r in rows] == [len(t) for t in texts] and [f.kind for f in rows[1].finds] == ["email"]
+
+
 # ── 5: chats ──────────────────────────────────────────────────────
 
 

@@ -3,6 +3,7 @@
 import corpus_pipeline as P
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ravelin.llm import chat_format, decontaminate, pseudonyms, quality_trees
@@ -29,7 +30,7 @@ def test_stages(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - dirty
 
     hidden = P.private_data(spark, clean, D).cache()
-    finds = {r.doc_id: r.finds for r in pseudonyms.pseudonymise(clean, pseudonyms.DEMO_KEY).collect()}
+    finds = {r.doc_id: r.finds for r in pseudonyms.pseudonymise(clean, pseudonyms.session_key(spark)).collect()}
     for r in hidden.collect():
         assert all(f.value not in r.text for f in finds[r.doc_id] if f.kind in ("card", "email", "secret"))
     assert hidden.columns == list(P.COLUMNS) and hidden.count() == clean.count()
@@ -40,14 +41,38 @@ def test_stages(spark):
     assert ran == {(r.doc_id, r.text, tuple(r.ids)) for r in coded.collect()}
 
 
-@pytest.mark.parametrize("stage", [f for _, f in P.STAGES[1:]])
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES])
 def test_stages_bear_odd_rows(spark, stage):
     rows = spark.createDataFrame(cases.odd_rows(), cases.SCHEMA)
     out = stage(spark, cases.crowded(rows), D)
-    assert {r.doc_id for r in out.collect()} >= {None, 1, 2, 3, 4}
+    if stage is P.quality:
+        assert {r.doc_id for r in out.collect()} <= {6, 7, 8}
+    else:
+        assert {r.doc_id for r in out.collect()} >= {None, 1, 2, 3, 4}
     assert stage(spark, rows.limit(0), D).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    item = spark.read.parquet(f"{D}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    row = lambda i, t, source="s": (i, t, "en", source, len(t))
+    rows = [row(1, a), row(2, a), row(2, b), row(3, c), row(3, c, "t"), row(None, a + " more"), row(None, item), row(5, "clean " + b[::-1]), row(5, item + " tail"), row(6, ""), row(6, "")]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    kept = sorted((r.doc_id or 0, r.text) for r in P.near_duplicates(spark, docs, D).collect())
+    assert kept == sorted([(1, a), (2, b), (3, c), (5, rows[7][1]), (5, item + " tail"), (6, ""), (6, "")])
+    clean = sorted((r.doc_id or 0, r.text) for r in P.benchmark(spark, docs, D).collect())
+    assert clean == sorted((r[0] or 0, r[1]) for r in rows if item not in r[1])
+
+
+def test_a_sample_of_labelled_rows_is_bounded(spark):
+    from ravelin.llm.common import bounded, labelled_sample
+
+    docs = spark.range(6000).select(F.when(F.col("id") < 5000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3000).alias("text"))
+    labels = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    assert bounded(labelled_sample(docs, labels, "quality", 1000), 10).count() == 10
+    assert bounded(labelled_sample(docs, labels.where("doc_id = 7"), "quality", 10), 4000).count() == 3000
+
+
 def test_chat_query_matches_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{D}/conversations.parquet'")
