@@ -1,28 +1,29 @@
 """Language identification, words first.
 
 A known word counts with its log frequency in each language. An unseen word falls back to its longest character
-n-grams that are known, from ``longest`` characters down to one.
+n-grams that are known, from ``longest`` characters down to one. A word is a letter and the letters and combining
+marks after it, as Unicode has them; digits, numeric symbols and all else part words.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from ravelin.llm.common import cut, extended, table, without
+from ravelin.llm.common import extended, slices, table, without
 
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def _counted(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
@@ -106,32 +107,34 @@ class Scorer(dict):
         return [self.model.languages[k] if m else UNKNOWN for k, m in zip(best, n, strict=True)], share
 
 
-def train(docs: DataFrame, label: str = "lang", text: str = "text", longest: int = 4, max_rows: int = 2000, known_words: int = 20_000, known_grams: int = 20_000) -> Model | None:
-    """Learn from at most ``max_rows`` labelled rows, chosen by a hash of doc_id and text.
+def train(docs: DataFrame, label: str = "lang", text: str = "text", longest: int = 4, max_rows: int = 4000) -> Model | None:
+    """Learn from at most ``max_rows`` labelled rows, as many of each language, chosen by a hash of doc_id and text.
 
-    The model keeps the ``known_words`` most frequent words and ``known_grams`` n-grams of each size, which bounds
-    what is sent to the tasks; other words are scored by their n-grams. None where nothing is labelled.
+    A language has at most 1,000 of them; with more than ``max_rows`` languages some have none. Rows that repeat id,
+    text and label count once; null labels and texts are left out. All words and n-grams of the chosen rows are kept.
+    None where nothing is labelled.
     """
     own = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64("doc_id", text).alias("h"), text, F.col(label).cast("string").alias("language"))
-    chosen = own.select("h", "language").orderBy("h", "language").limit(max_rows).distinct()
-    own = own.join(F.broadcast(chosen), ["h", "language"]).select(text, "language")
-    grams = own.mapInArrow(lambda b: _counted(b, longest), "language string, size int, gram string, n long").groupBy("size", "gram", "language").agg(F.sum("n").alias("n"))
-    per = cut(grams.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("of")))
-    best = [per.where(F.col("size") == s).orderBy(F.desc("total"), "gram").limit(known_grams if s else known_words).toPandas() for s in range(longest + 1)]
-    kept = pd.concat(best, ignore_index=True)
-    if kept.empty:
+    rows = own.select("h", "language").distinct()
+    n = rows.select("language").distinct().count()
+    if not n:
         return None
-    languages = sorted({x for of in kept["of"] for x in of})
-    counts = np.array([[of.get(x, 0) for x in languages] for of in kept["of"]], np.float64)
-    sizes = kept["size"].to_numpy()
-    logs = np.zeros_like(counts)
-    for size in np.unique(sizes):
-        own = counts[sizes == size] + 0.5
-        logs[sizes == size] = np.log(own / own.sum(0))
-    logs -= logs.mean(1, keepdims=True)  # what a gram says for one language over the others
+    first = W.partitionBy("language").orderBy("h")
+    chosen = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max(1, min(1000, max_rows // n))).orderBy("k", "h").limit(max_rows).select("h", "language")
+    own = own.join(F.broadcast(chosen), ["h", "language"]).dropDuplicates(["h", "language"]).select(text, "language")
+    grams = own.mapInArrow(lambda b: _counted(b, longest), "language string, size int, gram string, n long").groupBy("size", "gram", "language").agg(F.sum("n").alias("n"))
+    found = grams.toArrow()
+    languages = sorted(set(found["language"].to_pylist()))
     known: list[dict[str, int]] = [{} for _ in range(longest + 1)]
-    for row, (size, gram) in enumerate(zip(sizes, kept["gram"], strict=True)):
-        known[size][gram] = row
+    sizes, names, of = (found[c].to_pylist() for c in ("size", "gram", "language"))
+    place = {x: k for k, x in enumerate(languages)}
+    at = [known[size].setdefault(gram, len(known[size])) for size, gram in zip(sizes, names, strict=True)]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in known])])
+    counts = np.full((int(begin[-1]), len(languages)), 0.5)
+    counts[np.array(at, np.int64) + begin[np.array(sizes, np.int64)], [place[x] for x in of]] += found["n"].to_numpy()
+    logs = np.concatenate([np.log(counts[lo:hi] / counts[lo:hi].sum(0)) for lo, hi in zip(begin[:-1], begin[1:], strict=True)])
+    logs -= logs.mean(1, keepdims=True)  # what a gram says for one language over the others
+    known = [{gram: k + int(lo) for gram, k in x.items()} for x, lo in zip(known, begin, strict=False)]
     return Model(languages, known, np.concatenate([logs, np.zeros((1, len(languages)))]))
 
 
@@ -148,8 +151,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(held.value) if held.value else None
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for batch in slices(whole, at):
                 names, best = own.scores(batch.column(at).to_pylist()) if own is not None else ([UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
