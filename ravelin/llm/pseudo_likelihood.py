@@ -1,9 +1,10 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A network sees the words on both sides of a hidden word and predicts it; the sum of the log-probabilities of
-all words, each hidden in turn, scores a document. Words meet the network as one of ``size`` word classes: the
-most frequent words of the corpus, and hashed classes for the rest. The output is a balanced binary tree over the
-classes, so a probability costs log2(size) steps and all of them sum to one.
+all words, each hidden in turn, scores a document. The network predicts one of ``side`` * ``side`` classes, first
+a group and then the class within it. The most frequent words of the corpus are classes of their own; the others
+share hashed classes, and a word's share within its class comes from the counts of the whole corpus. So the
+probabilities are those of words. Vocabulary and network grow with the corpus.
 """
 
 from __future__ import annotations
@@ -17,32 +18,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import extended, table, without
+from ravelin.llm.common import cut, extended, slices, table, without
 from ravelin.llm.wordhash import WordHasher, mix
 
 #: Places around the hidden word that the network sees.
 AROUND = (-2, -1, 1, 2)
+BATCH = 4096
+#: Blocks in which the weights of a task travel, so that no task adds up whole networks of all others.
+BLOCKS = 64
+
+
+def side_of(n_words: int) -> int:
+    """How many groups, and classes a group, for a corpus of so many words: twice its sixth root."""
+    return max(4, int(np.ceil(2 * max(n_words, 1) ** (1 / 6))))
+
+
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(1, keepdims=True)
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+
+def _segments(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group that occurs, and the rows that have it."""
+    by = np.argsort(groups, kind="stable")
+    own = groups[by]
+    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield int(own[lo]), by[lo:hi]
 
 
 @dataclass
 class Network:
-    """Word vectors per place around the hidden word, a bias, and a vector and bias for each inner node of the tree."""
+    """Word vectors per place around the hidden word, and weights with biases of the groups and of the classes in each."""
 
-    depth: int
     vectors: np.ndarray  # place, class (the last: beyond the text), dimension
-    nodes: np.ndarray  # node, dimension + 1
+    groups: np.ndarray  # dimension + 1, group
+    classes: np.ndarray  # group, dimension + 1, class
 
     @classmethod
-    def new(cls, depth: int, width: int, seed: int = 1) -> Network:
+    def new(cls, totals: np.ndarray, side: int, width: int, seed: int = 1) -> Network:
+        """Vectors at random; biases such that the network starts from how often each class occurs (``totals``)."""
         rng = np.random.default_rng(seed)
-        return cls(depth, rng.normal(0, 0.3, (len(AROUND), 2**depth + 1, width)).astype(np.float32), np.zeros((2**depth, width + 1), np.float32))
+        often = (totals + 0.5).reshape(side, side)
+        vectors = rng.normal(0, 0.3, (len(AROUND), side * side + 1, width))
+        groups, classes = np.zeros((width + 1, side)), np.zeros((side, width + 1, side))
+        groups[-1], classes[:, -1] = np.log(often.sum(1)), np.log(often)
+        return cls(*(x.astype(np.float32) for x in (vectors, groups, classes)))
+
+    @property
+    def side(self) -> int:
+        return self.groups.shape[1]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.vectors.ravel(), self.nodes.ravel()])
+        return np.concatenate([x.ravel() for x in (self.vectors, self.groups, self.classes)])
 
     def like(self, flat: np.ndarray) -> Network:
-        k = self.vectors.size
-        return Network(self.depth, flat[:k].reshape(self.vectors.shape).astype(np.float32), flat[k:].reshape(self.nodes.shape).astype(np.float32))
+        parts, at = [], 0
+        for x in (self.vectors, self.groups, self.classes):
+            parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+            at += x.size
+        return Network(*parts)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.vectors[0][context[0]]
@@ -50,35 +85,37 @@ class Network:
             total = total + self.vectors[place][context[place]]
         return np.tanh(total)
 
-    def walk(self, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Inner node and branch (1 or -1) of each level on the way to the target classes."""
-        for level in range(self.depth):
-            yield (1 << level) + (target >> (self.depth - level)), 1 - 2.0 * ((target >> (self.depth - level - 1)) & 1).astype(np.float32)
-
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
-        total = np.zeros(len(target), np.float32)
-        for node, branch in self.walk(target):
-            own = self.nodes[node]
-            total -= np.logaddexp(0, -branch * (np.einsum("ij,ij->i", own[:, :-1], h) + own[:, -1]))
+        h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+        group, member = np.divmod(target, self.side)
+        total = _log_softmax(h @ self.groups)[np.arange(len(h)), group]
+        for k, rows in _segments(group.astype(np.uint16)):
+            total[rows] += _log_softmax(h[rows] @ self.classes[k])[np.arange(len(rows)), member[rows]]
         return total
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient ascent on a batch, each parameter's step divided by how often the batch uses it."""
+        """One step of gradient ascent on a batch, each parameter's step divided by the root of how often the batch uses it."""
         h = self.hidden(context)
-        back = np.zeros_like(h)
-        for node, branch in self.walk(target):
-            own = self.nodes[node]
-            gain = branch / (1 + np.exp(np.clip(branch * (np.einsum("ij,ij->i", own[:, :-1], h) + own[:, -1]), -30, 30)))
-            back += gain[:, None] * own[:, :-1]
-            _step(self.nodes, node, gain[:, None] * np.concatenate([h, np.ones((len(h), 1), np.float32)], 1), rate)
+        with_one = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+        group, member = np.divmod(target, self.side)
+        gain = -np.exp(_log_softmax(with_one @ self.groups))
+        gain[np.arange(len(h)), group] += 1
+        back = gain @ self.groups[:-1].T
+        for k, rows in _segments(group.astype(np.uint16)):
+            own = with_one[rows]
+            part = -np.exp(_log_softmax(own @ self.classes[k]))
+            part[np.arange(len(rows)), member[rows]] += 1
+            back[rows] += part @ self.classes[k][:-1].T
+            self.classes[k] += rate / np.sqrt(len(rows)) * (own.T @ part)
+        self.groups += rate / np.sqrt(len(h)) * (with_one.T @ gain)
         back *= 1 - h * h
         for place in range(len(AROUND)):
             _step(self.vectors[place], context[place], back, rate)
 
 
 def _step(rows: np.ndarray, at: np.ndarray, gain: np.ndarray, rate: float) -> None:
-    by = np.argsort(at, kind="stable")
+    by = np.argsort(at.astype(np.uint16) if len(rows) <= 1 << 16 else at, kind="stable")
     at = at[by]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     n = np.diff(np.append(first, len(at)))
@@ -88,18 +125,19 @@ def _step(rows: np.ndarray, at: np.ndarray, gain: np.ndarray, rate: float) -> No
 class Reader:
     """Turns texts into classes and contexts."""
 
-    def __init__(self, known: np.ndarray, depth: int):
-        self.hasher, self.known, self.size = WordHasher(), known, 2**depth
+    def __init__(self, known: np.ndarray, size: int):
+        self.hasher, self.known, self.size = WordHasher(), known, size
         self.rank = np.argsort(known)
         self.sorted = known[self.rank]
 
-    def classes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        words, counts = self.hasher.words(texts)
+    def classes_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each word, and whether it has one of its own."""
+        rest = len(self.known) + (mix(words) % np.uint64(self.size - len(self.known))).astype(np.int64)
         if not len(self.known):
-            return (mix(words) % np.uint64(self.size)).astype(np.int64), counts
+            return rest, np.zeros(len(words), bool)
         at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        rest = len(self.known) + (mix(words) % np.uint64(self.size - len(self.known))).astype(np.int64)
-        return np.where(self.sorted[at] == words, self.rank[at], rest), counts
+        own = self.sorted[at] == words
+        return np.where(own, self.rank[at], rest), own
 
     def contexts(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         begin = np.repeat(np.cumsum(counts) - counts, counts)
@@ -113,31 +151,42 @@ class Reader:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of words and how often a batch has them."""
+    """Hashes of words and how often a piece of the input has them."""
     hasher = WordHasher()
+    for whole in batches:
+        for batch in slices(whole, 0, 32 << 20, 1 << 20):
+            own, n = np.unique(hasher.words(batch.column(0).to_pylist())[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+
+def _class_totals(batches: Iterator[pa.RecordBatch], known: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """From (word, n) to the sums of each class."""
+    reader, sums = Reader(known, size), np.zeros(size)
     for batch in batches:
-        words, _ = hasher.words(batch.column(0).to_pylist())
-        own, n = np.unique(words, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+        at, _ = reader.classes_of(batch.column(0).to_numpy().view(np.uint64))
+        sums += np.bincount(at, batch.column(1).to_numpy(), size)
+    some = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["class", "n"])
 
 
-def _learned(batches: Iterator[pa.RecordBatch], held, known: np.ndarray, turn: int, every: int, rate: float) -> Iterator[pa.RecordBatch]:
+def _learned(batches: Iterator[pa.RecordBatch], held, known: np.ndarray, turn: int, turns: int, rate: float) -> Iterator[pa.RecordBatch]:
     """Train a copy of the network on a task's texts; yield its weights times the words it learned from, in blocks."""
     start = held.value
-    net, reader, seen = start.like(start.flat()), Reader(known, start.depth), 0
+    net, reader, seen = start.like(start.flat()), Reader(known, start.side**2), 0
     for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            classes, counts = reader.classes(whole.slice(lo, 500).column(0).to_pylist())
+        for batch in slices(whole, 0):
+            words, counts = reader.hasher.words(batch.column(0).to_pylist())
+            classes, _ = reader.classes_of(words)
             context = reader.contexts(classes, counts)
-            masked = np.arange((turn * 3) % every, len(classes), every)
-            for i in range(0, len(masked), 2048):
-                at = masked[i : i + 2048]
+            place = np.arange(len(classes)) - np.repeat(np.cumsum(counts) - counts, counts)
+            masked = np.flatnonzero(place % turns == turn)
+            for i in range(0, len(masked), BATCH):
+                at = masked[i : i + BATCH]
                 net.learn(context[:, at], classes[at], rate)
             seen += len(masked)
     if seen:
-        flat = net.flat().astype(np.float64) * seen
-        blocks = np.array_split(flat, 64)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([float(seen)] * 64), pa.array([b.astype(np.float32).tobytes() for b in blocks], pa.binary())], ["block", "seen", "weights"])
+        blocks = np.array_split(net.flat().astype(np.float64) * seen, BLOCKS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([float(seen)] * BLOCKS), pa.array([b.astype(np.float32).tobytes() for b in blocks], pa.binary())], ["block", "seen", "weights"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,59 +203,105 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s for s, _ in sums.values()], pa.float64()), pa.array([w.astype(np.float32).tobytes() for _, w in sums.values()], pa.binary())], ["block", "seen", "weights"])
 
 
-def train(docs: DataFrame, text: str = "text", depth: int = 10, width: int = 16, turns: int = 2, every: int = 8, rate: float = 0.1) -> tuple[Network, np.ndarray]:
-    """Train on all texts: word counts over the whole corpus give the classes, then ``turns`` rounds of learning.
+@dataclass
+class Model:
+    """The network, the words with classes of their own, how often each class occurs, and the counts of all words."""
+
+    network: Network
+    known: np.ndarray
+    totals: np.ndarray
+    counts: DataFrame  # word, n
 
-    In a round every task trains a copy of the network on its texts, hiding each ``every``-th word, another one in
-    the next round; the copies are averaged, each by the words it learned from. What is gathered grows with
-    the number of tasks, and is summed by block in the cluster; the driver gets one network.
+
+def train(docs: DataFrame, text: str = "text", side: int | None = None, width: int = 16, turns: int = 2, rate: float = 0.1) -> Model:
+    """Train on every word of every text.
+
+    Counts of all words of the corpus give the vocabulary: ``side`` ** 2 classes, which by default grow as the cube
+    root of the corpus, seven eighths of them words. In each of ``turns`` rounds every task trains a copy of the
+    network on its texts, with every ``turns``-th word as the hidden one, so that each word has been hidden once
+    after the last round; the copies are averaged, each by the words it learned from. What is gathered grows with the
+    number of tasks and is summed by block in the cluster; the driver gets one network.
+
+    Null and empty texts have no words; with none at all the network stays as it started. Repeated rows are learned
+    from as often as they occur; ties among the last words of the vocabulary go by their hash. The weights depend on
+    how rows lie in partitions, as the copies start anew in each; what is learned from does not. Only ``text`` is read.
     """
     texts = docs.select(text)
-    counts = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(2 ** (depth - 1)).toPandas()
-    known = top["word"].to_numpy(np.int64).view(np.uint64)
-    net = Network.new(depth, width)
+    counts = cut(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    side = side or side_of(counts.agg(F.sum("n")).first()[0] or 0)
+    size = side * side
+    known = counts.orderBy(F.desc("n"), "word").limit(size - size // 8).toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    sums = counts.mapInArrow(lambda b: _class_totals(b, known, size), "class long, n double").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    totals = np.bincount(sums["class"].to_numpy(np.int64), sums["n"].to_numpy(float), size).astype(np.float64)
+    net = Network.new(totals, side, width)
     for turn in range(turns):
         held = docs.sparkSession.sparkContext.broadcast(net)
-        copies = texts.mapInArrow(lambda b, held=held, turn=turn: _learned(b, held, known, turn, every, rate), "block int, seen double, weights binary")
+        copies = texts.mapInArrow(lambda b, held=held, turn=turn: _learned(b, held, known, turn, turns, rate), "block int, seen double, weights binary")
         sums = copies.repartition("block").mapInArrow(_summed, "block int, seen double, weights binary").toPandas()
         if len(sums):
             sums = sums.sort_values("block")
-            flat = np.concatenate([np.frombuffer(w, np.float32) / s for w, s in zip(sums["weights"], sums["seen"], strict=True)])
-            net = net.like(flat)
-    return net, known
+            net = net.like(np.concatenate([np.frombuffer(w, np.float32) / s for w, s in zip(sums["weights"], sums["seen"], strict=True)]))
+    return Model(net, known, totals, counts)
 
 
-def score(docs: DataFrame, network: Network, known: np.ndarray, text: str = "text") -> DataFrame:
+def _rare(batches: Iterator[pa.RecordBatch], known: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """From (th_, text) to (th_, word, k): the words of each text without a class of their own, each text once per task."""
+    reader, seen = Reader(known, size), set()
+    for whole in batches:
+        for batch in slices(whole, 1):
+            names = batch.column(0).to_pylist()
+            new = [k for k, x in enumerate(names) if x not in seen and not seen.add(x)]
+            words, counts = reader.hasher.words(batch.column(1).take(pa.array(new, pa.int64())).to_pylist())
+            _, own = reader.classes_of(words)
+            of = np.repeat(np.arange(len(new)), counts)[~own]
+            rare = words[~own]
+            by = np.lexsort((rare, of))
+            of, rare = of[by], rare[by]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])])) if len(of) else of
+            n = np.diff(np.append(first, len(of)))
+            keys = np.array([names[k] for k in new], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[of[first]]), pa.array(rare[first].view(np.int64)), pa.array(n.astype(np.int64))], ["th_", "word", "k"])
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with n_words, log_likelihood (the sum over all words, each hidden in turn) and mean_log.
 
-    Null and empty texts have no words, 0.0 and a null mean. One row per input row; columns of these names are
-    replaced; rows are independent. Words are runs of bytes other than blanks, A-Z lower-cased.
+    A word without a class of its own gets the probability of its class times its share in it, by the counts of the
+    corpus; a word that the corpus has once or never counts as one. The counts meet the words in a join, equal texts
+    once a task. Null and empty texts have no words, 0.0 and a null mean. One row per input row; columns of these names
+    are replaced; rows are independent, so ties, repeated rows and null ids need no rule. Words are runs of bytes other
+    than blanks, A-Z lower-cased; texts are read whole.
     """
-    docs = without(docs, "n_words", "log_likelihood", "mean_log")
-    at = docs.columns.index(text)
-    held = docs.sparkSession.sparkContext.broadcast(network)
+    docs = without(docs, "n_words", "log_likelihood", "mean_log", "th_", "net_")
+    keyed = docs.withColumn("th_", F.xxhash64(text))
+    at = keyed.columns.index(text)
+    known, size = model.known, model.network.side**2
+    held = docs.sparkSession.sparkContext.broadcast((model.network, np.log(np.maximum(model.totals, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = held.value
-        reader = Reader(known, net.depth)
+        net, totals = held.value
+        reader = Reader(known, size)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                classes, counts = reader.classes(batch.column(at).to_pylist())
+            for batch in slices(whole, at):
+                words, counts = reader.hasher.words(batch.column(at).to_pylist())
+                classes, own = reader.classes_of(words)
                 context = reader.contexts(classes, counts)
-                logs = np.zeros(len(classes))
-                for i in range(0, len(classes), 1 << 14):
-                    logs[i : i + (1 << 14)] = net.log_probability(context[:, i : i + (1 << 14)], classes[i : i + (1 << 14)])
-                sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum(counts)])])
-                mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(np.where(counts > 0, sums, 0.0)), mean], [*batch.schema.names, "n_words", "log_likelihood", "mean_log"])
+                logs = np.where(own, 0.0, -totals[classes])
+                for i in range(0, len(classes), BATCH):
+                    logs[i : i + BATCH] += net.log_probability(context[:, i : i + BATCH], classes[i : i + BATCH])
+                sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs, len(counts)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(sums)], [*batch.schema.names, "n_words", "net_"])
 
-    return docs.mapInArrow(run, extended(docs, n_words=T.LongType(), log_likelihood=T.DoubleType(), mean_log=T.DoubleType()))
+    scored = keyed.mapInArrow(run, extended(keyed, n_words=T.LongType(), net_=T.DoubleType()))
+    rare = keyed.where(F.col(text).isNotNull()).select("th_", text).mapInArrow(lambda b: _rare(b, known, size), "th_ long, word long, k long")
+    met = rare.join(model.counts.where("n > 1"), "word").groupBy("word", "th_").agg((F.max("k") * F.log(F.max("n").cast("double"))).alias("share"))
+    shares = met.groupBy("th_").agg(F.sum("share").alias("share_"))
+    total = F.col("net_") + F.coalesce("share_", F.lit(0.0))
+    out = scored.join(shares, "th_", "left").select(*docs.columns, "n_words", total.alias("log_likelihood"))
+    return out.withColumn("mean_log", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    network, known = train(docs)
-    return score(docs, network, known).select("doc_id", "n_words", F.round("log_likelihood", 2).alias("log_likelihood"), F.round("mean_log", 4).alias("mean_log"))
+    return score(docs, train(docs)).select("doc_id", "n_words", F.round("log_likelihood", 2).alias("log_likelihood"), F.round("mean_log", 4).alias("mean_log"))

@@ -445,6 +445,55 @@ def test_unseen_words_back_off(spark):
     assert [r.lang_pred for r in rows] == ["en", "de"]
 
 
+def test_languages_match_a_plain_version(spark, real):
+    import regex
+
+    words = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    out = {r.doc_id for r in real.where(language_id.held_out(F.col("doc_id"))).collect()}
+    rows = [r for r in real.collect() if r.doc_id not in out and r.lang is not None and r.text is not None]
+    languages = sorted({r.lang for r in rows})
+    counts = [collections.defaultdict(collections.Counter) for _ in range(5)]  # by size, words first
+    for r in rows:
+        for w in words(r.text):
+            counts[0][w][r.lang] += 1
+            for n in range(1, 5):
+                for i in range(len(w) + 3 - n):
+                    counts[n][f"^{w}$"[i : i + n]][r.lang] += 1
+    totals = [{x: sum(c[x] + 0.5 for c in own.values()) for x in languages} for own in counts]
+
+    def says(n, gram):
+        logs = np.array([np.log((counts[n][gram][x] + 0.5) / totals[n][x]) for x in languages])
+        return logs - logs.mean()
+
+    def word(w):
+        if w in counts[0]:
+            return says(0, w)
+        for n in range(min(4, len(w) + 2), 0, -1):
+            own = [says(n, g) for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in counts[n]]
+            if own:
+                return np.mean(own, 0)
+        return np.zeros(len(languages))
+
+    for r in language_id.op8_language_id(spark, D).collect():
+        text = next(x.text for x in real.where(F.col("doc_id") == r.doc_id).collect()) if r.doc_id % 7 == 0 else None
+        if text is not None and words(text):
+            total = sum(map(word, words(text)))
+            odds = np.exp(total - total.max())
+            assert r.held_out == (r.doc_id in out) and r.lang_pred == languages[int(total.argmax())] and abs(r.score - odds.max() / odds.sum()) < 1e-5
+
+
+def test_letters_are_those_of_unicode(spark):
+    docs = spark.createDataFrame([(0, "नमस्ते दुनिया", "hi"), (1, "hello world", "en")] * 3, "doc_id long, text string, lang string")
+    rows = language_id.identify(spark.createDataFrame([("½",), ("² ① 12",), ("दुनिया",), ("1hello2",)], "text string"), language_id.train(docs)).collect()
+    assert [r.lang_pred for r in rows] == ["und", "und", "hi", "en"] and rows[0].score == 0
+
+
+def test_rare_languages_are_learned(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "einzig artig").otherwise(F.concat(F.lit("common w"), F.col("id"))).alias("text"), F.when(F.col("id") == 7, "de").otherwise("en").alias("lang"))
+    model = language_id.train(docs, max_rows=50)
+    assert model.languages == ["de", "en"] and set(model.grams[0]) == {"common", "w", "einzig", "artig"}
+
+
 # ── 9: suffixes ───────────────────────────────────────────────────
 
 
@@ -499,19 +548,65 @@ def test_repeats_bear_odd_rows(odd, none):
 def test_network_is_a_distribution_and_learns(spark):
     rng = random.Random(4)
     docs = spark.createDataFrame([(i, " ".join(f"{a} {a}b {a}c" for a in rng.choices("pqrst", k=80))) for i in range(80)], "doc_id long, text string")
-    net, known = pseudo_likelihood.train(docs, depth=6, every=2, turns=3)
-    context = np.array([[3], [64], [1], [2]]).repeat(64, 1)
-    assert abs(np.exp(net.log_probability(context, np.arange(64))).sum() - 1) < 1e-4
+    model = pseudo_likelihood.train(docs, side=5, turns=3, rate=0.3)
+    context = np.array([[3], [25], [1], [2]]).repeat(25, 1)
+    assert abs(np.exp(model.network.log_probability(context, np.arange(25))).sum() - 1) < 1e-4
     new = spark.createDataFrame([(0, "p pb pc q qb qc " * 20), (1, "p qb rc pb sc tb " * 20), (2, ""), (3, None)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in pseudo_likelihood.score(new, net, known).collect()}
+    rows = {r.doc_id: r for r in pseudo_likelihood.score(new, model).collect()}
     assert rows[0].mean_log > rows[1].mean_log + 0.5
     assert rows[2].n_words == 0 and rows[2].log_likelihood == 0 and rows[3].mean_log is None
 
 
+def test_network_follows_its_gradient():
+    rng = np.random.default_rng(1)
+    net = pseudo_likelihood.Network.new(rng.random(9) * 100, 3, 4)
+    net = net.like(net.flat() + rng.normal(0, 0.2, len(net.flat())))
+    context, target = rng.integers(0, 10, (4, 1)), np.array([5])
+    start = net.flat().astype(np.float64)
+    after = net.like(start)
+    after.learn(context, target, 1e-3)
+    moved = (after.flat() - start) / 1e-3
+    for k in rng.choice(np.flatnonzero(moved), 40):
+        step = np.zeros(len(start))
+        step[k] = 1e-2
+        slope = (net.like(start + step).log_probability(context, target)[0] - net.like(start - step).log_probability(context, target)[0]) / 2e-2
+        assert abs(slope - moved[k]) < 2e-2
+
+
+def test_scores_match_a_plain_version(spark, real):
+    docs = real.select("doc_id", "text")
+    model = pseudo_likelihood.train(docs)
+    n, texts = collections.Counter(), {r.doc_id: cases.lowered(r.text) for r in docs.collect()}
+    for w in texts.values():
+        n.update(w)
+    hashes = dict(zip(n, WordHasher().words(list(n))[0], strict=True)) if n else {}
+    assert {r.word: r.n for r in model.counts.collect()} == {int(h.view(np.int64)): n[w] for w, h in hashes.items()}
+    assert model.network.side == pseudo_likelihood.side_of(sum(n.values())) and model.totals.sum() == sum(n.values())
+    size = model.network.side**2
+    place = {h: k for k, h in enumerate(model.known.tolist())}
+    known = sorted((n[w] for w, h in hashes.items() if int(h) in place), reverse=True)
+    assert len(known) == size - size // 8 and known[-1] >= max(n[w] for w, h in hashes.items() if int(h) not in place)
+    reader = pseudo_likelihood.Reader(model.known, size)
+    of = {w: int(reader.classes_of(np.array([h]))[0][0]) for w, h in hashes.items()}
+    net = model.network
+    for r in pseudo_likelihood.op10_pseudo_likelihood(spark, D).collect()[:25]:
+        w, total = texts[r.doc_id], 0.0
+        assert r.n_words == len(w)
+        for i, word in enumerate(w):
+            around = [of[w[i + k]] if 0 <= i + k < len(w) else size for k in (-2, -1, 1, 2)]
+            h = np.append(np.tanh(sum(net.vectors[p][c].astype(float) for p, c in enumerate(around))), 1)
+            a, b = divmod(of[word], net.side)
+            for x, k in ((h @ net.groups, a), (h @ net.classes[a], b)):
+                total += x[k] - np.log(np.exp(x - x.max()).sum()) - x.max()
+            if int(hashes[word]) not in place:
+                total += np.log(n[word] / model.totals[of[word]])
+        assert abs(r.log_likelihood - total) < 0.02 + 1e-5 * abs(total), r.doc_id
+
+
 def test_pseudo_likelihood_bears_odd_rows(odd, none):
-    net, known = pseudo_likelihood.train(odd, depth=6)
-    rows = pseudo_likelihood.score(odd, net, known).collect()
+    model = pseudo_likelihood.train(odd)
+    rows = pseudo_likelihood.score(odd, model).collect()
     assert len(rows) == odd.count() and all(np.isfinite(r.log_likelihood) for r in rows)
-    untrained, nothing = pseudo_likelihood.train(none, depth=6)
-    assert pseudo_likelihood.score(none, net, known).count() == 0
-    assert pseudo_likelihood.score(odd, untrained, nothing).count() == odd.count()
+    untrained = pseudo_likelihood.train(none)
+    assert pseudo_likelihood.score(none, model).count() == 0
+    assert pseudo_likelihood.score(odd, untrained).count() == odd.count()
