@@ -378,11 +378,50 @@ def test_co_training_learns_from_both_views():
     rng = np.random.default_rng(3)
     y = (rng.random(3000) < 0.5).astype(float)
     text, meta = y[:, None] * 1.2 + rng.normal(size=(3000, 2)), y[:, None] * 1.2 + rng.normal(size=(3000, 2))
-    views = co_training.co_train(text[:60], meta[:60], y[:60], text[60:2000], meta[60:2000])
+    gathered = lambda senders, now, sure: co_training.pushes(text[60:2000], meta[60:2000], senders, now, sure)
+    views = co_training.co_train(text[:60], meta[:60], y[:60], gathered)
     a, b, both = (((s > 0.5) == y)[2000:].mean() for s in views(text, meta))
     assert both > max(a, b) - 0.01 and both > 0.82
 
 
+def test_pushes_are_gradients():
+    rng = np.random.default_rng(5)
+    text, meta = rng.normal(size=(80, 3)), rng.normal(size=(80, 2))
+    model = lambda n: co_training.Linear(rng.normal(size=n), np.full(n, 1.5), rng.normal(size=n + 1))
+    senders, now = [model(3), model(2)], [model(3), model(2)]
+    expected = []
+    for k, own, other in ((0, text, meta), (1, meta, text)):
+        for label in (0, 1):
+            n, slope = 0, np.zeros(own.shape[1] + 1)
+            for x, z in zip(own, other, strict=True):
+                s = senders[1 - k]
+                told = 1 / (1 + np.exp(-(((z - s.mean) / s.scale) @ s.weights[:-1] + s.weights[-1])))
+                if (told >= 0.8) if label else (told <= 0.2):
+                    u = np.append((x - now[k].mean) / now[k].scale, 1)
+                    n, slope = n + 1, slope + (label - 1 / (1 + np.exp(-u @ now[k].weights))) * u
+            expected += [n, *slope]
+    assert np.allclose(co_training.pushes(text, meta, senders, now, 0.8), expected)
+
+
+def test_co_training_matches_a_plain_version(spark, real):
+    labels = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
+    rows = real.select("*", F.xxhash64("doc_id", "text").alias("row_"), *co_training.meta_places()).orderBy("row_").collect()
+    views = [co_training.text_view([r.text for r in rows], WordHasher()), co_training.meta_view(np.array([r.s_ for r in rows]), np.array([r.l_ for r in rows]))]
+    own = np.array([k for k, r in enumerate(rows) if r.doc_id in labels])
+    pool = np.array([k for k, r in enumerate(rows) if r.doc_id not in labels])
+    small = views[0].astype(np.float16).astype(float)
+
+    def one_by_one(senders, now, sure):
+        return sum(co_training.pushes(small[k : k + 1], views[1][k : k + 1], senders, now, sure) for k in pool)
+
+    model = co_training.co_train(views[0][own], views[1][own], np.array([labels[rows[k].doc_id] for k in own]), one_by_one)
+    plain = {r.doc_id: x for r, x in zip(rows, zip(*model(*views), strict=True), strict=True)}
+    found = {r.doc_id: r for r in co_training.op6_co_training(spark, D).collect()}
+    assert found.keys() == plain.keys()
+    for k, r in found.items():
+        assert np.allclose((r.p_text, r.p_meta, r.score), plain[k], atol=1e-4) and r.kept == (plain[k][2] >= 0.5)
+
+
 def test_co_training_on_documents(spark, real):
     labels = spark.read.parquet(f"{D}/labels.parquet")
     rows = co_training.classify(real, co_training.train(real, labels)).join(labels, "doc_id").collect()
