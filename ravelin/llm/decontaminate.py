@@ -14,15 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import cut, table
+from ravelin.llm.common import cut, slices, table
 from ravelin.llm.sketch_join import BITMAP_BITS, bitmap_of
 from ravelin.llm.wordhash import WordHasher, mix
 
 #: The positions that each mask keeps. Of 10 to 21 words of which 8 and 70 per cent are equal, wherever those are, all
 #: places of a mask are equal somewhere (a test tries every pattern); what is longer has 11 to 21 such words in a row.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 1, 3, 7, 8), (0, 1, 2, 5, 6), (0, 2, 6, 8, 9), (0, 1, 2, 5, 7), (0, 1, 2, 3, 5))
-#: Hits at most this many words apart form one run, and a run is verified with as many words on either side: 21 words less 5.
-REACH = 16
 
 
 def seeds(words: np.ndarray, counts: np.ndarray, mask: tuple[int, ...], which: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +52,11 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), lists(words.view(np.int64), np.concatenate([[0], ends]).astype(np.int32)), lists(hashes[by].view(np.int64), cuts), lists(at[by].astype(np.int32), cuts)], ["item_id", "words", "seeds", "places"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], held, reach: int) -> Iterator[pa.RecordBatch]:
     """From (doc_id, text) to the runs of hits: doc_id, start, lead, core, words, seeds, places.
 
-    ``words`` go from ``start`` with REACH words around the hits; the hits lie in the core, ``lead`` words in;
-    ``places`` count from the core. Equal cores have equal names.
+    Hits at most ``reach`` words apart form one run. ``words`` go from ``start`` with ``reach`` words around the hits;
+    the hits lie in the core, ``lead`` words in; ``places`` count from the core. Equal cores have equal names.
     """
     hasher, bitmap = WordHasher(), held.value
     low = np.uint64((1 << BITMAP_BITS) - 1)
@@ -68,8 +66,7 @@ def _runs(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
         return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
     for whole in batches:
-        for lo in range(0, whole.num_rows, 1000):
-            batch = whole.slice(lo, 1000)
+        for batch in slices(whole, 1):
             words, counts = hasher.words(batch.column(1).to_pylist())
             found = []
             for k, mask in enumerate(MASKS):
@@ -84,14 +81,14 @@ def _runs(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
             h, at, span = h[by], at[by], span[by]
             ends = np.cumsum(counts)
             of = np.searchsorted(ends, at, side="right")
-            head = np.flatnonzero(np.concatenate([[True], (np.diff(at) > REACH) | (np.diff(of) != 0)]))
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(at) > reach) | (np.diff(of) != 0)]))
             tail = np.append(head[1:], len(at))
             rows = []
             for a, b in zip(head, tail, strict=True):
                 text = of[a]
                 first, last = at[a], int((at[a:b] + span[a:b]).max())
                 begin = int((ends - counts)[text])
-                start, stop = max(begin, first - REACH), min(int(ends[text]), last + REACH)
+                start, stop = max(begin, first - reach), min(int(ends[text]), last + reach)
                 weights = np.arange(1, last - first + 1, dtype=np.uint64)
                 core = int(mix(np.array([np.bitwise_xor.reduce(mix(words[first:last] + mix(weights)))])).view(np.int64)[0])
                 rows.append((batch.column(0)[int(text)].as_py(), int(start - begin), int(first - start), core, words[start:stop].view(np.int64), h[a:b].view(np.int64), (at[a:b] - first).astype(np.int32)))
@@ -141,7 +138,7 @@ def stretches(same: np.ndarray, least: int, equal: int, percent: int) -> list[tu
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], least: int, equal: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, start, item_id, shift, words, item words) to verified overlaps; ``shift``: item place less place in the run."""
+    """From (doc_id, start, item, shift, words, item words) to verified overlaps; ``shift``: item place less place in the run."""
     for batch in batches:
         ids, starts, items, shifts, runs, texts = (c.to_pylist() for c in batch.columns)
         out = []
@@ -153,7 +150,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch], least: int, equal: int, percent
             same = a[lo:hi] == b[lo + shift : hi + shift]
             out += [(doc, item, start + lo + x, y - x, int(same[x:y].sum())) for x, y in stretches(same, least, equal, percent)]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "start", "n_words", "n_equal"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item", "start", "n_words", "n_equal"])
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: int = 10, equal: int = 8, percent: int = 70) -> DataFrame:
@@ -162,29 +159,31 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", lea
     Words are compared with A-Z lower-cased. Overlaps are stretches on one diagonal around a hit, the longest first
     and then those beside it: at least ``least`` words, ``equal`` of them and ``percent`` per cent equal at their
     place. With the defaults or stricter thresholds no text that has such a stretch is missed; with lower ones only
-    what holds a mask is found. A stretch is reported up to REACH words beyond the hits of its run. No rows for null,
-    empty or short texts on either side; an item with fewer words than a mask has no seed of that mask. Null ids
-    are reported as such, repeated rows once; other columns are not read.
+    what holds a mask is found. Diagonals are compared over the whole item: a run has as many words around its
+    hits as the longest item. No rows for null, empty or short texts on either side; an item with fewer words than a
+    mask has no seed of that mask. Null ids are reported as such, repeated rows once; other columns are not read.
 
     The documents are read once. A bitmap of fixed size, made from all benchmark seeds, drops windows that match
-    none; what passes meets the seeds in a join, equal cores once. Nothing here grows with either side on the
-    driver or in a broadcast.
+    none; what passes meets the seeds in a join, equal cores once and items with equal words once. Nothing here
+    grows with either side on the driver or in a broadcast.
     """
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text).distinct()
     items = benchmark.mapInArrow(_items, "item_id long, words array<long>, seeds array<long>, places array<int>")
-    items = cut(items.withColumn("item", F.xxhash64("item_id", "words")))  # a key of its own: ids may be null
-    index = items.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "item", F.col("s.places").alias("place"))
+    items = cut(items.withColumn("item", F.xxhash64("words")))  # a key of its own: ids may be null or name equal words
+    reach = items.agg(F.max(F.size("words"))).first()[0] or 0
+    told = items.dropDuplicates(["item"])
+    index = told.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "item", F.col("s.places").alias("place"))
     probes = index.select(F.explode(F.array("seed", F.shiftrightunsigned("seed", 32))).alias("probe"))
     held = docs.sparkSession.sparkContext.broadcast(bitmap_of(probes, "probe", BITMAP_BITS))
-    runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(lambda b: _runs(b, held), "doc_id long, start long, lead int, core long, words array<long>, seeds array<long>, places array<int>")
+    runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(lambda b: _runs(b, held, reach), "doc_id long, start long, lead int, core long, words array<long>, seeds array<long>, places array<int>")
     runs = cut(runs)
     cores = runs.groupBy("core").agg(F.first(F.arrays_zip("seeds", "places")).alias("hits"))
     hits = cores.select("core", F.explode("hits").alias("h")).select("core", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at"))
     pairs = hits.join(index, "seed").select("core", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     laid = runs.select("doc_id", "start", "lead", "core", "words").join(pairs, "core").select("doc_id", "start", "item", (F.col("shift") - F.col("lead")).alias("shift"), "words")
-    laid = laid.join(items.select("item", "item_id", F.col("words").alias("item_words")).distinct(), "item").select("doc_id", "start", "item_id", "shift", "words", "item_words")
-    found = laid.mapInArrow(lambda b: _overlaps(b, least, equal, percent), "doc_id long, item_id long, start long, n_words long, n_equal long")
-    return found.distinct()
+    laid = laid.join(told.select("item", F.col("words").alias("item_words")), "item").select("doc_id", "start", "item", "shift", "words", "item_words")
+    found = laid.mapInArrow(lambda b: _overlaps(b, least, equal, percent), "doc_id long, item long, start long, n_words long, n_equal long").distinct()
+    return found.join(items.select("item", "item_id").distinct(), "item").select("doc_id", "item_id", "start", "n_words", "n_equal")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,47 @@ def test_overlaps_on_documents(spark, real):
     assert whole <= found
 
 
+def longest_by_trying(same, least=10, equal=8, percent=70):
+    """The length of the longest stretch between two equal words, or filled up to ``least``, by trying all."""
+    sums = np.concatenate([[0], np.cumsum(same)])
+    for n in range(len(same), least - 1, -1):
+        own = sums[n:] - sums[:-n]
+        fits = np.flatnonzero((own >= equal) & (100 * own >= percent * n))
+        if any(same[x] and same[x + n - 1] for x in fits) or (n == least and len(fits)):
+            return n
+    return None
+
+
+def test_overlaps_match_brute_force(spark, real):
+    rng = random.Random(11)
+    items = {r.item_id: cases.lowered(r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()}
+    docs = {r.doc_id: cases.lowered(r.text) for r in real.collect()}
+    long = [f"q{k}" for k in range(160)]
+    items |= {900: long, 901: long, 902: ["tiny"] * 9}
+    bad = list(long)
+    bad[60:85] = [f"other{k}" for k in range(25)]  # more words in a row than any mask spans
+    docs |= {10**6: ["x"] * 30 + bad + ["y"] * 30, 10**6 + 1: long[:9] + ["z"] + long[10:14], 10**6 + 2: [w for k, w in enumerate(long) if rng.random() < 0.9]}
+    expected = {}
+    for d, a in docs.items():
+        for i, b in items.items():
+            at = collections.defaultdict(list)
+            for k, w in enumerate(b):
+                at[w].append(k)
+            diagonals = collections.Counter(k - j for j, w in enumerate(a) for k in at.get(w, ()))
+            for shift, n in diagonals.items():
+                if n >= 8:
+                    lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+                    best = longest_by_trying(np.array([a[j] == b[j + shift] for j in range(lo, hi)]))
+                    if best:
+                        expected[d, i] = max(best, expected.get((d, i), 0))
+    made = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    found = decontaminate.find_overlaps(made, spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"))
+    longest = {(r.doc_id, r.item_id): r.n for r in found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n")).collect()}
+    assert longest == expected and longest[10**6, 900] == longest[10**6, 901] == 160
+    query = {(r.doc_id, r.item_id): r.n_words for r in decontaminate.op2_decontaminate(spark, D).collect()}
+    assert query == {k: n for k, n in expected.items() if k[0] < 10**6 and k[1] < 900}
+
+
 def test_overlaps_bear_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (None, ""), (2, "one two"), (None, "null id with a few words in it"), (3, "v5 " * 30)], "item_id long, text string")
     found = decontaminate.find_overlaps(odd, items, least=5, equal=5).collect()
