@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import cut, table
+from ravelin.llm.common import cut, slices, table
 from ravelin.llm.components import components
 from ravelin.llm.wordhash import WordHasher, mix, windows
 
@@ -26,7 +26,10 @@ PART_BITS = 20
 #: Linked sets share at least so many of the parts that both emit.
 SHARED = 2
 #: Buckets up to this size give their pairs to a join that counts shared buckets; in larger ones sketches are compared.
+#: Either way finds all links (a test takes both ways), so this is a matter of cost alone.
 SMALL = 8
+#: In large buckets so many nodes meet so many others in one cell.
+BLOCK = 512
 BITMAP_BITS = 26
 _ID = "coalesce(doc_id, 9223372036854775807L)"
 
@@ -92,56 +95,45 @@ def whole_sketch(shingles: np.ndarray) -> bytes:
 
 
 def _near(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """From (key, node, c, n, sketch), keys together, to pairs (a, b) of a bucket with different c whose sketches allow a link.
+    """From (cell, side, key, node, c, n, sketch), cells together, to pairs (key, a, b, far) with different c whose sketches allow a link.
 
-    With ``best``, each node gives its nearest such partner alone. Sketches are compared block by block.
+    In a cell each node of side 0 meets each of side 1; with ``best`` it gives its nearest such partner alone.
     """
 
-    def bucket(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, c, n = (rows[x].to_numpy() for x in ("node", "c", "n"))
+    def cell(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        node, c, n, side = (rows[x].to_numpy() for x in ("node", "c", "n", "side"))
         raw = rows["sketch"].to_pylist()
         least = min(map(len, raw))
         words = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in raw])
-        most = n * (100 - percent) // percent
-        out = []
-        for i in range(0, len(node), 1024):
-            near, who = np.full(min(1024, len(node) - i), 1 << 30), np.zeros(min(1024, len(node) - i), np.int64)
-            for j in range(0 if best else i, len(node), 1024):
-                a, b = words[i : i + 1024], words[j : j + 1024]
-                far = np.zeros((len(a), len(b)), np.int32)
-                for w in range(words.shape[1]):
-                    far += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-                fits = (far <= np.minimum(most[i : i + 1024, None], most[None, j : j + 1024])) & (c[i : i + 1024, None] != c[None, j : j + 1024])
-                if best:
-                    far[~fits] = 1 << 30
-                    at = far.argmin(1)
-                    low = far[np.arange(len(a)), at]
-                    who = np.where(low < near, j + at, who)
-                    near = np.minimum(low, near)
-                else:
-                    x, y = np.nonzero(fits)
-                    out.append((node[i + x], node[j + y]))
-            if best:
-                ok = np.flatnonzero(near < 1 << 30)
-                out.append((node[i + ok], node[who[ok]]))
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        most, own, other = n * (100 - percent) // percent, np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        far = np.zeros((len(own), len(other)), np.int32)
+        for w in range(words.shape[1]):
+            far += np.bitwise_count(words[own, w, None] ^ words[None, other, w])
+        fits = (far <= np.minimum(most[own, None], most[None, other])) & (c[own, None] != c[None, other])
+        if best and far.size:
+            far[~fits] = 1 << 30
+            y = far.argmin(1)
+            x = np.flatnonzero(far[np.arange(len(own)), y] < 1 << 30)
+            y = y[x]
+        else:
+            x, y = np.nonzero(fits)
+        return rows["key"].to_numpy()[own[x]], node[own[x]], node[other[y]], far[x, y].astype(np.int64)
 
     held: list[pa.RecordBatch] = []
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = rows["key"].to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        cells = rows["cell"].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            a, b = bucket(rows.slice(lo, hi - lo))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cell(rows.slice(lo, hi - lo))], ["key", "a", "b", "far"])
 
     for batch in batches:
         if batch.num_rows:
-            if held and batch.column(0)[0] != held[-1].column(0)[0]:
+            if held and batch.column(0)[batch.num_rows - 1] != held[-1].column(0)[0]:
                 rows = pa.Table.from_batches([*held, batch])
-                keys = rows["key"].to_numpy()
-                whole = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
-                yield from settle(rows.slice(0, whole)) if whole else ()
+                cells = rows["cell"].to_numpy()
+                whole = int(np.flatnonzero(cells != cells[-1])[-1]) + 1
+                yield from settle(rows.slice(0, whole))
                 held = rows.slice(whole).combine_chunks().to_batches()
             else:
                 held.append(batch)
@@ -149,6 +141,21 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterat
         yield from settle(pa.Table.from_batches(held))
 
 
+def _cells(large: DataFrame, about: DataFrame) -> DataFrame:
+    """The nodes of large buckets dealt out to cells of about BLOCK by BLOCK nodes.
+
+    Only nodes outside a bucket's main component have to meet anyone: their blocks (side 0) meet the blocks of all its
+    nodes (side 1), each pair of blocks in a cell of its own, wherever that is computed.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    rows = large.join(about, "node")
+    one = rows.where("c <> main").select("*", F.lit(0).alias("side"), block("rest").alias("r"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("x"))
+    all_ = rows.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), blocks("rest") - 1)).alias("r"), block("size").alias("x"))
+    both = one.unionByName(all_).select(F.xxhash64("key", "r", "x").alias("cell"), "side", "key", "node", "c", "n", "sketch")
+    return both.repartition("cell").sortWithinPartitions("cell")
+
+
 def _node(shingles: np.ndarray) -> int | None:
     """A 64-bit name of a set: equal sets, equal names."""
     if not len(shingles):
@@ -162,8 +169,8 @@ def _each(docs: DataFrame, schema: str, rows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch], at: int, width: int) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = rows.wanted(whole.slice(start, 500))
+            for part in slices(whole, at):
+                batch = rows.wanted(part)
                 yield rows(batch, _sets(batch.column(at).to_pylist(), hasher, width), seen)
 
     at, width = len(docs.columns) - 1, rows.width
@@ -277,8 +284,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text:
     Candidates come from a shuffle of part keys. The first round tests each node against the node with which it
     shares most parts as the first of their bucket; the others test what is left, pairs that
     share buckets but not yet a component: in large buckets only those whose sketches allow a link, first the
-    nearest partner of each node, then all. Only these become rows; the comparisons in a bucket of m different
-    sets that do not link stay m * m, in blocks of one task.
+    nearest partner of each node, then all. Only these become rows. Within a large bucket the sets outside its main
+    component, r of m, are compared with all, r * m comparisons dealt out to cells of BLOCK by BLOCK sets.
     """
     texts = docs.select("doc_id", text)
     nodes = cut(_each(texts, "doc_id long, n_shingles long, node long, sketch binary", _Nodes(width)))
@@ -297,13 +304,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text:
     about = nodes.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     for best in (True, False):
         placed = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        split = placed.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket), "size": F.count("*").over(bucket)}).where("lo < hi")
-        split = cut(split.select("key", "node", "c", "size"))
+        per = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+        main = F.max(F.struct("n", "c"))
+        keys = per.groupBy("key").agg(F.sum("n").alias("size"), main["c"].alias("main"), (F.sum("n") - main["n"]).alias("rest")).where("rest > 0")
+        split = cut(placed.join(keys, "key"))
         small, large = split.where(f"size <= {SMALL}"), split.where(f"size > {SMALL}")
         other = small.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
         rest = small.withColumnRenamed("node", "a").join(other, "key").where("a < b AND c <> d").groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b")
-        near = large.join(about, "node").select("key", "node", "c", "n", "sketch").repartition("key").sortWithinPartitions("key")
-        near = near.mapInArrow(lambda x, best=best: _near(x, percent, best), "a long, b long").distinct()
+        near = _cells(large, about).mapInArrow(lambda x, best=best: _near(x, percent, best), "key long, a long, b long, far long")
+        if best:
+            near = near.groupBy("key", "a").agg(F.min(F.struct("far", "b"))["b"].alias("b"))
+        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         rest = cut((rest.unionByName(near).distinct() if best else near).join(tried, ["a", "b"], "left_anti"))
         if rest.isEmpty():
             continue

@@ -229,6 +229,24 @@ def test_components_match_brute_force(spark, width, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == cases.jaccard(rows, width, percent)
 
 
+@pytest.mark.parametrize(("small", "block"), [(0, 16), (0, 512), (10**6, 512)])
+def test_both_ways_through_buckets_find_the_same(spark, monkeypatch, small, block):
+    monkeypatch.setattr(sketch_join, "SMALL", small)
+    monkeypatch.setattr(sketch_join, "BLOCK", block)
+    rng = random.Random(8)
+    rows = []
+    for g in range(6):
+        base = cases.prose(rng, 60, 4000).split()
+        for i in range(40):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(40, 60)] = f"z{rng.randrange(9999)}"
+            rows.append((1000 * g + i, " ".join(w[: rng.choice([60, 58, 50])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch_join.jaccard_components(df).collect()}
+    assert found == cases.jaccard(rows, 4, 85)
+
+
 def test_components_on_documents(real):
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch_join.jaccard_components(real).collect()}
     assert found == cases.jaccard([(r.doc_id, r.text) for r in real.collect()], 4, 85)
@@ -248,9 +266,10 @@ def test_part_keys_of_linked_sets_meet():
     for n in (7, 8, 20, 40, 147, 500, 3000):
         for _ in range(20):
             a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-            drop = int(rng.integers(0, 15 * len(a) // 100 + 1))
-            b = a[drop:] if drop else a
-            if len(a) != len(b) and 100 * len(b) >= 85 * len(a):
+            drop, put = int(rng.integers(0, 15 * len(a) // 100 + 1)), int(rng.integers(0, 8 * len(a) // 100 + 1))
+            b = np.union1d(a[drop:], rng.integers(0, 2**63, put, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+            both = len(np.intersect1d(a, b))
+            if both < max(len(a), len(b)) and 100 * both >= 85 * (len(a) + len(b) - both):
                 assert len(np.intersect1d(sketch_join.part_keys(a, bands), sketch_join.part_keys(b, bands))) >= sketch_join.SHARED
 
 
