@@ -2,9 +2,9 @@
 
 A window is ``length`` bytes of a text. Every window has an anchor: the place of the least hash of its
 ``gram``-byte strings. Equal windows have equal anchor strings at equal places, so only windows that share an
-anchor string need sorting. Neighbouring windows with one anchor form a stretch. Equal stretches are settled by
-a sort on their hashes; where an anchor string has several different stretches, their windows are sorted as
-suffixes: multikey quicksort on the first words, then blind tries for those that still agree.
+anchor string need sorting. Neighbouring windows with one anchor form a stretch. Where an anchor string has
+several stretches, their windows are sorted as suffixes: multikey quicksort on the first words, then blind tries
+for those that still agree. Only stretches that are equal byte for byte within one piece of input are sent once.
 """
 
 from __future__ import annotations
@@ -13,20 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import cut, extended, table, without
+from ravelin.llm.common import cut, extended, slices, table, without
 from ravelin.llm.wordhash import _BASE, _INVERSE, _powers, mix
 
 GRAM = 32
 #: Bytes that multikey quicksort looks at before the blind tries take over.
 SHALLOW = 24
+#: Anchor strings with more stretches than this have their windows sorted by cells, told by bytes beside the anchor.
+HOT = 1000
 _TILE = 1 << 18
 _PLACE_BITS = 20
-#: A place: 24 bits of the text's hash, 31 bits of start, 7 bits of the number of windows less one.
 #: Texts without anything to look up do not travel: they are told by a bitmap of so many bits.
 FILTER_BITS = 24
 _MAX_ID = (1 << 63) - 1
@@ -93,14 +94,28 @@ def _tiles(texts: list[bytes], length: int) -> Iterator[tuple]:
         yield parts, *joined()
 
 
+def _alike(data: np.ndarray, one: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the ``sizes`` bytes from ``one`` and from ``other`` on are equal, for each pair of places."""
+    out = np.zeros(len(one), bool)
+    by = np.argsort(sizes, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(sizes[by]) != 0, [True]])) if len(by) else np.zeros(1, np.int64)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        n = int(sizes[by[lo]])
+        for i in range(lo, hi, (1 << 22) // n):
+            rows = by[i : min(hi, i + (1 << 22) // n)]
+            within = np.arange(n)
+            out[rows] = (data[one[rows, None] + within] == data[other[rows, None] + within]).all(1)
+    return out
+
+
 def _stretched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From (d, th, text) to (key, hash, d, place, again).
+    """From (d, th, text) to (key, d, th, place, again); a place is a start and, in 7 bits, the number of windows less one.
 
-    Equal stretches of a batch meet here already: all but the first are ``again``, and get a key of their own so
-    that a string which everyone has is dealt out like any other.
+    Equal stretches of a piece of input meet here already: all but the first are ``again``, after their bytes were
+    compared, and get a key of their own so that a string which everyone has is dealt out like any other.
     """
     finder = Stretches(length)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2, 32 << 20, 1 << 20)):
         if not batch.num_rows:
             continue
         d, th = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
@@ -111,17 +126,23 @@ def _stretched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
             part = np.searchsorted(base, start, side="right") - 1
             text = np.array([p[0] for p in parts])[part]
             place = start - base[part] + np.array([p[1] for p in parts])[part]
-            rows.append((key, own, d[text], (th[text] << 39) | (place << 7) | (count - 1)))
+            rows.append((key, own, text, (place << 7) | (count - 1)))
         if not rows:
             continue
-        key, own, ids, place = (np.concatenate(x) for x in zip(*rows, strict=True))
-        by = np.lexsort((place, ids, own, key))
-        key, own, ids, place = key[by], own[by], ids[by], place[by]
+        key, own, text, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+        by = np.lexsort((place, th[text], d[text], own, key))
+        key, own, text, place = key[by], own[by], text[by], place[by]
         alike = np.concatenate([[False], (key[1:] == key[:-1]) & (own[1:] == own[:-1])])
         first = np.maximum.accumulate(np.where(alike, 0, np.arange(len(key))))
-        again = alike & ((ids != ids[first]) | (place != place[first]))  # a repeated row is no earlier one
-        key = np.where(again, mix(key + mix(ids.view(np.uint64) + mix(place.view(np.uint64)))), key)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(ids), pa.array(place), pa.array(again)], ["key", "hash", "d", "place", "again"])
+        ids, names = d[text], th[text]
+        alike &= (ids != ids[first]) | (names != names[first]) | (place != place[first])  # a repeated row is no earlier one
+        at = np.flatnonzero(alike & ((place & 127) == (place[first] & 127)))
+        whole = np.frombuffer(b"".join(texts), np.uint8)
+        base = np.cumsum([0, *map(len, texts[:-1])])[text] + (place >> 7)
+        again = np.zeros(len(key), bool)
+        again[at] = _alike(whole, base[at], base[first[at]], (place[at] & 127) + length)
+        key = np.where(again, mix(key + mix(ids.view(np.uint64) + mix(names.view(np.uint64) + mix(place.view(np.uint64))))), key)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(names), pa.array(place), pa.array(again)], ["key", "d", "th", "place", "again"])
 
 
 def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,37 +174,105 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     if depth >= length:
         same[slots] = np.concatenate([[False], group[1:] == group[:-1]])[: len(slots)]
         return order, same
-    while len(slots):  # blind tries, one for each group and all at once: the first suffix is the spine
-        at = starts[order[slots]]
-        head = np.concatenate([[True], group[1:] != group[:-1]])
-        spine = at[np.flatnonzero(head)][np.cumsum(head) - 1]
-        leaves, byte, below = np.full(len(slots), length), np.zeros(len(slots), np.int64), np.zeros(len(slots), bool)
-        open_ = np.arange(len(slots))
-        for d in range(shallow, length, 8):  # where does each other suffix leave the spine, and by which byte
-            a, b = words(at[open_], d), words(spine[open_], d)
-            differ = a != b
-            if differ.any():
-                gone, x, y = open_[differ], a[differ], b[differ]
-                bit = 63 - np.floor(np.log2((x ^ y).astype(np.float64))).astype(np.int64)
-                bit = np.where((x ^ y) >> np.minimum(64 - bit, 63).astype(np.uint64) > 0, bit - 1, bit)  # a float may round up
-                skip = np.maximum(bit, 0) // 8
-                leaves[gone] = d + skip
-                byte[gone] = (x >> (np.uint64(56) - skip.astype(np.uint64) * np.uint64(8)) & np.uint64(255)).astype(np.int64)
-                below[gone] = x < y
-            open_ = open_[~differ]
-        stays = leaves == length
-        side = np.where(stays, 1, np.where(below, 0, 2))
-        level = np.where(side == 2, -leaves, leaves)
-        by = np.lexsort((byte, level, side, group))
-        order[slots] = order[slots][by]
-        group, side, level, byte, stays, head = group[by], side[by], level[by], byte[by], stays[by], head[by]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]) | (level[1:] != level[:-1]) | (byte[1:] != byte[:-1])])
-        same[slots] = stays & ~new
-        left = ~stays
-        slots, group = _several(slots[left], new[left])
+    if len(slots):
+        tries = BlindTries(word, starts[order[slots]], group, words, shallow, length)
+        place, same[slots] = tries.order()
+        order[slots] = order[slots][place]
     return order, same
 
 
+class BlindTries:
+    """A blind trie for each group of suffixes that agree on their first bytes, all groups at once.
+
+    A branch tells the bit at which its two sides part; what lies before that bit is skipped on the way down. Each
+    suffix goes down blind to some leaf, is compared with that suffix once, and so learns the bit at which it
+    leaves the trie; a branch for that bit goes in above the first one that tells a later bit. Branches are
+    numbers from 0 on, leaves -1 - (number of the suffix); equal suffixes share a leaf.
+    """
+
+    def __init__(self, word: np.ndarray, at: np.ndarray, group: np.ndarray, words, shallow: int, length: int):
+        self.word, self.at, self.words, self.shallow, self.length = word, at, words, shallow, length
+        n = len(at)
+        self.first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(self.first, n))
+        self.root = -1 - self.first
+        self.bit, self.sides, self.size = np.zeros(n, np.int64), np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+        self.leaf, self.rank, self.alike = np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64)
+        self.used = 0
+        for turn in range(1, int(sizes.max())):  # the next suffix of every group that has one
+            tries = np.flatnonzero(sizes > turn)
+            self._insert(tries, self.first[tries] + turn)
+
+    def _bit_of(self, suffix: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        return ((self.word[self.at[suffix] + (bit >> 6) * 8] >> (63 - (bit & 63)).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+    def _parting(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The first bit at which two suffixes differ; behind the last one if they are equal."""
+        out, left = np.full(len(one), self.length * 8), np.arange(len(one))
+        for depth in range(self.shallow, self.length, 8):
+            gap = self.words(self.at[one[left]], depth) ^ self.words(self.at[other[left]], depth)
+            some = gap != 0
+            if some.any():
+                x = gap[some]
+                high = (x >> np.uint64(32)).astype(np.int64)
+                half = np.where(high > 0, high, (x & np.uint64(0xFFFFFFFF)).astype(np.int64))
+                out[left[some]] = depth * 8 + np.where(high > 0, 32, 64) - np.frexp(half.astype(np.float64))[1]
+                left = left[~some]
+                if not len(left):
+                    break
+        return out
+
+    def _insert(self, tries: np.ndarray, suffix: np.ndarray) -> None:
+        node = self.root[tries]
+        down = np.flatnonzero(node >= 0)
+        while len(down):  # blind: only the bits that branches tell are looked at
+            on = node[down]
+            node[down] = self.sides[self._bit_of(suffix[down], self.bit[on]), on]
+            down = down[node[down] >= 0]
+        found = -1 - node
+        bit = self._parting(suffix, found)
+        node, above, side = self.root[tries], np.full(len(tries), -1), np.zeros(len(tries), np.int64)
+        down = np.flatnonzero(node >= 0)
+        down = down[self.bit[node[down]] < bit[down]]
+        while len(down):  # once more, to the place of the new branch or leaf
+            on = node[down]
+            self.size[on] += 1
+            above[down], side[down] = on, self._bit_of(suffix[down], self.bit[on])
+            node[down] = self.sides[side[down], on]
+            down = down[node[down] >= 0]
+            down = down[self.bit[node[down]] < bit[down]]
+        equal = bit == self.length * 8
+        self.leaf[suffix[equal]], self.rank[suffix[equal]] = found[equal], self.alike[found[equal]]
+        self.alike[found[equal]] += 1
+        new = np.flatnonzero(~equal)
+        branch = self.used + np.arange(len(new))
+        self.used += len(new)
+        own = self._bit_of(suffix[new], bit[new])
+        self.bit[branch], self.size[branch] = bit[new], 1 + self._sizes(node[new])
+        self.sides[own, branch], self.sides[1 - own, branch] = -1 - suffix[new], node[new]
+        top = above[new] < 0
+        self.root[tries[new[top]]] = branch[top]
+        self.sides[side[new[~top]], above[new[~top]]] = branch[~top]
+
+    def _sizes(self, node: np.ndarray) -> np.ndarray:
+        return np.where(node >= 0, self.size[np.maximum(node, 0)], self.alike[np.maximum(-1 - node, 0)])
+
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes from left to right, trie by trie, and whether each equals the one before."""
+        place = np.zeros(len(self.at), np.int64)
+        node, begin = self.root, self.first.astype(np.int64)
+        while len(node):
+            leaf = node < 0
+            place[-1 - node[leaf]] = begin[leaf]
+            node, begin = node[~leaf], begin[~leaf]
+            left = self.sides[0, node]
+            node, begin = np.concatenate([left, self.sides[1, node]]), np.concatenate([begin, begin + self._sizes(left)])
+        place = place[self.leaf] + self.rank
+        out, same = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+        out[place], same[place] = np.arange(len(place)), self.rank > 0
+        return out, same
+
+
 def _several(slots: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slots of groups with two or more members, and their group numbers; ``new`` marks each first member."""
     group = np.cumsum(new) - 1
@@ -191,10 +280,10 @@ def _several(slots: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return slots[many], group[many]
 
 
-def repeats(texts: list[bytes], d: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats(texts: list[bytes], d: np.ndarray, th: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows, in these stretches, that equal an earlier one: stretch, first window, number of windows."""
-    by = np.lexsort((place, d))
-    by = by[np.concatenate([[True], (np.diff(place[by]) != 0) | (np.diff(d[by]) != 0)])]  # repeated rows
+    by = np.lexsort((place, th, d))
+    by = by[np.concatenate([[True], (np.diff(place[by]) != 0) | (np.diff(th[by]) != 0) | (np.diff(d[by]) != 0)])]  # repeated rows
     texts, count = [texts[i] for i in by], (place[by] & 127) + 1
     base = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)
     of = np.repeat(np.arange(len(texts)), count)
@@ -209,34 +298,31 @@ def repeats(texts: list[bytes], d: np.ndarray, place: np.ndarray, length: int) -
 
 
 def _sorted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From (key, d, place, stretch), keys together, to the runs (d, th, start, bytes)."""
+    """From (key, d, th, place, stretch), keys together, to the runs (d, th, start, bytes)."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        d, place = rows["d"].to_numpy(), rows["place"].to_numpy()
-        which, first, n = repeats(rows["stretch"].to_pylist(), d, place, length)
-        start = ((place[which] >> 7) & 0x7FFFFFFF) + first
-        return pa.RecordBatch.from_arrays([pa.array(d[which]), pa.array(place[which] >> 39), pa.array(start), pa.array(n + length - 1)], ["d", "th", "start", "bytes"])
+        d, th, place = (rows[c].to_numpy() for c in ("d", "th", "place"))
+        which, first, n = repeats(rows["stretch"].to_pylist(), d, th, place, length)
+        return pa.RecordBatch.from_arrays([pa.array(d[which]), pa.array(th[which]), pa.array((place[which] >> 7) + first), pa.array(n + length - 1)], ["d", "th", "start", "bytes"])
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 4, _CHUNK, 1 << 20)):
         held.append(batch)
         size += batch.nbytes
-        if size > _CHUNK:  # all but the last key are whole
+        if size > _CHUNK and held[0].column(0)[0] != batch.column(0)[batch.num_rows - 1]:  # all but the last key are whole
             rows = pa.Table.from_batches(held)
-            keys = rows["key"].to_numpy()
-            whole = int(np.searchsorted(keys, keys[-1]))
-            if whole:
-                yield settle(rows.slice(0, whole))
-                held = rows.slice(whole).combine_chunks().to_batches()
-                size = sum(b.nbytes for b in held)
+            whole = int(np.searchsorted(rows["key"].to_numpy(), batch.column(0)[batch.num_rows - 1].as_py()))
+            yield settle(rows.slice(0, whole))
+            held = rows.slice(whole).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held)
     if held:
         yield settle(pa.Table.from_batches(held))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], at: int, length: int, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Cut the spans (last column: start and bytes, in no order) out of the texts in column ``at``."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, at, 32 << 20, 1 << 20)):
         kept, removed, spans = [], [], []
         for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             data, own, end = (text or "").encode(), [], -1
@@ -269,29 +355,33 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
 
     A byte goes if a ``length``-byte string that also starts earlier covers it: in a row with a smaller doc_id, or
     earlier in the same row. Strings are judged on the input and never cross rows. A null text counts as empty;
-    texts shorter than ``length`` stay whole. Null ids come last. Rows that repeat a doc_id are ordered by a hash
-    of their texts; rows equal in both count as one document and share its result. One row per input row; columns
-    of these names are replaced. Tasks hold one batch of texts, or the different stretches of one anchor string.
+    texts shorter than ``length`` stay whole. Null ids come last. Rows that repeat a doc_id are ordered by a 64-bit
+    hash of their texts; rows equal in both count as one document and share its result. One row per input row; columns
+    of these names are replaced. An anchor string with more than HOT stretches is sorted window by window in cells,
+    each told by the 16 first and the 16 last bytes of its windows, one of which lies beside the anchor; equal windows
+    are in one cell, so the result is the same. Tasks hold one piece of input, or the windows of one cell.
     """
     docs = without(docs, "kept", "n_removed", "spans", "d_", "th_")
-    keyed = docs.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX_ID)), "th_": F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF))})
-    stretches = keyed.select("d_", "th_", text).mapInArrow(lambda b: _stretched(b, length), "key long, hash long, d long, place long, again boolean")
-    by_key, equal = W.partitionBy("key"), W.partitionBy("key", "hash").orderBy("d", "place")
-    seen = stretches.withColumns({"again": F.col("again") | (F.col("d") != F.first("d").over(equal)) | (F.col("place") != F.first("place").over(equal)), "lo": F.min("hash").over(by_key), "hi": F.max("hash").over(by_key)})
-    seen = seen.where("again OR lo <> hi").select("d", F.shiftright("place", 39).alias("th"), "place", F.when(~F.col("again"), F.col("key")).alias("key"))
+    keyed = docs.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX_ID)), "th_": F.xxhash64(text)})
+    stretches = keyed.select("d_", "th_", text).mapInArrow(lambda b: _stretched(b, length), "key long, d long, th long, place long, again boolean")
+    seen = stretches.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("again OR n > 1")
     by_doc = cut(
         seen.groupBy("d", "th").agg(
-            F.collect_list(F.when(F.col("key").isNull(), F.col("place"))).alias("again"),
-            F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "place"))).alias("open"),
+            F.collect_list(F.when(F.col("again"), F.col("place"))).alias("again"),
+            F.collect_list(F.when(~F.col("again"), F.struct("key", "place", (F.col("n") > HOT).alias("hot")))).alias("open"),
         )
     )
-    run = lambda p: F.struct(F.shiftright(p, 7).bitwiseAND(F.lit(0x7FFFFFFF)).alias("start"), (p.bitwiseAND(F.lit(127)) + length).alias("bytes"))
+    run = lambda p: F.struct(F.shiftright(p, 7).alias("start"), (p.bitwiseAND(F.lit(127)) + length).alias("bytes"))
     own = by_doc.select(F.col("d").alias("d_"), F.col("th").alias("th_"), "open").where(F.size("open") > 0)
     held = _marked(keyed, own).where("there_").join(own, ["d_", "th_"])
-    held = held.select("d_", "th_", F.col(text).cast("binary").alias("data"), F.explode("open").alias("o"))
-    held = held.select("o.key", F.col("d_").alias("d"), "o.place", "data", run(F.col("o.place")).alias("s"))
-    held = held.selectExpr("key", "d", "place", "substring(data, cast(s.start + 1 AS int), cast(s.bytes AS int)) AS stretch")
-    found = held.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, length), "d long, th long, start long, bytes long")
+    held = held.select(F.col("d_").alias("d"), F.col("th_").alias("th"), F.col(text).cast("binary").alias("data"), F.explode("open").alias("o"))
+    held = held.select("d", "th", "data", "o.*", run(F.col("o.place")).alias("s"))
+    part = lambda start, n: F.substring("data", (start + 1).cast("int"), n.cast("int") if isinstance(n, Column) else F.lit(n))
+    cold = held.where("NOT hot").select("key", "d", "th", "place", part(F.col("s.start"), F.col("s.bytes")).alias("stretch"))
+    each = held.where("hot").select("key", "d", "th", "data", F.explode(F.sequence(F.col("s.start"), F.col("s.start") + F.col("s.bytes") - length)).alias("at"))
+    cell = F.xxhash64("key", part(F.col("at"), 16), part(F.col("at") + (length - 16), 16))
+    each = each.select(cell.alias("key"), "d", "th", F.shiftleft("at", 7).alias("place"), part(F.col("at"), length).alias("stretch"))
+    found = cold.unionByName(each).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, length), "d long, th long, start long, bytes long")
     runs = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "bytes")).alias("runs"))
     runs = runs.unionByName(by_doc.where(F.size("again") > 0).select("d", "th", F.transform("again", run).alias("runs")))
     runs = runs.groupBy(F.col("d").alias("d_"), F.col("th").alias("th_")).agg(F.flatten(F.collect_list("runs")).alias("runs_"))

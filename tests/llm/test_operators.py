@@ -635,6 +635,25 @@ def test_repeats_match_brute_force(spark, real):
     assert found == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_repeats_around_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(6)
+    line = "This line stands in every text of this corpus, word by word, and it is long enough to hold a whole window by itself."
+    tail = lambda: " ".join(rng.choice("abc") * 3 for _ in range(12))
+    rows = [(i, f"{tail()} {line} {tail()}" if i % 3 else f"{line[:40]}{tail()}{line[20:]}") for i in range(90)]
+    rows += [(None, "no id " * 40), (None, "other " * 40), (7, line * 3)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    numbered = [(k if k is not None else 1 << 62, t) for k, t in rows]
+    names = {(k if k is not None else 1 << 62, t): h for k, t, h in [(r.doc_id, r.text, r.h) for r in spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text")).collect()]}
+    order = sorted(numbered, key=lambda r: (r[0], names[r]))
+    expected = brute_repeats([(k, t) for k, (_, t) in enumerate(order)])
+    place = {r: k for k, r in enumerate(order)}
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) == expected[place[r.doc_id if r.doc_id is not None else 1 << 62, r.text]]
+
+
 def test_repeats_bear_odd_rows(odd, none):
     rows = suffix_dedup.remove_repeats(odd).collect()
     assert len(rows) == odd.count() and {r.key for r in rows} == {"own key"}
