@@ -4,7 +4,7 @@ A window is ``length`` bytes of a text. Every window has an anchor: the place of
 ``gram``-byte strings. Equal windows have equal anchor strings at equal places, so only windows that share an
 anchor string need sorting. Neighbouring windows with one anchor form a stretch. Where an anchor string has
 several stretches, their windows are sorted as suffixes: multikey quicksort on the first words, then blind tries
-for those that still agree. Only stretches that are equal byte for byte within one piece of input are sent once.
+for those that still agree. Of stretches that are equal byte for byte one stands for all.
 """
 
 from __future__ import annotations
@@ -303,9 +303,17 @@ def _sorted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     size = 0
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        d, th, place = (rows[c].to_numpy() for c in ("d", "th", "place"))
-        which, first, n = repeats(rows["stretch"].to_pylist(), d, th, place, length)
-        return pa.RecordBatch.from_arrays([pa.array(d[which]), pa.array(th[which]), pa.array((place[which] >> 7) + first), pa.array(n + length - 1)], ["d", "th", "start", "bytes"])
+        """Of stretches equal byte for byte under one key all but the earliest repeat; the windows of the others are sorted."""
+        key, d, th, place = (rows[c].to_numpy() for c in ("key", "d", "th", "place"))
+        of = rows["stretch"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        by = np.lexsort((place, th, d, of, key))
+        new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (of[by][1:] != of[by][:-1])])
+        first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+        again = by[~new & ((d[by] != d[first]) | (th[by] != th[first]) | (place[by] != place[first]))]
+        own = np.sort(by[new])
+        which, begin, n = repeats(rows["stretch"].take(pa.array(own)).to_pylist(), d[own], th[own], place[own], length)
+        which, begin, n = np.concatenate([own[which], again]), np.concatenate([begin, np.zeros(len(again), np.int64)]), np.concatenate([n, (place[again] & 127) + 1])
+        return pa.RecordBatch.from_arrays([pa.array(d[which]), pa.array(th[which]), pa.array((place[which] >> 7) + begin), pa.array(n + length - 1)], ["d", "th", "start", "bytes"])
 
     for batch in (part for whole in batches for part in slices(whole, 4, _CHUNK, 1 << 20)):
         held.append(batch)
@@ -384,8 +392,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
     found = cold.unionByName(each).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, length), "d long, th long, start long, bytes long")
     runs = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "bytes")).alias("runs"))
     runs = runs.unionByName(by_doc.where(F.size("again") > 0).select("d", "th", F.transform("again", run).alias("runs")))
-    runs = runs.groupBy(F.col("d").alias("d_"), F.col("th").alias("th_")).agg(F.flatten(F.collect_list("runs")).alias("runs_"))
-    marked = _marked(keyed, by_doc.select(F.col("d").alias("d_"), F.col("th").alias("th_")))
+    runs = cut(runs.groupBy(F.col("d").alias("d_"), F.col("th").alias("th_")).agg(F.flatten(F.collect_list("runs")).alias("runs_")))
+    marked = _marked(keyed, runs.select("d_", "th_"))
     joined = marked.where("there_").join(runs, ["d_", "th_"], "left").select(*docs.columns, "runs_")
     joined = joined.unionByName(marked.where("NOT there_").select(*docs.columns, F.lit(None).cast(runs.schema["runs_"].dataType).alias("runs_")))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("bytes", T.LongType())])
