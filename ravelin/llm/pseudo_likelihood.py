@@ -10,7 +10,7 @@ probabilities are those of words. Vocabulary and network grow with the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ AROUND = (-2, -1, 1, 2)
 BATCH = 4096
 #: Blocks in which the weights of a task travel, so that no task adds up whole networks of all others.
 BLOCKS = 64
+#: The counts of so many words at most go to every task; those of all others meet their words in a join.
+SENT = 1 << 17
 
 
 def side_of(n_words: int) -> int:
@@ -33,9 +35,25 @@ def side_of(n_words: int) -> int:
     return max(4, int(np.ceil(2 * max(n_words, 1) ** (1 / 6))))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def known_of(size: int) -> int:
+    """How many of ``size`` classes are words of their own."""
+    return size - size // 8
+
+
+def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-probability of the choice ``at`` in each row of scores."""
+    own = x[np.arange(len(x)), at]
+    most = x.max(1)
+    return own - most - np.log(np.exp(x - most[:, None]).sum(1))
+
+
+def _missed(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One for the choice ``at`` of each row, less the probabilities of all choices."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x *= -1 / x.sum(1, keepdims=True)
+    x[np.arange(len(x)), at] += 1
+    return x
 
 
 def _segments(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -89,9 +107,9 @@ class Network:
         h = self.hidden(context)
         h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
         group, member = np.divmod(target, self.side)
-        total = _log_softmax(h @ self.groups)[np.arange(len(h)), group]
+        total = _chosen(h @ self.groups, group)
         for k, rows in _segments(group.astype(np.uint16)):
-            total[rows] += _log_softmax(h[rows] @ self.classes[k])[np.arange(len(rows)), member[rows]]
+            total[rows] += _chosen(h[rows] @ self.classes[k], member[rows])
         return total
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
@@ -99,16 +117,14 @@ class Network:
         h = self.hidden(context)
         with_one = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
         group, member = np.divmod(target, self.side)
-        gain = -np.exp(_log_softmax(with_one @ self.groups))
-        gain[np.arange(len(h)), group] += 1
+        gain = _missed(with_one @ self.groups, group)
         back = gain @ self.groups[:-1].T
         for k, rows in _segments(group.astype(np.uint16)):
             own = with_one[rows]
-            part = -np.exp(_log_softmax(own @ self.classes[k]))
-            part[np.arange(len(rows)), member[rows]] += 1
+            part = _missed(own @ self.classes[k], member[rows])
             back[rows] += part @ self.classes[k][:-1].T
-            self.classes[k] += rate / np.sqrt(len(rows)) * (own.T @ part)
-        self.groups += rate / np.sqrt(len(h)) * (with_one.T @ gain)
+            self.classes[k] += float(rate / np.sqrt(len(rows))) * (own.T @ part)
+        self.groups += float(rate / np.sqrt(len(h))) * (with_one.T @ gain)
         back *= 1 - h * h
         for place in range(len(AROUND)):
             _step(self.vectors[place], context[place], back, rate)
@@ -123,21 +139,21 @@ def _step(rows: np.ndarray, at: np.ndarray, gain: np.ndarray, rate: float) -> No
 
 
 class Reader:
-    """Turns texts into classes and contexts."""
+    """Turns texts into classes and contexts; ``often`` are words by falling frequency, the first of which have classes of their own."""
 
-    def __init__(self, known: np.ndarray, size: int):
-        self.hasher, self.known, self.size = WordHasher(), known, size
-        self.rank = np.argsort(known)
-        self.sorted = known[self.rank]
+    def __init__(self, often: np.ndarray, size: int):
+        self.hasher, self.size, self.known = WordHasher(), size, min(len(often), known_of(size))
+        self.rank = np.argsort(often)
+        self.sorted = often[self.rank]
 
     def classes_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each word, and whether it has one of its own."""
-        rest = len(self.known) + (mix(words) % np.uint64(self.size - len(self.known))).astype(np.int64)
-        if not len(self.known):
-            return rest, np.zeros(len(words), bool)
+        """The class of each word, and its place in ``often`` or -1."""
+        rest = self.known + (mix(words) % np.uint64(self.size - self.known)).astype(np.int64)
+        if not len(self.sorted):
+            return rest, np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        own = self.sorted[at] == words
-        return np.where(own, self.rank[at], rest), own
+        place = np.where(self.sorted[at] == words, self.rank[at], -1)
+        return np.where((place >= 0) & (place < self.known), place, rest), place
 
     def contexts(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         begin = np.repeat(np.cumsum(counts) - counts, counts)
@@ -205,12 +221,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """The network, the words with classes of their own, how often each class occurs, and the counts of all words."""
+    """The network; frequent words, the first of which have classes of their own; and what makes words of classes."""
 
     network: Network
-    known: np.ndarray
-    totals: np.ndarray
-    counts: DataFrame  # word, n
+    often: np.ndarray
+    shares: np.ndarray  # of each of these, the logarithm of its share in its class
+    totals: np.ndarray  # of each class, the logarithm of its count
+    counts: DataFrame | None  # word, n
 
 
 def train(docs: DataFrame, text: str = "text", side: int | None = None, width: int = 16, turns: int = 2, rate: float = 0.1) -> Model:
@@ -230,7 +247,9 @@ def train(docs: DataFrame, text: str = "text", side: int | None = None, width: i
     counts = cut(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     side = side or side_of(counts.agg(F.sum("n")).first()[0] or 0)
     size = side * side
-    known = counts.orderBy(F.desc("n"), "word").limit(size - size // 8).toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("n"), "word").limit(max(SENT, known_of(size))).toPandas()
+    often, shares = top["word"].to_numpy(np.int64).view(np.uint64), np.log(top["n"].to_numpy(np.float64))
+    known = often[: known_of(size)]
     sums = counts.mapInArrow(lambda b: _class_totals(b, known, size), "class long, n double").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
     totals = np.bincount(sums["class"].to_numpy(np.int64), sums["n"].to_numpy(float), size).astype(np.float64)
     net = Network.new(totals, side, width)
@@ -241,20 +260,22 @@ def train(docs: DataFrame, text: str = "text", side: int | None = None, width: i
         if len(sums):
             sums = sums.sort_values("block")
             net = net.like(np.concatenate([np.frombuffer(w, np.float32) / s for w, s in zip(sums["weights"], sums["seen"], strict=True)]))
-    return Model(net, known, totals, counts)
+    shares[: len(known)] = 0
+    shares[len(known) :] -= np.log(np.maximum(totals, 1))[Reader(known, size).classes_of(often[len(known) :])[0]]
+    return Model(net, often, shares, np.log(np.maximum(totals, 1)), counts)
 
 
-def _rare(batches: Iterator[pa.RecordBatch], known: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-    """From (th_, text) to (th_, word, k): the words of each text without a class of their own, each text once per task."""
-    reader, seen = Reader(known, size), set()
+def _rare(batches: Iterator[pa.RecordBatch], often: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """From (th_, text) to (th_, word, k): the words of each text that are not among ``often``, each text once per task."""
+    reader, seen = Reader(often, size), set()
     for whole in batches:
         for batch in slices(whole, 1):
             names = batch.column(0).to_pylist()
             new = [k for k, x in enumerate(names) if x not in seen and not seen.add(x)]
             words, counts = reader.hasher.words(batch.column(1).take(pa.array(new, pa.int64())).to_pylist())
-            _, own = reader.classes_of(words)
-            of = np.repeat(np.arange(len(new)), counts)[~own]
-            rare = words[~own]
+            other = reader.classes_of(words)[1] < 0
+            of = np.repeat(np.arange(len(new)), counts)[other]
+            rare = words[other]
             by = np.lexsort((rare, of))
             of, rare = of[by], rare[by]
             first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])])) if len(of) else of
@@ -267,33 +288,33 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with n_words, log_likelihood (the sum over all words, each hidden in turn) and mean_log.
 
     A word without a class of its own gets the probability of its class times its share in it, by the counts of the
-    corpus; a word that the corpus has once or never counts as one. The counts meet the words in a join, equal texts
-    once a task. Null and empty texts have no words, 0.0 and a null mean. One row per input row; columns of these names
+    corpus; a word that the corpus has once or never counts as one. The counts of the SENT most frequent words go to
+    every task, all others meet the words in a join, equal texts once a task. Null and empty texts have no words, 0.0 and a null mean. One row per input row; columns of these names
     are replaced; rows are independent, so ties, repeated rows and null ids need no rule. Words are runs of bytes other
     than blanks, A-Z lower-cased; texts are read whole.
     """
     docs = without(docs, "n_words", "log_likelihood", "mean_log", "th_", "net_")
     keyed = docs.withColumn("th_", F.xxhash64(text))
     at = keyed.columns.index(text)
-    known, size = model.known, model.network.side**2
-    held = docs.sparkSession.sparkContext.broadcast((model.network, np.log(np.maximum(model.totals, 1))))
+    size = model.network.side**2
+    held = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, totals = held.value
-        reader = Reader(known, size)
+        own = held.value
+        reader, shares = Reader(own.often, size), np.append(own.shares, 0.0)
         for whole in batches:
             for batch in slices(whole, at):
                 words, counts = reader.hasher.words(batch.column(at).to_pylist())
-                classes, own = reader.classes_of(words)
+                classes, place = reader.classes_of(words)
                 context = reader.contexts(classes, counts)
-                logs = np.where(own, 0.0, -totals[classes])
+                logs = np.where(place >= 0, shares[place], -own.totals[classes])
                 for i in range(0, len(classes), BATCH):
-                    logs[i : i + BATCH] += net.log_probability(context[:, i : i + BATCH], classes[i : i + BATCH])
+                    logs[i : i + BATCH] += own.network.log_probability(context[:, i : i + BATCH], classes[i : i + BATCH])
                 sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs, len(counts)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(sums)], [*batch.schema.names, "n_words", "net_"])
 
     scored = keyed.mapInArrow(run, extended(keyed, n_words=T.LongType(), net_=T.DoubleType()))
-    rare = keyed.where(F.col(text).isNotNull()).select("th_", text).mapInArrow(lambda b: _rare(b, known, size), "th_ long, word long, k long")
+    rare = keyed.where(F.col(text).isNotNull()).select("th_", text).mapInArrow(lambda b: _rare(b, held.value.often, size), "th_ long, word long, k long")
     met = rare.join(model.counts.where("n > 1"), "word").groupBy("word", "th_").agg((F.max("k") * F.log(F.max("n").cast("double"))).alias("share"))
     shares = met.groupBy("th_").agg(F.sum("share").alias("share_"))
     total = F.col("net_") + F.coalesce("share_", F.lit(0.0))

@@ -28,6 +28,8 @@ SHALLOW = 24
 HOT = 1000
 _TILE = 1 << 18
 _PLACE_BITS = 20
+#: Bits of a place (31 of start, 7 of the number of windows), and of a text's hash beside it.
+_START_BITS, _LOW_BITS = 38, 25
 #: Texts without anything to look up do not travel: they are told by a bitmap of so many bits.
 FILTER_BITS = 24
 _MAX_ID = (1 << 63) - 1
@@ -109,7 +111,10 @@ def _alike(data: np.ndarray, one: np.ndarray, other: np.ndarray, sizes: np.ndarr
 
 
 def _stretched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From (d, th, text) to (key, d, th, place, again); a place is a start and, in 7 bits, the number of windows less one.
+    """From (d, th, text) to (key, d, high, place, again).
+
+    A place is a start and, in 7 bits, the number of windows less one. Here alone it is led by the low bits of th, whose
+    high ones are ``high``: a row is most of what is shuffled.
 
     Equal stretches of a piece of input meet here already: all but the first are ``again``, after their bytes were
     compared, and get a key of their own so that a string which everyone has is dealt out like any other.
@@ -142,7 +147,8 @@ def _stretched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         again = np.zeros(len(key), bool)
         again[at] = _alike(whole, base[at], base[first[at]], (place[at] & 127) + length)
         key = np.where(again, mix(key + mix(ids.view(np.uint64) + mix(names.view(np.uint64) + mix(place.view(np.uint64))))), key)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(names), pa.array(place), pa.array(again)], ["key", "d", "th", "place", "again"])
+        low = names & ((1 << _LOW_BITS) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(names >> _LOW_BITS), pa.array((low << _START_BITS) | place), pa.array(again)], ["key", "d", "high", "place", "again"])
 
 
 def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -363,16 +369,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
 
     A byte goes if a ``length``-byte string that also starts earlier covers it: in a row with a smaller doc_id, or
     earlier in the same row. Strings are judged on the input and never cross rows. A null text counts as empty;
-    texts shorter than ``length`` stay whole. Null ids come last. Rows that repeat a doc_id are ordered by a 64-bit
+    texts shorter than ``length`` stay whole. Null ids come last. Rows that repeat a doc_id are ordered by a 57-bit
     hash of their texts; rows equal in both count as one document and share its result. One row per input row; columns
     of these names are replaced. An anchor string with more than HOT stretches is sorted window by window in cells,
     each told by the 16 first and the 16 last bytes of its windows, one of which lies beside the anchor; equal windows
     are in one cell, so the result is the same. Tasks hold one piece of input, or the windows of one cell.
     """
     docs = without(docs, "kept", "n_removed", "spans", "d_", "th_")
-    keyed = docs.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX_ID)), "th_": F.xxhash64(text)})
-    stretches = keyed.select("d_", "th_", text).mapInArrow(lambda b: _stretched(b, length), "key long, d long, th long, place long, again boolean")
+    keyed = docs.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX_ID)), "th_": F.shiftrightunsigned(F.xxhash64(text), 64 - 32 - _LOW_BITS)})
+    stretches = keyed.select("d_", "th_", text).mapInArrow(lambda b: _stretched(b, length), "key long, d long, high long, place long, again boolean")
     seen = stretches.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("again OR n > 1")
+    seen = seen.select("key", "d", F.shiftleft("high", _LOW_BITS).bitwiseOR(F.shiftright("place", _START_BITS)).alias("th"), F.col("place").bitwiseAND(F.lit((1 << _START_BITS) - 1)).alias("place"), "again", "n")
     by_doc = cut(
         seen.groupBy("d", "th").agg(
             F.collect_list(F.when(F.col("again"), F.col("place"))).alias("again"),

@@ -645,7 +645,7 @@ def test_repeats_around_hot_anchors(spark, monkeypatch, hot):
     rows += [(None, "no id " * 40), (None, "other " * 40), (7, line * 3)]
     found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     numbered = [(k if k is not None else 1 << 62, t) for k, t in rows]
-    names = {(k if k is not None else 1 << 62, t): h for k, t, h in [(r.doc_id, r.text, r.h) for r in spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text")).collect()]}
+    names = {(k if k is not None else 1 << 62, t): h for k, t, h in [(r.doc_id, r.text, r.h) for r in spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 7)).collect()]}
     order = sorted(numbered, key=lambda r: (r[0], names[r]))
     expected = brute_repeats([(k, t) for k, (_, t) in enumerate(order)])
     place = {r: k for k, r in enumerate(order)}
@@ -691,7 +691,9 @@ def test_network_follows_its_gradient():
         assert abs(slope - moved[k]) < 2e-2
 
 
-def test_scores_match_a_plain_version(spark, real):
+@pytest.mark.parametrize("sent", [1 << 17, 300])
+def test_scores_match_a_plain_version(spark, monkeypatch, real, sent):
+    monkeypatch.setattr(pseudo_likelihood, "SENT", sent)
     docs = real.select("doc_id", "text")
     model = pseudo_likelihood.train(docs)
     n, texts = collections.Counter(), {r.doc_id: cases.lowered(r.text) for r in docs.collect()}
@@ -699,12 +701,13 @@ def test_scores_match_a_plain_version(spark, real):
         n.update(w)
     hashes = dict(zip(n, WordHasher().words(list(n))[0], strict=True)) if n else {}
     assert {r.word: r.n for r in model.counts.collect()} == {int(h.view(np.int64)): n[w] for w, h in hashes.items()}
-    assert model.network.side == pseudo_likelihood.side_of(sum(n.values())) and model.totals.sum() == sum(n.values())
+    assert model.network.side == pseudo_likelihood.side_of(sum(n.values())) and abs(np.exp(model.totals).sum() / sum(n.values()) - 1) < 1e-6
     size = model.network.side**2
-    place = {h: k for k, h in enumerate(model.known.tolist())}
+    own = model.often[: pseudo_likelihood.known_of(size)]
+    place = {h: k for k, h in enumerate(own.tolist())}
     known = sorted((n[w] for w, h in hashes.items() if int(h) in place), reverse=True)
     assert len(known) == size - size // 8 and known[-1] >= max(n[w] for w, h in hashes.items() if int(h) not in place)
-    reader = pseudo_likelihood.Reader(model.known, size)
+    reader = pseudo_likelihood.Reader(own, size)
     of = {w: int(reader.classes_of(np.array([h]))[0][0]) for w, h in hashes.items()}
     net = model.network
     for r in pseudo_likelihood.op10_pseudo_likelihood(spark, D).collect()[:25]:
@@ -717,7 +720,7 @@ def test_scores_match_a_plain_version(spark, real):
             for x, k in ((h @ net.groups, a), (h @ net.classes[a], b)):
                 total += x[k] - np.log(np.exp(x - x.max()).sum()) - x.max()
             if int(hashes[word]) not in place:
-                total += np.log(n[word] / model.totals[of[word]])
+                total += np.log(n[word]) - model.totals[of[word]]
         assert abs(r.log_likelihood - total) < 0.02 + 1e-5 * abs(total), r.doc_id
 
 
