@@ -15,19 +15,15 @@ def fold(observations: DataFrame, key: tuple[str, ...] = KEY, keep: tuple[str, .
     """One finding per key: attributes of the latest observation, first_seen and last_seen.
 
     A plain aggregate with a partial step before the shuffle, so a hot key costs one row per task. Ties in time
-    go to the larger order, line and price, then to the attributes themselves, so the result has one value.
+    go to the larger order, line and price, then to the lesser severity and version as texts, so the result has one value.
     """
-    latest = F.max_by(F.struct(*keep), F.struct("seen_at", "order_id", "line", "price", *[ _descending(c) for c in ("severity", "fixed_version")]))
-    out = observations.groupBy(*key).agg(latest.alias("r_"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
+    # the least of what falls: of negative times and numbers, then of the texts themselves
+    micros = lambda c: F.negative(F.unix_micros(F.col(c).cast("timestamp")))
+    order = F.struct(micros("seen_at").alias("a"), *[F.negative(F.col(c)).alias(c) for c in ("order_id", "line", "price")], "severity", "fixed_version")
+    out = observations.groupBy(*key).agg(F.min_by(F.struct(*keep), order).alias("r_"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
     return out.select(*key, *[F.col(f"r_.{c}").alias(c) for c in keep], "first_seen", "last_seen")
 
 
-def _descending(c: str) -> Column:
-    """A number that falls as the text rises, for the two attributes that break the last ties."""
-    order = tuple(sorted(SEVERITIES)) if c == "severity" else ("", "1.0")
-    return -ranked(F.col(c), order)
-
-
 def enrich(findings: DataFrame, epss: DataFrame, kev: DataFrame) -> DataFrame:
     """Exploit probability and known exploitation; only ids that start with CVE- are looked up."""
     key = F.when(F.col("vuln_id").startswith("CVE-"), F.col("vuln_id"))
@@ -93,6 +89,11 @@ def changed(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     return after.join(old, key, "left").where(~F.col("band").eqNullSafe(F.col("old_"))).drop("old_")
 
 
+def moved(scored: DataFrame, stored: str) -> DataFrame:
+    """``changed`` where the stored band is a column of the same rows: no join."""
+    return scored.where(~F.col("band").eqNullSafe(F.col(stored)))
+
+
 def relevant(scored: DataFrame) -> DataFrame:
     """Deployed or without a workload, and seen since the cluster's last complete inventory, if it had one."""
     return scored.where((F.coalesce("deployed", F.lit(False)) | F.col("wl_id").isNull()) & (F.col("last_complete").isNull() | (F.col("last_seen") >= F.col("last_complete"))))

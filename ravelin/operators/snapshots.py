@@ -7,21 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def heartbeat(findings: DataFrame, spine: DataFrame, measure: str, values: tuple[str, ...]) -> DataFrame:
-    """Counts of each value of ``measure`` for the whole, each cluster, namespace and workload; empty scopes have zeros.
+def heartbeat(findings: DataFrame, spine: DataFrame, measures: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Counts of the values of each measure, and in all, for the whole, each cluster, namespace and workload; empty scopes have zeros.
 
-    One pass over the findings by grouping sets, joined to the spine of all scopes. Ids outside a scope are -1.
+    Findings are counted by workload first; the grouping sets then add up these few rows. Joined to the spine of all
+    scopes. Ids outside a scope are -1.
     """
-    counts = [F.count_if(F.col(measure) == v).alias(v) for v in values]
-    ids = ("cluster_id", "ns_id", "wl_id")
+    ids, names = ("cluster_id", "ns_id", "wl_id"), [v for values in measures.values() for v in values] + ["total"]
+    counts = [F.count_if(F.col(m) == v).alias(v) for m, values in measures.items() for v in values] + [F.count("*").alias("total")]
+    own = findings.where("wl_id IS NOT NULL").groupBy(*ids).agg(*counts)
     scoped = lambda df, aggs: df.groupingSets([[], [ids[0]], list(ids[:2]), list(ids)], *ids).agg(*aggs, F.grouping_id().alias("level"))
     filled = lambda df, rest: df.select("level", *[F.coalesce(F.col(i).cast("long"), F.lit(-1)).alias(i) for i in ids], *rest)
     # the grouping id has a bit for each id summed over: 7 the whole, 3 cluster, 1 namespace, 0 workload
-    rows = filled(scoped(findings.where("wl_id IS NOT NULL"), counts), values)
+    rows = filled(scoped(own, [F.sum(n).alias(n) for n in names]), names)
     scopes = filled(scoped(spine, [F.count("*").alias("n_")]), [])
     out = scopes.join(rows, ["level", *ids], "left")
     scope = F.expr("CASE level WHEN 7 THEN 'global' WHEN 3 THEN 'cluster' WHEN 1 THEN 'namespace' ELSE 'workload' END")
-    return out.select(scope.alias("scope"), *ids, *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
+    return out.select(scope.alias("scope"), *ids, *[F.coalesce(v, F.lit(0)).alias(v) for v in names])
 
 
 def image_sets(observations: DataFrame, cycle: Column) -> DataFrame:

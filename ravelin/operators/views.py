@@ -21,9 +21,14 @@ def running_only(findings: DataFrame, in_use: DataFrame, running: bool = True) -
 
 
 def image_rows(in_use: DataFrame, findings: DataFrame) -> DataFrame:
-    """Each (workload, image) in use with its band counts and their total, zeros included."""
-    out = in_use.join(band_counts(findings, "wl_id", "image_id"), ["wl_id", "image_id"], "left").fillna(0, list(BANDS))
-    return out.withColumn("total", sum((F.col(b) for b in BANDS), F.lit(0)).cast("long"))
+    """Each (workload, image) in use with its band counts and their total, zeros included.
+
+    Uses and findings are told apart by a flag and counted in one aggregate, which needs no join of their keys.
+    """
+    key = ("wl_id", "image_id")
+    both = in_use.select(*key, F.lit(None).cast("string").alias("band"), F.lit(1).alias("use_")).unionByName(findings.select(*key, "band", F.lit(0).alias("use_")))
+    found = [F.count_if(F.col("band") == b).alias(b) for b in BANDS]
+    return both.groupBy(*key).agg(*found, F.count_if(F.col("use_") == 0).alias("total"), F.max("use_").alias("use_")).where("use_ = 1").drop("use_")
 
 
 def image_order() -> list[Column]:

@@ -87,7 +87,7 @@ def actions(spark: SparkSession, d: str) -> DataFrame:
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """One row per event that reports a signal."""
-    return _read(spark, d, "events").where("value > 150").select(
+    return _read(spark, d, "events").select(
         F.col("user_id").alias("wl_id"),
         F.expr("CASE event_type WHEN 'purchase' THEN 'kyverno:disallow-privileged-containers' WHEN 'signup' THEN 'ksv:KSV-0051' WHEN 'error' THEN 'ksv:KSV-0001' WHEN 'click' THEN 'ksv:KSV-0013' ELSE 'kp:missing-networkpolicy' END").alias("signal_id"),
         F.col("ts").alias("seen_at"),
@@ -123,7 +123,7 @@ action AS (SELECT o_orderkey AS order_id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'accept' WHEN '2-HIGH' THEN 'false_positive' WHEN '3-MEDIUM' THEN 'acknowledge' ELSE 'scheduled' END AS action,
     o_orderstatus = 'F' AS revoked, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS expires_at FROM orders),
 raw_signal AS (SELECT user_id AS wl_id, CASE event_type WHEN 'purchase' THEN 'kyverno:disallow-privileged-containers' WHEN 'signup' THEN 'ksv:KSV-0051'
-    WHEN 'error' THEN 'ksv:KSV-0001' WHEN 'click' THEN 'ksv:KSV-0013' ELSE 'kp:missing-networkpolicy' END AS signal_id, ts AS seen_at FROM events WHERE value > 150),
+    WHEN 'error' THEN 'ksv:KSV-0001' WHEN 'click' THEN 'ksv:KSV-0013' ELSE 'kp:missing-networkpolicy' END AS signal_id, ts AS seen_at FROM events),
 signal AS (SELECT wl_id, signal_id, min(seen_at) AS first_seen, max(seen_at) AS last_seen, max(seen_at) >= TIMESTAMP '2024-01-15' AS active
     FROM raw_signal JOIN workload USING (wl_id) GROUP BY wl_id, signal_id),
 escalated AS (SELECT DISTINCT wl_id FROM signal WHERE active AND signal_id IN ('kyverno:disallow-privileged-containers', 'ksv:KSV-0051', 'ksv:KSV-0001')),

@@ -11,6 +11,7 @@ from ravelin.functions import scalars as S
 from ravelin.functions import signals as G
 from ravelin.operators import checks, findings, lifecycle, resolve, snapshots, views
 from ravelin.plans import lens
+from ravelin.sources import feeds
 from ravelin.streaming import cycles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,10 +102,10 @@ def band_reason_counts(spark, d):
 
 @register("""SELECT c.cluster_name, x.vuln_id, x.severity, CASE
     WHEN k.vuln_id IS NOT NULL THEN 1 WHEN x.severity = 'critical' THEN 2 WHEN x.severity = 'high' AND c.env = 'prod' THEN 3 ELSE 4 END AS rule, count(*) AS n
-    FROM (SELECT *, wl_id % 5 AS cluster_id FROM observation WHERE line = 7) x JOIN cluster c USING (cluster_id)
+    FROM (SELECT *, wl_id % 5 AS cluster_id FROM observation) x JOIN cluster c USING (cluster_id)
     LEFT JOIN kev k ON k.vuln_id = x.vuln_id AND x.category = 'vulnerability' GROUP BY ALL""")
 def cluster_scoped_scored(spark, d):
-    rows = lens.observations(spark, d).where("line = 7").withColumn("cluster_id", F.col("wl_id") % 5)
+    rows = lens.observations(spark, d).withColumn("cluster_id", F.col("wl_id") % 5)
     rows = findings.enrich(rows.withColumns({"wl_id": F.lit(None).cast("long")}), lens.epss(spark, d), lens.kev(spark, d)).join(lens.clusters(spark, d), "cluster_id")
     rows = rows.withColumns({"is_exposed": F.lit(False), "escalation": F.lit(False), "sensitive": F.lit(False)})
     return findings.score(rows).groupBy("cluster_name", "vuln_id", "severity", "rule").agg(F.count("*").alias("n"))
@@ -120,10 +121,12 @@ def muted_findings(spark, d):
     return _relevant(spark, d).join(findings.muting(lens.actions(spark, d), _at(lens.AS_OF)).select("order_id"), "order_id", "left_semi").select(*KEY)
 
 
-@register("""SELECT wl_id, image_id, count(*) FILTER (WHERE band = 'immediate') AS immediate, count(*) FILTER (WHERE band = 'out_of_cycle') AS out_of_cycle,
-    count(*) FILTER (WHERE band = 'scheduled') AS scheduled, count(*) FILTER (WHERE band = 'defer') AS defer, count(*) AS total FROM visible GROUP BY wl_id, image_id""")
+@register("""SELECT u.wl_id, u.image_id, count(*) FILTER (WHERE band = 'immediate') AS immediate, count(*) FILTER (WHERE band = 'out_of_cycle') AS out_of_cycle,
+    count(*) FILTER (WHERE band = 'scheduled') AS scheduled, count(*) FILTER (WHERE band = 'defer') AS defer, count(v.wl_id) AS total
+    FROM (SELECT DISTINCT wl_id, image_id FROM observation JOIN workload USING (wl_id) WHERE deployed) u LEFT JOIN visible v ON v.wl_id = u.wl_id AND v.image_id = u.image_id GROUP BY u.wl_id, u.image_id""")
 def workload_image_bands(spark, d):
-    use = _visible(spark, d).select("wl_id", "image_id").distinct()
+    deployed = lens.workloads(spark, d).where("deployed").select("wl_id")
+    use = lens.observations(spark, d).join(deployed, "wl_id", "left_semi").select("wl_id", "image_id")
     return views.image_rows(use, _visible(spark, d))
 
 
@@ -194,20 +197,22 @@ def priority_counts(spark, d):
     return _banded(spark, d).groupBy("wl_id", "band").agg(F.count("*").alias("n"))
 
 
-@register("""SELECT s.scope, s.cluster_id, s.ns_id, s.wl_id, count(f.wl_id) FILTER (WHERE f.severity = 'critical') AS critical, count(f.wl_id) FILTER (WHERE f.severity = 'high') AS high,
-    count(f.wl_id) FILTER (WHERE f.severity = 'medium') AS medium FROM (
+_N = ", ".join(f"count(f.wl_id) FILTER (WHERE f.{m} = '{v}') AS {v}" for m, values in (("severity", S.SEVERITIES), ("band", S.BANDS)) for v in values)
+
+
+@register(f"""SELECT s.scope, s.cluster_id, s.ns_id, s.wl_id, {_N}, count(f.wl_id) AS total FROM (
       SELECT 'global' AS scope, -1::BIGINT AS cluster_id, -1::BIGINT AS ns_id, -1::BIGINT AS wl_id UNION ALL
       SELECT DISTINCT 'cluster', cluster_id, -1, -1 FROM workload JOIN namespace USING (ns_id) UNION ALL
       SELECT DISTINCT 'namespace', cluster_id, ns_id, -1 FROM workload JOIN namespace USING (ns_id) UNION ALL
       SELECT 'workload', cluster_id, ns_id, wl_id FROM workload JOIN namespace USING (ns_id)) s
-    LEFT JOIN wide f ON (s.cluster_id = -1 OR s.cluster_id = f.cluster_id) AND (s.ns_id = -1 OR s.ns_id = f.ns_id) AND (s.wl_id = -1 OR s.wl_id = f.wl_id)
+    LEFT JOIN banded f ON (s.cluster_id = -1 OR s.cluster_id = f.cluster_id) AND (s.ns_id = -1 OR s.ns_id = f.ns_id) AND (s.wl_id = -1 OR s.wl_id = f.wl_id)
     GROUP BY s.scope, s.cluster_id, s.ns_id, s.wl_id""")
 def heartbeat_rollup(spark, d):
     spine = lens.workloads(spark, d).join(lens.namespaces(spark, d), "ns_id").select("cluster_id", "ns_id", "wl_id")
-    return snapshots.heartbeat(_wide(spark, d), spine, "severity", ("critical", "high", "medium"))
+    return snapshots.heartbeat(_banded(spark, d), spine, {"severity": S.SEVERITIES, "band": S.BANDS})
 
 
-_SETS = """, item AS (SELECT DISTINCT wl_id, CAST(date_trunc('month', seen_at) AS TIMESTAMP) AS cycle, image_id % 12 AS image_id FROM observation WHERE wl_id < 40 AND severity IN ('critical', 'high')),
+_SETS = """, item AS (SELECT DISTINCT wl_id, CAST(date_trunc('month', seen_at) AS TIMESTAMP) AS cycle, image_id FROM observation),
   step AS (SELECT wl_id, cycle, lag(cycle) OVER (PARTITION BY wl_id ORDER BY cycle) AS previous FROM (SELECT DISTINCT wl_id, cycle FROM item)),
   diff AS (SELECT s.wl_id, s.cycle, s.previous,
     (SELECT count(*) FROM item a WHERE a.wl_id = s.wl_id AND a.cycle = s.cycle AND NOT EXISTS (SELECT 1 FROM item b WHERE b.wl_id = s.wl_id AND b.cycle = s.previous AND b.image_id = a.image_id)) AS n_added,
@@ -215,8 +220,7 @@ _SETS = """, item AS (SELECT DISTINCT wl_id, CAST(date_trunc('month', seen_at) A
 
 
 def _sets(spark, d):
-    rows = lens.observations(spark, d).where("wl_id < 40 AND severity IN ('critical', 'high')").withColumn("image_id", F.col("image_id") % 12)
-    return snapshots.image_sets(rows, F.date_trunc("month", "seen_at").cast("timestamp_ntz"))
+    return snapshots.image_sets(lens.observations(spark, d), F.date_trunc("month", "seen_at").cast("timestamp_ntz"))
 
 
 @register(_SETS + """SELECT wl_id, cycle, n_added, n_removed, previous IS NOT NULL AND n_added + n_removed > 0 AS changed, CASE WHEN previous IS NULL THEN 'first_seen' WHEN n_added + n_removed = 0 THEN 'none'
@@ -271,11 +275,11 @@ def zero_input_gate(spark, d):
 
 
 _MARKS = """, mark AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'vulnerability' WHEN '2-HIGH' THEN 'config' ELSE 'other' END AS source,
-    CASE o_orderstatus WHEN 'F' THEN 'reaped' ELSE 'open' END AS state, o_orderdate AS started_at FROM orders WHERE o_custkey % 9 = 0) """
+    CASE o_orderstatus WHEN 'F' THEN 'reaped' ELSE 'open' END AS state, o_orderdate AS started_at FROM orders) """
 
 
-def _marks(spark, d, some="o_custkey % 9 = 0"):
-    return spark.read.parquet(f"{d}/orders.parquet").where(some).select(
+def _marks(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select(
         F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'vulnerability' WHEN '2-HIGH' THEN 'config' ELSE 'other' END").alias("source"),
         F.expr("CASE o_orderstatus WHEN 'F' THEN 'reaped' ELSE 'open' END").alias("state"),
         F.col("o_orderdate").alias("started_at"),
@@ -304,16 +308,16 @@ def _streaks(observations):
     return lifecycle.streaks(rows, ["wl_id"], "cycle", "hit")
 
 
-@register(""", month AS (SELECT wl_id, CAST(date_trunc('month', seen_at) AS TIMESTAMP) AS cycle, bool_or(severity = 'critical') AS hit FROM observation WHERE wl_id < 60 GROUP BY ALL),
+@register(""", month AS (SELECT wl_id, CAST(date_trunc('month', seen_at) AS TIMESTAMP) AS cycle, bool_or(severity = 'critical') AS hit FROM observation GROUP BY ALL),
     run AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY wl_id ORDER BY cycle) AS r FROM month)
     SELECT wl_id, cycle, hit, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY wl_id, r ORDER BY cycle) AS BIGINT) AS streak FROM run""")
 def coverage_gap_streaks(spark, d):
-    return _streaks(lens.observations(spark, d).where("wl_id < 60"))
+    return _streaks(lens.observations(spark, d))
 
 
-@register("SELECT vuln_id FROM epss WHERE vuln_id NOT IN (SELECT vuln_id FROM observation WHERE severity = 'critical' AND wl_id % 10 = 0)")
+@register("SELECT vuln_id FROM epss WHERE vuln_id NOT IN (SELECT vuln_id FROM observation WHERE severity = 'critical')")
 def epss_refresh_antijoin(spark, d):
-    return lifecycle.gone(lens.epss(spark, d), lens.observations(spark, d).where("severity = 'critical' AND wl_id % 10 = 0"), "vuln_id").select("vuln_id")
+    return lifecycle.gone(lens.epss(spark, d), lens.observations(spark, d).where("severity = 'critical'"), "vuln_id").select("vuln_id")
 
 
 @register("SELECT vuln_id, 'feed' AS origin FROM kev WHERE vuln_id IN (SELECT vuln_id FROM observation)")
@@ -424,21 +428,16 @@ def selector_match(spark, d):
     return resolve.match_selectors(_services(spark, d), _labelled(spark, d))
 
 
-@register(_MATCH + """SELECT DISTINCT o_orderkey AS ing_id, wl_id FROM orders JOIN matched ON ns_id = o_custkey % 25 AND svc_name IN ('svc' || (o_orderkey % 20), 'svc' || (o_custkey % 20)) WHERE o_orderkey % 10 = 0""")
+@register(_MATCH + """SELECT DISTINCT o_orderkey AS ing_id, wl_id FROM orders JOIN matched ON ns_id = o_custkey % 25 AND svc_name IN ('svc' || (o_orderkey % 20), 'svc' || (o_custkey % 20))""")
 def ingress_backends(spark, d):
-    return _ingress(spark, d, "o_orderkey % 10 = 0")
-
-
-def _ingress(spark, d, some):
-    ing = spark.read.parquet(f"{d}/orders.parquet").where(some).select(F.col("o_orderkey").alias("ing_id"), (F.col("o_custkey") % 25).alias("ns_id"), F.expr("array(concat('svc', o_orderkey % 20), concat('svc', o_custkey % 20))").alias("backends"))
+    ing = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("ing_id"), (F.col("o_custkey") % 25).alias("ns_id"), F.expr("array(concat('svc', o_orderkey % 20), concat('svc', o_custkey % 20))").alias("backends"))
     services = _services(spark, d)
     return resolve.ingress_workloads(ing, services, resolve.match_selectors(services, _labelled(spark, d)))
 
 
 @register("""WITH RECURSIVE chain AS (SELECT p_partkey AS node, p_partkey // 4 AS owner, 1 AS hops FROM part WHERE p_partkey > 9
-    UNION ALL SELECT node, owner // 4, hops + 1 FROM chain WHERE owner > 9 AND hops < 6) SELECT node, owner, hops FROM chain WHERE owner <= 9 AND owner > 0""", on_lens=False)
+    UNION ALL SELECT node, owner // 4, hops + 1 FROM chain WHERE owner > 9) SELECT node, owner, hops FROM chain WHERE owner <= 9 AND owner > 0""", on_lens=False)
 def alias_chain(spark, d):
-    # The SQL stops after 6 hops, which is enough below key 40,960; this follows every chain to its end.
     parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("child")).where("child > 9")
     known = spark.range(1, 10).withColumnRenamed("id", "node")
     return resolve.owners(parts.withColumn("parent", F.expr("child div 4")), known)
@@ -493,9 +492,8 @@ def workload_search_page(spark, d):
 
 @register("SELECT b.category, b.vuln_id, b.wl_id, b.image_id, b.band FROM banded b WHERE b.band <> CASE WHEN b.severity = 'critical' THEN 'immediate' ELSE 'defer' END")
 def rescored_changes(spark, d):
-    after = _banded(spark, d)
-    before = after.withColumn("band", F.when(F.col("severity") == "critical", "immediate").otherwise("defer"))
-    return findings.changed(before, after, KEY).select(*KEY, "band")
+    stored = F.when(F.col("severity") == "critical", "immediate").otherwise("defer")
+    return findings.moved(_banded(spark, d).withColumn("stored_band", stored), "stored_band").select(*KEY, "band")
 
 
 @register("SELECT cluster_id, CASE WHEN cluster_id = 2 THEN 'prod' ELSE env END AS env FROM cluster")
@@ -519,70 +517,17 @@ def assertion_batch(spark, d):
 
 @register("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS cycle_start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL", on_lens=False)
 def stream_cycle_replay(spark, d):
-    """The batch table replayed as a stream into memory; without late rows it gives what the batch gives."""
-    import tempfile
+    """The batch table replayed as a stream into the shared folder; without late rows it gives what the batch gives."""
     import uuid
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     name = f"cycles_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    at = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="ravelin-stream-")
-    run = cycles.cycle_counts(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
-
-# Some queries above read a subset of ids, and so does their SQL. These read whole tables. The SQL is theirs, without the cut.
-
-
-def _uncut(name: str, *cuts: str) -> str:
-    sql = ORACLE[name]
-    for cut in cuts:
-        assert cut in sql, (name, cut)
-        sql = sql.replace(cut, "")
-    return sql.removeprefix(lens.SQL)
-
-
-def _whole_sets(spark, d):
-    return snapshots.image_sets(lens.observations(spark, d), F.date_trunc("month", "seen_at").cast("timestamp_ntz"))
-
-
-_SETS_CUTS = (" % 12 AS image_id", " WHERE wl_id < 40 AND severity IN ('critical', 'high')")
+    at, out = (f"{feeds.shared_folder(spark)}/{name}-{what}" for what in ("state", "out"))
 
+    def write(batch: DataFrame, number: int) -> None:  # complete mode: each batch holds the whole result
+        batch.write.mode("overwrite").parquet(out)
 
-@register(_uncut("image_set_changes", *_SETS_CUTS))
-def image_set_changes_whole(spark, d):
-    return snapshots.classified(_whole_sets(spark, d)).select("wl_id", "cycle", "n_added", "n_removed", "changed", "change_kind")
-
-
-@register(_uncut("image_set_diff_events", *_SETS_CUTS))
-def image_set_diff_events_whole(spark, d):
-    rows = snapshots.classified(_whole_sets(spark, d))
-    one = lambda what: rows.select("wl_id", "cycle", F.lit(what).alias("what"), F.explode(what).alias("image_id"))
-    return one("added").unionByName(one("removed"))
-
-
-@register(_uncut("latest_mark_per_source", " WHERE o_custkey % 9 = 0"))
-def latest_mark_per_source_whole(spark, d):
-    return lifecycle.latest_marks(_marks(spark, d, "true"))
-
-
-@register(_uncut("source_freshness", " WHERE o_custkey % 9 = 0"))
-def source_freshness_whole(spark, d):
-    return _fresh(spark, d, _marks(spark, d, "true"))
-
-
-@register(_uncut("coverage_gap_streaks", " WHERE wl_id < 60"))
-def coverage_gap_streaks_whole(spark, d):
-    return _streaks(lens.observations(spark, d))
-
-
-@register(_uncut("epss_refresh_antijoin", " AND wl_id % 10 = 0"))
-def epss_refresh_antijoin_whole(spark, d):
-    return lifecycle.gone(lens.epss(spark, d), lens.observations(spark, d).where("severity = 'critical'"), "vuln_id").select("vuln_id")
-
-
-@register(_uncut("ingress_backends", " WHERE o_orderkey % 10 = 0"))
-def ingress_backends_whole(spark, d):
-    return _ingress(spark, d, "true")
+    run = cycles.cycle_counts(rows).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", at).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
 from pathlib import PurePosixPath
@@ -16,21 +17,45 @@ ENVELOPE = "cluster string, kind string, import_id string, phase string, payload
 _NUMBERS = "0123456789abcdefghjkmnpqrstvwxyz"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one on a single machine without that setting, an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        shared = tempfile.mkdtemp(prefix="ravelin-shared-")
+    return shared
+
+
+def epss_rows(lines: DataFrame) -> DataFrame:
+    """vuln_id, score, percentile from lines (value: string); preamble, header, short and non-numeric rows are left out.
+
+    Of several rows of an id the one with the highest score stays, then the highest percentile.
+    """
+    row = F.from_csv("value", "cve string, epss string, percentile string")
+    rows = lines.where("value NOT LIKE '#%'").select(row.alias("r")).select(F.trim("r.cve").alias("vuln_id"), F.col("r.epss").try_cast("double").alias("score"), F.col("r.percentile").try_cast("double").alias("percentile"))
+    rows = rows.where("vuln_id <> '' AND lower(vuln_id) <> 'cve' AND score IS NOT NULL AND percentile IS NOT NULL")
+    return rows.groupBy("vuln_id").agg(F.max(F.struct("score", "percentile")).alias("m")).select("vuln_id", "m.score", "m.percentile")
+
+
 def epss(spark: SparkSession, path: str) -> DataFrame:
-    """vuln_id, score, percentile; preamble, header, short and non-numeric rows are left out."""
-    rows = spark.read.schema("cve string, epss string, percentile string").option("comment", "#").option("mode", "PERMISSIVE").csv(path)
-    rows = rows.select(F.trim("cve").alias("vuln_id"), F.col("epss").try_cast("double").alias("score"), F.col("percentile").try_cast("double").alias("percentile"))
-    return rows.where("vuln_id <> '' AND lower(vuln_id) <> 'cve' AND score IS NOT NULL AND percentile IS NOT NULL").dropDuplicates(["vuln_id"])
+    return epss_rows(spark.read.text(path))
 
 
-def kev(spark: SparkSession, path: str) -> DataFrame:
-    """vuln_id and dates of known exploited vulnerabilities; an unreadable or empty file gives no rows."""
+def kev_rows(documents: DataFrame) -> DataFrame:
+    """vuln_id and dates of known exploited vulnerabilities from documents (value: JSON); an unreadable one gives no rows.
+
+    Of several rows of an id the one added last stays, then by its other columns.
+    """
     item = "struct<cveID:string,dateAdded:string,shortDescription:string,requiredAction:string,dueDate:string>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<vulnerabilities:array<{item}>>")["vulnerabilities"]).alias("v"))
-    return rows.where("v.cveID <> ''").select(
-        F.col("v.cveID").alias("vuln_id"), tolerant_date(F.col("v.dateAdded")).alias("added_at"), tolerant_date(F.col("v.dueDate")).alias("due_date"),
-        blank(F.col("v.shortDescription")).alias("short_description"), blank(F.col("v.requiredAction")).alias("required_action"),
-    ).dropDuplicates(["vuln_id"])
+    rows = documents.select(F.explode(F.from_json("value", f"struct<vulnerabilities:array<{item}>>")["vulnerabilities"]).alias("v")).where("v.cveID <> ''")
+    columns = {"added_at": tolerant_date(F.col("v.dateAdded")), "due_date": tolerant_date(F.col("v.dueDate")), "short_description": blank(F.col("v.shortDescription")), "required_action": blank(F.col("v.requiredAction"))}
+    rows = rows.select(F.col("v.cveID").alias("vuln_id"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("m"))
+    return rows.groupBy("vuln_id").agg(F.max("m").alias("m")).select("vuln_id", *[f"m.{n}" for n in columns])
+
+
+def kev(spark: SparkSession, path: str) -> DataFrame:
+    return kev_rows(spark.read.text(path, wholetext=True))
 
 
 def cycle_id(at: float | None = None, tail: str | None = None) -> str:
