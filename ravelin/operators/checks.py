@@ -12,11 +12,11 @@ KINDS = {
     "cluster_exists": ("clusters", "some"), "namespace_count": ("namespaces", "count"), "namespace_attributes": ("namespaces", "attributes"),
     "workload_count": ("workloads", "count"), "workload_exists": ("workloads", "some"), "workload_absent": ("workloads", "none"), "workload_alias_count": ("aliases", "count"),
     "image_count": ("images", "count"), "image_exists": ("images", "some"), "observation_count": ("observations", "count"),
-    "finding_count": ("findings", "count"), "finding_exists": ("findings", "some"), "finding_priority": ("findings", "attributes"),
+    "finding_count": ("findings", "count"), "finding_exists": ("findings", "some"), "finding_priority": ("findings", "first"),
     "signal_present": ("signals", "active"), "signal_absent": ("signals", "inactive"),
     "import_mark": ("marks", "attributes"), "import_mark_count": ("marks", "count"), "ingest_queue_count": ("queue", "count"),
-    "snapshot_count": ("snapshots", "count"), "snapshot_delta": ("snapshots", "attributes"), "snapshot_absent_since": ("snapshots", "absent_since"),
-    "scan_inconsistency": ("inconsistencies", "some"), "scan_inconsistency_count": ("inconsistencies", "count"), "enrichment": ("findings", "attributes"),
+    "snapshot_count": ("snapshots", "stated"), "snapshot_delta": ("snapshots", "latest"), "snapshot_absent_since": ("snapshots", "absent_since"),
+    "scan_inconsistency": ("inconsistencies", "exactly"), "scan_inconsistency_count": ("inconsistencies", "stated"), "enrichment": ("feed", "attributes"),
     "workload_last_inventory_advanced": ("workloads", "advanced"), "workload_last_inventory_unchanged": ("workloads", "unchanged"),
     "log_event_count": (None, "stub"), "log_event_exists": (None, "stub"), "scan_health_widget": (None, "stub"),
 }
@@ -25,7 +25,9 @@ KINDS = {
 def evaluate(spark: SparkSession, tables: Mapping[str, DataFrame], assertions: list[dict]) -> DataFrame:
     """index, kind, pass and found of each assertion: {kind, filter: {column: value}, expect | min | attributes | since}.
 
-    An unknown kind, table or column fails. Each assertion is one aggregate; all are one plan.
+    An unknown kind, table or column fails. ``latest`` judges the row with the last captured_at, ``first`` the least row
+    by its columns as text, ``exactly`` wants ``expect`` rows (1 by default), and ``stated`` fails unless ``expect`` or
+    ``min`` is given. Each assertion is one aggregate; all are one plan.
     """
     out = None
     for k, a in enumerate(assertions):
@@ -55,7 +57,13 @@ def _row(rows: DataFrame, verdict: str, a: dict) -> DataFrame:
     for name, value in a.get("attributes", {}).items():
         fits = fits & F.col(name).eqNullSafe(F.lit(value))
     n = F.count("*")
+    names = sorted(rows.columns)
+    order = {"latest": F.struct(F.negative(F.unix_micros(F.col("captured_at").cast("timestamp")))) if verdict == "latest" else None, "first": F.struct(*[F.col(c).cast("string") for c in names])}
     passed = {
+        "latest": F.coalesce(F.min_by(fits, order["latest"]), F.lit(False)) if verdict == "latest" else None,
+        "first": F.coalesce(F.min_by(fits, order["first"]), F.lit(False)),
+        "exactly": n == a.get("expect", 1),
+        "stated": (n >= a["min"]) if "min" in a else (n == a["expect"]) if "expect" in a else F.lit(False),
         "count": (n >= a["min"]) if "min" in a else (n == a.get("expect", 0)),
         "attributes": (n > 0) & (F.count_if(~fits) == 0),
         "none": n == 0, "inactive": n == 0, "absent_since": n == 0,

@@ -24,6 +24,14 @@ def fold(observations: DataFrame, key: tuple[str, ...] = KEY, keep: tuple[str, .
     return out.select(*key, *[F.col(f"r_.{c}").alias(c) for c in keep], "first_seen", "last_seen")
 
 
+def merged(stored: DataFrame, batch: DataFrame, key: tuple[str, ...] = KEY, keep: tuple[str, ...] = ("severity", "fixed_version", "order_id", "line")) -> DataFrame:
+    """Stored findings after a batch of folded ones: its attributes win, first_seen and last_seen widen; ``what`` says created, updated or kept."""
+    both = stored.select("*", F.lit(0).alias("new_")).unionByName(batch.select("*", F.lit(1).alias("new_")))
+    out = both.groupBy(*key).agg(F.max_by(F.struct(*keep), "new_").alias("r_"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("new_").alias("a_"), F.max("new_").alias("b_"))
+    what = F.when(F.col("a_") == 1, "created").when(F.col("b_") == 1, "updated").otherwise("kept")
+    return out.select(*key, *[F.col(f"r_.{c}").alias(c) for c in keep], "first_seen", "last_seen", what.alias("what"))
+
+
 def enrich(findings: DataFrame, epss: DataFrame, kev: DataFrame) -> DataFrame:
     """Exploit probability and known exploitation; only ids that start with CVE- are looked up."""
     key = F.when(F.col("vuln_id").startswith("CVE-"), F.col("vuln_id"))

@@ -74,3 +74,26 @@ def merged_images(old: DataFrame, inventory: DataFrame, scans: DataFrame) -> Dat
     told = inventory.groupBy("digest").agg(F.max("ref").alias("told_"))
     long = old.select("digest", "ref").unionByName(scans.select("digest", "ref")).groupBy("digest").agg(F.max_by("ref", F.struct(F.length("ref"), "ref")).alias("long_"))
     return long.join(told, "digest", "full").select("digest", F.coalesce("told_", "long_").alias("ref"))
+
+
+def inventory_reap(workloads: DataFrame, observations: DataFrame, findings: DataFrame, started: Column, days: int = 30) -> DataFrame:
+    """The counters of a complete inventory cycle, one row: workloads deployed and not, findings swept, images in use."""
+    seen = observations.groupBy("wl_id").agg(F.max("seen_at").alias("last_at"))
+    swept = sweep(workloads.join(seen, "wl_id", "left"), "last_at", started).agg(F.count_if("deployed").alias("deployed"), F.count_if(~F.col("deployed")).alias("undeployed"))
+    old = findings.agg(F.count_if(F.col("last_seen") < started - F.make_dt_interval(F.lit(days))).alias("swept"))
+    use = observations.where(F.col("seen_at") >= started).select("wl_id", "image_id").distinct().agg(F.count("*").alias("in_use"))
+    return swept.crossJoin(old).crossJoin(use)  # one row each
+
+
+def scan_reap(signals: DataFrame, marks: DataFrame, held: DataFrame, scope: list[str], started: Column) -> DataFrame:
+    """The counters of a scan cycle (``marks``: its row with observed_count), one row. A cycle that observed nothing although its scope holds rows clears nothing."""
+    gate = scope_gate(marks, held, "source").agg(F.bool_and("reap").alias("reaped"))
+    after = deactivate(signals.withColumn("before_", F.col("active")), scope, started).agg(F.count_if("before_").alias("active_before"), F.count_if(F.col("before_") & ~F.col("active")).alias("n_"))
+    return after.crossJoin(gate).select("active_before", F.when(F.col("reaped"), F.col("n_")).otherwise(0).alias("signals_cleared"), "reaped")  # one row each
+
+
+def outages(in_use: DataFrame, scanned: DataFrame, key: list[str], cycle: str) -> DataFrame:
+    """What was in use in a cycle but not scanned, with the number of such cycles in a row. Uses and scans are told apart by a flag in one aggregate."""
+    both = in_use.select(*key, cycle, F.lit(False).alias("scan_")).unionByName(scanned.select(*key, cycle, F.lit(True).alias("scan_")))
+    rows = both.groupBy(*key, cycle).agg((~F.bool_or("scan_")).alias("gap_"), F.bool_or(~F.col("scan_")).alias("use_")).where("use_")
+    return streaks(rows, key, cycle, "gap_").where("gap_").select(*key, cycle, F.col("streak").cast("long").alias("streak"))

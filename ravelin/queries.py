@@ -57,7 +57,13 @@ def _relevant(spark, d):
 
 
 def _visible(spark, d):
-    return findings.unmuted(_relevant(spark, d), lens.actions(spark, d), _at(lens.AS_OF))
+    """As ``relevant`` without muted orders; what cannot be visible goes before the fold and before the dimensions join."""
+    deployed = lens.workloads(spark, d).where("deployed").select("wl_id")
+    folded = findings.fold(lens.observations(spark, d).join(deployed, "wl_id", "left_semi"))
+    open_ = findings.unmuted(folded, lens.actions(spark, d), _at(lens.AS_OF))
+    rows = findings.enrich(open_, lens.epss(spark, d), lens.kev(spark, d))
+    rows = findings.widen(rows, lens.workloads(spark, d), lens.namespaces(spark, d), lens.clusters(spark, d), _signals(spark, d))
+    return findings.relevant(findings.score(rows))
 
 
 def _listed(spark, d, **more):
@@ -502,17 +508,45 @@ def manual_environment(spark, d):
     return lifecycle.with_manual(lens.clusters(spark, d), manual, "cluster_id", "env").select("cluster_id", "env")
 
 
-@register()
+@register("""SELECT * FROM (VALUES
+    (0, 'cluster_exists', (SELECT count(*) FROM cluster WHERE cluster_name = 'ASIA') > 0, (SELECT count(*) FROM cluster WHERE cluster_name = 'ASIA')),
+    (1, 'workload_count', (SELECT count(*) FROM workload WHERE deployed) >= 1, (SELECT count(*) FROM workload WHERE deployed)),
+    (2, 'finding_priority', (SELECT count(*) FROM banded WHERE rule = 1) > 0, (SELECT count(*) FROM banded WHERE rule = 1)),
+    (3, 'signal_present', (SELECT count(*) FROM signal WHERE active AND signal_id = 'ksv:KSV-0051') > 0, (SELECT count(*) FROM signal WHERE active AND signal_id = 'ksv:KSV-0051')),
+    (4, 'no_such_kind', false, 0),
+    (5, 'namespace_count', (SELECT count(*) FROM namespace) = 25, (SELECT count(*) FROM namespace)),
+    (6, 'workload_absent', (SELECT count(*) FROM workload WHERE wl_name = 'nobody') = 0, (SELECT count(*) FROM workload WHERE wl_name = 'nobody')),
+    (7, 'finding_exists', (SELECT count(*) FROM banded WHERE severity IN ('critical', 'high')) > 0, (SELECT count(*) FROM banded WHERE severity IN ('critical', 'high'))),
+    (8, 'signal_absent', (SELECT count(*) FROM signal WHERE active AND signal_id = 'kp:none') = 0, (SELECT count(*) FROM signal WHERE active AND signal_id = 'kp:none')),
+    (9, 'import_mark', (SELECT bool_and(source IN ('vulnerability', 'config', 'other')) FROM mark), (SELECT count(*) FROM mark)),
+    (10, 'snapshot_count', false, (SELECT count(*) FROM finding)),
+    (11, 'snapshot_count', (SELECT count(*) FROM finding) >= 3, (SELECT count(*) FROM finding)),
+    (12, 'enrichment', (SELECT coalesce(bool_and(percentile = 0.05), false) FROM epss WHERE vuln_id = 'CVE-0005'), (SELECT count(*) FROM epss WHERE vuln_id = 'CVE-0005')),
+    (13, 'snapshot_absent_since', (SELECT count(*) FROM finding WHERE last_seen >= TIMESTAMP '1999-06-01') = 0, (SELECT count(*) FROM finding WHERE last_seen >= TIMESTAMP '1999-06-01')),
+    (14, 'scan_health_widget', true, 0),
+    (15, 'observation_count', false, 0)) t("index", kind, pass, found)""".replace("SELECT * FROM (VALUES", ", mark AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'vulnerability' WHEN '2-HIGH' THEN 'config' ELSE 'other' END AS source FROM orders) SELECT * FROM (VALUES", 1))
 def assertion_batch(spark, d):
-    tables = {"clusters": lens.clusters(spark, d), "workloads": lens.workloads(spark, d), "findings": _banded(spark, d), "signals": _signals(spark, d)}
+    captured = _folded(spark, d).withColumn("captured_at", F.col("last_seen"))
+    tables = {"clusters": lens.clusters(spark, d), "workloads": lens.workloads(spark, d), "namespaces": lens.namespaces(spark, d), "findings": _banded(spark, d), "signals": _signals(spark, d), "marks": _marks(spark, d), "snapshots": captured, "feed": lens.epss(spark, d)}
     asked = [
         {"kind": "cluster_exists", "filter": {"cluster_name": "ASIA"}},
         {"kind": "workload_count", "filter": {"deployed": True}, "min": 1},
         {"kind": "finding_priority", "filter": {"rule": 1}, "attributes": {"band": "immediate"}},
         {"kind": "signal_present", "filter": {"signal_id": "ksv:KSV-0051"}},
         {"kind": "no_such_kind"},
+        {"kind": "namespace_count", "expect": 25},
+        {"kind": "workload_absent", "filter": {"wl_name": "nobody"}},
+        {"kind": "finding_exists", "filter": {"severity": ["critical", "high"]}},
+        {"kind": "signal_absent", "filter": {"signal_id": "kp:none"}},
+        {"kind": "import_mark"},
+        {"kind": "snapshot_count"},
+        {"kind": "snapshot_count", "min": 3},
+        {"kind": "enrichment", "filter": {"vuln_id": "CVE-0005"}, "attributes": {"percentile": 0.05}},
+        {"kind": "snapshot_absent_since", "since": "1999-06-01"},
+        {"kind": "scan_health_widget"},
+        {"kind": "observation_count", "min": 1},
     ]
-    return checks.evaluate(spark, tables, asked)
+    return checks.evaluate(spark, tables, asked).select(F.col("index").cast("int").alias("index"), "kind", "pass", "found")
 
 
 @register("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS cycle_start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL", on_lens=False)

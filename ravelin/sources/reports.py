@@ -138,6 +138,14 @@ def policy_rows(raw: DataFrame) -> DataFrame:
     return lookup(rows, "policy", "kyverno")
 
 
+def scan_facts(vulnerabilities: DataFrame, audits: DataFrame, secrets: DataFrame) -> DataFrame:
+    """The rows of all kinds of scans as one table of findings; what a kind does not know is null."""
+    out = vulnerability_rows(vulnerabilities).withColumn("category", F.lit("vulnerability"))
+    for rows in (check_rows(audits, "config"), secret_rows(secrets).withColumn("category", F.lit("exposed-secret"))):
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 class Inventory:
     """The tables of an inventory envelope's items, (raw: one manifest each)."""
 
@@ -161,6 +169,12 @@ class Inventory:
     def namespaces(self) -> DataFrame:
         return self.items.where("kind = 'Namespace'").select("name", F.col("o.metadata.labels").alias("labels"), F.col("o.metadata.annotations").alias("annotations"))
 
+    def all_namespaces(self) -> DataFrame:
+        """Namespace items, and those that workloads name without an item (declared: false)."""
+        own = self.namespaces().withColumn("declared", F.lit(True))
+        implied = self.workloads().select(F.col("namespace").alias("name")).distinct().join(own.select("name"), "name", "left_anti")
+        return own.unionByName(implied.withColumn("declared", F.lit(False)), allowMissingColumns=True)
+
     def _owned(self) -> Column:
         return F.col("owner").isNotNull()
 

@@ -31,21 +31,25 @@ def counters(envelopes: DataFrame) -> DataFrame:
 def ingest(stream: DataFrame, waiting: str, out: str, rejects: str, checkpoint: str, valid):
     """Run all that has landed: each micro-batch joins what waited, releases finished cycles, keeps the rest.
 
-    ``valid`` maps envelopes to a boolean column; items that fail it go to ``rejects``. Batches write folders of
-    their own number, so a batch that runs again overwrites itself. What waits is in the folder of the batch
-    before, so memory holds no state.
+    ``valid`` maps envelopes to a boolean column; items that fail it go to ``rejects``. Items that land after their cycle
+    was released pass at once, with those of the batch. Batches write folders of their own number, so a batch that runs
+    again overwrites itself. What waits, and the keys of released cycles (in ``waiting``-released), is in the folder of
+    the batch before, so memory holds no state.
     """
+    key = ["cluster", "kind", "import_id"]
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
+        rows, done = batch, batch.where("phase = 'finish'").select(*key)
         if number:
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{waiting}/batch={number - 1}"))
-        key = ["cluster", "kind", "import_id"]
-        ready = rows.where("phase = 'finish'").select(*key).distinct()
-        items = rows.where("phase = 'item'").join(ready, key, "left_semi")
+            done = done.unionByName(spark.read.schema(done.schema).parquet(f"{waiting}-released/batch={number - 1}"))
+        done.distinct().write.mode("overwrite").parquet(f"{waiting}-released/batch={number}")
+        ready = spark.read.schema(done.schema).parquet(f"{waiting}-released/batch={number}")
+        items = rows.where("phase = 'item'").join(ready, key, "left_semi").persist()
         items.where(valid(items)).write.mode("overwrite").parquet(f"{out}/batch={number}")
         items.where(~F.coalesce(valid(items), F.lit(False))).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
-        rows.join(ready, key, "left_anti").write.mode("overwrite").parquet(f"{waiting}/batch={number}")
+        items.unpersist()
+        rows.where("phase = 'item'").join(ready, key, "left_anti").write.mode("overwrite").parquet(f"{waiting}/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

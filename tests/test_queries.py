@@ -36,9 +36,22 @@ def test_entry_runs_in_its_order(spark):
     assert rows == sorted(rows, key=lambda r: (-r.immediate, -r.out_of_cycle, -r.scheduled, r.wl_name.lower(), r.wl_id))
 
 
-def test_assertions(spark):
-    found = {r.kind: r["pass"] for r in QUERIES["assertion_batch"](spark, D).collect()}
-    assert found == {"cluster_exists": True, "workload_count": True, "finding_priority": True, "signal_present": found["signal_present"], "no_such_kind": False}
+def test_assertions_of_single_rows(spark):
+    from ravelin.operators import checks
+
+    rows = spark.createDataFrame([("a", 1, "2024-01-01"), ("a", 2, "2024-01-03"), ("b", 3, "2024-01-02")], "name string, n int, captured_at string").selectExpr("name", "n", "cast(captured_at AS timestamp_ntz) AS captured_at")
+    tables = {"snapshots": rows, "findings": rows, "inconsistencies": rows}
+    asked = [
+        ({"kind": "snapshot_delta", "filter": {"name": "a"}, "attributes": {"n": 2}}, True),
+        ({"kind": "snapshot_delta", "filter": {"name": "a"}, "attributes": {"n": 1}}, False),
+        ({"kind": "finding_priority", "attributes": {"n": 1}}, True),
+        ({"kind": "scan_inconsistency", "filter": {"name": "b"}}, True),
+        ({"kind": "scan_inconsistency", "filter": {"name": "a"}}, False),
+        ({"kind": "scan_inconsistency_count", "filter": {"name": "a"}}, False),
+        ({"kind": "scan_inconsistency_count", "filter": {"name": "a"}, "expect": 2}, True),
+    ]
+    found = checks.evaluate(spark, tables, [a for a, _ in asked]).orderBy("index").collect()
+    assert [r["pass"] for r in found] == [p for _, p in asked]
 
 
 def test_entry_lists_every_query():
