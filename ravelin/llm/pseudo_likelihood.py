@@ -230,6 +230,21 @@ class Model:
     counts: DataFrame | None  # word, n
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` most frequent words, as (word, n), without sending so many from each partition.
+
+    How many words have each count tells where to cut; of very many words at the cut a share by their hash is looked at.
+    """
+    often = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    sums = often["words"].cumsum().to_numpy()
+    at = int(np.searchsorted(sums, most))
+    if at < len(sums):
+        least, ties = int(often["n"].iloc[at]), int(often["words"].iloc[at])
+        part = min(1.0, 2 * (most - int(sums[at]) + ties) / ties)
+        counts = counts.where((F.col("n") > least) | ((F.col("n") == least) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) <= int(part * (1 << 20)))))
+    return counts.orderBy(F.desc("n"), "word").limit(most)
+
+
 def train(docs: DataFrame, text: str = "text", side: int | None = None, width: int = 16, turns: int = 2, rate: float = 0.1) -> Model:
     """Train on every word of every text.
 
@@ -247,7 +262,7 @@ def train(docs: DataFrame, text: str = "text", side: int | None = None, width: i
     counts = cut(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     side = side or side_of(counts.agg(F.sum("n")).first()[0] or 0)
     size = side * side
-    top = counts.orderBy(F.desc("n"), "word").limit(max(SENT, known_of(size))).toPandas()
+    top = _frequent(counts, max(SENT, known_of(size))).toPandas()
     often, shares = top["word"].to_numpy(np.int64).view(np.uint64), np.log(top["n"].to_numpy(np.float64))
     known = often[: known_of(size)]
     sums = counts.mapInArrow(lambda b: _class_totals(b, known, size), "class long, n double").groupBy("class").agg(F.sum("n").alias("n")).toPandas()

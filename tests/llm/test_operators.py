@@ -724,6 +724,15 @@ def test_scores_match_a_plain_version(spark, monkeypatch, real, sent):
         assert abs(r.log_likelihood - total) < 0.02 + 1e-5 * abs(total), r.doc_id
 
 
+def test_frequent_words_are_cut_by_count(spark):
+    counts = spark.range(5000).select(F.col("id").alias("word"), F.when(F.col("id") < 20, 100 - F.col("id")).otherwise(1).alias("n"))
+    rows = pseudo_likelihood._frequent(counts, 10).collect()
+    assert [r.word for r in rows] == list(range(10))
+    rows = pseudo_likelihood._frequent(counts, 70).collect()
+    assert len(rows) == 70 and [r.word for r in rows[:20]] == list(range(20))
+    assert pseudo_likelihood._frequent(counts, 9000).count() == 5000
+
+
 def test_pseudo_likelihood_bears_odd_rows(odd, none):
     model = pseudo_likelihood.train(odd)
     rows = pseudo_likelihood.score(odd, model).collect()
