@@ -61,7 +61,7 @@ def extended(df: DataFrame, **fields: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in fields.items())])
 
 
-def slices(batch: pa.RecordBatch, at: int, most: int = 4 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, at: int, most: int = 1 << 19, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of at most ``most`` bytes of text in column ``at``, and ``rows`` rows; a longer text is alone."""
     sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     lo = 0
