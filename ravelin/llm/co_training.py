@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import bounded, cut, extended, labelled_sample, slices, table, without
+from ravelin.llm.common import bounded, cut, extended, labelled_sample, light_batches, slices, table, without
 from ravelin.llm.quality_trees import FEATURES, measures
 from ravelin.llm.wordhash import WordHasher
 
@@ -200,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
     equal id and text count once among the labelled, each among the others; null ids have no label. Null and empty
     texts and null metadata have features of their own. None where fewer than ten rows or one class are labelled.
     """
+    light_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", *meta_places())
     own = labelled_sample(docs, labels, target, max_rows).select("text", "row_", "target_", "s_", "l_")
     rows = bounded(own.mapInArrow(lambda b: _viewed(b, 0, np.float64), "view binary, row_ long, target_ double, s_ long, l_ long"), max_rows).toPandas()
@@ -225,6 +226,7 @@ def classify(docs: DataFrame, views: Views | None, threshold: float = 0.5) -> Da
     of their own and are scored like others; rows are independent, so ties, repeated rows and null ids need no rule.
     Without a model the scores are null and every document is kept.
     """
+    light_batches(docs.sparkSession)
     docs = without(docs, "p_text", "p_meta", "score", "kept", "s_", "l_")
     at = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(views)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import cut, slices, table
+from ravelin.llm.common import cut, light_batches, slices, table
 from ravelin.llm.sketch_join import BITMAP_BITS, bitmap_of
 from ravelin.llm.wordhash import WordHasher, mix
 
@@ -167,6 +167,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", lea
     none; what passes meets the seeds in a join, equal cores once and items with equal words once. Nothing here
     grows with either side on the driver or in a broadcast.
     """
+    light_batches(docs.sparkSession)
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text).distinct()
     items = benchmark.mapInArrow(_items, "item_id long, words array<long>, seeds array<long>, places array<int>")
     items = cut(items.withColumn("item", F.xxhash64("words")))  # a key of its own: ids may be null or name equal words

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ravelin.llm.common import extended, slices, table, without
+from ravelin.llm.common import extended, light_batches, slices, table, without
 
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -114,6 +114,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", longest: int
     text and label count once; null labels and texts are left out. All words and n-grams of the chosen rows are kept.
     None where nothing is labelled.
     """
+    light_batches(docs.sparkSession)
     own = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64("doc_id", text).alias("h"), text, F.col(label).cast("string").alias("language"))
     rows = own.select("h", "language").distinct()
     n = rows.select("language").distinct().count()
@@ -144,6 +145,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     Null and empty texts, texts without a letter, and all texts without a model: und, 0. Of equal languages the
     first by name wins. Only the text is read; one row per input row, columns of these names are replaced.
     """
+    light_batches(docs.sparkSession)
     docs = without(docs, "lang_pred", "score")
     at = docs.columns.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)

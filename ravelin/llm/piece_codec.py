@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import extended, table, without
+from ravelin.llm.common import extended, light_batches, table, without
 
 MARK = "▁"
 _WORD = re.compile(" +[^ ]*")
@@ -120,6 +120,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
     repeated rows and null ids need no rule. No shuffle; a task holds ``rows_at_once`` texts and a bounded
     word table, and loads the model from bytes that travel with the task.
     """
+    light_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     check_model(model)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import cut, extended, slices, table, without
+from ravelin.llm.common import cut, extended, light_batches, slices, table, without
 from ravelin.llm.wordhash import WordHasher, mix
 
 #: Places around the hidden word that the network sees.
@@ -258,6 +258,7 @@ def train(docs: DataFrame, text: str = "text", side: int | None = None, width: i
     from as often as they occur; ties among the last words of the vocabulary go by their hash. The weights depend on
     how rows lie in partitions, as the copies start anew in each; what is learned from does not. Only ``text`` is read.
     """
+    light_batches(docs.sparkSession)
     texts = docs.select(text)
     counts = cut(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     side = side or side_of(counts.agg(F.sum("n")).first()[0] or 0)
@@ -308,6 +309,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     are replaced; rows are independent, so ties, repeated rows and null ids need no rule. Words are runs of bytes other
     than blanks, A-Z lower-cased; texts are read whole.
     """
+    light_batches(docs.sparkSession)
     docs = without(docs, "n_words", "log_likelihood", "mean_log", "th_", "net_")
     keyed = docs.withColumn("th_", F.xxhash64(text))
     at = keyed.columns.index(text)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import bounded, extended, labelled_sample, slices, table, without
+from ravelin.llm.common import bounded, extended, labelled_sample, light_batches, slices, table, without
 
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
     Null and empty texts are rows like others. Rows with equal id and text count once, those that repeat an id with
     other texts each; which ones are taken, and so the fit, depends on ids and texts alone.
     """
+    light_batches(docs.sparkSession)
     own = labelled_sample(docs.select("doc_id", text), labels, target, max_rows, text)
     names = [f"f_{n}" for n in FEATURES]
     at = own.columns.index(text)
@@ -187,6 +188,7 @@ def judge(docs: DataFrame, forest: Forest | None, text: str = "text") -> DataFra
     fails the base rules. Without a forest the score is null and the base rules alone decide. Rows are
     independent, so ties, repeated rows and null ids need no rule. No shuffle.
     """
+    light_batches(docs.sparkSession)
     names = (*COUNTS, "base_failed", "quality_score", "kept")
     docs = without(docs, *names)
     schema = extended(docs, **{n: T.LongType() for n in COUNTS}, base_failed=T.BooleanType(), quality_score=T.DoubleType(), kept=T.BooleanType())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import cut, slices, table
+from ravelin.llm.common import cut, light_batches, slices, table
 from ravelin.llm.components import components
 from ravelin.llm.wordhash import WordHasher, mix, windows
 
@@ -287,6 +287,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text:
     nearest partner of each node, then all. Only these become rows. Within a large bucket the sets outside its main
     component, r of m, are compared with all, r * m comparisons dealt out to cells of BLOCK by BLOCK sets.
     """
+    light_batches(docs.sparkSession)
     texts = docs.select("doc_id", text)
     nodes = cut(_each(texts, "doc_id long, n_shingles long, node long, sketch binary", _Nodes(width)))
     keyed = _each(texts, "node long, keys array<long>", _Parts(width, percent)).select("node", F.explode("keys").alias("key"))

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import cut, extended, slices, table, without
+from ravelin.llm.common import cut, extended, light_batches, slices, table, without
 from ravelin.llm.wordhash import _BASE, _INVERSE, _powers, mix
 
 GRAM = 32
@@ -375,6 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
     each told by the 16 first and the 16 last bytes of its windows, one of which lies beside the anchor; equal windows
     are in one cell, so the result is the same. Tasks hold one piece of input, or the windows of one cell.
     """
+    light_batches(docs.sparkSession)
     docs = without(docs, "kept", "n_removed", "spans", "d_", "th_")
     keyed = docs.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX_ID)), "th_": F.shiftrightunsigned(F.xxhash64(text), 64 - 32 - _LOW_BITS)})
     stretches = keyed.select("d_", "th_", text).mapInArrow(lambda b: _stretched(b, length), "key long, d long, high long, place long, again boolean")
