@@ -46,7 +46,7 @@ def light_batches(spark: SparkSession, most: str = "8m") -> None:
     """Have Arrow batches end at ``most`` bytes, unless the session states a size of its own.
 
     By default a batch holds up to 64 MB of texts, which both the executor and its Python worker keep, per task. A
-    longer text is a batch of its own; how rows are cut into batches changes no result.
+    longer text is a batch of its own; how rows are cut into batches changes no row that an operator returns for them, but for the order in which models see rows.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
