@@ -165,3 +165,22 @@ def provider(provider_id: Column, labels: Column) -> Column:
 def region(labels: Column) -> Column:
     """The first non-empty of the two region labels."""
     return filled(*[F.try_element_at(labels, F.lit(k)) for k in ("topology.kubernetes.io/region", "failure-domain.beta.kubernetes.io/region")])
+
+
+def weight(value: Column, order: tuple[str, ...]) -> Column:
+    """0 for the last name of ``order``, one more for each before it, -1 for any other value and null."""
+    return F.lit(len(order) - 1) - ranked(value, order, len(order))
+
+
+def label(value: Column, order: tuple[str, ...]) -> Column:
+    """One of the names of ``order`` however it is written (case, blanks around it, without underscores); other texts as they are."""
+    told = F.lower(F.trim(value))
+    for name in order:
+        value = F.when(told.isin(name, name.replace("_", "")), name).otherwise(value)
+    return value
+
+
+def split_ref(ref: Column) -> tuple[Column, Column]:
+    """Namespace and name of "namespace/name", cut at the first slash; a null namespace without one."""
+    at = F.locate("/", ref)
+    return F.when(at > 0, F.substring(ref, F.lit(1), at - 1)), F.when(at > 0, F.substring(ref, at + 1, F.length(ref))).otherwise(ref)

@@ -97,3 +97,16 @@ def outages(in_use: DataFrame, scanned: DataFrame, key: list[str], cycle: str) -
     both = in_use.select(*key, cycle, F.lit(False).alias("scan_")).unionByName(scanned.select(*key, cycle, F.lit(True).alias("scan_")))
     rows = both.groupBy(*key, cycle).agg((~F.bool_or("scan_")).alias("gap_"), F.bool_or(~F.col("scan_")).alias("use_")).where("use_")
     return streaks(rows, key, cycle, "gap_").where("gap_").select(*key, cycle, F.col("streak").cast("long").alias("streak"))
+
+
+def active_namespaces(namespaces: DataFrame, seen: DataFrame, cycles: DataFrame) -> DataFrame:
+    """``namespaces`` with active: a complete snapshot of a cluster puts those that it does not name out of use.
+
+    ``seen`` (cluster_id, ns_name) are namespaces with an item of their own or a workload; ``cycles`` (cluster_id,
+    complete). Without a complete snapshot what was active stays so; what is seen is active.
+    """
+    here = seen.select("cluster_id", "ns_name").distinct().withColumn("seen_", F.lit(True))
+    whole = cycles.groupBy("cluster_id").agg(F.bool_or("complete").alias("whole_"))
+    out = namespaces.join(here, ["cluster_id", "ns_name"], "left").join(whole, "cluster_id", "left")
+    still = F.coalesce("seen_", F.lit(False)) | (F.col("active") & ~F.coalesce("whole_", F.lit(False)))
+    return out.withColumn("active", still).drop("seen_", "whole_")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ravelin.functions.scalars import BANDS, contains_folded
@@ -35,6 +36,17 @@ def image_order() -> list[Column]:
     return [F.desc("deployed"), *[F.desc(b) for b in BANDS], F.asc_nulls_last("cluster_name")]
 
 
+def shown_image(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Of each workload's image rows the one that ``wanted`` picks, else the first in ``image_order``."""
+    first = [F.desc(F.coalesce(wanted, F.lit(False)))] if wanted is not None else []
+    place = F.row_number().over(W.partitionBy("wl_id").orderBy(*first, *image_order(), "image_id"))
+    return rows.withColumn("place_", place).where("place_ = 1").drop("place_")
+
+
+def namespace_order() -> list[Column]:
+    return [F.desc("active"), F.asc("ns_name")]
+
+
 def namespace_counts(namespaces: DataFrame, workloads: DataFrame, clusters: DataFrame) -> DataFrame:
     """Of each cluster: its namespaces, those with a deployed workload, and the exposed ones among these."""
     live = workloads.where("deployed").select("ns_id").distinct().withColumn("live", F.lit(True))
@@ -70,6 +82,28 @@ def searched(rows: DataFrame, equal: dict | None = None, like: dict | None = Non
     return rows
 
 
+def listed(rows: DataFrame, exact: dict | None = None, member: dict | None = None, part: dict | None = None) -> DataFrame:
+    """Rows whose columns equal a text, hold it in a list with commas, or contain it whatever the case; empty texts ask nothing."""
+    for name, value in (exact or {}).items():
+        rows = rows.where(F.col(name) == value) if value else rows
+    for name, value in (member or {}).items():
+        rows = rows.where(F.array_contains(F.split(name, ","), value)) if value else rows
+    for name, value in (part or {}).items():
+        rows = rows.where(contains_folded(F.col(name), value)) if value else rows
+    return rows
+
+
+def scoped(rows: DataFrame, cluster: str | None = None, namespace: str | None = None, kind: str | None = None, name: str | None = None) -> DataFrame:
+    """What lies within a cluster, a namespace, a kind of workload or one workload; what is None does not narrow."""
+    return searched(rows, {"cluster_name": cluster, "ns_name": namespace, "kind": kind, "wl_name": name})
+
+
+def finding_details(findings: DataFrame, images: DataFrame) -> DataFrame:
+    """Findings with the names that their keys stand for; a finding whose image is not known keeps a null there."""
+    columns = ("category", "vuln_id", "severity", "band", "fixed_version", "kev_listed", "wl_id", "wl_name", "kind", "ns_name", "cluster_name", "env")
+    return findings.join(images.select("image_id", "image_ref"), "image_id", "left").select(*columns, "image_id", "image_ref")
+
+
 def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 25) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
