@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ravelin.llm import chat_format, co_training, decontaminate, language_id, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
+from ravelin.llm import chat_format, co_training, decontaminate, filter_audit, language_id, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_pseudo_likelihood": pseudo_likelihood.op10_pseudo_likelihood,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_sketch_join": sketch_join.OP3_SQL,
         "op5_chat_format": chat_format.OP5_SQL,
         "op9_suffix_dedup": suffix_dedup.OP9_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
     }
