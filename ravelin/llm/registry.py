@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ravelin.llm import chat_format, co_training, decontaminate, filter_audit, language_id, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
+from ravelin.llm import chat_format, co_training, decontaminate, filter_audit, language_id, periodic_runs, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_pseudo_likelihood": pseudo_likelihood.op10_pseudo_likelihood,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": chat_format.OP5_SQL,
         "op9_suffix_dedup": suffix_dedup.OP9_SQL,
         "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_periodic_runs": periodic_runs.OP12_SQL,
     }
