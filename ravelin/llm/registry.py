@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ravelin.llm import chat_format, co_training, decontaminate, filter_audit, language_id, periodic_runs, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup
+from ravelin.llm import chat_format, co_training, decontaminate, filter_audit, language_id, periodic_runs, piece_codec, pseudo_likelihood, pseudonyms, quality_trees, sketch_join, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_pseudo_likelihood": pseudo_likelihood.op10_pseudo_likelihood,
         "op11_filter_audit": filter_audit.op11_filter_audit,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_toxicity": toxicity.op13_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
