@@ -17,10 +17,17 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import table, without
 
 ROUNDS = 8
+#: E-mail names of at most 16 letters and digits of ASCII, which are permuted among all with as many.
+NAME = r"^(?=[._%+-]*(?:[0-9A-Za-z][._%+-]*){1,16}$).{1,64}$"
+LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Of other names digests have so many characters at least, so that short ones do not become one.
+NAME_LENGTH = 12
+Key = str | Column
 #: A host has at most 127 labels of 63 characters, which also bounds how deep the matcher goes.
 EMAIL = r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,24}"
 SECRET = r"[0-9a-f]{32,64}+(?![0-9A-Za-z])|[0-9A-F]{32,64}+(?![0-9A-Za-z])"
-DATE = r"\d{4}-\d{2}-\d{2}(?![\w-])|\d{1,2}[./]\d{1,2}[./]\d{4}(?!\w|[./]\d)"
+#: A date may be the first part of a timestamp.
+DATE = r"\d{4}-\d{2}-\d{2}(?:(?=T\d)|(?![\w-]))|\d{1,2}[./]\d{1,2}[./]\d{4}(?!\w|[./]\d)"
 ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 SOCIAL = r"\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"\d(?:[ -]?\d){12,18}+(?![\d])"
@@ -48,12 +55,16 @@ CODES = "1|7|20|27|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 DOUBLED = "0246813579"
 
 
-def _drawn(key: str, *what: Column) -> Column:
+def _column(key: Key) -> Column:
+    return key if isinstance(key, Column) else F.lit(key)
+
+
+def _drawn(key: Key, *what: Column) -> Column:
     """A keyed pseudorandom number of 60 bits."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[w.cast("string") for w in what]), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", _column(key), *[w.cast("string") for w in what]), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: str, kind: str, rounds: int = ROUNDS) -> Column:
+def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: Key, kind: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of the pairs (left, right) with 0 <= left < sizes[0] and 0 <= right < sizes[1]."""
     a, b = (s.cast("long") for s in sizes)
 
@@ -67,7 +78,7 @@ def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: str,
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), one)
 
 
-def permuted_digits(digits: Column, key: str, kind: str) -> Column:
+def permuted_digits(digits: Column, key: Key, kind: str) -> Column:
     """A string of 2 to 36 digits, permuted among the strings of its length."""
     n = F.length(digits)
     half = (n / 2).cast("int")
@@ -97,13 +108,13 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def _card(value: Column, key: str) -> Column:
+def _card(value: Column, key: Key) -> Column:
     body = F.transform(F.array(_digits(value)), lambda d: permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"))[0]
     full = F.transform(F.array(body), lambda d: F.concat(d, F.pmod(F.lit(10) - luhn_sum(F.concat(d, F.lit("0"))) % 10, F.lit(10)).cast("string")))[0]
     return _put_back(value, full)
 
 
-def _address(value: Column, key: str) -> Column:
+def _address(value: Column, key: Key) -> Column:
     octets = F.split(value, r"\.").cast("array<long>")
     pair = feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], (F.lit(65536), F.lit(65536)), key, "address")
     four = lambda p: F.concat_ws(".", (p["l"] / 256).cast("int"), p["l"] % 256, (p["r"] / 256).cast("int"), p["r"] % 256)
@@ -118,7 +129,7 @@ def _day(value: Column) -> Column:
     return F.coalesce(iso, read(1, 0), read(0, 1))
 
 
-def _date(value: Column, key: str) -> Column:
+def _date(value: Column, key: Key) -> Column:
     """Another day, written in the same order, with the same marks, and with leading zeros unless the date does without."""
     at = F.datediff(_day(value), F.lit(FIRST_DAY).cast("date")).cast("long")
     a, b = CYCLE
@@ -140,7 +151,7 @@ def _in_cycle(day: Column) -> Column:
     return day.isNotNull() & (at >= 0) & (at < CYCLE[0] * CYCLE[1])
 
 
-def _phone(value: Column, key: str) -> Column:
+def _phone(value: Column, key: Key) -> Column:
     """The calling code stays; the other digits are permuted, wherever blanks and brackets stand."""
     digits = _digits(value)
     code = F.when(value.startswith("+"), F.regexp_extract(digits, rf"^(?:{CODES}|\d{{3}})", 0)).otherwise("")
@@ -148,7 +159,7 @@ def _phone(value: Column, key: str) -> Column:
     return _put_back(value, full)
 
 
-def _social(value: Column, key: str) -> Column:
+def _social(value: Column, key: Key) -> Column:
     """A permutation of the valid numbers: 666 is no area and is left out when areas are counted."""
     area, group, serial = (F.substring(value, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
     area = area - F.when(area < 666, 1).otherwise(2)
@@ -162,13 +173,35 @@ def _social(value: Column, key: str) -> Column:
     return F.transform(F.array(pair), written)[0]
 
 
-def _hidden(value: Column, key: str, kind: str) -> Column:
-    """A keyed digest as long as ``value`` (up to 128 characters, repeated beyond)."""
-    n = F.length(value)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), value), 512)
+def _hidden(value: Column, key: Key, kind: str, least: int = 0) -> Column:
+    """A keyed digest as long as ``value``, at least ``least`` characters (up to 128, repeated beyond)."""
+    n = F.greatest(F.length(value), F.lit(least))
+    digest = F.sha2(F.concat_ws("|", _column(key), F.lit(kind), value), 512)
     return F.substring(F.repeat(digest, F.ceil(n / 128).cast("int")), F.lit(1), n)
 
 
+def _name(value: Column, key: Key) -> Column:
+    """An e-mail name with its letters and digits permuted among all strings of as many, other characters in place."""
+    let = lambda x, f: F.transform(F.array(x), f)[0]
+    bare = lambda x: F.regexp_replace(x, "[^0-9A-Za-z]", "")
+    power = lambda k: F.pow(F.lit(float(len(LETTERS))), k).cast("long")  # noqa: E731 - exact up to the eighth
+    places = lambda n: F.filter(F.sequence(F.lit(1), F.lit(8)), lambda i: i <= n)
+    number = lambda x: F.aggregate(places(F.length(x)), F.lit(0).cast("long"), lambda a, i: a * len(LETTERS) + F.position(F.substring(x, i, F.lit(1)), F.lit(LETTERS)) - 1)
+    letters = lambda x, n: F.array_join(F.transform(places(n), lambda i: F.substring(F.lit(LETTERS), (F.floor(x / power(n - i)) % len(LETTERS) + 1).cast("int"), F.lit(1))), "")
+
+    def permuted(own: Column) -> Column:
+        n = F.length(own)
+        half = (n / 2).cast("int")
+        pair = feistel(number(F.substring(own, F.lit(1), half)), number(F.substring(own, half + 1, n - half)), (power(half), power(n - half)), key, "email")
+        return let(pair, lambda p: F.concat(letters(p["l"], half), letters(p["r"], n - half)))
+
+    def written(new: Column) -> Column:
+        at = lambda i: F.substring(value, i, F.lit(1))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(at(i).rlike("[0-9A-Za-z]"), F.substring(new, F.length(bare(F.substring(value, F.lit(1), i))), F.lit(1))).otherwise(at(i))), "")
+
+    return F.when(value.rlike(NAME), let(let(bare(value), permuted), written)).otherwise(_hidden(value, key, "email", NAME_LENGTH))
+
+
 def _checked(digits: Column) -> Column:
     """Whether the last digit is the right check digit of the others, and not all are zero."""
     return (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$")
@@ -234,12 +267,12 @@ def kind_of(value: Column) -> Column:
     )[0]
 
 
-def pseudonym(value: Column, kind: Column, key: str) -> Column:
+def pseudonym(value: Column, kind: Column, key: Key) -> Column:
     """The pseudonym of a find of this kind; the value itself where the kind is null."""
     name = F.substring_index(value, "@", 1)
     secret = F.transform(F.array(_hidden(value, key, "secret")), lambda h: F.when(value.rlike("[A-F]"), F.upper(h)).otherwise(h))[0]
     return (
-        F.when(kind == "email", F.concat(_hidden(name, key, "email"), F.substring(value, F.length(name) + 1, F.length(value))))
+        F.when(kind == "email", F.concat(_name(name, key), F.substring(value, F.length(name) + 1, F.length(value))))
         .when(kind == "secret", secret)
         .when(kind == "date", _date(value, key))
         .when(kind == "address", _address(value, key))
@@ -258,27 +291,36 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", finds: str = "fi
     with points or strokes, read month first only where the other order gives no date. One day has one pseudonym
     day, written as the date was. Addresses pass if each part is at most 255, social security numbers without a
     void group, phone numbers with 7 to 15 digits; one number has one pseudonym however it is grouped, and keeps
-    its calling code. E-mail names and hexadecimal secrets, which have no numeric format, become keyed digests of
-    their length; of a host, the first 127 labels are looked at.
+    its calling code. E-mail names keep their marks and have their letters and digits permuted, up to 16 of ASCII; longer
+    or other names become keyed digests of at least 12 characters, and hexadecimal secrets digests of their length. Of a
+    host, the first 127 labels are looked at. The
+    date of a timestamp (2024-03-05T12:00) is a find, its time is not. Not looked for, and so left as they are: dates
+    with two-digit years, with dashes in another order or with names of months, phone numbers without a calling code
+    or an area in brackets, IPv6 addresses, hosts with letters beyond ASCII, and account numbers.
 
     A null text stays null and an empty one empty, without finds. One row per input row, in place, so ties, repeated
-    rows and null ids need no rule; other columns are kept, one named like ``finds`` is replaced. No shuffle. An empty
-    key is refused: who has the key can undo the permutations.
+    rows and null ids need no rule; other columns are kept, one named like ``finds`` is replaced. No shuffle. Whole
+    texts are read; a very long one is worked on alone, in one row. An empty key is refused: who has the key can undo
+    the permutations. It comes from a table of one row, sent to the tasks, so no plan or log of plans holds it.
     """
     if not key:
         raise ValueError("pseudonyms need a key")
     docs = without(docs, finds)
-    t = F.col(text)
+    name = "key_"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    order = docs.columns
+    docs = docs.crossJoin(F.broadcast(docs.sparkSession.createDataFrame([(key,)], f"{name} string")))  # one row
+    key, t = F.col(name), F.col(text)
     found = F.when(t.rlike(GUARD), F.regexp_extract_all(t, F.lit(FINDS), F.lit(0))).otherwise(F.array().cast("array<string>"))
     run = lambda v: v.rlike(r"^\d(?:[ -]?\d){12,}+$") & ~v.rlike(rf"^(?:{SECRET})$")
     kinds = lambda v: F.when(run(v), F.transform(card_pieces(v), lambda p: F.struct(F.when(p["card"], "card").alias("kind"), p["value"].alias("value")))).otherwise(F.array(F.struct(kind_of(v).alias("kind"), v.alias("value"))))
     known = F.transform(F.transform("found_", kinds), lambda pieces: F.transform(pieces, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))))
     written = F.array_join(F.zip_with(F.split(t, FINDS, -1), "known_", lambda gap, x: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(F.array_join(x["pseudonym"], ""), F.lit("")))), "")
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in order if c != text]
     docs = docs.select("*", F.coalesce(found, F.array().cast("array<string>")).alias("found_"))
     docs = docs.select("*", known.alias("known_"))
     columns = {c: F.col(c) for c in rest} | {text: F.when(F.size("known_") > 0, written).otherwise(t)}
-    order = [c for c in docs.columns if c not in ("found_", "known_")]
     return docs.select(*[columns[c].alias(c) for c in order], F.filter(F.flatten("known_"), lambda x: x["kind"].isNotNull()).alias(finds))
 
 

@@ -100,16 +100,29 @@ def kind_of(value):
     return "phone" if 7 <= len(d) <= 15 else None
 
 
-def hidden(value, key, kind):
+def hidden(value, key, kind, least=0):
     digest = hashlib.sha512("|".join((key, kind, value)).encode()).hexdigest()
-    return (digest * (len(value) // 128 + 1))[: len(value)]
+    n = max(len(value), least)
+    return (digest * (n // 128 + 1))[:n]
+
+
+def email_name(name, key):
+    own = "".join(c for c in name if c in P.LETTERS)
+    if not 1 <= len(own) <= 16 or len(name) > 64 or set(name) - set(P.LETTERS + "._%+-"):
+        return hidden(name, key, "email", 12)
+    half = len(own) // 2
+    number = lambda x: sum(P.LETTERS.index(c) * 62**k for k, c in enumerate(reversed(x)))
+    text = lambda x, n: "".join(P.LETTERS[x // 62**k % 62] for k in reversed(range(n)))
+    left, right = feistel(number(own[:half]), number(own[half:]), 62**half, 62 ** (len(own) - half), key, "email")
+    new = iter(text(left, half) + text(right, len(own) - half))
+    return "".join(next(new) if c in P.LETTERS else c for c in name)
 
 
 def pseudonym(value, kind, key):
     d = digits_of(value)
     if kind == "email":
         name, host = value.split("@", 1)
-        return hidden(name, key, "email") + "@" + host
+        return email_name(name, key) + "@" + host
     if kind == "secret":
         new = hidden(value, key, "secret")
         return new.upper() if regex.search("[A-F]", value) else new

@@ -400,6 +400,29 @@ def test_pseudonyms_stay_valid_and_linked(spark):
         pseudonyms.pseudonymise(social, "")
 
 
+def test_pseudonyms_of_timestamps_and_short_names(spark):
+    letters = [chr(97 + k) for k in range(26)]
+    texts = ["at 2024-03-05T12:00:00Z, 2024-03-05 12:00 and on 2024-03-05.", "2024-03-05Tx 2024-13-05T1 x2024-03-05T1", " ".join(f"{x}@a.org" for x in letters)]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    assert [f.kind for f in rows[0].finds] == ["date"] * 3 and len({f.pseudonym for f in rows[0].finds}) == 1
+    assert rows[0].text == texts[0].replace("2024-03-05", rows[0].finds[0].pseudonym) != texts[0]
+    assert not rows[1].finds and rows[1].text == texts[1]
+    assert len({f.pseudonym for f in rows[2].finds}) == 26
+    names = [f"{x}{y}" for x in letters for y in letters] + ["ann.lee", "Ann.Lee", "a.nnlee", "..x..", "0123456789abcdef", "0123456789abcdefg", "ünal", "u" * 65, "_+-%", "Z9" * 8]
+    found = pseudonyms.pseudonymise(spark.createDataFrame([(f"{x}@b.org",) for x in names], "text string"), "key").collect()
+    new = [f.finds[0].pseudonym.split("@")[0] for f in found]
+    assert new == [plain_pseudonyms.email_name(x, "key") for x in names] and len(set(new)) == len(names)
+
+
+def test_no_plan_holds_the_key(spark, real):
+    secret = "0123-a-key-that-no-plan-may-hold"
+    found = pseudonyms.pseudonymise(real, secret)
+    found.count()
+    assert secret not in found._jdf.queryExecution().toString()
+    clash = pseudonyms.pseudonymise(real.selectExpr("text", "1 AS key_", "2 AS KEY__"), secret)
+    assert clash.columns == ["text", "key_", "KEY__", "finds"] and clash.where("key_ = 1 AND KEY__ = 2").count() == real.count()
+
+
 def test_pseudonyms_of_very_long_texts(spark):
     texts = ["1 a@b" + ".c" * 100_000, "mail a@b" + ".com" * 100_000, "9" * 300_000, "1-" * 100_000, "a@" * 50_000, "+12 " * 50_000, "7 " * 20_000]
     rows = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
