@@ -64,3 +64,29 @@ def series(snapshots: DataFrame, as_of: Column, days: int, keep_days: int = 365,
 def series_arrays(long: DataFrame, key: str, value: str, at: str) -> DataFrame:
     """One row per key with its values in the order of time, ready for a chart."""
     return long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(at, value))).alias("s_")).select(key, F.col(f"s_.{at}").alias("at"), F.col(f"s_.{value}").alias("values"))
+
+
+def aligned(rows: DataFrame, scope: list[str], key: str, keys: tuple[str, ...], at: str, value: str, since: Column, until: Column, step: str) -> DataFrame:
+    """Of each scope and key in ``keys`` the sums of ``value`` at every point of time from ``since`` to ``until``, zeros included.
+
+    Long form (scope, key, at, value). Scopes are those that ``rows`` names at all, whatever the time; rows of other keys
+    or times add nothing. All series of a scope have the same points, so ``series_arrays`` gives arrays of one length.
+    """
+    grid = F.explode(F.sequence(since, until, F.expr(f"INTERVAL {step}"))).alias(at)
+    spine = rows.select(*scope).distinct().select("*", grid).select("*", F.explode(F.array(*[F.lit(k) for k in keys])).alias(key))
+    sums = rows.groupBy(*scope, key, at).agg(F.sum(value).alias(value))
+    return spine.join(sums, [*scope, key, at], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+
+
+def in_scope(rows: DataFrame, cluster: str | None = None, namespace: str | None = None, workload: int | None = None) -> DataFrame:
+    """Rows of one scope; a namespace needs its cluster, as its name alone is not unique."""
+    if namespace is not None and cluster is None:
+        raise ValueError("a namespace is named within a cluster")
+    for name, wanted in (("cluster_name", cluster), ("ns_name", namespace), ("wl_id", workload)):
+        rows = rows if wanted is None else rows.where(F.col(name) == wanted)
+    return rows
+
+
+def window_days(asked: int | None, keep_days: int = 365, usual: int = 90) -> int:
+    """How many days a series reaches back: as asked, at least one and at most what is kept."""
+    return max(1, min(asked or usual, keep_days))

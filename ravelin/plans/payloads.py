@@ -89,3 +89,15 @@ def kev_documents(spark: SparkSession, d: str) -> DataFrame:
     item = F.expr("named_struct('cveID', CASE WHEN p_partkey % 11 = 0 THEN '' ELSE concat('CVE-', p_partkey % 500) END, 'dateAdded', CASE WHEN p_size > 40 THEN 'soon' ELSE concat('2024-01-', lpad(cast(p_size % 28 + 1 AS string), 2, '0')) END, 'shortDescription', CASE WHEN p_size % 2 = 0 THEN p_brand END)")
     rows = spark.read.parquet(f"{d}/part.parquet").groupBy("p_brand").agg(F.collect_list(item).alias("vulnerabilities")).select(F.to_json(F.struct("vulnerabilities")).alias("value"))
     return rows.unionByName(spark.createDataFrame([("{not json",)], "value string"))
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of import cycles, one per order: phase and value, of which some lack what they need or cannot be read."""
+    cluster = """CASE o_orderkey % 17 WHEN 2 THEN '' WHEN 3 THEN '"cluster":5,' ELSE concat('"cluster":" c', o_custkey % 5, '",') END"""
+    kind = """CASE o_orderkey % 17 WHEN 4 THEN '"kind":"  ",' ELSE '"kind":"inventory",' END"""
+    number = """CASE o_orderkey % 17 WHEN 5 THEN '"import_id":null,' ELSE concat('"import_id":"i', o_custkey % 50, '",') END"""
+    payload = """CASE o_orderkey % 17 WHEN 6 THEN '' WHEN 7 THEN '"payload":null,' WHEN 9 THEN '"payload":[1],"complete_snapshot":true,' WHEN 10 THEN '"payload":{"complete_snapshot":true},' WHEN 11 THEN '"payload":{"a":[]},"complete_snapshot":1,' ELSE '"payload":{"complete_snapshot":0},' END"""
+    count = """CASE o_orderkey % 17 WHEN 8 THEN '"more":1' WHEN 12 THEN '"observed_count":"x"' WHEN 14 THEN '"observed_count":"7"' ELSE concat('"observed_count":', o_orderkey % 9) END"""
+    value = f"CASE o_orderkey % 17 WHEN 0 THEN '{{not json' WHEN 1 THEN '[1]' WHEN 13 THEN NULL ELSE concat('{{', {cluster}, {kind}, {number}, {payload}, {count}, '}}') END"
+    phase = "CASE o_orderkey % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'item' ELSE 'finish' END"
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(phase).alias("phase"), F.expr(value).alias("value"))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions import signals as G
-from ravelin.operators import cycle, findings
+from ravelin.functions.scalars import SEVERITIES
+from ravelin.operators import cycle, findings, marks, snapshots
+from ravelin.panels import _CYCLES, _queue
 from ravelin.plans import lens, payloads
-from ravelin.queries import KEY, _at, register
-from ravelin.sources import reports
+from ravelin.queries import KEY, _at, _banded, register
+from ravelin.sources import envelopes, reports
 from ravelin.sources.feeds import shared_folder
 from ravelin.sources.versions import Versions
 
@@ -142,3 +145,60 @@ def stored_images(spark, d):
         commit.merge("images", rows.select(*IMAGE, F.lit(told).alias("told")).where("digest <> ''"), ("digest",), cycle.merged_images)
         commit.publish()
     return store.read("images")
+
+
+_REQUESTS = """WITH request AS (SELECT *, o_orderkey % 17 AS k, CASE o_orderkey % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'item' ELSE 'finish' END AS phase, 'c' || (o_custkey % 5) AS cluster, 'i' || (o_custkey % 50) AS import_id FROM orders),
+    told AS (SELECT *, CASE WHEN k IN (0, 1, 13) THEN 'unreadable' WHEN k = 3 THEN 'malformed' WHEN k = 2 THEN 'cluster is required' WHEN k IN (4, 5) THEN 'kind and import_id are required' WHEN phase = 'finish' AND k = 8 THEN 'observed_count is required'
+      WHEN phase = 'finish' AND k = 12 THEN 'malformed' WHEN phase = 'item' AND k IN (6, 7) THEN 'payload is required' END AS first_reason FROM request),
+    judged AS (SELECT *, CASE WHEN first_reason IS NULL AND phase = 'finish' AND NOT EXISTS (SELECT 1 FROM told s WHERE s.phase = 'start' AND s.first_reason IS NULL AND s.cluster = t.cluster AND s.import_id = t.import_id) THEN 'not started' ELSE first_reason END AS reason FROM told t)
+"""
+
+
+def _judged(spark, d):
+    return envelopes.started(envelopes.judged(payloads.requests(spark, d)))
+
+
+@register(_REQUESTS + "SELECT o_orderkey, phase, cluster, 'inventory' AS kind, import_id, CASE WHEN phase = 'finish' THEN CASE k WHEN 14 THEN 7 ELSE o_orderkey % 9 END END AS observed_count, k IN (10, 11) AS complete_snapshot FROM judged WHERE reason IS NULL", on_lens=False)
+def requests_accepted(spark, d):
+    """Requests that start and finish cycles and bring items, as far as nothing is wrong with them."""
+    rows, _ = envelopes.split(_judged(spark, d))
+    return rows.select("o_orderkey", "phase", "cluster", "kind", "import_id", "observed_count", "complete_snapshot")
+
+
+@register(_REQUESTS + "SELECT phase, reason, count(*) AS n, count(*) FILTER (WHERE k <> 13) AS texts FROM judged WHERE reason IS NOT NULL GROUP BY phase, reason", on_lens=False)
+def requests_refused(spark, d):
+    """Why the other requests are refused."""
+    _, rows = envelopes.split(_judged(spark, d))
+    return rows.groupBy("phase", "reason").agg(F.count("*").alias("n"), F.count("value").alias("texts"))
+
+
+@register(_CYCLES + """, waits AS (SELECT DISTINCT c.cluster_id, q.kind, q.import_id FROM queue q JOIN cluster c USING (cluster_name) WHERE q.status IN ('pending', 'processing'))
+    SELECT m.cluster_id, m.kind, m.import_id, CASE WHEN m.state = 'draining' AND w.cluster_id IS NULL THEN 'reaped' ELSE m.state END AS state, CASE WHEN m.state = 'draining' AND w.cluster_id IS NULL THEN 1 ELSE 0 END AS effects
+    FROM mark m LEFT JOIN waits w ON w.cluster_id = m.cluster_id AND w.kind = m.kind AND w.import_id = m.import_id""", on_lens=False)
+def marks_reaped_once(spark, d):
+    """Marks after three sweeps, two of them at once: each drained one is reaped, and acted on once."""
+    queue, own, clusters = _queue(spark, d)
+    store = Versions(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+
+    def effect(commit, rows):
+        commit.merge("effects", rows.withColumn("n", F.lit(1)), tuple(marks.TUPLE), lambda old, new: old.unionByName(new))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda name: marks.reap_drained(store, own, queue, clusters, name, effect), ("one", "two")))
+    marks.reap_drained(store, own, queue, clusters, "three", effect)
+    acted = store.read("effects").groupBy(*marks.TUPLE).agg(F.sum("n").cast("int").alias("effects"))
+    return marks.flipped(own, store.read("reaped")).join(acted, marks.TUPLE, "left").withColumn("effects", F.coalesce("effects", F.lit(0)))
+
+
+@register(""", point AS (SELECT unnest(generate_series(TIMESTAMP '1998-06-01', TIMESTAMP '2002-06-01', INTERVAL 1 MONTH)) AS month),
+    scope AS (SELECT DISTINCT cluster_name, ns_name FROM banded WHERE cluster_name = 'ASIA'), kind AS (SELECT unnest(['critical', 'high', 'medium', 'low', 'info', 'unknown']) AS severity),
+    counted AS (SELECT cluster_name, ns_name, severity, CAST(date_trunc('month', last_seen) AS TIMESTAMP) AS month, count(*) AS n FROM banded GROUP BY ALL)
+    SELECT s.cluster_name, s.ns_name, k.severity, string_agg(coalesce(c.n, 0), ',' ORDER BY a.month) AS counts, count(*) AS points, min(a.month) AS since
+    FROM scope s CROSS JOIN kind k CROSS JOIN point a LEFT JOIN counted c ON c.cluster_name = s.cluster_name AND c.ns_name = s.ns_name AND c.severity = k.severity AND c.month = a.month GROUP BY s.cluster_name, s.ns_name, k.severity""")
+def series_aligned(spark, d):
+    """Series of one cluster's namespaces, of one length each, with zeros where a month has nothing."""
+    rows = snapshots.in_scope(_banded(spark, d), cluster="ASIA").groupBy("cluster_name", "ns_name", "severity", F.date_trunc("month", "last_seen").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
+    long = snapshots.aligned(rows, ["cluster_name", "ns_name"], "severity", SEVERITIES, "month", "n", _at("1998-06-01"), _at("2002-06-01"), "1 month")
+    long = long.withColumn("scope_", F.struct("cluster_name", "ns_name", "severity"))
+    out = snapshots.series_arrays(long, "scope_", "n", "month")
+    return out.select("scope_.*", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("counts"), F.size("values").cast("long").alias("points"), F.element_at("at", 1).alias("since"))
