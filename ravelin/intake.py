@@ -64,13 +64,24 @@ def parse_policy_reports(spark, d):
     return reports.policy_rows(payloads.policies(spark, d))
 
 
-@register(f"""SELECT category, severity, count(*) AS n, count(DISTINCT title) AS titles FROM (
-    SELECT 'vulnerability' AS category, {payloads.SEVERITY_SQL} AS severity, CASE WHEN l_linenumber % 2 = 0 THEN 'T' || l_partkey ELSE 'CVE-' || (l_partkey % 300) END AS title FROM lineitem
-    UNION ALL SELECT 'config', {payloads.SEVERITY_SQL}, CASE WHEN l_linenumber % 2 = 0 THEN left(repeat('t' || l_partkey, 200), 512) ELSE {_CHECK} END FROM lineitem WHERE l_linenumber % 3 <> 0 OR l_linestatus <> 'F'
-    UNION ALL SELECT 'exposed-secret', {payloads.SEVERITY_SQL}, CASE WHEN l_linenumber % 2 = 0 THEN 'Key ' || l_suppkey ELSE 'rule-' || (l_partkey % 9) END FROM lineitem) GROUP BY category, severity""", on_lens=False)
+_FAILED = f"""SELECT {payloads.SEVERITY_SQL} AS severity, CASE WHEN l_linenumber % 2 = 0 THEN left(repeat('t' || l_partkey, 200), 512) ELSE {_CHECK} END AS title FROM lineitem WHERE l_linenumber % 3 <> 0 OR l_linestatus <> 'F'"""
+_CHECK_KINDS = {"trivy.ConfigAuditReport": "config", "trivy.RbacAssessmentReport": "rbac", "trivy.ClusterRbacAssessmentReport": "rbac", "trivy.InfraAssessmentReport": "compliance", "trivy.ClusterComplianceReport": "compliance"}
+
+
+@register(f"""WITH failed AS ({_FAILED}), policy AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'high' ELSE 'medium' END AS severity, CASE l_partkey % 3 WHEN 0 THEN 'disallow-privileged-containers' WHEN 1 THEN 'disallow-host-path' ELSE 'own-policy' END || CASE WHEN l_linenumber % 2 = 0 THEN '/rule1' ELSE '' END AS title
+      FROM lineitem, (VALUES (1), (2)) twice(k) WHERE l_returnflag <> 'R' AND (k = 1 OR l_linenumber % 3 = 1))
+    SELECT scan_kind, category, severity, count(*) AS n, count(DISTINCT title) AS titles FROM (
+    SELECT 'trivy.VulnerabilityReport' AS scan_kind, 'vulnerability' AS category, {payloads.SEVERITY_SQL} AS severity, CASE WHEN l_linenumber % 2 = 0 THEN 'T' || l_partkey ELSE 'CVE-' || (l_partkey % 300) END AS title FROM lineitem
+    UNION ALL SELECT kind, category, severity, title FROM failed, (VALUES {", ".join(str(x) for x in _CHECK_KINDS.items())}) v(kind, category)
+    UNION ALL SELECT kind, 'policy', severity, title FROM policy, (VALUES ('kyverno.PolicyReport'), ('kyverno.ClusterPolicyReport')) v(kind)
+    UNION ALL SELECT 'trivy.ExposedSecretReport', 'exposed-secret', {payloads.SEVERITY_SQL}, CASE WHEN l_linenumber % 2 = 0 THEN 'Key ' || l_suppkey ELSE 'rule-' || (l_partkey % 9) END FROM lineitem) GROUP BY ALL""", on_lens=False)
 def scan_kinds_union(spark, d):
-    rows = reports.scan_facts(payloads.vulnerabilities(spark, d), payloads.checks(spark, d), payloads.secrets(spark, d))
-    return rows.groupBy("category", "severity").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
+    """All nine kinds of scans as one table, counted."""
+    checks = payloads.checks(spark, d)
+    by_kind = {k: checks for k in _CHECK_KINDS} | {"trivy.VulnerabilityReport": payloads.vulnerabilities(spark, d), "trivy.ExposedSecretReport": payloads.secrets(spark, d)}
+    by_kind |= {k: payloads.policies(spark, d) for k in ("kyverno.PolicyReport", "kyverno.ClusterPolicyReport")} | {"trivy.ClusterRbacAssessmentReport": payloads.checks(spark, d, whole_cluster=True)}
+    rows = reports.scan_facts(by_kind)
+    return rows.groupBy("scan_kind", "category", "severity").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
 
 
 def _inventory(spark, d):
@@ -122,14 +133,16 @@ def inventory_bare_namespaces(spark, d):
     return _inventory(spark, d).bare_namespaces()
 
 
-@register("SELECT 'ns' || n_nationkey AS name, true AS declared, n_name AS team FROM nation", on_lens=False)
+@register("""SELECT 'ns' || n_nationkey AS name, true AS declared, n_name AS team FROM nation WHERE n_nationkey % 6 <> 5
+    UNION ALL SELECT DISTINCT 'ns' || s_nationkey, false, NULL FROM supplier WHERE s_nationkey % 6 = 5""", on_lens=False)
 def inventory_namespaces(spark, d):
     """Namespace items, and the namespaces that workloads imply."""
     return _inventory(spark, d).all_namespaces().select("name", "declared", F.col("labels")["team"].alias("team"))
 
 
-@register("SELECT count(*) AS n FROM supplier WHERE false", on_lens=False)
+@register("SELECT count(*) AS n FROM customer WHERE c_custkey % 9 < 3", on_lens=False)
 def inventory_unknown_items(spark, d):
+    """Items without a kind or of one not known here, as far as they look like manifests at all."""
     return _inventory(spark, d).unknown()
 
 
@@ -160,14 +173,13 @@ def finding_merge_counts(spark, d):
     return merged.groupBy("category").agg(n("created"), n("updated"), n("kept"), F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("critical"))
 
 
-@register("""SELECT (SELECT count(*) FROM (SELECT wl_id FROM observation GROUP BY wl_id HAVING max(seen_at) >= TIMESTAMP '1998-10-01')) AS deployed,
-    (SELECT count(*) FROM workload WHERE wl_id NOT IN (SELECT wl_id FROM observation WHERE seen_at >= TIMESTAMP '1998-10-01')) AS undeployed,
-    (SELECT count(*) FROM finding WHERE last_seen < TIMESTAMP '1998-10-01' - INTERVAL 30 DAY) AS swept,
-    (SELECT count(*) FROM (SELECT wl_id, image_id FROM observation WHERE seen_at >= TIMESTAMP '1998-10-01' GROUP BY wl_id, image_id)) AS in_use""")
+@register(""", pair AS (SELECT wl_id, image_id, max(seen_at) AS l FROM observation GROUP BY ALL)
+    SELECT (SELECT count(DISTINCT wl_id) FROM observation WHERE seen_at >= TIMESTAMP '2000-10-01') AS deployed,
+    (SELECT count(*) FROM workload WHERE wl_id NOT IN (SELECT wl_id FROM observation WHERE seen_at >= TIMESTAMP '2000-10-01')) AS undeployed,
+    count(*) FILTER (WHERE l >= TIMESTAMP '2000-10-01') AS obs_deployed, count(*) FILTER (WHERE l < TIMESTAMP '2000-10-01') AS obs_undeployed, count(*) FILTER (WHERE l < TIMESTAMP '2000-10-01' - INTERVAL 30 DAY) AS obs_swept FROM pair""")
 def inventory_reap(spark, d):
-    """What the end of an inventory cycle changes, counted."""
-    rows = lens.observations(spark, d)
-    return lifecycle.inventory_reap(lens.workloads(spark, d).select("wl_id"), rows, _folded(spark, d), _at("1998-10-01"))
+    """What the end of a complete inventory cycle changes, counted."""
+    return lifecycle.inventory_reap(lens.workloads(spark, d).select("wl_id"), lens.observations(spark, d), _at("2000-10-01"))
 
 
 @register("""SELECT (SELECT count(*) FROM signal WHERE active) AS active_before, (SELECT count(*) FROM signal WHERE active AND signal_id LIKE 'k%:KSV-%' AND last_seen < TIMESTAMP '2024-01-20') AS signals_cleared, true AS reaped""")
@@ -187,9 +199,9 @@ def scan_outages(spark, d):
     return lifecycle.outages(rows.select("wl_id", "image_id", "cycle"), rows.where("category = 'vulnerability'").select("wl_id", "image_id", "cycle"), ["wl_id", "image_id"], "cycle")
 
 
-@register("SELECT category, vuln_id, wl_id, image_id FROM finding WHERE image_id IN (SELECT image_id FROM observation JOIN workload USING (wl_id) WHERE deployed AND severity = 'critical')")
+@register("SELECT category, vuln_id, wl_id, image_id FROM finding WHERE image_id IN (SELECT image_id FROM observation JOIN workload USING (wl_id) WHERE deployed)")
 def findings_running_image(spark, d):
     from ravelin.operators import views
 
-    use = lens.observations(spark, d).where("severity = 'critical'").join(lens.workloads(spark, d).where("deployed"), "wl_id", "left_semi")
+    use = lens.observations(spark, d).join(lens.workloads(spark, d).where("deployed"), "wl_id", "left_semi")
     return views.running_only(_folded(spark, d), use).select(*KEY)

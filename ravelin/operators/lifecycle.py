@@ -76,13 +76,15 @@ def merged_images(old: DataFrame, inventory: DataFrame, scans: DataFrame) -> Dat
     return long.join(told, "digest", "full").select("digest", F.coalesce("told_", "long_").alias("ref"))
 
 
-def inventory_reap(workloads: DataFrame, observations: DataFrame, findings: DataFrame, started: Column, days: int = 30) -> DataFrame:
-    """The counters of a complete inventory cycle, one row: workloads deployed and not, findings swept, images in use."""
+def inventory_reap(workloads: DataFrame, observations: DataFrame, started: Column, days: int = 30) -> DataFrame:
+    """The counters of a complete inventory cycle, one row: workloads and observed (workload, image) pairs that it leaves
+    in use or not, and among the latter those that go, as they were last seen ``days`` days before it began."""
+    pairs = observations.groupBy("wl_id", "image_id").agg(F.max("seen_at").alias("last_at"))
+    old = F.col("last_at") < started - F.make_dt_interval(F.lit(days))
+    counted = sweep(pairs, "last_at", started).agg(F.count_if("deployed").alias("obs_deployed"), F.count_if(~F.col("deployed")).alias("obs_undeployed"), F.count_if(~F.col("deployed") & old).alias("obs_swept"))
     seen = observations.groupBy("wl_id").agg(F.max("seen_at").alias("last_at"))
     swept = sweep(workloads.join(seen, "wl_id", "left"), "last_at", started).agg(F.count_if("deployed").alias("deployed"), F.count_if(~F.col("deployed")).alias("undeployed"))
-    old = findings.agg(F.count_if(F.col("last_seen") < started - F.make_dt_interval(F.lit(days))).alias("swept"))
-    use = observations.where(F.col("seen_at") >= started).select("wl_id", "image_id").distinct().agg(F.count("*").alias("in_use"))
-    return swept.crossJoin(old).crossJoin(use)  # one row each
+    return swept.crossJoin(counted)  # one row each
 
 
 def scan_reap(signals: DataFrame, marks: DataFrame, held: DataFrame, scope: list[str], started: Column) -> DataFrame:

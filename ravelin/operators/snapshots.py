@@ -6,24 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+IDS = ("cluster_id", "ns_id", "wl_id")
 
-def heartbeat(findings: DataFrame, spine: DataFrame, measures: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Counts of the values of each measure, and in all, for the whole, each cluster, namespace and workload; empty scopes have zeros.
 
-    Findings are counted by workload first; the grouping sets then add up these few rows. Joined to the spine of all
-    scopes. Ids outside a scope are -1.
+def scopes(clusters: DataFrame, namespaces: DataFrame, workloads: DataFrame) -> DataFrame:
+    """(level, cluster_id, ns_id, wl_id): the whole, and every row of the tables given; ids outside a scope are -1.
+
+    The level has a bit for each id summed over: 7 the whole, 3 cluster, 1 namespace, 0 workload.
+    """
+    one = lambda df, level, *ids: df.select(F.lit(level).alias("level"), *[F.col(i).cast("long").alias(i) if i in ids else F.lit(-1).cast("long").alias(i) for i in IDS])
+    whole = clusters.sparkSession.range(1)
+    return one(whole, 7).unionByName(one(clusters, 3, IDS[0])).unionByName(one(namespaces, 1, *IDS[:2])).unionByName(one(workloads, 0, *IDS))
+
+
+def heartbeat(findings: DataFrame, scopes: DataFrame, measures: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Counts of the values of each measure, and in all, for each of ``scopes``; empty ones have zeros.
+
+    Findings without a workload count for their cluster, those without a cluster for the whole. Findings are counted by
+    workload first; the grouping sets then add up these few rows, which are joined to the scopes.
     """
-    ids, names = ("cluster_id", "ns_id", "wl_id"), [v for values in measures.values() for v in values] + ["total"]
+    names = [v for values in measures.values() for v in values] + ["total"]
     counts = [F.count_if(F.col(m) == v).alias(v) for m, values in measures.items() for v in values] + [F.count("*").alias("total")]
-    own = findings.where("wl_id IS NOT NULL").groupBy(*ids).agg(*counts)
-    scoped = lambda df, aggs: df.groupingSets([[], [ids[0]], list(ids[:2]), list(ids)], *ids).agg(*aggs, F.grouping_id().alias("level"))
-    filled = lambda df, rest: df.select("level", *[F.coalesce(F.col(i).cast("long"), F.lit(-1)).alias(i) for i in ids], *rest)
-    # the grouping id has a bit for each id summed over: 7 the whole, 3 cluster, 1 namespace, 0 workload
-    rows = filled(scoped(own, [F.sum(n).alias(n) for n in names]), names)
-    scopes = filled(scoped(spine, [F.count("*").alias("n_")]), [])
-    out = scopes.join(rows, ["level", *ids], "left")
+    own = findings.groupBy(*IDS).agg(*counts)
+    summed = own.groupingSets([[], [IDS[0]], list(IDS[:2]), list(IDS)], *IDS).agg(*[F.sum(n).alias(n) for n in names], F.grouping_id().alias("level"))
+    # an id that is null within a scope stays so and meets none; one that is summed over is -1
+    ids = [F.when(F.expr(f"(level >> {2 - k}) & 1 = 1"), -1).otherwise(F.col(i)).cast("long").alias(i) for k, i in enumerate(IDS)]
+    out = scopes.join(summed.select("level", *ids, *names), ["level", *IDS], "left")
     scope = F.expr("CASE level WHEN 7 THEN 'global' WHEN 3 THEN 'cluster' WHEN 1 THEN 'namespace' ELSE 'workload' END")
-    return out.select(scope.alias("scope"), *ids, *[F.coalesce(v, F.lit(0)).alias(v) for v in names])
+    return out.select(scope.alias("scope"), *IDS, *[F.coalesce(v, F.lit(0)).alias(v) for v in names])
 
 
 def image_sets(observations: DataFrame, cycle: Column) -> DataFrame:

@@ -73,7 +73,11 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     out = out.unionByName(one(customers, "'Service' AS kind", "named_struct('name', concat('svc', c_custkey), 'namespace', concat('ns', c_nationkey)) AS metadata", "named_struct('type', CASE WHEN c_custkey % 2 = 0 THEN 'LoadBalancer' END, 'selector', CASE WHEN c_custkey % 3 <> 0 THEN map('app', concat('a', c_custkey % 10)) END) AS spec"))
     path = "named_struct('backend', named_struct('service', named_struct('name', concat('svc', o_custkey))))"
     out = out.unionByName(one(orders, "'Ingress' AS kind", "named_struct('name', concat('in', o_orderkey), 'namespace', concat('ns', o_custkey % 25)) AS metadata", f"named_struct('ingressClassName', 'nginx', 'defaultBackend', CASE WHEN o_orderkey % 2 = 0 THEN named_struct('service', named_struct('name', 'fallback')) END, 'rules', array(named_struct('http', named_struct('paths', array({path}, {path}))))) AS spec"))
-    out = out.unionByName(one(nations, "'Namespace' AS kind", "named_struct('name', concat('ns', n_nationkey), 'labels', map('team', n_name)) AS metadata"))
+    # of some namespaces there is no item; some items are of no known kind, and some are no manifests
+    odd = customers.where("c_custkey % 9 < 3")
+    out = out.unionByName(one(odd, "CASE c_custkey % 3 WHEN 0 THEN 'ConfigMap' WHEN 1 THEN 'Secret' END AS kind", "named_struct('name', concat('odd', c_custkey)) AS metadata"))
+    out = out.unionByName(customers.where("c_custkey % 9 = 3").selectExpr("CASE c_custkey % 2 WHEN 0 THEN '{}' ELSE '{\"x\":\"y\"}' END AS raw"))
+    out = out.unionByName(one(nations.where("n_nationkey % 6 <> 5"), "'Namespace' AS kind", "named_struct('name', concat('ns', n_nationkey), 'labels', map('team', n_name)) AS metadata"))
     return out.unionByName(one(nations.where("n_nationkey % 3 = 0"), "'NetworkPolicy' AS kind", "named_struct('name', 'deny', 'namespace', concat('ns', n_nationkey)) AS metadata"))
 
 

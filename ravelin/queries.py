@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import scalars as S
 from ravelin.functions import signals as G
 from ravelin.operators import checks, findings, lifecycle, resolve, snapshots, views
-from ravelin.plans import lens
+from ravelin.plans import lens, payloads
 from ravelin.sources import feeds
 from ravelin.streaming import cycles
 
@@ -157,16 +157,18 @@ def having_immediate(spark, d):
     return _listed(spark, d).where("immediate > 0 AND cluster_name IN ('ASIA', 'AFRICA')").select("wl_id", "immediate")
 
 
-@register("SELECT p_partkey AS image_id, EXISTS (SELECT 1 FROM observation o JOIN workload w USING (wl_id) WHERE o.image_id = p_partkey AND w.deployed AND o.severity = 'critical') AS currently_deployed FROM part")
+@register("SELECT p_partkey AS image_id, EXISTS (SELECT 1 FROM observation o JOIN workload w USING (wl_id) WHERE o.image_id = p_partkey AND w.deployed) AS currently_deployed FROM part")
 def image_currently_deployed(spark, d):
     images = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("image_id"))
-    use = lens.observations(spark, d).where("severity = 'critical'").join(lens.workloads(spark, d).where("deployed"), "wl_id", "left_semi")
+    use = lens.observations(spark, d).join(lens.workloads(spark, d).where("deployed"), "wl_id", "left_semi")
     return views.currently_deployed(images, use)
 
 
-@register("SELECT category, vuln_id, wl_id, image_id FROM finding WHERE image_id NOT IN (SELECT image_id FROM observation JOIN workload USING (wl_id) WHERE deployed AND severity = 'critical')")
+@register("""SELECT category, vuln_id, wl_id, image_id FROM finding WHERE image_id NOT IN (SELECT o.image_id FROM observation o JOIN workload w USING (wl_id) JOIN namespace n USING (ns_id) JOIN cluster c USING (cluster_id) WHERE w.deployed AND c.cluster_name = 'ASIA')""")
 def findings_not_running_image(spark, d):
-    use = lens.observations(spark, d).where("severity = 'critical'").join(lens.workloads(spark, d).where("deployed"), "wl_id", "left_semi")
+    """Findings whose image nothing deployed runs in one cluster."""
+    homes = lens.workloads(spark, d).where("deployed").join(lens.namespaces(spark, d), "ns_id").join(lens.clusters(spark, d).where("cluster_name = 'ASIA'"), "cluster_id")
+    use = lens.observations(spark, d).join(homes.select("wl_id"), "wl_id", "left_semi")
     return views.running_only(_folded(spark, d), use, running=False).select(*KEY)
 
 
@@ -206,16 +208,22 @@ def priority_counts(spark, d):
 _N = ", ".join(f"count(f.wl_id) FILTER (WHERE f.{m} = '{v}') AS {v}" for m, values in (("severity", S.SEVERITIES), ("band", S.BANDS)) for v in values)
 
 
-@register(f"""SELECT s.scope, s.cluster_id, s.ns_id, s.wl_id, {_N}, count(f.wl_id) AS total FROM (
+@register(f""", loose AS (SELECT wl_id % 5 AS cluster_id, severity FROM observation WHERE category = 'config' AND line = 1), counted AS (
+      SELECT cluster_id, ns_id, wl_id, severity, band FROM banded UNION ALL SELECT cluster_id, NULL, NULL, severity, 'scheduled' FROM loose)
+    SELECT s.scope, s.cluster_id, s.ns_id, s.wl_id, {_N.replace("count(f.wl_id)", "count(f.severity)")}, count(f.severity) AS total FROM (
       SELECT 'global' AS scope, -1::BIGINT AS cluster_id, -1::BIGINT AS ns_id, -1::BIGINT AS wl_id UNION ALL
-      SELECT DISTINCT 'cluster', cluster_id, -1, -1 FROM workload JOIN namespace USING (ns_id) UNION ALL
-      SELECT DISTINCT 'namespace', cluster_id, ns_id, -1 FROM workload JOIN namespace USING (ns_id) UNION ALL
-      SELECT 'workload', cluster_id, ns_id, wl_id FROM workload JOIN namespace USING (ns_id)) s
-    LEFT JOIN banded f ON (s.cluster_id = -1 OR s.cluster_id = f.cluster_id) AND (s.ns_id = -1 OR s.ns_id = f.ns_id) AND (s.wl_id = -1 OR s.wl_id = f.wl_id)
+      SELECT 'cluster', cluster_id, -1, -1 FROM cluster UNION ALL
+      SELECT 'namespace', cluster_id, ns_id, -1 FROM namespace WHERE ns_id % 4 <> 0 UNION ALL
+      SELECT 'workload', cluster_id, ns_id, wl_id FROM workload JOIN namespace USING (ns_id) WHERE deployed) s
+    LEFT JOIN counted f ON (s.cluster_id = -1 OR s.cluster_id = f.cluster_id) AND (s.ns_id = -1 OR s.ns_id = f.ns_id) AND (s.wl_id = -1 OR s.wl_id = f.wl_id)
     GROUP BY s.scope, s.cluster_id, s.ns_id, s.wl_id""")
 def heartbeat_rollup(spark, d):
-    spine = lens.workloads(spark, d).join(lens.namespaces(spark, d), "ns_id").select("cluster_id", "ns_id", "wl_id")
-    return snapshots.heartbeat(_banded(spark, d), spine, {"severity": S.SEVERITIES, "band": S.BANDS})
+    """Findings of workloads and of clusters themselves, counted for the whole, every cluster, active namespaces and deployed workloads."""
+    spaces = lens.namespaces(spark, d)
+    scopes = snapshots.scopes(lens.clusters(spark, d), spaces.where("ns_id % 4 <> 0"), lens.workloads(spark, d).where("deployed").join(spaces.select("ns_id", "cluster_id"), "ns_id"))
+    loose = lens.observations(spark, d).where("category = 'config' AND line = 1").select((F.col("wl_id") % 5).alias("cluster_id"), "severity", F.lit("scheduled").alias("band"))
+    rows = _banded(spark, d).select("cluster_id", "ns_id", "wl_id", "severity", "band").unionByName(loose, allowMissingColumns=True)
+    return snapshots.heartbeat(rows, scopes, {"severity": S.SEVERITIES, "band": S.BANDS})
 
 
 _SETS = """, item AS (SELECT DISTINCT wl_id, CAST(date_trunc('month', seen_at) AS TIMESTAMP) AS cycle, image_id FROM observation),
@@ -257,9 +265,11 @@ def deployed_sweep(spark, d):
     return lifecycle.sweep(lens.workloads(spark, d).select("wl_id").join(seen, "wl_id", "left"), "last_at", _at("1998-10-01"))
 
 
-@register("SELECT category, vuln_id, wl_id, image_id FROM finding WHERE last_seen >= TIMESTAMP '1997-01-01' - INTERVAL 30 DAY")
+@register("SELECT wl_id, image_id, max(seen_at) AS last_seen FROM observation GROUP BY wl_id, image_id HAVING max(seen_at) >= TIMESTAMP '2001-01-01' - INTERVAL 30 DAY")
 def observation_retention(spark, d):
-    return lifecycle.retained(_folded(spark, d), "last_seen", _at(lens.AS_OF)).select(*KEY)
+    """Containers that were seen within thirty days."""
+    pairs = lens.observations(spark, d).groupBy("wl_id", "image_id").agg(F.max("seen_at").alias("last_seen"))
+    return lifecycle.retained(pairs, "last_seen", _at("2001-01-01"))
 
 
 @register("SELECT wl_id, signal_id, active AND NOT (signal_id LIKE 'k%:KSV-%' AND last_seen < TIMESTAMP '2024-01-20') AS active FROM signal")
@@ -321,9 +331,11 @@ def coverage_gap_streaks(spark, d):
     return _streaks(lens.observations(spark, d))
 
 
-@register("SELECT vuln_id FROM epss WHERE vuln_id NOT IN (SELECT vuln_id FROM observation WHERE severity = 'critical')")
+@register("""SELECT DISTINCT 'CVE-' || (l_partkey % 900) AS vuln_id FROM lineitem WHERE 'CVE-' || (l_partkey % 900) NOT IN (SELECT 'CVE-' || (p_partkey % 700) FROM part WHERE p_partkey % 10 NOT IN (7, 8))""", on_lens=False)
 def epss_refresh_antijoin(spark, d):
-    return lifecycle.gone(lens.epss(spark, d), lens.observations(spark, d).where("severity = 'critical'"), "vuln_id").select("vuln_id")
+    """What the stored exploit probabilities have and a new feed does not: they go."""
+    stored = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("concat('CVE-', l_partkey % 900) AS vuln_id").distinct()
+    return lifecycle.gone(stored, feeds.epss_rows(payloads.epss_lines(spark, d)), "vuln_id")
 
 
 @register("SELECT vuln_id, 'feed' AS origin FROM kev WHERE vuln_id IN (SELECT vuln_id FROM observation)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,12 +140,24 @@ def policy_rows(raw: DataFrame) -> DataFrame:
     return lookup(rows, "policy", "kyverno")
 
 
-def scan_facts(vulnerabilities: DataFrame, audits: DataFrame, secrets: DataFrame) -> DataFrame:
-    """The rows of all kinds of scans as one table of findings; what a kind does not know is null."""
-    out = vulnerability_rows(vulnerabilities).withColumn("category", F.lit("vulnerability"))
-    for rows in (check_rows(audits, "config"), secret_rows(secrets).withColumn("category", F.lit("exposed-secret"))):
-        out = out.unionByName(rows, allowMissingColumns=True)
-    return out
+#: What makes rows of each kind of scan.
+SCANS = {
+    "trivy.VulnerabilityReport": lambda raw: vulnerability_rows(raw).withColumn("category", F.lit("vulnerability")),
+    "trivy.ConfigAuditReport": lambda raw: check_rows(raw, "config"),
+    "trivy.ExposedSecretReport": lambda raw: secret_rows(raw).withColumn("category", F.lit("exposed-secret")),
+    "trivy.RbacAssessmentReport": lambda raw: check_rows(raw, "rbac"),
+    "trivy.ClusterRbacAssessmentReport": lambda raw: check_rows(raw, "rbac"),
+    "trivy.InfraAssessmentReport": lambda raw: check_rows(raw, "compliance"),
+    "trivy.ClusterComplianceReport": lambda raw: check_rows(raw, "compliance"),
+    "kyverno.PolicyReport": lambda raw: policy_rows(raw).withColumn("category", F.lit("policy")),
+    "kyverno.ClusterPolicyReport": lambda raw: policy_rows(raw).withColumn("category", F.lit("policy")),
+}
+
+
+def scan_facts(by_kind: dict[str, DataFrame]) -> DataFrame:
+    """The rows of scans (raw), by kind, as one table with scan_kind; what a kind does not know is null. Unknown kinds give none."""
+    tables = [SCANS[kind](raw).withColumn("scan_kind", F.lit(kind)) for kind, raw in by_kind.items() if kind in SCANS]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 class Inventory:
