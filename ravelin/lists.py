@@ -45,13 +45,13 @@ def list_findings(spark, d):
 
 @register("""SELECT image_id, ref, registry, currently_deployed FROM (SELECT p_partkey AS image_id, lower(p_brand) || '/' || p_type || ':' || p_size AS ref, lower(p_brand) AS registry,
       p_partkey IN (SELECT o.image_id FROM observation o JOIN workload w USING (wl_id) JOIN namespace n USING (ns_id) JOIN cluster c USING (cluster_id) WHERE w.deployed AND c.cluster_name = 'ASIA') AS currently_deployed FROM part)
-    WHERE currently_deployed = false AND lower(ref) LIKE '%:1%' ORDER BY ref DESC, image_id LIMIT 10 OFFSET 10""")
+    WHERE currently_deployed AND lower(ref) LIKE '%:1%' ORDER BY ref DESC, image_id LIMIT 10 OFFSET 10""")
 def list_images(spark, d):
-    """The second page of images that nothing deployed runs in one cluster."""
+    """The second page of images that something deployed runs in one cluster."""
     images = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS image_id", "concat(lower(p_brand), '/', p_type, ':', p_size) AS ref", "lower(p_brand) AS registry")
     homes = lens.workloads(spark, d).where("deployed").join(lens.namespaces(spark, d), "ns_id").join(lens.clusters(spark, d), "cluster_id").select("wl_id", "cluster_name")
     rows = listing.with_deployed(images, lens.observations(spark, d).join(homes, "wl_id"), "ASIA")
-    return _second(rows, "image", {"currently_deployed": "0", "ref": ":1", "ordering": "-ref,nonsense"}, 10).select("image_id", "ref", "registry", "currently_deployed")
+    return _second(rows, "image", {"currently_deployed": "1", "ref": ":1", "ordering": "-ref,nonsense"}, 10).select("image_id", "ref", "registry", "currently_deployed")
 
 
 def _node(space: str, kind: str, name: str):

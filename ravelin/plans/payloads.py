@@ -70,9 +70,9 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     status = "named_struct('containerStatuses', array(named_struct('name', 'main', 'imageID', concat('docker-pullable://r.io/team/app@sha256:run', s_suppkey)))) AS status"
     out = out.unionByName(one(mine, "'Pod' AS kind", _NAMED.format(name="pod", more=owned.format(kind="ReplicaSet", name="rs")), f"{_POD.replace('@sha256:', ':v')} AS spec", status))
     customers, orders, nations = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders", "nation"))
-    out = out.unionByName(one(customers, "'Service' AS kind", "named_struct('name', concat('svc', c_custkey), 'namespace', concat('ns', c_nationkey)) AS metadata", "named_struct('type', CASE WHEN c_custkey % 2 = 0 THEN 'LoadBalancer' END, 'selector', CASE WHEN c_custkey % 3 <> 0 THEN map('app', concat('a', c_custkey % 10)) END) AS spec"))
+    out = out.unionByName(one(customers, "'Service' AS kind", "named_struct('name', concat('svc', c_custkey), 'namespace', concat('ns', c_nationkey), 'annotations', CASE WHEN c_custkey % 5 = 0 THEN map('service.beta.kubernetes.io/aws-load-balancer-internal', 'true') END) AS metadata", "named_struct('type', CASE WHEN c_custkey % 2 = 0 THEN 'LoadBalancer' END, 'selector', CASE WHEN c_custkey % 3 <> 0 THEN map('app', concat('a', c_custkey % 10)) END) AS spec"))
     path = "named_struct('backend', named_struct('service', named_struct('name', concat('svc', o_custkey))))"
-    out = out.unionByName(one(orders, "'Ingress' AS kind", "named_struct('name', concat('in', o_orderkey), 'namespace', concat('ns', o_custkey % 25)) AS metadata", f"named_struct('ingressClassName', 'nginx', 'defaultBackend', CASE WHEN o_orderkey % 2 = 0 THEN named_struct('service', named_struct('name', 'fallback')) END, 'rules', array(named_struct('http', named_struct('paths', array({path}, {path}))))) AS spec"))
+    out = out.unionByName(one(orders, "'Ingress' AS kind", "named_struct('name', concat('in', o_orderkey), 'namespace', concat('ns', o_custkey % 25), 'annotations', CASE WHEN o_orderkey % 4 <> 0 THEN map('alb.ingress.kubernetes.io/scheme', 'internal') END) AS metadata", f"named_struct('ingressClassName', 'nginx', 'defaultBackend', CASE WHEN o_orderkey % 2 = 0 THEN named_struct('service', named_struct('name', 'fallback')) END, 'rules', array(named_struct('http', named_struct('paths', array({path}, {path}))))) AS spec"))
     # of some namespaces there is no item; some items are of no known kind, and some are no manifests
     odd = customers.where("c_custkey % 9 < 3")
     out = out.unionByName(one(odd, "CASE c_custkey % 3 WHEN 0 THEN 'ConfigMap' WHEN 1 THEN 'Secret' END AS kind", "named_struct('name', concat('odd', c_custkey)) AS metadata"))

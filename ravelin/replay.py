@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import signals as G
 from ravelin.functions.scalars import SEVERITIES
-from ravelin.operators import cycle, findings, marks, snapshots
+from ravelin.operators import cycle, findings, inventory, marks, snapshots
 from ravelin.panels import _CYCLES, _queue
 from ravelin.plans import lens, payloads
 from ravelin.queries import KEY, _at, _banded, register
@@ -202,3 +202,67 @@ def series_aligned(spark, d):
     long = long.withColumn("scope_", F.struct("cluster_name", "ns_name", "severity"))
     out = snapshots.series_arrays(long, "scope_", "n", "month")
     return out.select("scope_.*", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("counts"), F.size("values").cast("long").alias("points"), F.element_at("at", 1).alias("since"))
+
+
+_INVENTORIES: dict[tuple[str, str], Versions] = {}
+
+
+def _inventories(spark, d):
+    """Two complete inventories, one after the other, of one cluster; the second has less of everything, but more network policies.
+
+    It lacks some replica sets whose pods are still there. Run once per application and folder of tables.
+    """
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INVENTORIES:
+        store = Versions(spark, f"{shared_folder(spark)}/inventory-{uuid.uuid4().hex}", buckets=4)
+        number = F.regexp_extract(F.get_json_object("raw", "$.metadata.name"), "([0-9]+)$", 1).try_cast("int")
+        kind, space = F.get_json_object("raw", "$.kind"), F.regexp_extract(F.get_json_object("raw", "$.metadata.namespace"), "([0-9]+)$", 1).try_cast("int")
+        first = ~F.coalesce((kind == "NetworkPolicy") & (space % 2 == 0), F.lit(False))
+        second = F.coalesce((number % 4 != 1) & ~((kind == "ReplicaSet") & (number % 8 == 2)), F.lit(True))
+        raw = payloads.manifests(spark, d)
+        for part, started in ((first, "2024-01-01"), (second, "2024-02-01")):
+            inventory.persist(store, "prod-1", reports.Inventory(raw.where(part)), _at(started), complete=True)
+        _INVENTORIES[at] = store
+    return _INVENTORIES[at]
+
+
+_INVENTORY = """WITH wl AS (SELECT s_suppkey AS s, s_nationkey AS n, 'ns' || s_nationkey AS namespace, kind, prefix || s_suppkey AS name, s_suppkey % 4 <> 1 AS here FROM supplier,
+      LATERAL (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'Deployment' WHEN 1 THEN 'StatefulSet' ELSE 'DaemonSet' END AS kind, 'wl' AS prefix UNION ALL SELECT 'CronJob', 'cron' WHERE s_suppkey % 6 = 5) k),
+    svc AS (SELECT c_custkey AS c, c_nationkey AS n, c_custkey % 10 AS app, c_custkey % 2 = 0 AND c_custkey % 5 <> 0 AS lb, c_custkey % 25 = c_nationkey AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0) AS ing FROM customer WHERE c_custkey % 3 <> 0),
+    hit AS (SELECT n, app, bool_or(lb) AS lb1, bool_or(ing) AS ing1, bool_or(lb AND c % 4 <> 1) AS lb2, bool_or(ing AND c % 4 <> 1) AS ing2 FROM svc GROUP BY n, app),
+    own AS (SELECT w.*, coalesce(lb1, false) AS lb1, coalesce(ing1, false) AS ing1, coalesce(lb1 OR ing1, false) AS open1, coalesce(lb2 OR ing2, false) AS open2 FROM wl w LEFT JOIN hit h ON h.n = w.n AND h.app = w.s % 10)
+"""
+
+
+@register(_INVENTORY + """SELECT 'prod-1' AS cluster, namespace, kind, name, CASE WHEN s % 2 = 0 THEN 'runner' ELSE 'default' END AS service_account, CASE WHEN here THEN open2 ELSE open1 END AS exposed, CASE WHEN here THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS last_inventory FROM own""", on_lens=False)
+def persisted_workloads(spark, d):
+    """Workloads after both inventories, exposed where a balancer or an ingress from outside leads to them."""
+    return _inventories(spark, d).read("workloads").select("cluster", "namespace", "kind", "name", "service_account", "exposed", "last_inventory")
+
+
+@register(_INVENTORY + """, place AS (SELECT n_nationkey AS n, n_nationkey % 6 <> 5 AND n_nationkey % 4 <> 1 AS told, bool_or(here) AS any_here, bool_or(here AND open2) AS open2, bool_or(open1) AS open1 FROM nation LEFT JOIN own ON n = n_nationkey WHERE n_nationkey % 6 <> 5 OR n IS NOT NULL GROUP BY n_nationkey)
+    SELECT 'prod-1' AS cluster, 'ns' || n AS name, told AS active, false AS sensitive, coalesce(CASE WHEN told OR any_here THEN open2 ELSE open1 END, false) AS exposed FROM place""", on_lens=False)
+def persisted_namespaces(spark, d):
+    """Namespaces after both: those without an item in the second, which is complete, are out of use."""
+    return _inventories(spark, d).read("namespaces")
+
+
+@register("SELECT 'prod-1' AS cluster, 'ns' || s_nationkey AS namespace, 'ReplicaSet' AS kind, 'rs' || s_suppkey AS name, 'Deployment' AS target_kind, 'wl' || s_suppkey AS target_name FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 4 <> 1 AND s_suppkey % 8 <> 2", on_lens=False)
+def persisted_aliases(spark, d):
+    """Owners as the second inventory has them."""
+    return _inventories(spark, d).read("aliases")
+
+
+@register(_INVENTORY + """SELECT 'prod-1' AS cluster, namespace, kind, name, digest || s AS digest, container, container = 'setup' AS init_container, CASE WHEN here THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS last_seen, false AS deployed
+    FROM own, (VALUES ('sha256:', 'main'), ('sha256:', 'setup'), ('sha256:run', 'main')) v(digest, container) WHERE kind = 'Deployment' AND (container = 'main' OR s % 4 = 0)""", on_lens=False)
+def persisted_containers(spark, d):
+    """Containers under their workloads; of some pods only the owners of the inventory before tell whose they are."""
+    return _inventories(spark, d).read("containers")
+
+
+@register(_INVENTORY + """SELECT 'prod-1' AS cluster, namespace, kind, name, signal_id, CASE WHEN signal_id = 'kp:missing-networkpolicy' AND here THEN n % 3 <> 0 ELSE true END AS active FROM own,
+    LATERAL (SELECT 'kyverno:disallow-host-namespaces' AS signal_id WHERE s % 7 = 0 UNION ALL SELECT 'kyverno:disallow-privileged-containers' WHERE s % 5 = 0 UNION ALL SELECT 'kyverno:require-run-as-nonroot' WHERE s % 4 = 0
+      UNION ALL SELECT 'kp:has-external-lb' WHERE lb1 UNION ALL SELECT 'kp:has-external-ingress' WHERE ing1 UNION ALL SELECT 'kp:missing-networkpolicy' WHERE NOT (n % 3 = 0 AND n % 2 = 1)) g""", on_lens=False)
+def persisted_signals(spark, d):
+    """Signals of pods, of how workloads are reached, and of namespaces without a network policy, cleared where one came."""
+    return _inventories(spark, d).read("signals").select("cluster", "namespace", "kind", "name", "signal_id", "active")
