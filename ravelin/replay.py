@@ -9,12 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import ravelin.intake  # noqa: F401 - its SQL is a part of that below
 from ravelin.functions import signals as G
 from ravelin.functions.scalars import SEVERITIES
-from ravelin.operators import cycle, findings, inventory, marks, snapshots
+from ravelin.operators import checks, cycle, findings, inventory, marks, snapshots
 from ravelin.panels import _CYCLES, _queue
 from ravelin.plans import lens, payloads
-from ravelin.queries import KEY, _at, _banded, register
+from ravelin.queries import KEY, ORACLE, QUERIES, _at, _banded, register
 from ravelin.sources import envelopes, reports
 from ravelin.sources.feeds import shared_folder
 from ravelin.sources.versions import Versions
@@ -43,7 +44,7 @@ def _state(spark: SparkSession, d: str) -> Versions:
     """The tables after all cycles, in the shared folder; run once per application and folder of tables."""
     at = (spark.sparkContext.applicationId, d)
     if at not in _RUNS:
-        store = Versions(spark, f"{shared_folder(spark)}/cycles-{uuid.uuid4().hex}")
+        store = Versions(spark, f"{shared_folder(spark)}/cycles-{uuid.uuid4().hex}", buckets=4)
         spaces = lens.namespaces(spark, d).select("ns_id", "cluster_id", "sensitive")
         workloads = lens.workloads(spark, d).join(spaces, "ns_id").select("wl_id", "ns_id", "cluster_id")
         for k in range(1, len(STARTS) + 1):
@@ -266,3 +267,67 @@ def persisted_containers(spark, d):
 def persisted_signals(spark, d):
     """Signals of pods, of how workloads are reached, and of namespaces without a network policy, cleared where one came."""
     return _inventories(spark, d).read("signals").select("cluster", "namespace", "kind", "name", "signal_id", "active")
+
+
+def _asked(*rows: tuple[str, str, str, str]) -> str:
+    """A row for each (kind, table, which rows count, when it passes, as a condition on n)."""
+    return " UNION ALL ".join(f"SELECT {k} AS \"index\", '{kind}' AS kind, {passes} AS pass, n AS found FROM (SELECT count(*) AS n FROM {table} WHERE {where}) x" for k, (kind, table, where, passes) in enumerate(rows))
+
+
+_TABLES = {"spaces": "persisted_namespaces", "placed": "persisted_workloads", "links": "persisted_aliases", "pictures": "stored_images", "known": "cycle_state_findings", "gaps": "scan_outages"}
+
+
+@register("WITH " + ", ".join(f"{t} AS ({ORACLE[q]})" for t, q in _TABLES.items()) + _CYCLES.replace("WITH ", ", ", 1) + _asked(
+    ("namespace_attributes", "spaces", "name = 'ns0'", "n > 0 AND (SELECT bool_and(active) FROM spaces WHERE name = 'ns0')"),
+    ("namespace_attributes", "spaces", "NOT active", "n > 0 AND (SELECT bool_and(exposed) FROM spaces WHERE NOT active)"),
+    ("workload_exists", "placed", "kind = 'CronJob'", "n > 0"),
+    ("workload_alias_count", "links", "true", "n >= 1"),
+    ("image_count", "pictures", "true", "n = 0"),
+    ("image_exists", "pictures", "os_family = 'alpine' AND base_eosl", "n > 0"),
+    ("finding_count", "known", "band = 'immediate'", "n >= 10"),
+    ("import_mark_count", "mark", "state = 'draining'", "n >= 5"),
+    ("ingest_queue_count", "queue", "status IN ('pending', 'processing')", "n >= 1"),
+    ("snapshot_delta", "known", "severity = 'critical'", "n > 0"),
+    ("snapshot_delta", "known", "severity = 'critical'", "false"),
+    ("scan_inconsistency", "gaps", "streak = 2", "n = 1"),
+    ("scan_inconsistency_count", "gaps", "true", "n >= 1"),
+    ("log_event_count", "placed", "false", "true"),
+    ("log_event_exists", "placed", "false", "true"),
+    ("workload_last_inventory_advanced", "placed", "last_inventory > TIMESTAMP '2024-01-15 00:00:01'", "n > 0"),
+    ("workload_last_inventory_unchanged", "placed", "last_inventory <= TIMESTAMP '2024-01-15 00:00:01' AND kind = 'Deployment'", "n > 0"),
+), on_lens=False)
+def assertion_batch_state(spark, d):
+    """Assertions on what cycles have stored: the kinds that ``assertion_batch`` does not ask."""
+    queue, own, _ = _queue(spark, d)
+    findings_ = QUERIES["cycle_state_findings"](spark, d).withColumn("captured_at", F.col("last_seen"))
+    tables = {
+        "namespaces": persisted_namespaces(spark, d),
+        "workloads": persisted_workloads(spark, d).withColumnRenamed("last_inventory", "last_inventory_at"),
+        "aliases": persisted_aliases(spark, d),
+        "images": stored_images(spark, d),
+        "findings": findings_,
+        "snapshots": findings_,
+        "marks": own,
+        "queue": queue,
+        "inconsistencies": QUERIES["scan_outages"](spark, d),
+    }
+    asked = [
+        {"kind": "namespace_attributes", "filter": {"name": "ns0"}, "attributes": {"active": True}},
+        {"kind": "namespace_attributes", "filter": {"active": False}, "attributes": {"exposed": True}},
+        {"kind": "workload_exists", "filter": {"kind": "CronJob"}},
+        {"kind": "workload_alias_count", "min": 1},
+        {"kind": "image_count"},
+        {"kind": "image_exists", "filter": {"os_family": "alpine", "base_eosl": True}},
+        {"kind": "finding_count", "filter": {"band": "immediate"}, "min": 10},
+        {"kind": "import_mark_count", "filter": {"state": "draining"}, "min": 5},
+        {"kind": "ingest_queue_count", "filter": {"status": ["pending", "processing"]}, "min": 1},
+        {"kind": "snapshot_delta", "filter": {"severity": "critical"}, "attributes": {"severity": "critical"}},
+        {"kind": "snapshot_delta", "filter": {"severity": "critical"}, "attributes": {"severity": "low"}},
+        {"kind": "scan_inconsistency", "filter": {"streak": 2}},
+        {"kind": "scan_inconsistency_count", "min": 1},
+        {"kind": "log_event_count"},
+        {"kind": "log_event_exists"},
+        {"kind": "workload_last_inventory_advanced", "since": "2024-01-15"},
+        {"kind": "workload_last_inventory_unchanged", "since": "2024-01-15", "filter": {"kind": "Deployment"}},
+    ]
+    return checks.evaluate(spark, tables, asked).withColumn("index", F.col("index").cast("int"))

@@ -1,12 +1,14 @@
 """Stored tables, and what import cycles do to them."""
 
+import json
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from ravelin import replay
-from ravelin.operators import cycle, findings
+from ravelin.operators import cycle, findings, inventory
+from ravelin.sources import reports
 from ravelin.sources.versions import Conflict, Versions, claim, names
 
 D = "/root/testdata/sf0.001"
@@ -168,3 +170,92 @@ def test_a_cycle_without_anything(spark, tmp_path):
     cycle.run(store, nothing, workloads, spaces, replay.lens.clusters(spark, d).select("cluster_id", "env"), replay.lens.epss(spark, d), replay.lens.kev(spark, d), (), [])
     assert store.read("findings").isEmpty() and store.read("clusters").count() == 5
     assert store.read("counters").first().asDict() == {"cycle": 1, "obs_deployed": 0, "obs_undeployed": 0, "obs_swept": 0, "signals_cleared": 0, "reported": 0, "rescored": 0, "read": 0}
+
+
+# ── inventories as one commit ─────────────────────────────────────
+
+
+def item(kind, name, space=None, spec=None, owner=None, labels=None, **more):
+    meta = {"name": name} | ({"namespace": space} if space else {}) | ({"labels": labels} if labels else {})
+    meta |= {"ownerReferences": [{"kind": owner[0], "name": owner[1], "controller": True}]} if owner else {}
+    return json.dumps({"kind": kind, "metadata": meta | more.pop("meta", {}), **({"spec": spec} if spec else {}), **more})
+
+
+def pod(image, privileged=False):
+    return {"containers": [{"name": "main", "image": image, "securityContext": {"privileged": privileged}}]}
+
+
+def deployment(name, space, image="r.io/a@sha256:1", app="x", privileged=False):
+    return item("Deployment", name, space, {"replicas": 2, "template": {"metadata": {"labels": {"app": app}}, "spec": pod(image, privileged)}})
+
+
+def service(name, space, kind="LoadBalancer", app="x", **meta):
+    return item("Service", name, space, {"type": kind, "selector": {"app": app}}, meta=meta)
+
+
+def ingress(name, space, backend, **spec):
+    return item("Ingress", name, space, {"rules": [{"http": {"paths": [{"backend": {"service": {"name": backend}}}]}}], **spec})
+
+
+@pytest.fixture
+def persist(spark, store):
+    def run(cluster, items, day, complete=True):
+        raw = spark.createDataFrame([(x,) for x in items], "raw string")
+        return inventory.persist(store, cluster, reports.Inventory(raw), F.lit(f"2024-01-0{day}").cast("timestamp_ntz"), complete)
+
+    return run
+
+
+def test_inventories_of_clusters_stand_beside_each_other(spark, store, persist):
+    persist("one", [deployment("w", "a"), item("Namespace", "a", labels={inventory.SENSITIVE: "True"})], 1)
+    persist("two", [deployment("w", "a", privileged=True), service("s", "a"), item("NetworkPolicy", "deny", "a")], 1)
+    assert rows(store.read("workloads").select("cluster", "name", "exposed")) == [("one", "w", False), ("two", "w", True)]
+    assert rows(store.read("namespaces")) == [("one", "a", True, True, False), ("two", "a", True, False, True)]
+    assert rows(store.read("signals").select("cluster", "signal_id", "active")) == [("one", inventory.BARE, True), ("two", inventory.BALANCER, True), ("two", "kyverno:disallow-privileged-containers", True)]
+    persist("two", [deployment("v", "b")], 2)  # complete: namespace a of cluster two is out of use, and of it alone
+    assert rows(store.read("namespaces").select("cluster", "name", "active")) == [("one", "a", True), ("two", "a", False), ("two", "b", True)]
+    assert rows(store.read("workloads").select("cluster", "name", F.dayofmonth("last_inventory"))) == [("one", "w", 1), ("two", "v", 2), ("two", "w", 1)]
+
+
+def test_partial_inventories_put_nothing_out_of_use(spark, store, persist):
+    owned = [item("ReplicaSet", "r", "a", owner=("Deployment", "w")), item("Pod", "p", "a", pod("r.io/b:1"), owner=("ReplicaSet", "r"), status={"containerStatuses": [{"name": "main", "imageID": "x@sha256:2"}]})]
+    persist("c", [item("Namespace", "a"), deployment("w", "a"), *owned], 1)
+    assert rows(store.read("containers").select("kind", "name", "digest")) == [("Deployment", "w", "sha256:1"), ("Deployment", "w", "sha256:2")]
+    persist("c", [deployment("w", "a"), owned[1]], 2, complete=False)  # the replica set has gone, its pod has not
+    assert rows(store.read("namespaces").select("name", "active")) == [("a", True)] and rows(store.read("aliases").select("kind", "name", "target_name")) == [("ReplicaSet", "r", "w")]
+    assert rows(store.read("containers").select("digest", F.dayofmonth("last_seen"))) == [("sha256:1", 2), ("sha256:2", 2)]
+    persist("c", [deployment("w", "a"), owned[1]], 3)
+    assert store.read("aliases").isEmpty() and rows(store.read("namespaces").select("name", "active")) == [("a", False)]
+    persist("c", [deployment("w", "a"), owned[1]], 4)  # nobody knows the pod's owner any more
+    assert rows(store.read("containers").select("digest", F.dayofmonth("last_seen"))) == [("sha256:1", 4), ("sha256:2", 3)]
+
+
+def test_what_leads_to_a_workload_from_outside(spark, store, persist):
+    internal = {"annotations": {"service.beta.kubernetes.io/aws-load-balancer-internal": "true"}}
+    items = [deployment(n, "a", app=n) for n in ("lb", "inner", "port", "web", "back", "none")]
+    items += [service("s1", "a", app="lb"), service("s2", "a", app="inner", **internal), service("s3", "a", "NodePort", "port"), service("s4", "a", "ClusterIP", "web"), service("s5", "a", "ClusterIP", "back"), service("s6", "b", app="none")]
+    items += [ingress("i1", "a", "s4"), ingress("i2", "a", "s5", ingressClassName="nginx-internal"), ingress("i3", "b", "s5")]
+    persist("c", items, 1)
+    assert rows(store.read("workloads").where("exposed").select("name")) == [("lb",), ("web",)]
+    assert rows(store.read("signals").where(f"signal_id <> '{inventory.BARE}'").select("name", "signal_id")) == [("lb", inventory.BALANCER), ("port", inventory.NODE_PORT), ("web", inventory.INGRESS)]
+
+
+def test_a_policy_that_comes_clears_its_signal(spark, store, persist):
+    for day, more in ((1, []), (2, [item("NetworkPolicy", "deny", "a")]), (3, [])):
+        persist("c", [deployment("w", "a"), *more], day)
+        assert rows(store.read("signals").select("signal_id", "active")) == [(inventory.BARE, day != 2)]
+
+
+def test_an_inventory_that_breaks_leaves_all_tables(spark, store, persist, monkeypatch):
+    persist("c", [deployment("w", "a")], 1)
+    before = {t: rows(store.read(t)) for t in ("namespaces", "aliases", "images", "containers", "signals")}
+    monkeypatch.setattr(inventory, "registry_of", lambda c: F.raise_error(F.lit("broken off")))
+    with pytest.raises(Exception, match="broken off"):
+        persist("c", [deployment("v", "b")], 2)
+    assert {t: rows(store.read(t)) for t in before} == before and store.head()[0] == 1
+
+
+def test_inventories_of_nothing_and_of_oddities(spark, store, persist):
+    persist("c", [], 1)
+    persist("c", ["{}", "not json", json.dumps({"kind": "Deployment"}), deployment("w", "a"), deployment("w", "a"), item("Deployment", "no spec", "a"), item("Service", "s", "a")], 2)
+    assert rows(store.read("workloads").select("namespace", "name")) == [("a", "no spec"), ("a", "w")]
