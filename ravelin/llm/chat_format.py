@@ -70,7 +70,8 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     start and length, in code points, of the output under the loss mask. A null role or text counts as empty.
     Turns stand by turn (null first), then role, then text, so ties and repeated rows have one order and each
     row stays a turn. Rows with a null conv_id form one conversation. Other columns are ignored. One shuffle by
-    conv_id; a task holds one conversation at a time, which is the row that it returns.
+    conv_id; a task holds one conversation at a time, which is the row that it returns, however long its texts or many
+    its turns. An empty table stays empty.
     """
     t = template or Template()
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

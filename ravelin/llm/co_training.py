@@ -224,6 +224,7 @@ def classify(docs: DataFrame, views: Views | None, threshold: float = 0.5) -> Da
 
     One row per input row; columns of these names are replaced. Null and empty texts and null metadata have views
     of their own and are scored like others; rows are independent, so ties, repeated rows and null ids need no rule.
+    Texts are read whole, a very long one alone in its slice. An empty table stays empty.
     Without a model the scores are null and every document is kept.
     """
     light_batches(docs.sparkSession)

@@ -161,7 +161,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", lea
     place. With the defaults or stricter thresholds no text that has such a stretch is missed; with lower ones only
     what holds a mask is found. Diagonals are compared over the whole item: a run has as many words around its
     hits as the longest item. No rows for null, empty or short texts on either side; an item with fewer words than a
-    mask has no seed of that mask. Null ids are reported as such, repeated rows once; other columns are not read.
+    mask has no seed of that mask. Null ids are reported as such, repeated rows once; other columns are not read. Texts
+    are searched whole; of a very long one only the runs around its hits travel. An empty table gives no rows.
 
     The documents are read once. A bitmap of fixed size, made from all benchmark seeds, drops windows that match
     none; what passes meets the seeds in a join, equal cores once and items with equal words once. Nothing here

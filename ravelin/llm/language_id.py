@@ -143,7 +143,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """``docs`` with lang_pred and score (the share of the best language, 0 to 1).
 
     Null and empty texts, texts without a letter, and all texts without a model: und, 0. Of equal languages the
-    first by name wins. Only the text is read; one row per input row, columns of these names are replaced.
+    first by name wins. Only the text is read, whole, a very long one alone in its slice; one row per input row, so ties,
+    repeated rows and null ids need no rule; columns of these names are replaced. An empty table stays empty.
     """
     light_batches(docs.sparkSession)
     docs = without(docs, "lang_pred", "score")

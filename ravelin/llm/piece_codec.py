@@ -118,7 +118,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
     One row per input row, all input columns kept (columns already named like ``ids`` or ``decoded`` are
     replaced). A null or empty text has no ids and decodes to the empty text. Rows are independent, so ties,
     repeated rows and null ids need no rule. No shuffle; a task holds ``rows_at_once`` texts and a bounded
-    word table, and loads the model from bytes that travel with the task.
+    word table, and loads the model from bytes that travel with the task. Texts are encoded whole, however long. An empty
+    table stays empty.
     """
     light_batches(docs.sparkSession)
     with open(model_path, "rb") as f:

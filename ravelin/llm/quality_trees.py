@@ -186,7 +186,8 @@ def judge(docs: DataFrame, forest: Forest | None, text: str = "text") -> DataFra
 
     One row per input row; columns of these names are replaced. A null or empty text counts as no words and
     fails the base rules. Without a forest the score is null and the base rules alone decide. Rows are
-    independent, so ties, repeated rows and null ids need no rule. No shuffle.
+    independent, so ties, repeated rows and null ids need no rule. Texts are measured whole; a very long one is alone in
+    its slice. An empty table stays empty. No shuffle.
     """
     light_batches(docs.sparkSession)
     names = (*COUNTS, "base_failed", "quality_score", "kept")

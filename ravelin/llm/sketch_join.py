@@ -279,7 +279,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, text:
     copies are never expanded. One row per input row; other columns of ``docs`` are not read. A null or empty text
     or one without words has no shingles and links with nothing: its component is its doc_id. A null doc_id
     never becomes a component_id, so a component of such rows alone has a null one; rows that repeat a doc_id
-    stay rows of their own.
+    stay rows of their own. Texts are hashed whole; a very long one is alone in its slice, and its set of hashes is one
+    row. An empty table stays empty.
 
     Candidates come from a shuffle of part keys. The first round tests each node against the node with which it
     shares most parts as the first of their bucket; the others test what is left, pairs that

@@ -294,3 +294,57 @@ def test_registered_toxicity(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in rows)
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert np.mean([(s >= 0.3) == t for s, t in held]) > 0.9
+
+
+# ── tests that earlier operators lacked ───────────────────────────
+
+
+def walked(forest, x):
+    """Each tree from its root to a leaf, one node at a time."""
+    total = forest.start
+    for t in range(len(forest.feature)):
+        node = 0
+        while forest.left[t, node] != node:
+            node = forest.left[t, node] if x[forest.feature[t, node]] <= forest.cut[t, node] else forest.right[t, node]
+        total += forest.value[t, node]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_trees_walked_one_node_at_a_time(spark):
+    from ravelin.llm import quality_trees
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    forest = quality_trees.train(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    rows = quality_trees.op1_quality_rules(spark, D).collect()
+    scores = {r.doc_id: walked(forest, quality_trees.measures(r.text)[1]) for r in docs.collect()}
+    assert all(abs(scores[r.doc_id] - r.quality_score) < 1e-6 and r.kept == (not r.base_failed and scores[r.doc_id] >= 0.5) for r in rows)
+    assert len(rows) == len(scores) and 0 < sum(r.kept for r in rows) < len(rows)
+
+
+def test_registered_digests_are_those_of_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    from ravelin.llm import piece_codec
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    rows = piece_codec.op7_sentencepiece(spark, D).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
+def test_chats_with_long_texts_and_many_turns(spark):
+    from pyspark.sql import functions as F
+
+    from ravelin.llm import chat_format
+
+    rows = [(1, 0, "user", "x" * 400_000), (1, 1, "assistant", "<|" * 100_000)] + [(2, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(3000)]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = {r.conv_id: r for r in chats.select("conv_id", "n_turns", chat_format.read_back(F.col("formatted")).alias("read")).collect()}
+    assert (found[1].n_turns, found[2].n_turns) == (2, 3000)
+    for key in (1, 2):
+        assert [(x.role, x.text) for x in found[key].read] == [(r, t) for c, _, r, t in rows if c == key]
