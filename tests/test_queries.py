@@ -1,6 +1,7 @@
 """Every query against its SQL, run by another engine on the same tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def con():
 
 
 def plain(frame, columns):
-    value = lambda v: None if v is None or v != v else round(float(v), 9) if hasattr(v, "is_integer") and not isinstance(v, bool) else str(v)
+    value = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 9) if hasattr(v, "is_integer") and not isinstance(v, bool) else str(v)
     return sorted(repr([value(v) for v in row]) for row in frame[columns].astype(object).itertuples(index=False))
 
 
