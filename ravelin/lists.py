@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.operators import compliance, listing, resolve
 from ravelin.plans import lens
 from ravelin.queries import _banded, register
+from ravelin.sources import captures
+from ravelin.sources.feeds import shared_folder
 
 
 def _second(rows: DataFrame, resource: str, params: dict[str, str], size: int = 25) -> DataFrame:
@@ -110,3 +114,30 @@ def licence_verdicts(spark, d):
     """Components and instances of each version by whether their licence expression is restrictive."""
     rows = _licences(spark, d).withColumn("restrictive", compliance.restrictive(F.col("expression"), NAMES, EXCEPTED))
     return rows.groupBy("version", "restrictive").agg(F.count_distinct("component").alias("components"), F.sum("instances").alias("instances"))
+
+
+_NODE = """to_json(named_struct('metadata', named_struct('name', concat('node', s_suppkey), 'labels', map_filter(map('eks.amazonaws.com/group', CASE WHEN s_suppkey % 8 = 0 THEN 'g' END, 'topology.kubernetes.io/region', CASE WHEN s_suppkey % 3 = 0 THEN concat('r', s_suppkey) END,
+    'failure-domain.beta.kubernetes.io/region', concat('old', s_suppkey)), (k, v) -> v IS NOT NULL)), 'spec', named_struct('providerID', CASE s_suppkey % 4 WHEN 0 THEN 'AWS://x' WHEN 1 THEN 'gce://x' WHEN 2 THEN 'azure://x' END)))"""
+_POD = """CASE c_custkey % 7 WHEN 0 THEN '"no object"' WHEN 1 THEN '{}' WHEN 2 THEN concat('{"kind":"Custom","metadata":{"name":"p', c_custkey, '"}}') ELSE concat('{"metadata":{"name":"p', c_custkey, '"}}') END"""
+
+
+@register("""WITH node AS (SELECT s_nationkey AS n, min(s_suppkey) AS s FROM supplier GROUP BY s_nationkey),
+    pod AS (SELECT c_nationkey AS n, count(*) FILTER (WHERE c_custkey % 7 <> 0) AS pods, count(*) FILTER (WHERE c_custkey % 7 NOT IN (0, 2)) AS stamped, count(*) FILTER (WHERE c_custkey % 7 > 1) AS named FROM customer GROUP BY c_nationkey)
+    SELECT 'n' || n_nationkey AS cluster, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'v1.' || n_nationkey END AS k8s_version, CASE WHEN s IS NULL OR s % 4 = 3 THEN 'onprem' WHEN s % 8 = 0 THEN 'eks' WHEN s % 4 = 0 THEN 'aws' WHEN s % 4 = 1 THEN 'gcp' ELSE 'azure' END AS provider,
+      CASE WHEN s IS NULL THEN '' WHEN s % 3 = 0 THEN 'r' || s ELSE 'old' || s END AS region, coalesce(pods, 0) AS pods, coalesce(stamped, 0) AS stamped, coalesce(named, 0) AS named
+    FROM nation LEFT JOIN node ON node.n = n_nationkey LEFT JOIN pod ON pod.n = n_nationkey""", on_lens=False)
+def captured_clusters(spark, d):
+    """Clusters as captured, one folder a nation: what their first node says, and their pods, of which most lack a kind."""
+    at = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    nodes = spark.read.parquet(f"{d}/supplier.parquet").select("s_nationkey", "s_suppkey", F.expr(_NODE).alias("raw")).groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "raw"))).alias("r"))
+    pods = spark.read.parquet(f"{d}/customer.parquet").select("c_nationkey", F.expr(_POD).alias("raw")).groupBy("c_nationkey").agg(F.collect_list("raw").alias("r"))
+    nations = spark.read.parquet(f"{d}/nation.parquet")
+    name = lambda key: F.concat(F.lit("n"), F.col(key)).alias("cluster")
+    files = nodes.select(name("s_nationkey"), F.lit("nodes.json").alias("file"), F.concat(F.lit('{"kind":"List","items":['), F.array_join("r.raw", ","), F.lit("]}")).alias("value"))
+    files = files.unionByName(pods.select(name("c_nationkey"), F.lit("pods.json").alias("file"), F.concat(F.lit("["), F.array_join("r", ","), F.lit("]")).alias("value")))
+    version = F.when(F.col("n_nationkey") % 5 == 0, "{}").otherwise(F.concat(F.lit('{"gitVersion":"v1.'), "n_nationkey", F.lit('"}')))
+    files = files.unionByName(nations.select(name("n_nationkey"), F.lit("version.json").alias("file"), version.alias("value")))
+    files.withColumn("group", F.lit("kubeapi")).write.partitionBy("cluster", "group", "file").text(at)
+    found = captures.items(spark, at).where("kind = 'Pod'").withColumn("own", F.get_json_object("raw", "$.kind"))
+    counts = found.groupBy("cluster").agg(F.count("*").alias("pods"), F.count_if(F.col("own") == "Pod").alias("stamped"), F.count(F.get_json_object("raw", "$.metadata.name")).alias("named"))
+    return captures.cluster_facts(spark, at).join(counts, "cluster", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("pods", "stamped", "named")})

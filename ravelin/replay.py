@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import ravelin.intake  # noqa: F401 - its SQL is a part of that below
 from ravelin.functions import signals as G
 from ravelin.functions.scalars import SEVERITIES
-from ravelin.operators import checks, cycle, findings, inventory, marks, snapshots
+from ravelin.operators import checks, cycle, enrichment, findings, inventory, marks, snapshots
 from ravelin.panels import _CYCLES, _queue
 from ravelin.plans import lens, payloads
 from ravelin.queries import KEY, ORACLE, QUERIES, _at, _banded, register
@@ -331,3 +331,31 @@ def assertion_batch_state(spark, d):
         {"kind": "workload_last_inventory_unchanged", "since": "2024-01-15", "filter": {"kind": "Deployment"}},
     ]
     return checks.evaluate(spark, tables, asked).withColumn("index", F.col("index").cast("int"))
+
+
+_FEEDS = (
+    ("(id % 100) / 100.0::DOUBLE AS percentile FROM range(300) t(id))", "((id * 7) % 100) / 100.0::DOUBLE AS percentile FROM range(300) t(id) WHERE id % 3 <> 0)"),
+    ("FROM range(300) t(id) WHERE id % 37 = 0)", "FROM range(300) t(id) WHERE id % 41 = 0)"),
+)
+
+
+def _refreshed_sql() -> str:
+    sql = lens.SQL
+    for old, new in _FEEDS:
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql + "SELECT category, vuln_id, wl_id, image_id, epss_percentile, kev_listed, rule, band FROM banded"
+
+
+@register(_refreshed_sql(), on_lens=False)
+def refreshed_findings(spark, d):
+    """Stored findings after both feeds were refreshed: what the new ones lack is cleared, and only what differs is scored anew."""
+    columns = [*KEY, "severity", "fixed_version", "env", "is_exposed", "escalation", "sensitive", "epss_percentile", "kev_listed", "rule", "band"]
+    store = Versions(spark, f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}", buckets=4)
+    first = store.begin()
+    first.replace("findings", _banded(spark, d).select(*columns), tuple(KEY))
+    first.publish()
+    ids = spark.range(300).withColumn("vuln_id", F.expr("concat('CVE-', lpad(cast(id AS string), 4, '0'))"))
+    epss = ids.where("id % 3 <> 0").select("vuln_id", (F.col("id") * 7 % 100 / 100).alias("percentile"))
+    enrichment.refresh(store, epss, ids.where("id % 41 = 0").select("vuln_id"))
+    return store.read("findings").select(*KEY, "epss_percentile", "kev_listed", "rule", "band")

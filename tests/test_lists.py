@@ -133,3 +133,30 @@ def test_licence_expressions_against_all_choices(spark):
     assert found == {**expected, **odd}
     own = rows.where("t = 'GPL-3.0 AND MIT OR AGPL-3.0'").select(compliance.licences_of(F.col("t")).alias("l")).first()
     assert own.l == ["GPL-3.0", "MIT", "AGPL-3.0"]
+
+
+def test_captures_are_stamped_with_the_kind_of_their_file(spark, tmp_path):
+    import json
+
+    from ravelin.sources import captures
+
+    assert [captures.file_of(k) for k in ("Ingress", "NetworkPolicy", "Pod", "ClusterComplianceReport")] == ["ingresses", "networkpolicies", "pods", "clustercompliancereports"]
+    node = lambda pid, **labels: {"metadata": {"labels": labels}, "spec": {"providerID": pid}}
+    files = {
+        "one/kubeapi/pods.json": {"kind": "PodList", "items": [{"metadata": {"name": "a"}}, {"kind": None}, {"kind": "Other"}, "text", 5, {}]},
+        "one/kubeapi/nodes.json": [node("GCE://1", **{"cloud.google.com/gke-x": "1", "topology.kubernetes.io/region": "r1"}), node("aws://1")],
+        "one/kubeapi/version.json": {"gitVersion": "v1.30"},
+        "one/trivy/configauditreports.json": {"report": {}},
+        "one/kubeapi/secrets.json": [{"a": 1}],
+        "one/trivy/pods.json": [{"a": 1}],
+        "two/kyverno/policyreports.json": [],
+        "two/kubeapi/jobs.json": {"items": []},
+    }
+    for name, doc in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(doc))
+    (tmp_path / "two/kubeapi/services.json").write_text("{broken")
+    found = [(r.cluster, r.kind, r.position, json.loads(r.raw)) for r in captures.items(spark, str(tmp_path)).where("kind <> 'Node'").orderBy("kind", "position").collect()]
+    assert found == [("one", "ConfigAuditReport", 0, {"report": {}, "kind": "ConfigAuditReport"}), ("one", "Pod", 0, {"metadata": {"name": "a"}, "kind": "Pod"}), ("one", "Pod", 1, {"kind": None}), ("one", "Pod", 2, {"kind": "Other"}), ("one", "Pod", 5, {"kind": "Pod"})]
+    facts = sorted(tuple(r) for r in captures.cluster_facts(spark, str(tmp_path)).collect())
+    assert facts == [("one", "v1.30", "gke", "r1"), ("two", "", "onprem", "")]

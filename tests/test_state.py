@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravelin import replay
-from ravelin.operators import cycle, findings, inventory
+from ravelin.operators import cycle, enrichment, findings, inventory
 from ravelin.sources import reports
 from ravelin.sources.versions import Conflict, Versions, claim, names
 
@@ -259,3 +259,27 @@ def test_inventories_of_nothing_and_of_oddities(spark, store, persist):
     persist("c", [], 1)
     persist("c", ["{}", "not json", json.dumps({"kind": "Deployment"}), deployment("w", "a"), deployment("w", "a"), item("Deployment", "no spec", "a"), item("Service", "s", "a")], 2)
     assert rows(store.read("workloads").select("namespace", "name")) == [("a", "no spec"), ("a", "w")]
+
+
+# ── feeds ─────────────────────────────────────────────────────────
+
+
+def test_a_refresh_touches_what_differs(spark, store):
+    kind = "category string, vuln_id string, wl_id long, image_id long, severity string, fixed_version string, env string, is_exposed boolean, escalation boolean, sensitive boolean, epss_percentile double, kev_listed boolean, rule int, band string"
+    same = ("critical", "1.0", "dev", True, False, False)
+    base = [("vulnerability", f"CVE-{k}", k, 1, *same, 0.5, False, 14, "scheduled") for k in range(60)] + [("config", "CVE-1", 99, 1, *same, 0.5, False, 14, "scheduled"), ("vulnerability", "GHSA-1", 98, None, *same, None, False, 14, "scheduled")]
+    first = store.begin()
+    first.replace("findings", spark.createDataFrame(base, kind), findings.KEY)
+    first.publish()
+    before = store.head()[1]["findings"]["buckets"]
+    none = spark.createDataFrame([], "vuln_id string, percentile double")
+    assert enrichment.refresh(store, none, none.select("vuln_id")) == 0 and store.head()[0] == 1
+    epss = spark.createDataFrame([(f"CVE-{k}", 0.5) for k in range(60) if k != 7] + [("GHSA-1", 0.9)], "vuln_id string, percentile double")
+    assert enrichment.refresh(store, epss, spark.createDataFrame([("CVE-1",), ("CVE-1",), ("GHSA-1",)], "vuln_id string")) == 2
+    after = {(r.category, r.vuln_id): (r.epss_percentile, r.kev_listed, r.rule, r.band) for r in store.read("findings").collect()}
+    assert len(after) == 62
+    assert after.pop(("vulnerability", "CVE-1")) == (0.5, True, 1, "immediate") and after.pop(("vulnerability", "CVE-7")) == (None, False, 14, "scheduled")
+    assert after.pop(("vulnerability", "GHSA-1")) == (None, False, 14, "scheduled")
+    assert set(after.values()) == {(0.5, False, 14, "scheduled")}
+    now = store.head()[1]["findings"]["buckets"]
+    assert 1 <= sum(before[b] != now[b] for b in before) <= 2
