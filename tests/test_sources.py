@@ -106,6 +106,22 @@ def test_selectors_meet_labels(spark):
     assert {(r.ing_id, r.wl_id) for r in resolve.ingress_workloads(ing, services, matches).collect()} == {("ing", "dep"), ("ing", "cron")}
 
 
+def test_ingresses_go_to_workloads_not_by_service(spark):
+    """A hundred services of one name and selector are one step between ingress and workload; pairs are not made twice."""
+    services = spark.range(100).selectExpr("concat('s', id) AS svc_id", "'ns' AS ns_id", "'web' AS svc_name", "map('app', 'x') AS selector")
+    workloads = spark.createDataFrame([("w1", "ns", {"app": "x"}), ("w2", "ns", {"app": "x", "t": "1"}), ("w3", "ns", {"app": "y"}), ("w1", "other", {"app": "x"})], "wl_id string, ns_id string, labels map<string,string>")
+    ing = spark.createDataFrame([("a", "ns", ["web", "web", None]), ("b", "ns", ["web", "none"]), ("a", "ns", ["web"]), ("a", "other", ["web"]), ("c", "ns", [])], "ing_id string, ns_id string, backends array<string>")
+    found = resolve.ingress_selected(ing, services, workloads)
+    expected = [("a", "w1"), ("a", "w2"), ("b", "w1"), ("b", "w2")]
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    matches = resolve.match_selectors(services, workloads)
+    over = resolve.ingress_workloads(ing, services, matches)
+    assert sorted(tuple(r) for r in over.collect()) == expected
+    # no aggregate or exchange follows the join that makes the pairs
+    plan = over._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan[: plan.index("Aggregate")]
+
+
 def test_folder_of_items(spark, tmp_path):
     (tmp_path / "kubeapi").mkdir()
     (tmp_path / "kubeapi/a.json").write_text(json.dumps({"items": [{"kind": "A"}, {"kind": "B"}]}))
