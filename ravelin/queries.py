@@ -265,8 +265,14 @@ def deployed_sweep(spark, d):
     return lifecycle.sweep(lens.workloads(spark, d).select("wl_id").join(seen, "wl_id", "left"), "last_at", _at("1998-10-01"))
 
 
-@register("SELECT wl_id, image_id, max(seen_at) AS last_seen FROM observation GROUP BY wl_id, image_id HAVING max(seen_at) >= TIMESTAMP '2001-01-01' - INTERVAL 30 DAY")
+@register("SELECT category, vuln_id, wl_id, image_id FROM finding WHERE last_seen >= TIMESTAMP '1997-01-01' - INTERVAL 30 DAY")
 def observation_retention(spark, d):
+    """What was observed within thirty days: all findings, as of the moment at which all views are taken."""
+    return lifecycle.retained(_folded(spark, d), "last_seen", _at(lens.AS_OF)).select(*KEY)
+
+
+@register("SELECT wl_id, image_id, max(seen_at) AS last_seen FROM observation GROUP BY wl_id, image_id HAVING max(seen_at) >= TIMESTAMP '2001-01-01' - INTERVAL 30 DAY")
+def container_retention(spark, d):
     """Containers that were seen within thirty days."""
     pairs = lens.observations(spark, d).groupBy("wl_id", "image_id").agg(F.max("seen_at").alias("last_seen"))
     return lifecycle.retained(pairs, "last_seen", _at("2001-01-01"))

@@ -57,3 +57,11 @@ def test_assertions_of_single_rows(spark):
 
 def test_entry_lists_every_query():
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_retention_is_of_all_findings(spark, con):
+    """The whole job: findings as of the views' moment, not only the containers of the last weeks."""
+    kept = con.execute("SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_returnflag, l_partkey, l_suppkey HAVING max(l_shipdate) >= TIMESTAMP '1997-01-01' - INTERVAL 30 DAY)").fetchone()[0]
+    found = QUERIES["observation_retention"](spark, D)
+    assert sorted(found.columns) == ["category", "image_id", "vuln_id", "wl_id"] and found.count() == kept
+    assert kept > QUERIES["container_retention"](spark, D).count()
