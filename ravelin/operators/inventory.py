@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.functions.scalars import blank, filled, internal_balancer, internal_ingress, registry_of, repository_of
-from ravelin.operators.resolve import ingress_workloads, match_selectors, owners, settled
+from ravelin.operators.resolve import chosen, keyed, owners, settled
 from ravelin.sources.reports import Inventory
 from ravelin.sources.versions import Commit, Versions
 
@@ -29,16 +29,17 @@ def node(namespace: str | Column, kind: str | Column, name: str | Column) -> Col
 def reached(inventory: Inventory) -> DataFrame:
     """(wl_id, signal_id) of workloads that a balancer, an ingress or a node port leads to from outside.
 
-    Balancers and ingresses that are marked as internal lead to nobody. Selectors and labels meet in an equi-join.
+    Balancers and ingresses that are marked as internal lead to nobody. Selectors and labels meet in an equi-join, each
+    distinct selector once: there is no row per service and workload.
     """
-    services = inventory.services().select(node("namespace", F.lit("Service"), "svc_name").alias("svc_id"), F.col("namespace").alias("ns_id"), "svc_name", "type", "selector", "annotations")
+    services = keyed(inventory.services().select(F.col("namespace").alias("ns_id"), "svc_name", "type", "selector", "annotations"))
     workloads = inventory.workloads().select(node("namespace", "kind", "name").alias("wl_id"), F.col("namespace").alias("ns_id"), "labels")
-    matches = match_selectors(services, workloads)
     kind = F.when((F.col("type") == "LoadBalancer") & ~internal_balancer(F.col("annotations")), BALANCER).when(F.col("type") == "NodePort", NODE_PORT)
-    direct = matches.join(services.select("svc_id", kind.alias("signal_id")).where("signal_id IS NOT NULL"), "svc_id").select("wl_id", "signal_id")
-    ingresses = inventory.ingresses().where(~internal_ingress(F.col("class_name"), F.col("annotations"))).select(node("namespace", F.lit("Ingress"), "ing_name").alias("ing_id"), F.col("namespace").alias("ns_id"), "backends")
-    over = ingress_workloads(ingresses, services, matches).select("wl_id", F.lit(INGRESS).alias("signal_id"))
-    return direct.unionByName(over).distinct()
+    direct = services.select("ns_id", "entries_", kind.alias("signal_id")).where("signal_id IS NOT NULL")
+    ingresses = inventory.ingresses().where(~internal_ingress(F.col("class_name"), F.col("annotations"))).select(F.col("namespace").alias("ns_id"), F.explode("backends").alias("svc_name")).distinct()
+    over = services.join(ingresses, ["ns_id", "svc_name"], "left_semi").select("ns_id", "entries_", F.lit(INGRESS).alias("signal_id"))
+    led = direct.unionByName(over).distinct()
+    return led.join(chosen(services, workloads), ["ns_id", "entries_"]).select("wl_id", "signal_id").distinct()
 
 
 def overlaid(*key: str) -> Callable[[DataFrame, DataFrame], DataFrame]:

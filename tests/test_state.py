@@ -283,3 +283,21 @@ def test_a_refresh_touches_what_differs(spark, store):
     assert set(after.values()) == {(0.5, False, 14, "scheduled")}
     now = store.head()[1]["findings"]["buckets"]
     assert 1 <= sum(before[b] != now[b] for b in before) <= 2
+
+
+def test_workloads_are_reached_by_selector_not_by_service(spark):
+    """Services that share a selector are one step; before, each met all its workloads (two hundred times three hundred rows)."""
+    made = lambda n, sql: spark.range(n).select(F.expr(sql).alias("raw"))
+    load = made(200, """concat('{"kind":"Service","metadata":{"name":"s', id, '","namespace":"n"},"spec":{"type":"LoadBalancer","selector":{"app":"x"}}}')""")
+    ports = made(200, """concat('{"kind":"Service","metadata":{"name":"p', id, '","namespace":"n"},"spec":{"type":"NodePort","selector":{"app":"y"}}}')""")
+    own = made(300, """concat('{"kind":"Deployment","metadata":{"name":"w', id, '","namespace":"n"},"spec":{"template":{"metadata":{"labels":{"app":"', CASE id % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END, '"}}}}}')""")
+    way = made(50, """concat('{"kind":"Ingress","metadata":{"name":"i', id, '","namespace":"n"},"spec":{"defaultBackend":{"service":{"name":"p', id, '"}}}}')""")
+    found = inventory.reached(reports.Inventory(load.unionByName(ports).unionByName(own).unionByName(way)))
+    expected = [(f"n/Deployment/w{k}", s) for k in range(300) for s in {0: [inventory.BALANCER], 1: [inventory.INGRESS, inventory.NODE_PORT], 2: []}[k % 3]]
+    assert rows(found) == sorted(expected)
+    # the join with workloads comes after services are made distinct: its plan has no service left
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    columns = {plan.output().apply(k).name() for k in range(plan.output().size())}
+    assert columns <= {"ns_id", "entries_", "signal_id", "wl_id"}
