@@ -40,8 +40,8 @@ def latest(stored: DataFrame, batch: DataFrame, key: tuple[str, ...], keep: tupl
     """The upsert: ``keep`` of the batch wins, first_seen and last_seen widen. Both have a row a key at most."""
     columns = [*key, *keep, "first_seen", "last_seen"]
     both = stored.select(*columns, F.lit(0).alias("new_")).unionByName(batch.select(*columns, F.lit(1).alias("new_")))
-    aggregates = [F.max_by(c, "new_").alias(c) for c in keep]
-    return both.groupBy(*key).agg(*aggregates, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    out = both.groupBy(*key).agg(F.max_by(F.struct(*keep), "new_").alias("r_"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return out.select(*key, *[F.col(f"r_.{c}").alias(c) for c in keep], "first_seen", "last_seen")
 
 
 def merged_findings(stored: DataFrame, batch: DataFrame) -> DataFrame:

@@ -19,9 +19,14 @@ def fold(observations: DataFrame, key: tuple[str, ...] = KEY, keep: tuple[str, .
     """
     # the least of what falls: of negative times and numbers, then of the texts themselves
     micros = lambda c: F.negative(F.unix_micros(F.col(c).cast("timestamp")))
-    order = F.struct(micros("seen_at").alias("a"), *[F.negative(F.col(c)).alias(c) for c in ("order_id", "line", "price")], "severity", "fixed_version")
-    out = observations.groupBy(*key).agg(F.min_by(F.struct(*keep), order).alias("r_"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
-    return out.select(*key, *[F.col(f"r_.{c}").alias(c) for c in keep], "first_seen", "last_seen")
+    falling = ("order_id", "line", "price")
+    order = F.struct(micros("seen_at").alias("a"), *[F.negative(F.col(c)).alias(c) for c in falling], "severity", "fixed_version")
+    # what the order holds already is taken from it and does not travel twice
+    more = [c for c in keep if c not in (*falling, "severity", "fixed_version")]
+    least = F.min_by(F.struct(order.alias("o"), *more), order) if more else F.struct(F.min(order).alias("o"))
+    out = observations.groupBy(*key).agg(least.alias("r_"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
+    kept = lambda c: F.col(f"r_.{c}") if c in more else F.negative(F.col(f"r_.o.{c}")) if c in falling else F.col(f"r_.o.{c}")
+    return out.select(*key, *[kept(c).alias(c) for c in keep], "first_seen", "last_seen")
 
 
 def merged(stored: DataFrame, batch: DataFrame, key: tuple[str, ...] = KEY, keep: tuple[str, ...] = ("severity", "fixed_version", "order_id", "line")) -> DataFrame:

@@ -118,10 +118,13 @@ class Commit:
         return F.pmod(F.xxhash64(*key), F.lit(self.versions.buckets))
 
     def _written(self, name: str, rows: DataFrame, key: tuple[str, ...]) -> dict[str, str]:
-        """Write ``rows`` by bucket; the folder of each bucket that has any. A large bucket becomes several files."""
+        """Write ``rows`` by bucket; the folder of each bucket that has any.
+
+        Each task writes a file for each of its buckets: the rows are not shuffled once more to have fewer, larger ones.
+        """
         self.written += 1
         folder = f"{name}/{self.name}-{self.written}"
-        rows.withColumn("bucket_", self._bucket(key)).hint("rebalance", "bucket_").write.partitionBy("bucket_").parquet(f"{self.versions.root}/{folder}")
+        rows.withColumn("bucket_", self._bucket(key)).write.partitionBy("bucket_").parquet(f"{self.versions.root}/{folder}")
         return {n.split("=")[1]: f"{folder}/{n}" for n in names(self.spark, f"{self.versions.root}/{folder}")}
 
     def replace(self, name: str, rows: DataFrame, key: tuple[str, ...]) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import scalars as S
 from ravelin.functions import signals as G
 from ravelin.operators import checks, findings, lifecycle, resolve, snapshots, views
+from ravelin.plans import lens
 from ravelin.queries import QUERIES
 
 BASE = {"wl_id": 1, "severity": "low", "epss_percentile": None, "kev_listed": False, "fixed_version": "1.2", "env": "prod", "is_exposed": False, "escalation": False, "sensitive": False}
@@ -201,3 +202,33 @@ def test_assertion_kinds(spark):
     found = checks.evaluate(spark, t, [a for a, _ in asked]).orderBy("index").collect()
     assert [r["pass"] for r in found] == [p for _, p in asked]
     assert checks.evaluate(spark, t, []).count() == 0
+
+
+def test_fold_keeps_what_its_order_lacks(spark):
+    """Columns that the order holds come from it, also null or negative; another column comes from the same row."""
+    schema = "category string, vuln_id string, wl_id long, image_id long, severity string, fixed_version string, order_id long, line int, price double, seen_at timestamp_ntz, note string"
+    at = lambda day: datetime(2024, 1, day)
+    made = [("c", "v", 1, 1, "low", "", 5, 1, 1.0, at(2), "old"), ("c", "v", 1, 1, "high", None, -7, 2, 2.0, at(3), "new"), ("c", "v", 1, 1, "high", "1", -8, 9, 2.0, at(3), "lesser order")]
+    rows = spark.createDataFrame(made, schema)
+    plain = findings.fold(rows)
+    assert [tuple(r) for r in plain.collect()] == [("c", "v", 1, 1, "high", None, -7, 2, at(2), at(3))]
+    more = findings.fold(rows, keep=("note", "price", "order_id"))
+    assert [tuple(r) for r in more.collect()] == [("c", "v", 1, 1, "new", 2.0, -7, at(2), at(3))]
+    assert [f.dataType for f in plain.schema.fields[4:8]] == [rows.schema[c].dataType for c in ("severity", "fixed_version", "order_id", "line")]
+    # severity and version travel once: the aggregate holds the order alone
+    assert "min_by" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_partitions_follow_the_tables(spark, tmp_path):
+    """A session with few shuffle partitions gets more of them for large tables, and keeps its own for small ones."""
+    spark.range(1000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1000).write.parquet(f"{tmp_path}/small/lineitem.parquet")
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before, own = spark.conf.get(name, None), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        spark.conf.unset(name)
+        assert lens.sized(spark, f"{tmp_path}/small") == own and spark.conf.get(name, None) is None
+        assert lens.sized(spark, str(tmp_path), rows=50) == 20 and spark.conf.get(name) == "20"
+        assert lens.sized(spark, str(tmp_path), rows=500) == 20 and spark.conf.get(name) == "20"  # never fewer
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -301,3 +301,18 @@ def test_workloads_are_reached_by_selector_not_by_service(spark):
         plan = plan.children().apply(0)
     columns = {plan.output().apply(k).name() for k in range(plan.output().size())}
     assert columns <= {"ns_id", "entries_", "signal_id", "wl_id"}
+
+
+def test_stored_rows_are_not_shuffled_to_be_written(spark, store):
+    """What a merge combines lies by key already: the write adds no exchange, which before moved all rows once more."""
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("write", "write")
+    try:
+        commit = store.begin()
+        commit.replace("t", spark.range(0, 1000, 1, 4).selectExpr("id AS k", "'a' AS v"), ("k",))
+        commit.publish()
+        stages = {s for j in seen.getJobIdsForGroup("write") for s in seen.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) == 1
+    assert store.read("t").count() == 1000 and store.read("t").where("v = 'a'").select("k").distinct().count() == 1000
