@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.plans.lens import sized
+
 #: Who a report is about: the workload of its order, by labels or else by the report's own namespace.
 _META = """named_struct('name', concat('r', o_orderkey), 'namespace', 'scan', 'labels', map_filter(map('trivy-operator.resource.namespace', CASE WHEN o_orderkey % 5 <> 0 THEN concat('ns', o_custkey % 25) END,
     'trivy-operator.resource.kind', 'Deployment', 'trivy-operator.resource.name', concat('wl', o_custkey % 40), 'trivy-operator.container.name', CASE WHEN o_orderkey % 2 = 0 THEN 'main' END), (k, v) -> v IS NOT NULL)) AS metadata"""
@@ -15,6 +17,7 @@ SEVERITY_SQL = "CASE l_returnflag WHEN 'A' THEN 'critical' WHEN 'R' THEN 'high'
 
 def _reports(spark: SparkSession, d: str, items: str, body: str, meta: str = _META) -> DataFrame:
     """One report per order, with an item per line."""
+    sized(spark, d)
     lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.expr(f"collect_list({items})").alias("items"))
     orders = spark.read.parquet(f"{d}/orders.parquet").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return orders.select(F.to_json(F.struct(*[F.expr(x) for x in (meta, body)])).alias("raw"))
@@ -40,6 +43,7 @@ def secrets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def policies(spark: SparkSession, d: str) -> DataFrame:
+    sized(spark, d)
     who = "named_struct('kind', 'Deployment', 'name', concat('{}', l_suppkey), 'namespace', CASE WHEN l_suppkey % 2 = 0 THEN concat('n', l_suppkey % 5) END)"
     items = f"""named_struct('policy', CASE l_partkey % 3 WHEN 0 THEN 'disallow-privileged-containers' WHEN 1 THEN 'disallow-host-path' ELSE 'own-policy' END, 'rule', CASE WHEN l_linenumber % 2 = 0 THEN 'rule1' END,
         'result', CASE l_returnflag WHEN 'A' THEN 'fail' WHEN 'R' THEN 'pass' ELSE 'WARN' END, 'severity', CASE WHEN l_linestatus = 'F' THEN 'High' END,
@@ -58,6 +62,7 @@ _NAMED = "named_struct('name', concat('{name}', s_suppkey), 'namespace', concat(
 
 def manifests(spark: SparkSession, d: str) -> DataFrame:
     """Per supplier a controller and, of deployments, a replica set and its pod; services, ingresses, namespaces and policies beside them."""
+    sized(spark, d)
     owned = ", 'ownerReferences', array(named_struct('kind', '{kind}', 'name', concat('{name}', s_suppkey), 'controller', true))"
     rows = spark.read.parquet(f"{d}/supplier.parquet")
     one = lambda df, *columns: df.select(F.to_json(F.struct(*[F.expr(c) for c in columns])).alias("raw"))
