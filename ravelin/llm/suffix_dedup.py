@@ -4,7 +4,8 @@ A window is ``length`` bytes of a text. Every window has an anchor: the place of
 ``gram``-byte strings. Equal windows have equal anchor strings at equal places, so only windows that share an
 anchor string need sorting. Neighbouring windows with one anchor form a stretch. Where an anchor string has
 several stretches, their windows are sorted as suffixes: multikey quicksort on the first words, then blind tries
-for those that still agree. Of stretches that are equal byte for byte one stands for all.
+for those that still agree. Of stretches that are equal byte for byte one stands for all. The windows of very many
+stretches around one anchor string are dealt out by how far before it they start, some neighbours at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,10 @@ from ravelin.llm.wordhash import _BASE, _INVERSE, _powers, mix
 GRAM = 32
 #: Bytes that multikey quicksort looks at before the blind tries take over.
 SHALLOW = 24
-#: Anchor strings with more stretches than this have their windows sorted by cells, told by bytes beside the anchor.
+#: Anchor strings with more stretches than this have these cut into parts that are sorted by cells, told by what their windows share.
 HOT = 1000
+#: Neighbouring windows of such a part at most: they share all of a window's bytes but one less than so many.
+PART = 9
 _TILE = 1 << 18
 _PLACE_BITS = 20
 #: Bits of a place (31 of start, 7 of the number of windows), and of a text's hash beside it.
@@ -46,15 +49,19 @@ class Stretches:
         self.up, self.down = _powers(_BASE, _TILE + 4096), _powers(_INVERSE, _TILE + 4096)
         self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def of(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``data``: bytes; ``starts``: ascending places at which a whole window starts."""
-        n = len(data)
+    def keys(self, data: np.ndarray) -> np.ndarray:
+        """The hash of the ``GRAM`` bytes from each place on."""
         gram = self.table[data]
         step, factor = 1, 0xC2B2AE3D27D4EB4F
         while step < GRAM:
             gram = gram[:-step] * np.uint64(factor) + gram[step:]
             step, factor = 2 * step, factor * factor % 2**64
-        keys = mix(gram)
+        return mix(gram)
+
+    def of(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``data``: bytes; ``starts``: ascending places at which a whole window starts."""
+        n = len(data)
+        keys = self.keys(data)
         low = (keys & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(keys), dtype=np.uint64)
         step = 1
         while 2 * step <= self.width:
@@ -303,6 +310,39 @@ def repeats(texts: list[bytes], d: np.ndarray, th: np.ndarray, place: np.ndarray
     return by[of[hit[head]]], within[hit[head]], np.diff(np.append(head, len(hit)))
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """From (key, d, th, place, stretch) to parts of the same form, with ``told``: the bytes that a part's windows share.
+
+    A part is the windows that start between a multiple of PART bytes before the anchor and the next. What all windows
+    from there on that hold the anchor share is as long, and lies as far from it, in every stretch; so equal windows are
+    in parts told by equal bytes.
+    """
+    finder = Stretches(length)
+    for batch in (part for whole in batches for part in slices(whole, 4, _CHUNK, 1 << 20)):
+        if not batch.num_rows:
+            continue
+        key, place = batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy()
+        texts = batch.column(4).to_pylist()
+        sizes = np.array([len(t) for t in texts])
+        whole, base = b"".join(texts), np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(texts)), sizes)[: len(whole) - GRAM + 1]
+        at = np.flatnonzero(finder.keys(np.frombuffer(whole, np.uint8)) == key[of])  # the first one of a stretch is its anchor
+        anchor = at[np.searchsorted(at, base)] - base
+        count = (place & 127) + 1
+        of = np.repeat(np.arange(len(texts)), count)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        turn = (anchor[of] - within) // PART
+        head = np.flatnonzero(np.concatenate([[True], (turn[1:] != turn[:-1]) | (of[1:] != of[:-1])]))
+        n = np.diff(np.append(head, len(of)))
+        own, start, least = of[head], within[head], turn[head] * PART
+        most = np.minimum(least + PART, finder.width) - 1
+        cut_ = lambda begin, size: pa.array([whole[a : a + k] for a, k in zip((base[own] + begin).tolist(), size.tolist(), strict=True)], pa.binary())
+        rows = batch.take(pa.array(own))
+        places = pa.array((((place[own] >> 7) + start) << 7) | (n - 1))
+        told = cut_(anchor[own] - least, length - most + least)
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], places, cut_(start, n - 1 + length), told], [*batch.schema.names, "told"])
+
+
 def _sorted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """From (key, d, th, place, stretch), keys together, to the runs (d, th, start, bytes)."""
     held: list[pa.RecordBatch] = []
@@ -371,9 +411,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
     earlier in the same row. Strings are judged on the input and never cross rows. A null text counts as empty;
     texts shorter than ``length`` stay whole. Null ids come last. Rows that repeat a doc_id are ordered by a 57-bit
     hash of their texts; rows equal in both count as one document and share its result. One row per input row; columns
-    of these names are replaced. An anchor string with more than HOT stretches is sorted window by window in cells,
-    each told by the 16 first and the 16 last bytes of its windows, one of which lies beside the anchor; equal windows
-    are in one cell, so the result is the same. Tasks hold one piece of input, or the windows of one cell.
+    of these names are replaced. An anchor string with more than HOT stretches is sorted in cells: its stretches
+    are cut into parts of PART windows or fewer, at places that the anchor fixes, and a cell is told by the bytes that
+    the windows of its parts share, all but PART - 1; equal windows are in one cell, so the result is the same. Tasks
+    hold one piece of input, or the windows of one cell.
     """
     light_batches(docs.sparkSession)
     docs = without(docs, "kept", "n_removed", "spans", "d_", "th_")
@@ -391,12 +432,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text") -> Da
     own = by_doc.select(F.col("d").alias("d_"), F.col("th").alias("th_"), "open").where(F.size("open") > 0)
     held = _marked(keyed, own).where("there_").join(own, ["d_", "th_"])
     held = held.select(F.col("d_").alias("d"), F.col("th_").alias("th"), F.col(text).cast("binary").alias("data"), F.explode("open").alias("o"))
-    held = held.select("d", "th", "data", "o.*", run(F.col("o.place")).alias("s"))
-    part = lambda start, n: F.substring("data", (start + 1).cast("int"), n.cast("int") if isinstance(n, Column) else F.lit(n))
-    cold = held.where("NOT hot").select("key", "d", "th", "place", part(F.col("s.start"), F.col("s.bytes")).alias("stretch"))
-    each = held.where("hot").select("key", "d", "th", "data", F.explode(F.sequence(F.col("s.start"), F.col("s.start") + F.col("s.bytes") - length)).alias("at"))
-    cell = F.xxhash64("key", part(F.col("at"), 16), part(F.col("at") + (length - 16), 16))
-    each = each.select(cell.alias("key"), "d", "th", F.shiftleft("at", 7).alias("place"), part(F.col("at"), length).alias("stretch"))
+    held = held.select("o.key", "d", "th", "o.place", "data", run(F.col("o.place")).alias("s"), "o.hot")
+    held = held.select("key", "d", "th", "place", F.substring("data", (F.col("s.start") + 1).cast("int"), F.col("s.bytes").cast("int")).alias("stretch"), "hot")
+    cold = held.where("NOT hot").drop("hot")
+    parts = held.where("hot").drop("hot").mapInArrow(lambda b: _dealt(b, length), "key long, d long, th long, place long, stretch binary, told binary")
+    each = parts.select(F.xxhash64("key", "told").alias("key"), "d", "th", "place", "stretch")
     found = cold.unionByName(each).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, length), "d long, th long, start long, bytes long")
     runs = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "bytes")).alias("runs"))
     runs = runs.unionByName(by_doc.where(F.size("again") > 0).select("d", "th", F.transform("again", run).alias("runs")))

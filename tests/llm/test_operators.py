@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -677,6 +678,30 @@ def test_repeats_around_hot_anchors(spark, monkeypatch, hot):
         assert (r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) == expected[place[r.doc_id if r.doc_id is not None else 1 << 62, r.text]]
 
 
+def test_stretches_of_hot_anchors_are_dealt_in_few_parts():
+    rng = random.Random(7)
+    line = "This line stands in every text of this corpus, word by word."
+    texts = [f"{''.join(rng.choice('ab') for _ in range(90))}{line * rng.randrange(1, 3)}{''.join(rng.choice('ab') for _ in range(90))}".encode() for _ in range(40)]
+    texts += [b"q" * 300, line.encode() * 6, texts[0]]
+    finder, rows = suffix_dedup.Stretches(100), []
+    for d, text in enumerate(texts):
+        key, _, start, count = finder.of(np.frombuffer(text, np.uint8), np.arange(len(text) - 99))
+        rows += [(k, d, 0, int(s) << 7 | int(n) - 1, text[s : s + n + 99]) for k, s, n in zip(key.view(np.int64).tolist(), start, count, strict=True)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "d", "th", "place", "stretch"), r, strict=True)) for r in rows])
+    parts = [r for b in suffix_dedup._dealt(iter([batch]), 100) for r in b.to_pylist()]
+    assert len(parts) <= 9 * len(rows) and len(parts) < sum((r[3] & 127) + 1 for r in rows) / 4
+    found, cells = [], collections.defaultdict(set)
+    for r in parts:
+        start, n = r["place"] >> 7, (r["place"] & 127) + 1
+        assert n <= suffix_dedup.PART and r["stretch"] == texts[r["d"]][start : start + n + 99] and len(r["told"]) >= 92
+        for k in range(n):
+            assert r["told"] in r["stretch"][k : k + 100]
+            cells[r["stretch"][k : k + 100]].add((r["key"], r["told"]))
+        found += [(r["d"], start + k) for k in range(n)]
+    assert sorted(found) == [(d, j) for d, text in enumerate(texts) for j in range(len(text) - 99)]
+    assert max(map(len, cells.values())) == 1
+
+
 def test_repeats_bear_odd_rows(odd, none):
     rows = suffix_dedup.remove_repeats(odd).collect()
     assert len(rows) == odd.count() and {r.key for r in rows} == {"own key"}
