@@ -24,6 +24,10 @@ from ravelin.llm.wordhash import WordHasher, mix
 #: Places around the hidden word that the network sees.
 AROUND = (-2, -1, 1, 2)
 BATCH = 4096
+#: Words that are scored at once; no result depends on it.
+SCORED = 8192
+#: Scores of which no sum of exponentials leaves the range of float32.
+SAFE = 80.0
 #: Blocks in which the weights of a task travel, so that no task adds up whole networks of all others.
 BLOCKS = 64
 #: The counts of so many words at most go to every task; those of all others meet their words in a join.
@@ -40,31 +44,31 @@ def known_of(size: int) -> int:
     return size - size // 8
 
 
-def _chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-probability of the choice ``at`` in each row of scores."""
+def _exponentials(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of each row of scores, in their place, and the sum of each row; scores beyond SAFE are lowered by their row's greatest."""
+    if not bound < SAFE:
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _chosen(x: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
+    """The log-probability of the choice ``at`` in each row of scores, none of which is greater than ``bound`` in size."""
+    if not bound < SAFE:
+        x -= x.max(1, keepdims=True)
+        bound = 0.0
     own = x[np.arange(len(x)), at]
-    most = x.max(1)
-    return own - most - np.log(np.exp(x - most[:, None]).sum(1))
+    return own - np.log(_exponentials(x, bound)[1])
 
 
-def _missed(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _missed(x: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
     """One for the choice ``at`` of each row, less the probabilities of all choices."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x *= -1 / x.sum(1, keepdims=True)
+    x, sums = _exponentials(x, bound)
+    x *= (-1 / sums)[:, None]
     x[np.arange(len(x)), at] += 1
     return x
 
 
-def _segments(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each group that occurs, and the rows that have it."""
-    by = np.argsort(groups, kind="stable")
-    own = groups[by]
-    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        yield int(own[lo]), by[lo:hi]
-
-
 @dataclass
 class Network:
     """Word vectors per place around the hidden word, and weights with biases of the groups and of the classes in each."""
@@ -98,32 +102,53 @@ class Network:
         return Network(*parts)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.vectors[0][context[0]]
+        total = self.vectors[0].take(context[0], 0)
         for place in range(1, len(AROUND)):
-            total = total + self.vectors[place][context[place]]
-        return np.tanh(total)
+            total += self.vectors[place].take(context[place], 0)
+        return np.tanh(total, out=total)
+
+    def _bounds(self) -> tuple[float, float]:
+        """What no score of a group, and none of a class, can exceed in size, as nothing hidden exceeds one."""
+        return float(np.abs(self.groups).sum(0).max()), float(np.abs(self.classes).sum(1).max())
+
+    def _parts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """An order in which the rows of a group are neighbours; in it, group and member of each; each group that occurs, with its first row and the one behind its last."""
+        group = target // self.side
+        by = np.argsort(group.astype(np.uint16), kind="stable")
+        group = group[by]
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(by) else np.zeros(1, np.int64)
+        parts = list(zip(group[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        return by, group, target[by] - group * self.side, parts
+
+    def _scores(self, with_one: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """The scores of the classes in each row's group."""
+        out = np.empty((len(with_one), self.side), with_one.dtype)
+        for k, lo, hi in parts:
+            np.matmul(with_one[lo:hi], self.classes[k], out=out[lo:hi])
+        return out
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
+        by, group, member, parts = self._parts(target)
+        h = self.hidden(context[:, by])
         h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
-        group, member = np.divmod(target, self.side)
-        total = _chosen(h @ self.groups, group)
-        for k, rows in _segments(group.astype(np.uint16)):
-            total[rows] += _chosen(h[rows] @ self.classes[k], member[rows])
+        ends = self._bounds()
+        total = np.empty(len(h), np.float32)
+        total[by] = _chosen(h @ self.groups, group, ends[0]) + _chosen(self._scores(h, parts), member, ends[1])
         return total
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on a batch, each parameter's step divided by the root of how often the batch uses it."""
+        by, group, member, parts = self._parts(target)
+        context = context[:, by]
         h = self.hidden(context)
         with_one = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
-        group, member = np.divmod(target, self.side)
-        gain = _missed(with_one @ self.groups, group)
+        ends = self._bounds()
+        gain = _missed(with_one @ self.groups, group, ends[0])
         back = gain @ self.groups[:-1].T
-        for k, rows in _segments(group.astype(np.uint16)):
-            own = with_one[rows]
-            part = _missed(own @ self.classes[k], member[rows])
-            back[rows] += part @ self.classes[k][:-1].T
-            self.classes[k] += float(rate / np.sqrt(len(rows))) * (own.T @ part)
+        part = _missed(self._scores(with_one, parts), member, ends[1])
+        for k, lo, hi in parts:
+            back[lo:hi] += part[lo:hi] @ self.classes[k, :-1].T
+            self.classes[k] += float(rate / np.sqrt(hi - lo)) * (with_one[lo:hi].T @ part[lo:hi])
         self.groups += float(rate / np.sqrt(len(h))) * (with_one.T @ gain)
         back *= 1 - h * h
         for place in range(len(AROUND)):
@@ -135,7 +160,7 @@ def _step(rows: np.ndarray, at: np.ndarray, gain: np.ndarray, rate: float) -> No
     at = at[by]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     n = np.diff(np.append(first, len(at)))
-    rows[at[first]] += rate * np.add.reduceat(gain[by], first, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
+    rows[at[first]] += np.add.reduceat(gain.take(by, 0), first, axis=0) * (rate / np.sqrt(n)).astype(np.float32)[:, None]
 
 
 class Reader:
@@ -145,25 +170,46 @@ class Reader:
         self.hasher, self.size, self.known = WordHasher(), size, min(len(often), known_of(size))
         self.rank = np.argsort(often)
         self.sorted = often[self.rank]
+        # hashes are spread evenly: where those with the same first bits begin, a handful at most
+        bits = min(max(len(often), 1).bit_length() + 1, 30)
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.append(np.searchsorted(self.sorted, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(often)).astype(np.int32)
+        self.most = int(np.diff(self.begin).max())
+
+    def _places(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word in ``often``, or -1."""
+        out = np.full(len(words), -1)
+        if not len(self.sorted):
+            return out
+        slot = (words >> self.shift).astype(np.int64)
+        at = self.begin.take(slot)
+        found = self.sorted.take(at, mode="clip") == words
+        out[found] = self.rank.take(at[found])
+        left = np.flatnonzero(~found)
+        for k in range(1, self.most):
+            if not len(left):
+                break
+            left = left[self.begin[slot[left] + 1] > at[left] + k]
+            found = self.sorted[at[left] + k] == words[left]
+            out[left[found]] = self.rank[at[left[found]] + k]
+            left = left[~found]
+        return out
 
     def classes_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The class of each word, and its place in ``often`` or -1."""
-        rest = self.known + (mix(words) % np.uint64(self.size - self.known)).astype(np.int64)
-        if not len(self.sorted):
-            return rest, np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        place = np.where(self.sorted[at] == words, self.rank[at], -1)
-        return np.where((place >= 0) & (place < self.known), place, rest), place
+        place = self._places(words)
+        rest = np.flatnonzero((place < 0) | (place >= self.known))
+        out = place.copy()
+        out[rest] = self.known + (mix(words[rest]) % np.uint64(self.size - self.known)).astype(np.int64)
+        return out, place
 
     def contexts(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        begin = np.repeat(np.cumsum(counts) - counts, counts)
-        end = np.repeat(np.cumsum(counts), counts)
-        at = np.arange(len(classes))
-        out = np.full((len(AROUND), len(classes)), self.size, np.int64)
-        for k, by in enumerate(AROUND):
-            there = (at + by >= begin) & (at + by < end)
-            out[k, there] = classes[at[there] + by]
-        return out
+        """For each word the classes of those around it; ``size`` beyond its text."""
+        gap = max(AROUND)
+        at = np.arange(len(classes)) + np.repeat(gap * np.arange(1, len(counts) + 1), counts)
+        padded = np.full(len(classes) + gap * (len(counts) + 1), self.size, np.int64)
+        padded[at] = classes
+        return np.stack([padded.take(at + by) for by in AROUND])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +371,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 classes, place = reader.classes_of(words)
                 context = reader.contexts(classes, counts)
                 logs = np.where(place >= 0, shares[place], -own.totals[classes])
-                for i in range(0, len(classes), BATCH):
-                    logs[i : i + BATCH] += own.network.log_probability(context[:, i : i + BATCH], classes[i : i + BATCH])
+                for i in range(0, len(classes), SCORED):
+                    logs[i : i + SCORED] += own.network.log_probability(context[:, i : i + SCORED], classes[i : i + SCORED])
                 sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs, len(counts)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(sums)], [*batch.schema.names, "n_words", "net_"])
 

@@ -739,6 +739,38 @@ def test_network_follows_its_gradient():
         assert abs(slope - moved[k]) < 2e-2
 
 
+@pytest.mark.parametrize("size", [0.1, 60.0])
+def test_scores_within_and_beyond_what_is_safe_match_plain_sums(size):
+    rng = np.random.default_rng(5)
+    net = pseudo_likelihood.Network.new(rng.random(36) * 100, 6, 4)
+    net = net.like(net.flat() + rng.normal(0, size, len(net.flat())))
+    assert (max(net._bounds()) < pseudo_likelihood.SAFE) == (size == 0.1)
+    context, target = rng.integers(0, 37, (4, 500)), rng.integers(0, 36, 500)
+    plain = []
+    for around, own in zip(context.T, target, strict=True):
+        h = np.append(np.tanh(sum(net.vectors[p][c].astype(float) for p, c in enumerate(around))), 1)
+        a, b = divmod(own, 6)
+        plain.append(sum(x[k] - x.max() - np.log(np.exp(x - x.max()).sum()) for x, k in ((h @ net.groups, a), (h @ net.classes[a], b))))
+    assert np.allclose(net.log_probability(context, target), plain, rtol=1e-3, atol=1e-4)
+    net.learn(context, target, 0.01)
+    assert np.isfinite(net.flat()).all() and not len(net.log_probability(context[:, :0], target[:0]))
+
+
+def test_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(8)
+    crowd = np.arange(50, dtype=np.uint64) + np.uint64(7 << 40)  # all with the same first bits
+    often = rng.permutation(np.unique(np.concatenate([rng.integers(0, 2**64, 500, np.uint64), crowd, np.array([0, 2**64 - 1], np.uint64)])))
+    reader = pseudo_likelihood.Reader(often, 64)
+    asked = np.concatenate([often, crowd + np.uint64(1000), rng.integers(0, 2**64, 300, np.uint64), np.array([1, 2**64 - 2], np.uint64)])
+    place = {int(w): k for k, w in enumerate(often)}
+    classes, places = reader.classes_of(asked)
+    assert places.tolist() == [place.get(int(w), -1) for w in asked]
+    assert all(c == p if 0 <= p < 56 else 56 <= c < 64 for c, p in zip(classes, places, strict=True))
+    around = reader.contexts(np.arange(6), np.array([0, 4, 0, 1, 1]))
+    assert around.T.tolist() == [[64, 64, 1, 2], [64, 0, 2, 3], [0, 1, 3, 64], [1, 2, 64, 64], [64] * 4, [64] * 4]
+    assert pseudo_likelihood.Reader(often[:0], 16).classes_of(asked)[1].max() == -1
+
+
 @pytest.mark.parametrize("sent", [1 << 17, 300])
 def test_scores_match_a_plain_version(spark, monkeypatch, real, sent):
     monkeypatch.setattr(pseudo_likelihood, "SENT", sent)
