@@ -232,3 +232,17 @@ def test_first_partitions_follow_the_tables(spark, tmp_path):
         assert lens.sized(spark, str(tmp_path), rows=500) == 20 and spark.conf.get(name) == "20"  # never fewer
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_what_a_task_reads_is_bounded_unless_the_session_says_so(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/lineitem.parquet")
+    split, merged = lens._PIECES
+    before = {name: spark.conf.get(name, None) for name in lens._PIECES}
+    try:
+        spark.conf.unset(split)
+        spark.conf.set(merged, "48m")
+        lens.sized(spark, str(tmp_path))
+        assert spark.conf.get(split) == "32m" and spark.conf.get(merged) == "48m"
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
