@@ -52,12 +52,21 @@ def fold_signals(raw: DataFrame, workloads: DataFrame, cycle_start: Column) -> D
     return out.withColumn("active", F.coalesce(F.col("last_seen") >= cycle_start, F.lit(False)))
 
 
-def widen(findings: DataFrame, workloads: DataFrame, namespaces: DataFrame, clusters: DataFrame, signals: DataFrame) -> DataFrame:
-    """Join the dimensions; those without a workload keep their row with nulls (left joins)."""
-    escalated = signals.where(F.col("active") & F.col("signal_id").isin(*ESCALATION_IDS)).select("wl_id").distinct().withColumn("escalation_", F.lit(True))
-    dims = workloads.join(namespaces, "ns_id").join(clusters, "cluster_id").join(escalated, "wl_id", "left")
+def dimensions(workloads: DataFrame, namespaces: DataFrame, clusters: DataFrame, signals: DataFrame) -> DataFrame:
+    """A row per workload with its namespace, its cluster and whether a signal escalates it."""
+    escalated = signals.where(F.col("active") & F.col("signal_id").isin(*ESCALATION_IDS)).select("wl_id").distinct().withColumn("escalation", F.lit(True))
+    return workloads.join(namespaces, "ns_id").join(clusters, "cluster_id").join(escalated, "wl_id", "left")
+
+
+def within(findings: DataFrame, dims: DataFrame) -> DataFrame:
+    """Join ``dimensions``; findings without a workload keep their row with nulls (left join)."""
     out = findings.join(dims, "wl_id", "left")
-    return out.withColumn("is_exposed", exposed(F.col("exposed"), F.col("ns_exposed"))).withColumn("escalation", F.coalesce("escalation_", F.lit(False))).drop("escalation_", "exposed", "ns_exposed")
+    return out.withColumns({"is_exposed": exposed(F.col("exposed"), F.col("ns_exposed")), "escalation": F.coalesce("escalation", F.lit(False))}).drop("exposed", "ns_exposed")
+
+
+def widen(findings: DataFrame, workloads: DataFrame, namespaces: DataFrame, clusters: DataFrame, signals: DataFrame) -> DataFrame:
+    """``within`` of the dimensions, joined in the same plan."""
+    return within(findings, dimensions(workloads, namespaces, clusters, signals))
 
 
 def rules() -> list[tuple[int, Column, str]]:

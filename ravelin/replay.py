@@ -15,7 +15,7 @@ from ravelin.functions.scalars import SEVERITIES
 from ravelin.operators import checks, cycle, enrichment, findings, inventory, marks, snapshots
 from ravelin.panels import _CYCLES, _queue
 from ravelin.plans import lens, payloads
-from ravelin.queries import KEY, ORACLE, QUERIES, _at, _banded, register
+from ravelin.queries import KEY, ORACLE, QUERIES, _at, _banded, _enriched, _signals, register
 from ravelin.sources import envelopes, reports
 from ravelin.sources.feeds import shared_folder
 from ravelin.sources.versions import Versions
@@ -353,7 +353,10 @@ def refreshed_findings(spark, d):
     columns = [*KEY, "severity", "fixed_version", "env", "is_exposed", "escalation", "sensitive", "epss_percentile", "kev_listed", "rule", "band"]
     store = Versions(spark, f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}", buckets=4)
     first = store.begin()
-    first.replace("findings", _banded(spark, d).select(*columns), tuple(KEY))
+    # stored before the findings, so that the plan of these knows its size: they are shuffled by the fold alone
+    dims = findings.dimensions(lens.workloads(spark, d), lens.namespaces(spark, d), lens.clusters(spark, d), _signals(spark, d))
+    first.replace("context", dims.select("wl_id", "exposed", "ns_exposed", "escalation", "env", "sensitive"), ("wl_id",))
+    first.replace("findings", findings.score(findings.within(_enriched(spark, d), first.read("context"))).select(*columns), tuple(KEY))
     first.publish()
     ids = spark.range(300).withColumn("vuln_id", F.expr("concat('CVE-', lpad(cast(id AS string), 4, '0'))"))
     epss = ids.where("id % 3 <> 0").select("vuln_id", (F.col("id") * 7 % 100 / 100).alias("percentile"))

@@ -148,6 +148,22 @@ class Commit:
         self.tables = self.tables | {name: table | {"buckets": kept | written}}
         self.touched[name] = sorted(staged)
 
+    def revise(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrite the buckets in which ``change`` alters a row, row by row; the others keep their folders.
+
+        ``change`` gives all rows that it is given, with the table's columns, keys as they were, and ``moved_``: whether
+        the row is altered. It looks at one row at a time, so no rows are shuffled and no batch is written first: one
+        pass tells the buckets, another writes them.
+        """
+        table = self.tables[name]
+        key = tuple(table["key"])
+        moved = change(self.read(name)).where("moved_").select(self._bucket(key).cast("string").alias("bucket_")).distinct()
+        touched = sorted(r.bucket_ for r in moved.collect())  # no more than there are buckets
+        if touched:
+            written = self._written(name, change(self.versions._read(table, touched)).drop("moved_"), key)
+            self.tables = self.tables | {name: table | {"buckets": {b: at for b, at in table["buckets"].items() if b not in touched} | written}}
+        self.touched[name] = touched
+
     def publish(self) -> int:
         """Show the commit; raises ``Conflict`` if another one took its place."""
         if not claim(self.spark, f"{self.versions.root}/heads/{self.number + 1:010d}", json.dumps(self.tables)):
