@@ -122,6 +122,20 @@ def test_ingresses_go_to_workloads_not_by_service(spark):
     assert "Join" in plan[: plan.index("Aggregate")]
 
 
+def test_pairs_are_laid_out_from_packs_of_like_workloads(spark, monkeypatch):
+    """Ten workloads of equal labels are one step behind a set of backends; told twice, in two places, in small packs, each pair is there once."""
+    monkeypatch.setattr(resolve, "PACK", 3)
+    services = spark.createDataFrame([(1, "ns", "web", {"app": "x"}), (2, "ns", "all", {"app": "x"}), (3, "far", "web", {"t": "1"})], "svc_id long, ns_id string, svc_name string, selector map<string,string>")
+    workloads = spark.range(10).selectExpr("id AS wl_id", "'ns' AS ns_id", "map('t', '1', 'app', 'x') AS labels")
+    workloads = workloads.unionByName(workloads).unionByName(spark.range(2).selectExpr("id AS wl_id", "'far' AS ns_id", "map('t', '1') AS labels"))
+    ing = spark.createDataFrame([("a", "ns", ["web", "all"]), ("a", "far", ["web"]), ("a", "far", ["web"]), ("b", "far", ["web"])], "ing_id string, ns_id string, backends array<string>")
+    found = resolve.ingress_selected(ing, services, workloads)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", k) for k in range(10)] + [("b", 0), ("b", 1)]
+    # what joins the ingresses are packs, not workloads
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(wls_" in plan[: plan.index("Join")]
+
+
 def test_folder_of_items(spark, tmp_path):
     (tmp_path / "kubeapi").mkdir()
     (tmp_path / "kubeapi/a.json").write_text(json.dumps({"items": [{"kind": "A"}, {"kind": "B"}]}))
