@@ -77,11 +77,10 @@ _CHECK_KINDS = {"trivy.ConfigAuditReport": "config", "trivy.RbacAssessmentReport
     UNION ALL SELECT 'trivy.ExposedSecretReport', 'exposed-secret', {payloads.SEVERITY_SQL}, CASE WHEN l_linenumber % 2 = 0 THEN 'Key ' || l_suppkey ELSE 'rule-' || (l_partkey % 9) END FROM lineitem) GROUP BY ALL""", on_lens=False)
 def scan_kinds_union(spark, d):
     """All nine kinds of scans as one table, counted."""
-    checks = payloads.checks(spark, d)
+    checks, policies = payloads.checks(spark, d), payloads.policies(spark, d)
     by_kind = {k: checks for k in _CHECK_KINDS} | {"trivy.VulnerabilityReport": payloads.vulnerabilities(spark, d), "trivy.ExposedSecretReport": payloads.secrets(spark, d)}
-    by_kind |= {k: payloads.policies(spark, d) for k in ("kyverno.PolicyReport", "kyverno.ClusterPolicyReport")} | {"trivy.ClusterRbacAssessmentReport": payloads.checks(spark, d, whole_cluster=True)}
-    rows = reports.scan_facts(by_kind)
-    return rows.groupBy("scan_kind", "category", "severity").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
+    by_kind |= {k: policies for k in ("kyverno.PolicyReport", "kyverno.ClusterPolicyReport")} | {"trivy.ClusterRbacAssessmentReport": payloads.checks(spark, d, whole_cluster=True)}
+    return reports.scan_counts(by_kind)
 
 
 def _inventory(spark, d):

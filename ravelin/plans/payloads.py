@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,22 @@ _SEVERITY = "CASE l_returnflag WHEN 'A' THEN 'CRITICAL' WHEN 'R' THEN 'High' ELS
 SEVERITY_SQL = "CASE l_returnflag WHEN 'A' THEN 'critical' WHEN 'R' THEN 'high' ELSE 'unknown' END"
 
 
-def _reports(spark: SparkSession, d: str, items: str, body: str, meta: str = _META) -> DataFrame:
-    """One report per order, with an item per line."""
+def _ordered(spark: SparkSession, d: str, items: str, name: str = "items") -> DataFrame:
+    """Orders with a list of ``items``, one per line.
+
+    The lines travel as they were read, the same columns for every kind of report, and become items where they arrive:
+    a plan that makes several kinds shuffles them once, and no long text.
+    """
     sized(spark, d)
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.expr(f"collect_list({items})").alias("items"))
+    line = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
     orders = spark.read.parquet(f"{d}/orders.parquet").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return orders.select(F.to_json(F.struct(*[F.expr(x) for x in (meta, body)])).alias("raw"))
+    return orders.withColumn(name, F.expr(f"transform(lines, l -> {re.sub(r'\bl_', 'l.l_', items)})"))
+
+
+def _reports(spark: SparkSession, d: str, items: str, body: str, meta: str = _META) -> DataFrame:
+    """One report per order, with an item per line."""
+    return _ordered(spark, d, items).select(F.to_json(F.struct(*[F.expr(x) for x in (meta, body)])).alias("raw"))
 
 
 def vulnerabilities(spark: SparkSession, d: str) -> DataFrame:
@@ -43,13 +55,11 @@ def secrets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def policies(spark: SparkSession, d: str) -> DataFrame:
-    sized(spark, d)
     who = "named_struct('kind', 'Deployment', 'name', concat('{}', l_suppkey), 'namespace', CASE WHEN l_suppkey % 2 = 0 THEN concat('n', l_suppkey % 5) END)"
     items = f"""named_struct('policy', CASE l_partkey % 3 WHEN 0 THEN 'disallow-privileged-containers' WHEN 1 THEN 'disallow-host-path' ELSE 'own-policy' END, 'rule', CASE WHEN l_linenumber % 2 = 0 THEN 'rule1' END,
         'result', CASE l_returnflag WHEN 'A' THEN 'fail' WHEN 'R' THEN 'pass' ELSE 'WARN' END, 'severity', CASE WHEN l_linestatus = 'F' THEN 'High' END,
         'subjects', CASE WHEN l_linenumber % 3 = 0 THEN array({who.format('s')}) END, 'resources', CASE WHEN l_linenumber % 3 = 1 THEN array({who.format('a')}, {who.format('b')}) END)"""
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.expr(f"collect_list({items})").alias("results"))
-    orders = spark.read.parquet(f"{d}/orders.parquet").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    orders = _ordered(spark, d, items, "results")
     meta = F.expr("named_struct('name', concat('p', o_orderkey), 'namespace', concat('ns', o_custkey % 25)) AS metadata")
     scope = F.expr("CASE WHEN o_orderkey % 2 = 0 THEN named_struct('kind', 'Pod', 'name', concat('pod', o_orderkey), 'namespace', 'scoped') END AS scope")
     return orders.select(F.to_json(F.struct(meta, scope, "results")).alias("raw"))

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ravelin import intake
 from ravelin.operators import resolve
 from ravelin.sources import feeds, reports
 from ravelin.streaming import cycles
@@ -136,6 +137,21 @@ def test_pairs_are_laid_out_from_packs_of_like_workloads(spark, monkeypatch):
     assert "explode(wls_" in plan[: plan.index("Join")]
 
 
+def test_documents_of_several_kinds_are_read_once(spark):
+    """Counts by kind are those of the rows of ``scan_facts``, and the documents that kinds share are parsed for all of them together."""
+    checks = raw(spark, {"report": {"checks": [{"checkID": "KSV1", "severity": "HIGH", "success": False, "title": "t"}, {"checkID": "KSV2", "severity": "HIGH"}, {"checkID": "KSV3", "success": True}]}}, {"report": {"checks": [{"checkID": "KSV2", "severity": "HIGH", "title": ""}]}})
+    others = raw(spark, {"report": {"checks": [{"checkID": "KSV9", "severity": "odd"}]}})
+    none = raw(spark, {"report": {}})
+    by_kind = {"trivy.ConfigAuditReport": checks, "trivy.InfraAssessmentReport": checks, "trivy.RbacAssessmentReport": others, "trivy.ExposedSecretReport": none, "trivy.VulnerabilityReport": none, "other": checks}
+    found = reports.scan_counts(by_kind)
+    expected = reports.scan_facts(by_kind).groupBy("scan_kind", "category", "severity").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
+    assert sorted(found.collect()) == sorted(expected.collect())
+    assert sorted(tuple(r) for r in found.collect()) == [("trivy.ConfigAuditReport", "config", "high", 3, 2), ("trivy.InfraAssessmentReport", "compliance", "high", 3, 2), ("trivy.RbacAssessmentReport", "rbac", "unknown", 1, 1)]
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert plan(found).count("from_json(") == 4
+    assert plan(intake.scan_kinds_union(spark, "/root/testdata/sf0.001")).count("from_json(") == 5
+
+
 def test_folder_of_items(spark, tmp_path):
     (tmp_path / "kubeapi").mkdir()
     (tmp_path / "kubeapi/a.json").write_text(json.dumps({"items": [{"kind": "A"}, {"kind": "B"}]}))
