@@ -78,7 +78,7 @@ def persist(store: Versions, cluster: str, inventory: Inventory, started: Column
     complete cycle takes workloads and containers out of use. If anything fails, all tables stay as they were.
     """
     commit, own = store.begin(), F.lit(cluster)
-    inventory.items = settled(inventory.items)  # read by every step
+    inventory.store()  # read by every step
     rows = inventory.workloads().dropDuplicates(["namespace", "kind", "name"])
     links = settled(reached(inventory))
     open_ = links.where(F.col("signal_id").isin(BALANCER, INGRESS)).select("wl_id").distinct().withColumn("exposed", F.lit(True))

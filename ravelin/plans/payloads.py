@@ -72,7 +72,7 @@ _NAMED = "named_struct('name', concat('{name}', s_suppkey), 'namespace', concat(
 
 def manifests(spark: SparkSession, d: str) -> DataFrame:
     """Per supplier a controller and, of deployments, a replica set and its pod; services, ingresses, namespaces and policies beside them."""
-    sized(spark, d)
+    parts = sized(spark, d)
     owned = ", 'ownerReferences', array(named_struct('kind', '{kind}', 'name', concat('{name}', s_suppkey), 'controller', true))"
     rows = spark.read.parquet(f"{d}/supplier.parquet")
     one = lambda df, *columns: df.select(F.to_json(F.struct(*[F.expr(c) for c in columns])).alias("raw"))
@@ -86,6 +86,7 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     out = out.unionByName(one(mine, "'Pod' AS kind", _NAMED.format(name="pod", more=owned.format(kind="ReplicaSet", name="rs")), f"{_POD.replace('@sha256:', ':v')} AS spec", status))
     customers, orders, nations = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders", "nation"))
     out = out.unionByName(one(customers, "'Service' AS kind", "named_struct('name', concat('svc', c_custkey), 'namespace', concat('ns', c_nationkey), 'annotations', CASE WHEN c_custkey % 5 = 0 THEN map('service.beta.kubernetes.io/aws-load-balancer-internal', 'true') END) AS metadata", "named_struct('type', CASE WHEN c_custkey % 2 = 0 THEN 'LoadBalancer' END, 'selector', CASE WHEN c_custkey % 3 <> 0 THEN map('app', concat('a', c_custkey % 10)) END) AS spec"))
+    orders = orders.select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")  # packed, many lie in one piece of a file; to write their documents takes longer than to read them
     path = "named_struct('backend', named_struct('service', named_struct('name', concat('svc', o_custkey))))"
     out = out.unionByName(one(orders, "'Ingress' AS kind", "named_struct('name', concat('in', o_orderkey), 'namespace', concat('ns', o_custkey % 25), 'annotations', CASE WHEN o_orderkey % 4 <> 0 THEN map('alb.ingress.kubernetes.io/scheme', 'internal') END) AS metadata", f"named_struct('ingressClassName', 'nginx', 'defaultBackend', CASE WHEN o_orderkey % 2 = 0 THEN named_struct('service', named_struct('name', 'fallback')) END, 'rules', array(named_struct('http', named_struct('paths', array({path}, {path}))))) AS spec"))
     # of some namespaces there is no item; some items are of no known kind, and some are no manifests

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from copy import copy
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.scalars import avd_id, blank, filled, image_ref, policy_severity, ref_digest, registry_of, repository_of, scanner_severity, status_digest
 from ravelin.functions.signals import lookup
+from ravelin.sources.feeds import shared_folder
 
 _META = "struct<name:string,namespace:string,labels:map<string,string>,annotations:map<string,string>,ownerReferences:array<struct<kind:string,name:string,controller:boolean>>>"
 _CVSS = "struct<V3Score:double,V2Score:double,V3Vector:string,V2Vector:string>"
@@ -203,9 +206,23 @@ class Inventory:
             o["spec"]["template"]["spec"],
         )
         owner = F.try_element_at(F.filter(o["metadata"]["ownerReferences"], lambda x: F.coalesce(x["controller"], F.lit(False))), F.lit(1))
-        self.raw = raw
+        self.raw, self.stored = raw, False
         self.items = _parsed(raw, ITEM).select("o", blank(o["kind"]).alias("kind"), blank(o["metadata"]["namespace"]).alias("namespace"), blank(o["metadata"]["name"]).alias("name"), spec.alias("pod"), owner.alias("owner"))
 
+    def where(self, condition: Column) -> Inventory:
+        """The inventory of the items (kind, namespace, name) for which ``condition`` holds."""
+        out = copy(self)
+        out.items = self.items.where(condition)
+        return out
+
+    def store(self) -> Inventory:
+        """Write the items, unless they are, to the shared folder as Parquet: what follows parses nothing and reads the kinds and fields that it needs."""
+        if not self.stored:
+            path = f"{shared_folder(self.items.sparkSession)}/items-{uuid.uuid4().hex}"
+            self.items.write.parquet(path)
+            self.items, self.stored = self.items.sparkSession.read.schema(self.items.schema).parquet(path), True
+        return self
+
     def unknown(self) -> DataFrame:
         """Items of no kind known here that look like manifests, counted."""
         known = (*CONTROLLERS, "Pod", "ReplicaSet", "Namespace", "Service", "Ingress", "NetworkPolicy")

@@ -359,3 +359,17 @@ def test_stored_rows_are_not_shuffled_to_be_written(spark, store):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(stages) == 1
     assert store.read("t").count() == 1000 and store.read("t").where("v = 'a'").select("k").distinct().count() == 1000
+
+
+def test_items_are_parsed_once_for_both_inventories(spark):
+    """The items of all manifests are stored typed; parts of them are read from there, kinds and fields as needed, without JSON."""
+    whole = replay._manifests(spark, D)
+    assert replay._manifests(spark, D) is whole and whole.store() is whole
+    part = whole.where(F.col("kind") != "Service")
+    plan = part.workloads()._jdf.queryExecution().optimizedPlan().toString()
+    assert part.services().isEmpty() and not whole.services().isEmpty()
+    assert "from_json" not in plan and "backend" not in plan
+    parsed = reports.Inventory(replay.payloads.manifests(spark, D))
+    columns = ["namespace", "kind", "name", "container", "ref", "digest"]
+    assert rows(parsed.observations().select(columns).orderBy(columns)) == rows(whole.observations().select(columns).orderBy(columns))
+    assert parsed.unknown().first().n == whole.unknown().first().n > 0
